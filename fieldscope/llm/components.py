@@ -20,8 +20,8 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     steps, turn, left = [], 0, edges
     while not left.isEmpty():
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c), c)
-        best = both.groupBy("a").agg(F.min(order("b")).alias("near")).select("a", F.least(F.col("near"), order("a"))["col2"].alias("to"))
+        order = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c).alias("rank"), F.col(c).alias("id"))
+        best = both.groupBy("a").agg(F.min(order("b")).alias("near")).select("a", F.least(F.col("near"), order("a"))["id"].alias("to"))
         best = materialize(best.select(F.col("a").alias("node"), "to"), f"{tag}-step")
         steps.append(best)
         left = (
