@@ -8,7 +8,9 @@ are self-contained, so any segment can be read alone, and documents are found by
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -73,42 +75,67 @@ def unpack(blocks, plane_sizes, n_ids: int, block_ids: int, plane: str) -> np.nd
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
+#: The pre-tokenizer whose pieces _Words finds by itself; fixed value, as in the tokenizer's file.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class _Words(dict):
+    """Ids (bytes) of words; a word not met before is encoded by the library's model, piece by piece."""
+
+    def __init__(self, tokenizer, most: int):
+        import regex
+
+        super().__init__({"": b""})
+        self.tokenizer, self.model, self.most, self.pieces = tokenizer, tokenizer.model, most, {}
+        spec = json.loads(tokenizer.to_str())
+        first, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.known = first.get("pattern", {}).get("Regex") == _PIECES and steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in rest] == ["ByteLevel"]
+        # letters below U+0250 have no combining forms, so NFC leaves them as they are
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b != 173]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}  # as ByteLevel writes bytes
+        self.plain, self.find = regex.compile("[!-~\u00a1-\u024f]+").fullmatch, regex.compile(_PIECES).findall
+
+    def piece(self, p: str) -> bytes:
+        raw = self.pieces.get(p)
+        if raw is None:
+            text = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
+            raw = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            if len(self.pieces) < self.most:
+                self.pieces[p] = raw
+        return raw
+
+    def __missing__(self, w: str) -> bytes:
+        low = w.lower()
+        core = low.rstrip(".,;:!?")
+        if self.known and core.isalpha() and (w.isascii() or self.plain(w)):
+            raw = self.piece(core) + self.piece(low[len(core) :]) if len(core) < len(low) else self.piece(core)
+        elif self.known and self.plain(w) and "<|" not in w:
+            raw = b"".join(map(self.piece, self.find(low)))
+        else:
+            raw = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        if len(self) < self.most:
+            self[w] = raw
+        return raw
+
+
 class WordEncoder:
     """Ids of a text from cached ids of its words.
 
-    For tokenizers that never join text across a space or a line feed: the ids of a text are those of its
-    words in order. Words not met before are encoded by the library in one call, parted by a special token.
+    For tokenizers that never join text across a space or a line feed: the ids of a text are those of its words in
+    order. The cache is bounded by most_words; words beyond it are encoded each time.
     """
 
-    def __init__(self, path: str, part: str = "<|endoftext|>", most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.part, self.most = Tokenizer.from_file(path), part, most_words
-        self.part_id, self.words = self.tokenizer.token_to_id(part), {"": b""}
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if "<|" not in w]
-        for w in new if self.part_id is None else (w for w in new if "<|" in w):
-            self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        if plain and self.part_id is not None:
-            ids = np.array(self.tokenizer.encode(self.part.join(plain), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.part_id), len(ids))
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(plain, ends.tolist(), strict=True):
-                self.words[w], at = raw[4 * at : 4 * end], end + 1
+        self.words = _Words(Tokenizer.from_file(path), most_words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > self.most:
-            self.words = {"": b""}
-        known = self.words
-        new = [w for w in set().union(*split) if w not in known]
-        if new:
-            self._learn(new)
-            known = self.words
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
