@@ -114,7 +114,7 @@ class QualityModel:
         return content, self.page.score(metadata(column, langs, sources))
 
     def combine(self, content: np.ndarray, page: np.ndarray) -> np.ndarray:
-        """The probability of good: the two calibrated log-odds share one prior."""
+        """The probability of good: both calibrated log-odds, and the odds of the labels."""
         odds = self.content.slope * content + self.content.shift + self.page.slope * page + self.page.shift - self.prior
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
@@ -169,7 +169,7 @@ def _calibrate(view: View, score: np.ndarray, y: np.ndarray) -> None:
     view.slope, view.shift = float(max(w[0], 0.0) / spread), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 300, rounds: int = 2, certain: int = 100) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, rounds: int = 2, certain: int = 100) -> QualityModel | None:
     """docs(doc_id, text, lang, source), labels(doc_id, quality 0 or 1). None without a label of both classes.
 
     Rows of labels with a null in either column are left out; of several labels of a doc_id the lowest counts.
@@ -181,6 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 300, rounds: int =
     columns = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     rows = _features(columns.join(F.broadcast(sample), "doc_id"))  # sample is bounded by per_class
     y = np.array([r["quality"] for r in rows], dtype=np.float64)
+    good, bad = known.agg(F.count_if(F.col("quality") > 0), F.count_if(F.col("quality") <= 0)).first()
+    prior = float(np.log((bad + 1) / (good + 1)))  # views are fitted on classes that count alike
     if not len(y) or y.min() == y.max():
         return None
     content, page = _matrices(rows)
@@ -188,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 300, rounds: int =
     if len({*y[test]}) < 2 or len({*y[~test]}) < 2:
         test = np.zeros(len(y), bool)
     sets = {"content": (content[~test], y[~test], np.ones((~test).sum())), "page": (page[~test], y[~test], np.ones((~test).sum()))}
-    model = QualityModel(_content_view(*sets["content"]), fit_view(*sets["page"]), 0.0)
+    model = QualityModel(_content_view(*sets["content"]), fit_view(*sets["page"]), prior)
     free, taken = columns.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"), sample.select("doc_id")
     for turn in range(rounds):
         scored = scores(free, model).where("doc_id is not null")
@@ -206,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 300, rounds: int =
         for name, more, other in (("content", more_content, by == "page"), ("page", more_page, by == "content")):
             x, t, w = sets[name]
             sets[name] = (np.concatenate([x, more[other]]), np.concatenate([t, told[other]]), np.concatenate([w, np.full(other.sum(), 0.5)]))
-        model = QualityModel(_content_view(*sets["content"]), fit_view(*sets["page"]), 0.0, [*model.rounds, len(got)])
+        model = QualityModel(_content_view(*sets["content"]), fit_view(*sets["page"]), prior, [*model.rounds, len(got)])
         taken = taken.union(chosen.select("doc_id"))
         free = columns.join(F.broadcast(taken.distinct()), "doc_id", "left_anti")
     check = test if test.any() else np.ones(len(y), bool)
