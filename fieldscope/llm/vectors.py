@@ -33,7 +33,7 @@ def planes(width: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, width)).standard_normal((width, bits * tables))
 
 
-def _local_components(adjacent: np.ndarray) -> np.ndarray:
+def local_components(adjacent: np.ndarray) -> np.ndarray:
     """The smallest row index that each row reaches in a symmetric boolean matrix with a true diagonal."""
     root = np.argmax(adjacent, axis=1)
     while True:
@@ -103,7 +103,7 @@ def near_duplicates(vectors: DataFrame, cut: float = 0.98, miss: float = 1e-4, s
                 near &= own[:, None] != own[None, :]
                 np.fill_diagonal(near, True)
             counted = near @ copies - copies
-            root = _local_components(near)
+            root = local_components(near)
             some = (counted > 0) | (root != np.arange(len(root)))
             ids = g["rep"].to_numpy()
             reps.append(ids[some])
