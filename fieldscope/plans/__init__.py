@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "tracks")
+MODULES = ("timeline", "tracks", "boxes")
 
 
 def all_queries() -> tuple[dict, dict]:
