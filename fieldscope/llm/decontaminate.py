@@ -34,14 +34,21 @@ def item_windows(benchmark: DataFrame, window: int = 10, shingle: int = 3) -> Da
     return items.select("item_id", F.explode(starts).alias("at"), "all").select("item_id", F.slice("all", F.col("at"), window).alias("words")).distinct().withColumn("n", F.size("words"))
 
 
-def _tokens(rows: DataFrame, words: str, sizes: list[int]) -> DataFrame:
-    """rows with place and token for each shingle of the given sizes; the row's words stay beside them."""
-    each = rows.select("*", F.posexplode(words).alias("place", "_word")).drop("_word")
-    fits = lambda k: F.col("place") + k <= F.size(words)
-    if len(sizes) == 1:
-        return each.where(fits(sizes[0])).withColumn("token", _shingle(words, F.col("place"), sizes[0]))
-    kinds = F.array_compact(F.array(*(F.when(fits(k), _shingle(words, F.col("place"), k)) for k in sizes)))
-    return each.withColumn("token", F.explode(kinds))
+def _tokens(rows: DataFrame, words: str, k: int) -> DataFrame:
+    """rows with place and token for each shingle of k words; the row's words stay beside them.
+
+    What follows (a join with a small side, a narrow projection) is fused with the generator, so a long text's words are never copied for
+    each of its places; that also holds for unions, which therefore come after.
+    """
+    each = rows.select("*", F.posexplode_outer(words).alias("place", "_word")).drop("_word")
+    return each.where(F.col("place") + k <= F.size(words)).withColumn("token", _shingle(words, F.col("place"), k))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
@@ -50,18 +57,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle
     sizes = sorted({min(shingle, r.n) for r in windows.select("n").distinct().collect()})  # at most window values
     if not sizes:
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n")).where(F.lit(False))
-    parts = _tokens(windows, "words", sizes)
-    if len(sizes) > 1:  # a window's tokens are of the one size that fits it
-        parts = _tokens(windows.where(F.col("n") >= shingle), "words", [shingle])
-        for k in sizes:
-            if k < shingle:
-                parts = parts.unionByName(_tokens(windows.where(F.col("n") == k), "words", [k]))
-    parts = materialize(parts, "window-tokens")
-    n_parts = parts.count()
-    near = (lambda df: F.broadcast(df)) if n_parts <= BROADCAST_ROWS else (lambda df: df)
+    fits = lambda k: F.col("n") >= shingle if k == shingle else F.col("n") == k  # noqa: E731  a window's tokens are of the one size that fits it
+    parts = materialize(_union([_tokens(windows.where(fits(k)), "words", k) for k in sizes]), "window-tokens")
+    small = parts.count() <= BROADCAST_ROWS
+    near = F.broadcast if small else (lambda df: df)
 
     texts = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("doc_words"))
-    counts = _tokens(texts.select("doc_words"), "doc_words", sizes).select("token").join(near(parts.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
+    wanted = near(parts.select("token").distinct())
+    counts = _union([_tokens(texts.select("doc_words"), "doc_words", k).select("token").join(wanted, "token", "left_semi") for k in sizes]).groupBy("token").agg(F.count("*").alias("seen"))
     rarest = (
         parts.join(materialize(counts, "token-counts"), "token", "left")
         .groupBy("item_id", "words", "n")
@@ -69,17 +72,27 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle
         .where("least > 0")  # a token that no document has: the window is in none
         .select("item_id", "words", "n", "first.token", F.col("first.place").alias("offset"))
     )
-    tokens = _tokens(texts, "doc_words", sizes).withColumnRenamed("place", "at")
-    if n_parts <= BROADCAST_ROWS:
-        pairs = tokens.join(F.broadcast(rarest), "token")
-    else:  # both sides are dealt by token and a salt, so a frequent token is not one task
-        salts = 16
-        pairs = tokens.withColumn("salt", F.pmod(F.xxhash64("text_hash", "at"), F.lit(salts)).cast("int")).join(
-            rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["token", "salt"]
-        )
-    start = F.col("at") - F.col("offset")
-    inside = (start >= 0) & (start + F.col("n") <= F.size("doc_words"))
-    return pairs.where(inside & (F.slice("doc_words", F.when(start >= 0, start).otherwise(0) + 1, F.col("n")) == F.col("words"))).select("doc_id", "text_hash", "item_id", start.alias("start"), "n")
+    rarest = materialize(rarest, "rarest-tokens")
+
+    def places(k: int) -> DataFrame:
+        tokens = _tokens(texts, "doc_words", k).withColumnRenamed("place", "at").withColumns({"total": F.size("doc_words"), "skipped": F.lit(0)})
+        mine = rarest.where(fits(k))
+        if small:
+            pairs = tokens.join(F.broadcast(mine), "token")
+        else:
+            # both sides are dealt by token and a salt, so a frequent token is not one task; only the words around a token travel
+            salts = 16
+            around = F.greatest(F.col("at") - window + 1, F.lit(0))
+            local = tokens.select("doc_id", "text_hash", "token", "at", "total", around.alias("skipped"), F.slice("doc_words", around + 1, F.lit(2 * window)).alias("doc_words"))
+            pairs = local.withColumn("salt", F.pmod(F.xxhash64("text_hash", "at"), F.lit(salts)).cast("int")).join(
+                mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["token", "salt"]
+            )
+        start = F.col("at") - F.col("offset")
+        inside = (start >= 0) & (start + F.col("n") <= F.col("total"))
+        there = F.slice("doc_words", F.greatest(start - F.col("skipped"), F.lit(0)) + 1, F.col("n")) == F.col("words")
+        return pairs.where(inside & there).select("doc_id", "text_hash", "item_id", start.alias("start"), "n")
+
+    return materialize(_union([places(k) for k in sizes]), "occurrences")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
