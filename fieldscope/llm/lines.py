@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldscope.llm.common import materialize, table
@@ -62,9 +62,10 @@ def similar_earlier(classes: DataFrame, num: int = 80, den: int = 100, bits: int
     sets = classes.select("first", tokens.alias("tokens")).withColumn("n", F.size("tokens"))
     prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).cast("int"))
     sets = materialize(sets.select("first", "n", prefix.alias("prefix")), "line-prefixes")
+    token = Window.partitionBy("token")
     posted = sets.select("first", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("c"), F.min("first").alias("earliest")).where("c > 1").drop("c")
-    posted = materialize(posted.join(shared, "token"), "line-matrix")
+    posted = posted.withColumns({"seen": F.count("*").over(token), "earliest": F.min("first").over(token)}).where("seen > 1").drop("seen")
+    posted = materialize(posted, "line-matrix")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), "line-pairs")
@@ -73,17 +74,19 @@ def similar_earlier(classes: DataFrame, num: int = 80, den: int = 100, bits: int
         common = F.size(F.array_intersect("a", "b"))
         return both.where(common * (den + num) >= (F.size("a") + F.size("b")) * num).select(F.col("first_a").alias("first"))
 
-    sized = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * num / F.lit(den + num))
-    most = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    likely = sized & (most >= least)
-    one, two = posted.select(*(F.col(c).alias(f"{c}_a") for c in posted.columns)), posted.select(*(F.col(c).alias(f"{c}_b") for c in posted.columns))
-    on = F.col("token_a") == F.col("token_b")
-    # against the earliest class of each token first: most copies end there, and only the others need all pairs
-    heads = one.where("first_a > earliest_a").join(two.where("first_b = earliest_b"), on).where(likely)
-    found = materialize(verified(heads.select("first_a", "first_b")).distinct(), "line-matches")
+    # the earliest class of each token first: most copies end there. A first guess only, what it leaves out is met again below
+    guess = posted.where("first > earliest").groupBy(F.col("first").alias("first_a"), F.col("earliest").alias("first_b")).agg(F.count("*").alias("common"), F.max("n").alias("n"))
+    guess = guess.where(F.col("common") * den * 4 >= F.col("n") * (den - num))
+    found = materialize(verified(guess.select("first_a", "first_b")).distinct(), "line-matches")
+
+    one, two = posted.select(*(F.col(c).alias(f"{c}_a") for c in posted.columns)), posted.select(*(F.col(c).alias(f"{c}_b") for c in ("token", "first", "n", "place")))
     left = one.where("first_a > earliest_a").join(found.select(F.col("first").alias("first_a")), "first_a", "left_anti")
-    rest = left.join(two, on & (F.col("first_b") < F.col("first_a")) & (F.col("first_b") > F.col("earliest_a"))).where(likely)
+    sized = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    met = left.join(two, (F.col("token_a") == F.col("token_b")) & (F.col("first_b") < F.col("first_a")) & sized)
+    met = met.groupBy("first_a", "first_b", "n_a", "n_b").agg(F.count("*").alias("common"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b"))
+    # all shared tokens up to the last shared one are counted; what can follow it is bounded by both remainders
+    most = F.col("common") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
+    rest = met.where(most >= F.ceil((F.col("n_a") + F.col("n_b")) * num / F.lit(den + num)))
     return found.union(verified(rest.select("first_a", "first_b"))).distinct()
 
 
