@@ -6,7 +6,8 @@ import numpy as np
 
 from fieldscope.llm.common import LOWER, WORK_BYTES
 
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD6E8FEB9], dtype=np.uint32)
+_STEPS = np.arange(1, 257, dtype=np.uint32)[None, :] * _FACTORS[:, None]
 
 
 def fold_letters(data: np.ndarray) -> np.ndarray:
@@ -23,14 +24,15 @@ def gram_codes(data: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Bucket of the n bytes from each place on; the last n - 1 places have none."""
     m = len(data) - n + 1
     if m <= 0:
-        return np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        code = np.full(m, n, dtype=np.uint64) * _FACTORS[-1]
-        for j in range(n):
-            code += (data[j : j + m].astype(np.uint64) + np.uint64(1)) * _FACTORS[j]
-        code ^= code >> np.uint64(29)
-        code *= np.uint64(0xBF58476D1CE4E5B9)
-        return (code >> np.uint64(64 - bits)).astype(np.int64)
+        return np.zeros(0, np.uint32)
+    code = _STEPS[0][data[:m]]
+    for j in range(1, n):
+        code += _STEPS[j][data[j : j + m]]
+    code += np.uint32(n * int(_FACTORS[-1]) & 0xFFFFFFFF)
+    code ^= code >> np.uint32(15)
+    code *= np.uint32(0x85EBCA6B)
+    code >>= np.uint32(32 - bits)
+    return code
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits: int):
@@ -53,9 +55,10 @@ def gram_sums(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bit
     rows = len(offsets) - 1
     total, count = np.zeros((rows, weights.shape[1])), np.zeros(rows)
     for _, lo, first, last, code in pieces(data, offsets, sizes, bits):
-        for c in range(weights.shape[1]):
-            run = np.concatenate([[0.0], np.cumsum(weights[:, c][code], dtype=np.float64)])
-            total[lo : lo + len(first), c] += run[last] - run[first]
+        values = weights[code] if weights.shape[1] > 1 else weights[:, 0][code][:, None]
+        for i, (s, e) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+            if e > s:
+                total[lo + i] += values[s:e].sum(axis=0)
         count[lo : lo + len(first)] += last - first
     return total, count
 

@@ -35,7 +35,7 @@ class LanguageModel:
     bits: int = BITS
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total, count = gram_sums(fold_letters(data), offsets, self.sizes, self.bits, self.weights)
+        total, count = gram_sums(fold_letters(data), offsets, self.sizes, self.bits, self.weights.astype(np.float32))
         return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
 
 

@@ -11,6 +11,7 @@ A fit reads at most ``per_class`` labelled documents of either class; rounds sco
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import WHITE, table, text_buffer, word_blocks
+from fieldscope.llm.common import WHITE, row_blocks, table, text_buffer
 from fieldscope.llm.hashing import gram_counts, gram_sums
 
 SIZES, BITS = (3, 4), 14
@@ -27,33 +28,44 @@ _KINDS = (
     ("symbol", [*range(35, 39), 42, 43, 60, 61, 62, 64, 92, 94, 95, 96, 123, 125, 126]), ("bar", [124]), ("wide", [*range(128, 256)]),
 )
 N_PLAIN, N_HASHED = len(_KINDS) + 3, 64
+_KIND_OF = np.array([sum((c + 1) * (b in values) for c, (_, values) in enumerate(_KINDS)) for b in range(256)], dtype=np.uint8)
+
+
+_MARKS = (np.arange(256, dtype=np.uint32) + 7) ** 2 * np.uint32(2654435761)
 
 
 def repeats(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words per row, and how many of them are the same as the word before."""
-    words, same = [], []
-    for _, _, hashes, at in word_blocks(column, WHITE):
-        equal = np.concatenate([[0], np.cumsum(np.append(hashes[1:] == hashes[:-1], False))]) if len(hashes) else np.zeros(1, np.int64)
-        words.append(np.diff(at))
-        same.append(equal[np.maximum(at[1:] - 1, at[:-1])] - equal[at[:-1]])
-    return (np.concatenate(words), np.concatenate(same)) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Words per row, and how many of them have the length and the letters of the word before."""
+    data, off = text_buffer(column)
+    n = len(off) - 1
+    words, same = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for lo, hi in row_blocks(off):
+        for begin in range(off[lo], max(off[hi], off[lo] + 1), 1 << 22):  # a very long text goes in pieces
+            end = min(begin + (1 << 22), off[hi])
+            part, at = data[begin:end], np.clip(off[lo : hi + 1], begin, end) - begin
+            if not len(part):
+                continue
+            white, inner = WHITE[part], at[(at > 0) & (at < len(part))]
+            before, after = np.append(True, white[:-1]), np.append(white[1:], True)
+            before[inner], after[inner - 1] = True, True
+            starts, ends = np.flatnonzero(~white & before), np.flatnonzero(~white & after) + 1
+            run = np.concatenate([np.zeros(1, np.uint32), np.cumsum(_MARKS[part], dtype=np.uint32)])
+            mark = (run[ends] - run[starts]).astype(np.int64) * 4096 + (ends - starts) % 4096
+            equal = np.concatenate([[0], np.cumsum(np.append(False, mark[1:] == mark[:-1]))]) if len(mark) else np.zeros(1, np.int64)
+            place = np.searchsorted(starts, at)
+            words[lo:hi] += np.diff(place)
+            same[lo:hi] += equal[place[1:]] - equal[np.minimum(place[:-1] + 1, place[1:])]
+    return words, same
 
 
 def metadata(column: pa.Array, langs: list, sources: list) -> np.ndarray:
     """One row of numbers per document; lang and source are hashed into N_HASHED columns."""
-    import zlib
-
     data, off = text_buffer(column)
     size = np.diff(off).astype(np.float64)
     out = np.zeros((len(size), N_PLAIN + N_HASHED))
-    for c, (_, values) in enumerate(_KINDS):
-        kind = np.zeros(256, np.uint8)
-        kind[values] = 1
-        for begin in range(0, len(data), 1 << 22):
-            end = min(begin + (1 << 22), len(data))
-            run = np.concatenate([[0], np.cumsum(kind[data[begin:end]])])
-            at = np.clip(off, begin, end) - begin
-            out[:, c] += run[at[1:]] - run[at[:-1]]
+    for i, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        kind = _KIND_OF[data[s:e]]
+        out[i, : len(_KINDS)] = [np.count_nonzero(kind == c) for c in range(1, len(_KINDS) + 1)]
     out[:, : len(_KINDS)] /= np.maximum(size, 1)[:, None]
     words, same = repeats(column)
     out[:, len(_KINDS)] = same / np.maximum(words, 1)
@@ -108,7 +120,7 @@ class QualityModel:
     rounds: list = field(default_factory=list)
 
     def scores(self, column: pa.Array, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
-        total, count = gram_sums(*text_buffer(column), SIZES, BITS, self.content.weights[:-1, None])
+        total, count = gram_sums(*text_buffer(column), SIZES, BITS, self.content.weights[:-1, None].astype(np.float32))
         words, same = repeats(column)
         content = total[:, 0] / np.maximum(count, 1) + self.content.weights[-1] * same / np.maximum(words, 1) + self.content.bias
         return content, self.page.score(metadata(column, langs, sources))
