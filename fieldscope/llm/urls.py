@@ -52,14 +52,17 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _grams(text: Column, mark: str, sizes, dim: int) -> Column:
-    chars, length = F.split(text, ""), F.length(text)
+def _let(value: Column, f) -> Column:
+    """f(value) with value worked out once, also where f uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
 
-    def of_size(n: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))), lambda i: i + n - 1 <= length)
+def _grams(text: Column, mark: str, sizes, dim: int) -> Column:
+    def of_size(chars: Column, n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size(chars))
         return F.transform(starts, lambda i: F.pmod(F.crc32(F.concat(F.lit(mark), *(F.get(chars, i + (j - 1)) for j in range(n)))), F.lit(dim)).cast("int"))
 
-    return F.concat(*map(of_size, sizes))
+    return _let(F.split(text, ""), lambda chars: F.concat(*(of_size(chars, n) for n in sizes)))
 
 
 def features(host: Column, path: Column, sizes=(3, 4), dim: int = 4096) -> Column:
@@ -80,9 +83,8 @@ class UrlModel:
     def probability(self, host: Column, path: Column) -> Column:
         """The probability that a url is to be blocked."""
         weights = F.from_json(F.lit(json.dumps(self.weights)), "array<double>")
-        grams = features(host, path, self.sizes, self.dim)
-        total = F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(weights, g))
-        margin = F.lit(self.bias) + total / F.sqrt(F.greatest(F.size(grams), F.lit(1)).cast("double"))
+        mean = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(weights, g)) / F.sqrt(F.greatest(F.size(grams), F.lit(1)).cast("double"))
+        margin = F.lit(self.bias) + _let(features(host, path, self.sizes, self.dim), mean)
         return 1 / (1 + F.exp(-margin))
 
 
