@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -154,14 +155,13 @@ def match_events(found: DataFrame, truth: DataFrame, tolerance: float = 0.1) ->
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         have, want = pdf[~pdf["true"]].sort_values(["score", "uid"], ascending=[False, True]), pdf[pdf["true"]].sort_values(["mid", "uid"])
-        free, out = want[["mid", "f0", "f1", "uid"]].to_numpy(), []
-        left = [True] * len(free)
+        mids, lo, hi, ids, left, out = want["mid"].tolist(), want["f0"].tolist(), want["f1"].tolist(), want["uid"].tolist(), [True] * len(want), []
         for rec, cls, uid, mid, f0, f1 in have[["rec", "cls", "uid", "mid", "f0", "f1"]].itertuples(index=False):
-            fit = [(abs(t[0] - mid), i) for i, t in enumerate(free) if left[i] and abs(t[0] - mid) <= tolerance and min(f1, t[2]) > max(f0, t[1])]
-            best = min(fit, default=None)
+            near = range(bisect_left(mids, mid - tolerance), bisect_right(mids, mid + tolerance))
+            best = min(((abs(mids[i] - mid), i) for i in near if left[i] and min(f1, hi[i]) > max(f0, lo[i])), default=None)
             if best:
                 left[best[1]] = False
-            out.append((rec, cls, uid, int(free[best[1]][3]) if best else None))
+            out.append((rec, cls, uid, int(ids[best[1]]) if best else None))
         return pd.DataFrame(out, columns=["rec", "cls", "uid", "truth_uid"]).astype({"truth_uid": "Int64"})
 
     kinds = {f.name: f.dataType.simpleString() for f in found.schema}

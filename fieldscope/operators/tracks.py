@@ -115,7 +115,11 @@ def harmonic_candidates(rows: DataFrame, tolerance: float, orders: tuple[int, ..
 
 
 def judge_harmonics(rows: DataFrame, candidates: DataFrame, bin_hz: float, least: int = 5, share: float = 0.7) -> DataFrame:
-    """lo, hi, h, n, offset, match of candidates that are harmonics: enough common frames, a small median offset, enough frames close by."""
+    """lo, hi, h, n, offset, match of candidates that are harmonics: enough common frames, a small median offset, enough frames close by.
+
+    The candidates' tolerance must be 0.3 bin_hz at least: a harmonic then has share * least of its frames among them, and the rest is not looked at.
+    """
+    candidates = candidates.where(F.col("n") >= math.ceil(share * least))
     once = one_per_frame(rows).select("ident", "k", "f")
     a = once.select(F.col("ident").alias("lo"), "k", F.col("f").alias("f_lo"))
     b = once.select(F.col("ident").alias("hi"), "k", F.col("f").alias("f_hi"))

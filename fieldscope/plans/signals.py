@@ -83,7 +83,7 @@ def peak_in_band(spark, sf_dir):
 
 @query(None)
 def band_filter(spark, sf_dir):
-    out = signals.band_filter(_blocks(spark, sf_dir, 24), RATE, 4.0, 20.0)
+    out = signals.band_filter(_blocks(spark, sf_dir, 32), RATE, 4.0, 20.0)
     return out.select(_rec(), "start_frame", F.posexplode("samples").alias("i", "value")).select("rec", (F.col("start_frame") + F.col("i")).alias("frame"), F.round("value", 9).alias("value"))
 
 

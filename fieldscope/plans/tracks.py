@@ -95,15 +95,15 @@ def harmonic_candidates(spark, sf_dir):
     return tracks.harmonic_candidates(ev_tracks(spark, sf_dir), 4.0).select("lo", "hi", "h", "n", F.round("offset", 6).alias("off"))
 
 
-_JUDGED = _HARM + """, j AS (SELECT c.lo, c.hi, c.h, count(*) AS n, quantile_cont(b.f - c.h * a.f, 0.5) AS off, avg(CASE WHEN abs(b.f - c.h * a.f) <= 0.3 * 100 * sqrt(1 + c.h * c.h) THEN 1.0 ELSE 0.0 END) AS match
-FROM c JOIN once a ON a.ident = c.lo JOIN once b ON b.ident = c.hi AND b.k = a.k GROUP BY c.lo, c.hi, c.h), g AS (SELECT * FROM j WHERE n >= 2 AND abs(off) <= 0.1 * 100 * sqrt(1 + h * h) AND match >= 0.5)"""
+_JUDGED = _HARM + """, j AS (SELECT c.lo, c.hi, c.h, count(*) AS n, quantile_cont(b.f - c.h * a.f, 0.5) AS off, avg(CASE WHEN abs(b.f - c.h * a.f) <= 0.3 * 12 * sqrt(1 + c.h * c.h) THEN 1.0 ELSE 0.0 END) AS match
+FROM (SELECT * FROM c WHERE n >= 2) c JOIN once a ON a.ident = c.lo JOIN once b ON b.ident = c.hi AND b.k = a.k GROUP BY c.lo, c.hi, c.h), g AS (SELECT * FROM j WHERE n >= 2 AND abs(off) <= 0.1 * 12 * sqrt(1 + h * h) AND match >= 0.7)"""
 
 
 @query("+" + _JUDGED + """, r AS (SELECT g.*, row_number() OVER (PARTITION BY hi ORDER BY CASE WHEN lo IN (SELECT hi FROM g) THEN 1 ELSE 0 END, -match * n, abs(off), lo, h) AS rn FROM g)
 SELECT lo, hi, h, n, round(off, 6) AS off, round(match, 6) AS match FROM r WHERE rn = 1""", "ev tracks")
 def find_harmonics(spark, sf_dir):
     rows = ev_tracks(spark, sf_dir)
-    judged = tracks.judge_harmonics(rows, tracks.harmonic_candidates(rows, 4.0), 100.0, 2, 0.5)
+    judged = tracks.judge_harmonics(rows, tracks.harmonic_candidates(rows, 4.0), 12.0, 2, 0.7)
     return tracks.best_per_harmonic(judged).select("lo", "hi", "h", "n", F.round("offset", 6).alias("off"), F.round("match", 6).alias("match"))
 
 
