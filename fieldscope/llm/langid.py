@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import table, text_buffer
+from fieldscope.llm.common import released, table, text_buffer
 from fieldscope.llm.hashing import fold_letters, gram_counts, gram_sums
 
 SIZES, BITS = (3, 4), 15
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             ok = known & (score >= (model.cut if model else 2.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text", lettered.alias("lettered")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select("doc_id", "text", lettered.alias("lettered")).mapInArrow(released(run), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

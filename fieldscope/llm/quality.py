@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import WHITE, row_blocks, table, text_buffer
+from fieldscope.llm.common import WHITE, bound_batches, released, row_blocks, table, text_buffer
 from fieldscope.llm.hashing import gram_counts, gram_sums
 
 SIZES, BITS = (3, 4), 14
@@ -149,7 +149,7 @@ def _features(docs: DataFrame) -> list[tuple]:
             )
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    got = docs.mapInArrow(run, f"{kinds}, at array<int>, share array<float>, same double, meta array<double>").toArrow()
+    got = docs.mapInArrow(released(run), f"{kinds}, at array<int>, share array<float>, same double, meta array<double>").toArrow()
     columns = {c: got.column(c).to_pylist() for c in (*rest, "same")} | {c: [x.values.to_numpy() for x in got.column(c)] for c in ("at", "share", "meta")}
     rows = [dict(zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True)]
     return sorted(rows, key=lambda r: (r["doc_id"], r["same"], len(r["at"])))
@@ -238,7 +238,7 @@ def scores(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content), pa.array(page), pa.array(model.combine(content, page))], names=["doc_id", "content", "page", "score"])
 
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return rows.mapInArrow(run, "doc_id long, content double, page double, score double")
+    return rows.mapInArrow(released(run), "doc_id long, content double, page double, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -256,6 +256,7 @@ def judge(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The rows of docs that judge keeps, with the columns of docs."""
+    bound_batches(docs.sparkSession)
     model = fit(docs, labels)
     if model is None:
         return docs
@@ -266,7 +267,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame
             content, page = model.scores(batch.column("text"), batch.column("lang").to_pylist(), batch.column("source").to_pylist())
             yield batch.filter(pa.array(model.combine(content, page) >= cut))
 
-    return docs.mapInArrow(run, docs.schema).select(*names)
+    return docs.mapInArrow(released(run), docs.schema).select(*names)
 
 
 def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

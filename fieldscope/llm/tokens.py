@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import shared_path, table
+from fieldscope.llm.common import bound_batches, released, shared_path, table
 
 SCHEMA = (
     "part int, segment int, n_ids long, block_ids int, plane string, blocks array<binary>, "
@@ -126,7 +126,7 @@ class WordEncoder:
     order. The cache is bounded by most_words; words beyond it are encoded each time.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -181,8 +181,9 @@ def write_tokens(
         if doc_ids:
             yield row()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, SCHEMA).write.parquet(path)
+    rows.mapInArrow(released(encode), SCHEMA).write.parquet(path)
     return docs.sparkSession.read.schema(SCHEMA).parquet(path)
 
 
@@ -201,7 +202,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                     pa.array([raw[4 * s : 4 * e] for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
                 ], names=["doc_id", "part", "segment", "position", "before", "ids"])
 
-    return segments.mapInArrow(decode, "doc_id long, part int, segment int, position int, before long, ids binary")
+    return segments.mapInArrow(released(decode), "doc_id long, part int, segment int, position int, before long, ids binary")
 
 
 def segment_bases(segments: DataFrame) -> DataFrame:
