@@ -11,9 +11,9 @@ from fieldscope.plans.registry import ev, ev_tracks, query
 _ONCE = "once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ident, k ORDER BY row) AS rn FROM trk WHERE ident IS NOT NULL) WHERE rn = 1)"
 
 
-@query("""SELECT ident, count(*) AS n, min(k) AS k_first, max(k) AS k_last, min(t) AS t_first, max(t) AS t_last, min(f) AS f_min, quantile_cont(f, 0.5) AS f_median, max(f) AS f_max FROM trk WHERE ident IS NOT NULL GROUP BY ident""", "ev tracks")
+@query("""SELECT ident, count(*) AS n, min(k) AS k_first, max(k) AS k_last, min(t) AS t_first, max(t) AS t_last, min(f) AS f_min, round(quantile_cont(f, 0.5), 6) AS f_median, max(f) AS f_max FROM trk WHERE ident IS NOT NULL GROUP BY ident""", "ev tracks")
 def track_stats(spark, sf_dir):
-    return tracks.track_stats(ev_tracks(spark, sf_dir))
+    return tracks.track_stats(ev_tracks(spark, sf_dir)).withColumn("f_median", F.round("f_median", 6))
 
 
 @query("+" + _ONCE + " SELECT row, ident, k, f, t FROM once", "ev tracks")
