@@ -107,16 +107,31 @@ def judged_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, kept lines, and the crc32 of the numbers of the kept ones."""
+    """Per document: lines, kept lines, and the digest of the kept ones' numbers, comma-joined."""
     docs = table(spark, sf_dir, "documents")
     out = judged_lines(docs).groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"),
-        F.crc32(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kept"), F.col("line_no")))).cast("array<string>"), ",")).alias("kept_crc32"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("kept"), F.col("line_no")))).cast("array<string>"), ",").alias("numbers"),
     )
     return docs.select(F.col("doc_id").alias("_id")).join(out, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select(
-        F.col("_id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), "kept_crc32"
+        F.col("_id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), F.sha2(F.coalesce("numbers", F.lit("")), 256).alias("kept_sha256")
     )
 
 
+OP9_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(generate_series(0, len(a) - 1)) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+n AS (SELECT doc_id, line_no, trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '\\s+', ' ', 'g')) AS norm FROM l),
+c AS (SELECT norm, doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) AS id
+  FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line_no) AS rn FROM n WHERE norm <> '') WHERE rn = 1),
+w AS (SELECT DISTINCT id, unnest(string_split(norm, ' ')) AS word FROM c),
+r AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY df, word) AS pos, count(*) OVER (PARTITION BY id) AS n FROM w JOIN (SELECT word, count(*) AS df FROM w GROUP BY word) USING (word)),
+p AS (SELECT * FROM r WHERE pos <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.word = b.word AND b.id < a.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+late AS (SELECT DISTINCT a FROM (SELECT a, b, na, nb, count(*) AS common FROM pairs JOIN w x ON x.id = a JOIN w y ON y.id = b AND y.word = x.word GROUP BY a, b, na, nb) WHERE common * 180 >= (na + nb) * 80),
+k AS (SELECT n.doc_id, n.line_no, n.norm = '' OR (c.doc_id = n.doc_id AND c.line_no = n.line_no AND c.id NOT IN (SELECT a FROM late)) AS kept FROM n LEFT JOIN c ON c.norm = n.norm),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (kept) AS n_kept, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (kept) AS numbers FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, sha256(coalesce(numbers, '')) AS kept_sha256 FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
 QUERIES = {"op9_line_dedup": op9_line_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_line_dedup": OP9_SQL}
