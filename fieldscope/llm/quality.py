@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import WHITE, bound_batches, released, row_blocks, table, text_buffer
+from fieldscope.llm.common import WHITE, bound_batches, released, row_blocks, table, text_buffer, trim
 from fieldscope.llm.hashing import gram_counts, gram_sums
 
-SIZES, BITS = (3, 4), 14
+SIZES, BITS = (3, 4), 13
 _KINDS = (
     ("upper", [*range(65, 91)]), ("digit", [*range(48, 58)]), ("space", [32, 9, 13]), ("line", [10]), ("stop", [33, 44, 46, 58, 59, 63]),
     ("symbol", [*range(35, 39), 42, 43, 60, 61, 62, 64, 92, 94, 95, 96, 123, 125, 126]), ("bar", [124]), ("wide", [*range(128, 256)]),
@@ -105,8 +105,8 @@ class View:
 
 
 def fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3 * np.abs(x).max(initial=1e-9) + 1e-9
-    w, b = logistic((x - mean) / spread, y, weight, rate=0.05)
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3 * np.abs(x).max(initial=1e-9) + 1e-9  # narrow types stay narrow
+    w, b = logistic(((x - mean) / spread).astype(np.float32), y, weight, rate=0.05)
     return View(w / spread, b - float(mean @ (w / spread)))
 
 
@@ -169,7 +169,7 @@ def _content_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
     some = np.sort(np.argsort(-spread, kind="stable")[:4096])
     if x.shape[1] - 1 not in some:
         some = np.append(some, x.shape[1] - 1)
-    view = fit_view(x[:, some].astype(np.float64), y, weight)
+    view = fit_view(x[:, some], y, weight)
     full = np.zeros(x.shape[1])
     full[some] = view.weights
     return View(full, view.bias)
@@ -226,6 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, rounds: int =
     check = test if test.any() else np.ones(len(y), bool)
     _calibrate(model.content, model.content.score(content[check]), y[check])
     _calibrate(model.page, model.page.score(page[check]), y[check])
+    del content, page, sets, rows
+    trim()
     return model
 
 
