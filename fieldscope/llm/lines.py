@@ -19,6 +19,10 @@ from fieldscope.llm.common import materialize, table
 from fieldscope.llm.urls import LOWER, UPPER
 
 
+#: Places of lines that a broadcast may hold; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), r"\s+", " "))
 
@@ -69,7 +73,9 @@ def similar_earlier(classes: DataFrame, num: int = 80, den: int = 100, bits: int
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), "line-pairs")
-        a, b = (classes.select(F.col("first").alias(f"first_{x}"), "norm").withColumnRenamed("norm", f"norm_{x}") for x in "ab")
+        wanted = materialize(pairs.select(F.explode(F.array("first_a", "first_b")).alias("first")).distinct(), "line-wanted")
+        texts = classes.select("first", "norm").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "first", "left_semi")
+        a, b = (texts.select(F.col("first").alias(f"first_{x}"), F.col("norm").alias(f"norm_{x}")) for x in "ab")
         both = pairs.join(a, "first_a").join(b, "first_b").select("first_a", _words(F.col("norm_a")).alias("a"), _words(F.col("norm_b")).alias("b"))
         common = F.size(F.array_intersect("a", "b"))
         return both.where(common * (den + num) >= (F.size("a") + F.size("b")) * num).select(F.col("first_a").alias("first"))
