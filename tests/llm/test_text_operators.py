@@ -283,5 +283,24 @@ def test_mixing(spark, docs, documents, empty):
     assert abs(share["src0"] - 0.6) < 0.03 and abs(share["src2"] - 0.1) < 0.02
 
 
+def test_mixing_keeps_values_without_a_target(spark):
+    columns = ["id as doc_id", "if(id % 10 = 3, if(id % 20 = 3, null, 'elsewhere'), 'src' || (id % 20)) as source"]
+    columns += ["case pmod(hash(id), 7) when 0 then null when 1 then 'it' when 2 then 'de' when 3 then 'fr' when 4 then 'es' else 'en' end as lang"]
+    rows = spark.range(8000).selectExpr(*columns, "'some words of prose' as text", "19L as n_chars")
+    out = mixing.mix(mixing.described(rows), mixing.TARGETS, keep=0.3).collect()
+    for other in ([r for r in out if r.lang is None], [r for r in out if r.lang == "it"], [r for r in out if r.source is None], [r for r in out if r.source == "elsewhere"]):
+        assert min(r.probability for r in other) > 0.1
+        assert abs(np.mean([r.kept for r in other]) - np.mean([r.probability for r in other])) < 0.08
+    assert abs(np.mean([r.probability for r in out if r.lang in (None, "it")]) - 0.3) < 0.01  # the share of the corpus
+    named = [r for r in out if r.lang not in (None, "it")]
+    assert abs(sum(r.probability for r in named if r.lang == "de") / sum(r.probability for r in named) - 0.18) < 0.01
+    kept = mixing.sample_documents(rows, keep=0.3).collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in out if r.kept}
+    scarce = rows.withColumn("text", mixing.F.expr("if(id % 9 = 0, 'some words of prose', repeat('some words of prose ', 300))".replace("id", "doc_id")))
+    out = mixing.mix(mixing.described(scarce), mixing.TARGETS).collect()  # short pages hold less than is wanted of them
+    assert min(r.probability for r in out if r.lang in (None, "it") or r.source in (None, "elsewhere")) >= 0.25 * 0.5 - 1e-9
+    assert mixing.shares_of({"a": 0.6, "b": 0.3}, np.array([1.0, 1.0, 8.0])).round(9).tolist() == [0.6, 0.3, 0.1]
+
+
 def test_digest_of_items():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
