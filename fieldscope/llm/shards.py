@@ -1,8 +1,9 @@
 """Resharding by minimum-cost flow.
 
 Rows lie in old shards and are to lie in new ones of given capacities. The unit that moves is a block: all rows
-of an old shard whose text falls in one hash bucket, so equal texts stay together. Block sizes are counted by
-Spark; a flow between shards (a few numbers each) says how many bytes leave which shard for which, blocks are
+of an old shard whose text falls in one hash bucket, so equal texts stay together. A block that is larger than a mean new
+shard is dealt in parts by a second hash of the text, and only a text that is itself larger than a shard is dealt by row.
+Block sizes are counted by Spark; a flow between shards (a few numbers each) says how many bytes leave which shard for which, blocks are
 chosen to fill that flow, and only the shards whose rows change are rewritten.
 """
 
@@ -81,10 +82,14 @@ def assign_blocks(blocks: list[tuple[int, tuple, int]], capacity: list[int]) ->
 
 @dataclass
 class ShardPlan:
-    """New shard of each (old shard, block, part of the block); moved_bytes and least_bytes (the flow's own bound)."""
+    """New shard of each (old shard, block, part of the block); moved_bytes and least_bytes (the flow's own bound).
+
+    split: parts of each oversized block that its small texts are dealt in. large: first part and parts of each large text (old shard, block, hash) there.
+    """
 
     moves: dict[tuple, int]
     split: dict[tuple, int]
+    large: dict[tuple, tuple[int, int]]
     blocks: int
     moved_bytes: int
     least_bytes: int
@@ -100,29 +105,48 @@ def _block(n: int) -> Column:
     return F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
 
 
-def _part(split: dict[tuple, int], old: str, block: str) -> Column:
-    """0, but for rows of a split block, which are dealt by their id. At most as many blocks are split as there are shards."""
+def _part(split: dict[tuple, int], large: dict[tuple, tuple[int, int]], old: str, block: str) -> Column:
+    """0, but in a split block: small texts are dealt by a second hash of the text, large ones have parts of their own, dealt by id.
+
+    At most as many blocks are split as there are shards, and eight times as many texts are large.
+    """
     part = F.lit(0)
     for (o, b), n in split.items():
-        part = F.when((F.col(old) == o) & (F.col(block) == b), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).otherwise(part)
+        inner = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(n)).cast("int")
+        for (at, in_block, text), (first, parts) in large.items():
+            if (at, in_block) == (o, b):
+                own = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int") + first if parts > 1 else F.lit(first)
+                inner = F.when(F.xxhash64("text") == text, own).otherwise(inner)
+        part = F.when((F.col(old) == o) & (F.col(block) == b), inner).otherwise(part)
     return part
 
 
 def plan_shards(rows: DataFrame, capacities: int | list[int], blocks: int = 1024) -> ShardPlan:
     """rows(doc_id, text, old_shard). Block sizes come to the driver: old shards times blocks, whatever the row count.
 
-    A block that is larger than a mean new shard (one text holds a large part of all rows) is split by row.
+    A block that is larger than a mean new shard is split by text: texts over an eighth of a mean shard are counted by Spark and move each for
+    itself, the others are dealt by a second hash. Only a text that is larger than the largest new shard is split by row.
     """
     rows = rows.select("doc_id", "text", "old_shard", text_size().alias("size"), _block(blocks).alias("block"))
     sizes = {(o, b): n for o, b, n in rows.groupBy("old_shard", "block").agg(F.sum("size")).collect()}
     total = sum(sizes.values())
     capacity = even_capacities(total, capacities) if isinstance(capacities, int) else list(capacities)
     mean = max(1, total // len(capacity))
-    split = {k: -(-8 * n // mean) for k, n in sizes.items() if n > mean}
+    split = {k: n for k, n in sizes.items() if n > mean}
+    large: dict[tuple, tuple[int, int]] = {}
     found = [(o, (b, 0), n) for (o, b), n in sizes.items() if (o, b) not in split]
     if split:
-        large = rows.withColumn("part", _part(split, "old_shard", "block")).where(" or ".join(f"(old_shard = {o} and block = {b})" for o, b in split))
-        found += [(o, (b, p), n) for o, b, p, n in large.groupBy("old_shard", "block", "part").agg(F.sum("size")).collect()]
+        within = rows.where(" or ".join(f"(old_shard = {o} and block = {b})" for o, b in split))
+        texts = within.groupBy("old_shard", "block", F.xxhash64("text").alias("hash")).agg(F.sum("size").alias("n")).where(F.col("n") > mean / 8)
+        big = sorted(tuple(r) for r in texts.collect())  # fewer than eight a shard
+        for k in split:
+            split[k] = max(1, -(-8 * (split[k] - sum(n for o, b, _, n in big if (o, b) == k)) // mean))
+        firsts = dict(split)
+        for o, b, text, n in big:
+            large[o, b, text] = (firsts[o, b], -(-8 * n // mean) if n > max(capacity) else 1)
+            firsts[o, b] += large[o, b, text][1]
+        parts = within.withColumn("part", _part(split, large, "old_shard", "block"))
+        found += [(o, (b, p), n) for o, b, p, n in parts.groupBy("old_shard", "block", "part").agg(F.sum("size")).collect()]
     moves = assign_blocks(found, capacity)
     loads, moved, changed = [0] * len(capacity), 0, set()
     supply = [0] * (1 + max((o for o, _, _ in found), default=-1))
@@ -134,7 +158,7 @@ def plan_shards(rows: DataFrame, capacities: int | list[int], blocks: int = 1024
             moved += size
             changed |= {old, new}
     least = sum(max(0, s - (capacity[i] if i < len(capacity) else 0)) for i, s in enumerate(supply))
-    return ShardPlan(moves, split, blocks, moved, least, loads, sorted(j for j in changed if j < len(capacity)))
+    return ShardPlan(moves, split, large, blocks, moved, least, loads, sorted(j for j in changed if j < len(capacity)))
 
 
 def reshard(rows: DataFrame, plan: ShardPlan, path: str, cell_bytes: int = 64 << 20) -> DataFrame:
@@ -151,7 +175,7 @@ def reshard(rows: DataFrame, plan: ShardPlan, path: str, cell_bytes: int = 64 <<
     moves = spark.createDataFrame([(*k, v) for k, v in plan.moves.items()], "old_shard int, _block int, _part int, shard int")
     placed = (
         rows.select(*names, "old_shard", _block(plan.blocks).alias("_block"))
-        .withColumn("_part", _part(plan.split, "old_shard", "_block"))
+        .withColumn("_part", _part(plan.split, plan.large, "old_shard", "_block"))
         .join(F.broadcast(moves), ["old_shard", "_block", "_part"])  # as many rows as blocks, a parameter
         .select(*names, "old_shard", "shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)).cast("int").alias("_cell"))
     )

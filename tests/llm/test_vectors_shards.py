@@ -105,6 +105,22 @@ def test_reshard(spark):
     assert shards.reshard(none, shards.plan_shards(none, 3), shared_path(spark, "s")).collect() == []
 
 
+def test_reshard_splits_only_texts_larger_than_a_shard(spark):
+    rows = [(i, "hot " * 30) for i in range(300)] + [(1000 + i, f"copies of text {i % 40}") for i in range(400)] + [(2000 + i, "half a shard " * 3) for i in range(120)]
+    old = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as old_shard")
+    for blocks in (1, 2):
+        plan = shards.plan_shards(old, 6, blocks=blocks)
+        out = shards.reshard(old, plan, shared_path(spark, "split")).collect()
+        assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+        places, loads = {}, Counter()
+        for r in out:
+            places.setdefault(r.text, set()).add(int(r.shard))
+            loads[int(r.shard)] += len(r.text) + 1
+        assert len(places.pop("hot " * 30)) > 1
+        assert all(len(p) == 1 for p in places.values())
+        assert [loads[j] for j in range(6)] == plan.shard_bytes and max(loads.values()) < 1.5 * sum(loads.values()) / 6
+
+
 def test_pipeline_stages(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     rng = np.random.default_rng(6)
