@@ -2,11 +2,13 @@
 
 Two views of a document are told apart: its content (hashed character n-grams, and how often a word repeats the one
 before) and its page metadata (language, source, length, lines, shares of kinds of characters). Each has a logistic
-regression. In every round both score all unlabelled documents, and each view's most certain ones, good and bad, join the
-other view's training set with the label it gave. At the end both views are calibrated on labelled documents held out, and
-their calibrated log-odds are combined for the score of every document.
+regression, calibrated on labelled documents held out. In every round both score all unlabelled documents, and all of which a
+view is sure, good and bad, join the other view's training set with the label it gave; copies of a text count as one text
+together. Spark sums their features exactly, in bags by the hash of the text, and the means of the bags are the rows that are
+trained on, so the driver gets a few rows however many texts there are. At the end the views' calibrated log-odds are
+combined for the score of every document.
 
-A fit reads at most ``per_class`` labelled documents of either class; rounds score the whole table.
+A fit reads at most ``per_class`` labelled documents of either class; rounds score and learn from the whole table.
 """
 
 from __future__ import annotations
@@ -19,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import WHITE, bound_batches, released, row_blocks, table, text_buffer, trim
-from fieldscope.llm.hashing import gram_counts, gram_sums
+from fieldscope.llm.common import WHITE, bound_batches, materialize, released, row_blocks, table, text_buffer, trim
+from fieldscope.llm.hashing import gram_counts, gram_sums, pieces
 
 SIZES, BITS = (3, 4), 13
+#: Sums of features are whole numbers of this unit, so they do not depend on partitions.
+UNIT, CHUNK = 2.0**-32, 1024
+#: As many counts of repeated texts are broadcast at most.
+MOST_BROADCAST = 1 << 21
 _KINDS = (
     ("upper", [*range(65, 91)]), ("digit", [*range(48, 58)]), ("space", [32, 9, 13]), ("line", [10]), ("stop", [33, 44, 46, 58, 59, 63]),
     ("symbol", [*range(35, 39), 42, 43, 60, 61, 62, 64, 92, 94, 95, 96, 123, 125, 126]), ("bar", [124]), ("wide", [*range(128, 256)]),
@@ -82,8 +88,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300
     w, b, seen, seen_b = np.zeros(x.shape[1]), 0.0, np.full(x.shape[1], 1e-8), 1e-8
     weight = weight / np.where(y > 0.5, max(1e-9, weight[y > 0.5].sum()), max(1e-9, weight[y <= 0.5].sum()))
     for _ in range(rounds):
-        error = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y)
-        grad, grad_b = x.T @ error + ridge * w, error.sum()
+        error = weight * (1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -40, 40))) - y)
+        grad, grad_b = x.T @ error.astype(x.dtype) + ridge * w, error.sum()
         seen += grad**2
         seen_b += grad_b**2
         w -= rate * grad / np.sqrt(seen)
@@ -105,8 +111,10 @@ class View:
 
 
 def fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3 * np.abs(x).max(initial=1e-9) + 1e-9  # narrow types stay narrow
-    w, b = logistic(((x - mean) / spread).astype(np.float32), y, weight, rate=0.05)
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3 * max(x.max(initial=1e-9), -x.min(initial=0)) + 1e-9  # narrow types stay narrow
+    z = (x - mean).astype(np.float32, copy=False)
+    z /= spread.astype(np.float32)
+    w, b = logistic(z, y, weight, rate=0.05)
     return View(w / spread, b - float(mean @ (w / spread)))
 
 
@@ -120,10 +128,20 @@ class QualityModel:
     rounds: list = field(default_factory=list)
 
     def scores(self, column: pa.Array, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
+        return self.views(column, langs, sources)[:2]
+
+    def views(self, column: pa.Array, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Raw scores of both views, and the features that are no n-grams: the share of repeated words, and the metadata."""
         total, count = gram_sums(*text_buffer(column), SIZES, BITS, self.content.weights[:-1, None].astype(np.float32))
         words, same = repeats(column)
-        content = total[:, 0] / np.maximum(count, 1) + self.content.weights[-1] * same / np.maximum(words, 1) + self.content.bias
-        return content, self.page.score(metadata(column, langs, sources))
+        repeated, meta = same / np.maximum(words, 1), metadata(column, langs, sources)
+        content = total[:, 0] / np.maximum(count, 1) + self.content.weights[-1] * repeated + self.content.bias
+        return content, self.page.score(meta), repeated, meta
+
+    def sure(self, view: View, score: np.ndarray, confidence: float) -> np.ndarray:
+        """1 and 0 where the view alone is sure of good and bad, -1 elsewhere."""
+        p = 1 / (1 + np.exp(-np.clip(view.slope * score + view.shift - self.prior, -40, 40)))
+        return np.where(p >= confidence, 1, np.where(p <= 1 - confidence, 0, -1))
 
     def combine(self, content: np.ndarray, page: np.ndarray) -> np.ndarray:
         """The probability of good: both calibrated log-odds, and the odds of the labels."""
@@ -163,16 +181,73 @@ def _matrices(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return content, np.array([r["meta"] for r in rows]).reshape(len(rows), N_PLAIN + N_HASHED)
 
 
-def _content_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
-    """Only the buckets that vary most are weighed, which keeps the fit small."""
-    spread = np.concatenate([x[:, at : at + 1024].std(axis=0) for at in range(0, x.shape[1], 1024)])
-    some = np.sort(np.argsort(-spread, kind="stable")[:4096])
-    if x.shape[1] - 1 not in some:
-        some = np.append(some, x.shape[1] - 1)
-    view = fit_view(x[:, some], y, weight)
-    full = np.zeros(x.shape[1])
-    full[some] = view.weights
-    return View(full, view.bias)
+def weighed(docs: DataFrame, bags: int) -> DataFrame:
+    """docs with weight and bag: all rows of one text have weight 1 together and are in one bag."""
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    repeated = materialize(rows.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1"), "repeated-texts")
+    if repeated.count() <= MOST_BROADCAST:
+        repeated = F.broadcast(repeated)
+    return rows.join(repeated, "_hash", "left").select(*docs.columns, (1.0 / F.coalesce("_n", F.lit(1))).alias("weight"), F.pmod("_hash", F.lit(bags)).cast("int").alias("bag"))
+
+
+def _bag_grams(data: np.ndarray, off: np.ndarray, place: np.ndarray, weight: np.ndarray, places: int) -> np.ndarray:
+    """Per place: the sum of weight times the shares of n-gram buckets, in units, of the rows with that place (none: -1)."""
+    size = np.diff(off)
+    each = np.rint(weight / np.maximum(sum(np.maximum(size - n + 1, 0) for n in SIZES), 1) / UNIT)
+    out = np.zeros(places << BITS)
+    for _, lo, first, last, code in pieces(data, off, SIZES, BITS):
+        hi = lo + len(first)
+        length = np.where(place[lo:hi] >= 0, last - first, 0)
+        if not length.any():
+            continue
+        within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        at = code[np.repeat(first, length) + within].astype(np.int64) + (np.repeat(place[lo:hi], length) << BITS)
+        out += np.bincount(at, weights=np.repeat(each[lo:hi], length), minlength=places << BITS)
+    return out.reshape(places, 1 << BITS).astype(np.int64)
+
+
+def lessons(rows: DataFrame, model: QualityModel, confidence: float, bags: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the view that learns: mean features, label and weight of texts of each bag of which the other view is sure.
+
+    rows(text, lang, source, weight, bag). Two labels times bags come to the driver for each view at most.
+    """
+    places = 2 * bags
+
+    def run(batches):
+        number = {v: np.zeros(places, np.int64) for v in ("content", "page")}
+        sums = {"content": np.zeros((places, (1 << BITS) + 1), np.int64), "page": np.zeros((places, N_PLAIN + N_HASHED), np.int64)}
+        for batch in batches:
+            column, weight, bag = batch.column("text"), batch.column("weight").to_numpy(), batch.column("bag").to_numpy()
+            content, page, repeated, meta = model.views(column, batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+            for view, label in (("content", model.sure(model.page, page, confidence)), ("page", model.sure(model.content, content, confidence))):
+                place = np.where(label >= 0, label * bags + bag, -1)
+                some = np.flatnonzero(place >= 0)
+                np.add.at(number[view], place[some], np.rint(weight[some] / UNIT).astype(np.int64))
+                if view == "page":
+                    np.add.at(sums[view], place[some], np.rint(meta[some] * weight[some, None] / UNIT).astype(np.int64))
+                else:
+                    sums[view][:, :-1] += _bag_grams(*text_buffer(column), place, weight, places)
+                    np.add.at(sums[view][:, -1], place[some], np.rint(repeated[some] * weight[some] / UNIT).astype(np.int64))
+        out = [(v, int(p), at, int(number[v][p]), sums[v][p, at : at + CHUNK]) for v in sums for p in np.flatnonzero(number[v]) for at in range(0, sums[v].shape[1], CHUNK)]
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["view", "place", "at", "n", "sums"])
+
+    def total(part):
+        return part.iloc[:1].assign(n=part["n"].sum(), sums=[np.sum(np.stack(part["sums"].to_list()), axis=0)])
+
+    kinds = "view string, place int, at int, n long, sums array<long>"
+    parts = rows.select("text", "lang", "source", "weight", "bag").mapInArrow(released(run), kinds)
+    found: dict[tuple, tuple] = {}
+    for r in sorted(parts.groupBy("view", "place", "at").applyInPandas(total, kinds).collect(), key=lambda r: (r["view"], r["place"], r["at"])):
+        found.setdefault((r["view"], r["place"]), (r["n"], []))[1].extend(r["sums"])
+    out = {}
+    for view in ("content", "page"):
+        mine = [(p, n, values) for (v, p), (n, values) in found.items() if v == view]
+        if mine:
+            x = np.array([np.array(values, np.float64) / n for _, n, values in mine])
+            out[view] = (x, np.array([float(p >= bags) for p, _, _ in mine]), np.array([n * UNIT for _, n, _ in mine]))
+    return out
 
 
 def _calibrate(view: View, score: np.ndarray, y: np.ndarray) -> None:
@@ -181,10 +256,11 @@ def _calibrate(view: View, score: np.ndarray, y: np.ndarray) -> None:
     view.slope, view.shift = float(max(w[0], 0.0) / spread), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, rounds: int = 2, certain: int = 100) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, rounds: int = 2, confidence: float = 0.9, bags: int = 16) -> QualityModel | None:
     """docs(doc_id, text, lang, source), labels(doc_id, quality 0 or 1). None without a label of both classes.
 
-    Rows of labels with a null in either column are left out; of several labels of a doc_id the lowest counts.
+    Rows of labels with a null in either column are left out; of several labels of a doc_id the lowest counts. In a round all texts of which a
+    view is sure by confidence weigh half as much as the labelled ones of that class.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     order = F.xxhash64(F.lit(5), "doc_id")
@@ -202,30 +278,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, rounds: int =
     if len({*y[test]}) < 2 or len({*y[~test]}) < 2:
         test = np.zeros(len(y), bool)
     sets = {"content": (content[~test], y[~test], np.ones((~test).sum())), "page": (page[~test], y[~test], np.ones((~test).sum()))}
-    model = QualityModel(_content_view(*sets["content"]), fit_view(*sets["page"]), prior)
-    free, taken = columns.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"), sample.select("doc_id")
-    for turn in range(rounds):
-        scored = scores(free, model).where("doc_id is not null")
-        picks: dict[str, list] = {}
-        for view in ("content", "page"):
-            for label, way in ((1, F.col(view).desc()), (0, F.col(view).asc())):
-                picks.setdefault(view, []).extend((r[0], label) for r in scored.select("doc_id", view).orderBy(way, F.xxhash64("doc_id")).limit(certain).collect())
-        chosen = docs.sparkSession.createDataFrame([(d, v, lab) for v, rows_of in picks.items() for d, lab in dict(rows_of).items()], "doc_id long, view string, pseudo int")
-        got = _features(columns.join(F.broadcast(chosen), "doc_id"))  # four times certain rows at most
-        if not got:
-            break
-        more_content, more_page = _matrices(got)
-        told = np.array([r["pseudo"] for r in got], dtype=np.float64)
-        by = np.array([r["view"] for r in got])
-        for name, more, other in (("content", more_content, by == "page"), ("page", more_page, by == "content")):
-            x, t, w = sets[name]
-            sets[name] = (np.concatenate([x, more[other]]), np.concatenate([t, told[other]]), np.concatenate([w, np.full(other.sum(), 0.5)]))
-        model = QualityModel(_content_view(*sets["content"]), fit_view(*sets["page"]), prior, [*model.rounds, len(got)])
-        taken = taken.union(chosen.select("doc_id"))
-        free = columns.join(F.broadcast(taken.distinct()), "doc_id", "left_anti")
     check = test if test.any() else np.ones(len(y), bool)
-    _calibrate(model.content, model.content.score(content[check]), y[check])
-    _calibrate(model.page, model.page.score(page[check]), y[check])
+
+    def fitted(told: list) -> QualityModel:
+        model = QualityModel(fit_view(*sets["content"]), fit_view(*sets["page"]), prior, told)
+        _calibrate(model.content, model.content.score(content[check]), y[check])
+        _calibrate(model.page, model.page.score(page[check]), y[check])
+        return model
+
+    known_sets, model = dict(sets), fitted([])
+    free = weighed(columns.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"), bags)
+    for _ in range(rounds):
+        more = lessons(free, model, confidence, bags)
+        if not more:
+            break
+        for name, (mean, label, n) in more.items():
+            x, t, w = known_sets[name]
+            own = np.where(label > 0.5, n * (t > 0.5).sum() / max(n[label > 0.5].sum(), UNIT), n * (t <= 0.5).sum() / max(n[label <= 0.5].sum(), UNIT))
+            sets[name] = (np.concatenate([x, mean.astype(x.dtype)]), np.concatenate([t, label]), np.concatenate([w, 0.5 * own]))
+        model = fitted([*model.rounds, sum(float(n.sum()) for _, _, n in more.values())])
+    del known_sets
     del content, page, sets, rows
     trim()
     return model

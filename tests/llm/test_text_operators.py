@@ -247,6 +247,34 @@ def test_quality(spark, docs, empty):
     assert quality.judge(docs.drop("n_chars"), labels).count() == docs.count()
 
 
+def test_quality_learns_from_all_sure_texts(spark):
+    rng = np.random.default_rng(9)
+    made = [prose(rng, 30) for _ in range(700)]
+    rows = [(i, t if i % 2 else t.upper() + "!!", "en", f"src{i % 2}") for i, t in enumerate(made)]
+    rows += [(1000 + i, "SPAM " * 30, "en", "src0") for i in range(300)]  # copies at an end of the scale
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame, labels)
+    distinct = len({t for _, t, *_ in rows[80:]})
+    assert model.rounds[-1] > 1.8 * distinct  # both views are sure of nearly all; copies count once
+    assert model.rounds[-1] <= 2 * distinct + 0.01
+    again = quality.fit(frame.repartition(7), labels)
+    assert (again.content.weights == model.content.weights).all() and (again.page.weights == model.page.weights).all()
+    assert np.count_nonzero(model.content.weights) > 0
+    held = quality.weighed(frame, 4).groupBy("text").agg(quality.F.sum("weight").alias("w"), quality.F.count_distinct("bag").alias("b")).collect()
+    assert all(abs(r.w - 1) < 1e-9 and r.b == 1 for r in held)
+    mine = frame.limit(50).selectExpr("text", "lang", "source", "1.0D as weight", "0 as bag")
+    x, label, n = quality.lessons(mine, model, 0.9, 1)["content"]
+    want = np.zeros((2, (1 << quality.BITS) + 1))
+    for r in mine.collect():
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        at, count = quality.gram_counts(data, quality.SIZES, quality.BITS)
+        sure = model.sure(model.page, model.scores(quality.pa.array([r.text]), [r.lang], [r.source])[1], 0.9)[0]
+        if sure >= 0:
+            want[sure, at] += count / count.sum()
+    assert len(label) and all(np.allclose(x[i, :-1] * n[i], want[int(lab), :-1], atol=1e-6) for i, lab in enumerate(label))
+
+
 def test_raking_meets_the_marginals():
     rng = np.random.default_rng(0)
     cells = rng.integers(50, 500, (4, 3, 2)).astype(float)
