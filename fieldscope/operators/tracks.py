@@ -114,9 +114,14 @@ def harmonic_candidates(rows: DataFrame, tolerance: float, orders: tuple[int, ..
     return pairs.groupBy("lo", "hi", "h").agg(F.count("*").alias("n"), F.percentile("_off", 0.5).alias("offset"))
 
 
-def judge_harmonics(rows: DataFrame, candidates: DataFrame, bin_hz: float, least: int = 5, share: float = 0.7) -> DataFrame:
-    """lo, hi, h, n, offset, match of candidates that are harmonics: enough common frames, a small median offset, enough frames close by.
-
+def judge_harmonics(
+    rows: DataFrame, candidates: DataFrame, bin_hz: float, least: int = 5, share: float = 0.7, *, frame_s: float | None, min_overlap: float = 10.0, timescale: float = 30.0, least_corr: float = 0.5
+) -> DataFrame:
+    """lo, hi, h, n, offset, match, corr of candidates that are harmonics: enough common frames, a small median offset, enough frames close by.
+
+    Where the common frames, of frame_s seconds each, are min_overlap seconds or more, both must also vary alike: corr is the correlation of
+    h f_lo and f_hi, each less its running median over timescale, and least_corr at least (flat tracks have none and fail). It is null for a
+    short overlap, and for all where frame_s is None, which leaves the test out.
     The candidates' tolerance must be 0.3 bin_hz at least: a harmonic then has share * least of its frames among them, and the rest is not looked at.
     """
     candidates = candidates.where(F.col("n") >= math.ceil(share * least))
@@ -126,7 +131,17 @@ def judge_harmonics(rows: DataFrame, candidates: DataFrame, bin_hz: float, least
     both = candidates.select("lo", "hi", "h").join(a, "lo").join(b, ["hi", "k"]).withColumn("_off", F.col("f_hi") - F.col("h") * F.col("f_lo"))
     tol = bin_hz * F.sqrt(1 + F.col("h") * F.col("h"))
     out = both.groupBy("lo", "hi", "h").agg(F.count("*").alias("n"), F.percentile("_off", 0.5).alias("offset"), F.avg(F.when(F.abs("_off") <= 0.3 * tol, 1.0).otherwise(0.0)).alias("match"))
-    return out.where((F.col("n") >= least) & (F.abs("offset") <= 0.1 * tol) & (F.col("match") >= share))
+    out = out.where((F.col("n") >= least) & (F.abs("offset") <= 0.1 * tol) & (F.col("match") >= share))
+    if frame_s is None:
+        return out.withColumn("corr", F.lit(None).cast("double"))
+    long = out.where(F.col("n") * frame_s >= min_overlap).select("lo", "hi", "h")
+    half = round(timescale / frame_s) // 2
+    w = Window.partitionBy("lo", "hi", "h").orderBy("k").rangeBetween(-half, half)
+    high = [(value - F.percentile(value, F.lit(0.5)).over(w)).alias(name) for name, value in (("_x", F.col("h") * F.col("f_lo")), ("_y", F.col("f_hi")))]
+    moves = both.join(long, ["lo", "hi", "h"], "left_semi").select("lo", "hi", "h", *high)
+    alike = moves.groupBy("lo", "hi", "h").agg(F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("corr"))
+    fits = ~F.isnan("corr") & (F.col("corr") >= least_corr)  # null fails too
+    return out.join(alike, ["lo", "hi", "h"], "left").where((F.col("n") * frame_s < min_overlap) | fits)
 
 
 def best_per_harmonic(judged: DataFrame) -> DataFrame:

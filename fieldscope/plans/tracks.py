@@ -103,7 +103,7 @@ FROM (SELECT * FROM c WHERE n >= 2) c JOIN once a ON a.ident = c.lo JOIN once b
 SELECT lo, hi, h, n, round(off, 6) AS off, round(match, 6) AS match FROM r WHERE rn = 1""", "ev tracks")
 def find_harmonics(spark, sf_dir):
     rows = ev_tracks(spark, sf_dir)
-    judged = tracks.judge_harmonics(rows, tracks.harmonic_candidates(rows, 4.0), 12.0, 2, 0.7)
+    judged = tracks.judge_harmonics(rows, tracks.harmonic_candidates(rows, 4.0), 12.0, 2, 0.7, frame_s=None)  # the SQL has no test of co-modulation
     return tracks.best_per_harmonic(judged).select("lo", "hi", "h", "n", F.round("offset", 6).alias("off"), F.round("match", 6).alias("match"))
 
 

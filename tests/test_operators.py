@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldscope.functions import kernels, scalars
-from fieldscope.operators import boxes, joins, signals
+from fieldscope.operators import boxes, joins, signals, tracks
 
 
 def random_boxes(rng, n):
@@ -157,3 +157,23 @@ def test_scalars(spark):
     levels = spark.createDataFrame([(1.0,), (0.0,), (1e-20,), (float("nan"),), (None,)], "p double").select(scalars.decibel(F.col("p")).alias("v")).collect()
     assert levels[0].v == 0 and levels[1].v == levels[2].v == -math.inf and math.isnan(levels[3].v) and levels[4].v is None
     assert scalars.channel_list("0,2-5, 9") == [0, 2, 3, 4, 5, 9]
+
+
+def test_harmonics_of_long_overlaps_vary_alike(spark):
+    rng = np.random.default_rng(8)
+    frames = np.arange(200)
+    base = 300 + rng.normal(0, 0.2, 200) + frames * 0.0005
+    made = {1: base, 2: 2 * base + rng.normal(0, 0.02, 200), 3: 3 * (300 + frames * 0.0005) + rng.normal(0, 0.2, 200), 4: np.full(200, 1000.0), 5: np.full(200, 2000.0)}
+    made[6], made[7] = 2000 + rng.normal(0, 0.2, 30), 4000 + rng.normal(0, 0.2, 30)  # short: judged by the offset alone
+    rows = [(i * 1000 + k, i, int(k), float(v), k * 0.25) for i, f in made.items() for k, v in enumerate(f) if not (i == 2 and k % 9 == 4)]
+    frame = spark.createDataFrame(rows, "row long, ident long, k long, f double, t double")
+    found = tracks.harmonic_candidates(frame, 4.0)
+    near = {(r.lo, r.hi, r.h) for r in tracks.judge_harmonics(frame, found, 12.0, frame_s=None).collect()}
+    got = {(r.lo, r.hi, r.h): r for r in tracks.judge_harmonics(frame, found, 12.0, frame_s=0.25).collect()}
+    assert {(1, 2, 2), (1, 3, 3), (4, 5, 2), (6, 7, 2)} <= near  # frequencies lie close
+    assert set(got) & {(1, 2, 2), (1, 3, 3), (4, 5, 2), (6, 7, 2)} == {(1, 2, 2), (6, 7, 2)}
+    assert got[6, 7, 2].corr is None
+    f = {(i, k): v for _, i, k, v, _ in rows}
+    common = [k for k in range(200) if (2, k) in f]
+    high = [[h * f[i, k] - np.median([h * f[i, j] for j in common if abs(j - k) <= 60]) for k in common] for i, h in ((1, 2), (2, 1))]
+    assert abs(got[1, 2, 2].corr - np.corrcoef(*high)[0, 1]) < 1e-9
