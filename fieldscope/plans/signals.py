@@ -96,7 +96,7 @@ def click_repair(spark, sf_dir):
 @query(None)
 def ridges(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    strokes = cells.where("channel = 0 and bin = 0").select(F.col("recording_id").cast("long").alias("stroke"), "recording_id", "channel", "col", (F.col("col") * (HOP / RATE)).alias("t"), F.lit(6.0).alias("lo"), F.lit(26.0).alias("hi"))
+    strokes = cells.where("bin = 0").select(_rec().alias("stroke"), "recording_id", "channel", "col", (F.col("col") * (HOP / RATE)).alias("t"), F.lit(6.0).alias("lo"), F.lit(26.0).alias("hi"))
     return signals.find_ridges(cells, strokes, max_slope=200.0)
 
 

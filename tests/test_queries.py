@@ -36,3 +36,9 @@ def test_query(spark, con, tmp_path, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ridges_follow_every_embedding(spark):
+    want = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").distinct()
+    got = OWN["ridges"](spark, SF).select("stroke").distinct()
+    assert want.exceptAll(got).count() == 0 and want.count() == got.count()
