@@ -9,8 +9,13 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+UPPER, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Anything outside these ranges may have a case beside A-Z.
+_MAYBE_CASED = r"[^\x00-\x7F\u00A0-\u00BF\u00DF-\u00F6\u00F8-\u00FF\u2010-\u2044\u3040-\u30FF\u4E00-\u9FFF]"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORK_BYTES = 1 << 19
 #: Rows of an Arrow batch: texts are long, and a batch is held several times on its way to Python and back.
 BATCH_ROWS = 1000
@@ -60,14 +65,24 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df in the shared folder and returns the written table: lineage ends there."""
+    """Writes df in the shared folder and returns the written table: lineage ends there, and the shuffles that led to it are deleted."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
+    path, before = shared_path(spark, tag), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lower_az(text: Column) -> Column:
+    """A-Z lower-cased, all else as it is. Where lower changes nothing but A-Z it is used, as translate goes letter by letter."""
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(_MAYBE_CASED)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER_AZ))
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64 values."""
     with np.errstate(over="ignore"):

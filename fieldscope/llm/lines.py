@@ -1,30 +1,38 @@
 """Near-duplicate lines: an exact set-similarity join in DataFrame functions only.
 
 Lines that are equal after lower-casing and squeezing white space are one class, named by its first place (document,
-line number). The distinct words of a class are its tokens, in one global order from rare to frequent: counts of all
-classes' words, added up in 2**bits hash buckets, which stay small whatever the vocabulary. Two classes with Jaccard >=
-num / den share a token among the first n - ceil(num n / den) + 1 of each, so those prefixes are joined, candidates are cut
-by length and by the places of the shared token, and the rest is verified on the words. A line goes if an equal or
-similar line stands earlier.
+line number). The distinct words of a class are its tokens, in one global order from rare to frequent: words of all lines are
+counted in 2**bits hash buckets, which stay small whatever the vocabulary. Two classes with Jaccard >= num / den share a
+token among the first n - ceil(num n / den) + 1 of each, so those prefixes are joined on tokens. Inside that join a pair is cut
+
+- by length and position: what follows the first shared token on either side must hold the overlap needed,
+- by its prefixes: 128 bits of each prefix bound how many tokens the two can share in them, and so the whole overlap;
+
+neither ever cuts a similar pair. What is left is verified on the words. A line goes if an equal or similar line stands earlier.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import materialize, table
-from fieldscope.llm.urls import LOWER, UPPER
+from fieldscope.llm.common import LOWER_AZ, UPPER, lower_az, materialize, table
 
-
-#: Places of lines that a broadcast may hold; more of them are joined by a shuffle.
+#: Numbers of classes that a broadcast may hold (one long each); more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Classes with one token in their prefix from which they are first compared with the earliest of them.
+CROWD = 64
+#: Ranks of words: steps of a factor 2**(1/4) in their counts.
+STEPS, MOST_RANK, ROW_BITS = 4, 127, 10
+_ODD_SPACE = ("  ", "\t", "\r", "\x0b", "\f", "\n")
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), r"\s+", " "))
+    """A-Z lower-cased, runs of white space as one space, none at the ends."""
+    odd = F.lit(False)
+    for space in _ODD_SPACE:
+        odd = odd | F.contains(line, F.lit(space))
+    return F.trim(F.when(odd, F.regexp_replace(lower_az(line), r"\s+", " ")).otherwise(lower_az(line)))
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
@@ -32,101 +40,134 @@ def all_lines(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """key1, key2 (128 bits of the normalised line), doc, line (the first place) and norm of each class of lines that aren't blank."""
-    lines = all_lines(docs).select("doc_id", "line_no", normal(F.col("line")).alias("norm")).where("norm <> ''")
-    keys = {"key1": F.xxhash64("norm"), "key2": F.xxhash64(F.lit(1), "norm")}
-    classes = lines.withColumns(keys).groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("norm").alias("norm"))
-    return classes.select("key1", "key2", "first", "norm")
-
-
-def _words(norm: Column) -> Column:
-    return F.array_distinct(F.split(norm, " "))
-
-
-def word_counts(classes: DataFrame, bits: int) -> list[int]:
-    """How many words of all classes fall in each of 2**bits hash buckets."""
-    words = classes.select(F.explode(_words(F.col("norm"))).alias("word"))
-    counts = [0] * (1 << bits)
-    for bucket, n in words.groupBy(F.pmod(F.xxhash64("word"), F.lit(1 << bits)).cast("int").alias("b")).count().collect():
-        counts[bucket] = n
-    return counts
-
-
-def _tokens(words: Column, counts: list[int], bits: int) -> Column:
-    """One number a word, sorted from rare to frequent: the count of the word's bucket, then 40 bits of its hash."""
-    known = F.from_json(F.lit(json.dumps(counts)), "array<int>")
-    rank = lambda w: F.least(F.get(known, F.pmod(F.xxhash64(w), F.lit(1 << bits)).cast("int")), F.lit((1 << 22) - 1)).cast("long")
-    return F.array_sort(F.transform(words, lambda w: F.shiftleft(rank(w), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24))))
-
-
-def similar_earlier(classes: DataFrame, num: int = 80, den: int = 100, bits: int = 18) -> DataFrame:
-    """first of the classes (as line_classes gives them, written) that have a similar class earlier."""
-    tokens = _tokens(_words(F.col("norm")), word_counts(classes, bits), bits)
-    sets = classes.select("first", tokens.alias("tokens")).withColumn("n", F.size("tokens"))
-    prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).cast("int"))
-    sets = materialize(sets.select("first", "n", prefix.alias("prefix")), "line-prefixes")
-    token = Window.partitionBy("token")
-    posted = sets.select("first", "n", F.posexplode("prefix").alias("place", "token"))
-    posted = posted.withColumns({"seen": F.count("*").over(token), "earliest": F.min("first").over(token)}).where("seen > 1").drop("seen")
-    posted = materialize(posted, "line-matrix")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct(), "line-pairs")
-        wanted = materialize(pairs.select(F.explode(F.array("first_a", "first_b")).alias("first")).distinct(), "line-wanted")
-        texts = classes.select("first", "norm").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "first", "left_semi")
-        a, b = (texts.select(F.col("first").alias(f"first_{x}"), F.col("norm").alias(f"norm_{x}")) for x in "ab")
-        both = pairs.join(a, "first_a").join(b, "first_b").select("first_a", _words(F.col("norm_a")).alias("a"), _words(F.col("norm_b")).alias("b"))
-        common = F.size(F.array_intersect("a", "b"))
-        return both.where(common * (den + num) >= (F.size("a") + F.size("b")) * num).select(F.col("first_a").alias("first"))
-
-    # the earliest class of each token first: most copies end there. A first guess only, what it leaves out is met again below
-    guess = posted.where("first > earliest").groupBy(F.col("first").alias("first_a"), F.col("earliest").alias("first_b")).agg(F.count("*").alias("common"), F.max("n").alias("n"))
-    guess = guess.where(F.col("common") * den * 4 >= F.col("n") * (den - num))
-    found = materialize(verified(guess.select("first_a", "first_b")).distinct(), "line-matches")
-
-    one, two = posted.select(*(F.col(c).alias(f"{c}_a") for c in posted.columns)), posted.select(*(F.col(c).alias(f"{c}_b") for c in ("token", "first", "n", "place")))
-    left = one.where("first_a > earliest_a").join(found.select(F.col("first").alias("first_a")), "first_a", "left_anti")
-    sized = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    met = left.join(two, (F.col("token_a") == F.col("token_b")) & (F.col("first_b") < F.col("first_a")) & sized)
-    met = met.groupBy("first_a", "first_b", "n_a", "n_b").agg(F.count("*").alias("common"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b"))
-    # all shared tokens up to the last shared one are counted; what can follow it is bounded by both remainders
-    most = F.col("common") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
-    rest = met.where(most >= F.ceil((F.col("n_a") + F.col("n_b")) * num / F.lit(den + num)))
-    return found.union(verified(rest.select("first_a", "first_b"))).distinct()
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, norm and key1, key2 (128 bits of norm) of every line, and line."""
+    lines = all_lines(docs).withColumn("norm", normal(F.col("line")))
+    return lines.withColumns({"key1": F.xxhash64("norm"), "key2": F.xxhash64(F.lit(1), "norm")})
+
+
+def word_ranks(docs: DataFrame, bits: int) -> bytes:
+    """For each of 2**bits hash buckets of words: 1 to MOST_RANK, rising with the number of words of all lines in it."""
+    words = all_lines(docs).select(F.explode(F.split(normal(F.col("line")), " ")).alias("word"))
+    bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("bucket")
+    rank = F.least(F.lit(MOST_RANK), 1 + F.floor(STEPS * F.log2("count"))).cast("int")
+    low = F.col("bucket").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    rows = words.groupBy(bucket).count().groupBy(F.shiftright("bucket", ROW_BITS).alias("row")).agg(F.collect_list(low * 128 + rank).alias("cells"))
+    ranks = bytearray(b"\x01" * (1 << bits))
+    for row, cells in rows.collect():  # a byte a bucket
+        for cell in cells:
+            ranks[(row << ROW_BITS) + (cell >> 7)] = cell & 127
+    return bytes(ranks)
+
+
+def _tokens(words: Column, ranks: bytes, bits: int) -> Column:
+    """One number a distinct word, sorted from rare to frequent: the rank of the word's bucket, then 56 bits of its hash."""
+    known = F.lit(ranks)
+    rank = lambda h: F.ascii(F.substring(known, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(rank(h), F.lit(1)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+
+
+def _marks(prefix: Column, half: int) -> Column:
+    """One half of a prefix's 128 bits: a bit for each token that falls there."""
+    bit = lambda t: F.when(t.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(prefix, F.lit(0).cast("long"), lambda seen, t: seen.bitwiseOR(bit(t)))
+
+
+def line_classes(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
+    """id, doc, line (the first place), key1, key2, n, rest, prefix, bits0, bits1 of each class of lines that aren't blank; written.
+
+    id rises with the first place; prefix holds all tokens but the last rest.
+    """
+    lines = _keyed(docs).where("norm <> ''").select("doc_id", "line_no", "key1", "key2", _tokens(F.split("norm", " "), word_ranks(docs, bits), bits).alias("tokens"))
+    lines = lines.withColumn("n", F.size("tokens")).withColumn("rest", (F.ceil(F.col("n") * num / F.lit(den)) - 1).cast("int"))
+    lines = lines.select("doc_id", "line_no", "key1", "key2", "n", "rest", F.slice("tokens", F.lit(1), F.col("n") - F.col("rest")).alias("prefix"))
+    classes = lines.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "line_no", "n", "rest", "prefix")).alias("first"))
+    classes = classes.select(F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"), "key1", "key2", "first.n", "first.rest", "first.prefix")
+    classes = classes.sort("doc", "line", "key1", "key2").select(F.monotonically_increasing_id().alias("id"), "*")
+    return materialize(classes.withColumns({f"bits{half}": _marks(F.col("prefix"), half) for half in (0, 1)}), "line-classes")
+
+
+def _may_be_similar(num: int, den: int) -> Column:
+    """Whether classes a and b that share the tokens at place_a and place_b can have Jaccard num / den, as far as places and prefixes tell.
+
+    If that token is the first they share, all others they share follow it. Of the two prefixes one ends first: what they share up to there is in
+    both, and what they share after it is in the rest of that one.
+    """
+    a, b = ({c: F.col(f"{c}_{x}") for c in ("n", "place", "rest", "bits0", "bits1")} for x in "ab")
+    needed = num * (a["n"] + b["n"])
+    follow = (num + den) * F.least(a["n"] - a["place"], b["n"] - b["place"]) >= needed
+    differ = sum(F.bit_count(a[c].bitwiseXOR(b[c])) for c in ("bits0", "bits1"))
+    prefixes = a["n"] - a["rest"] + b["n"] - b["rest"] - differ + 2 * F.greatest(a["rest"], b["rest"])
+    return follow & ((num + den) * prefixes >= 2 * needed)
+
+
+def _side(rows: DataFrame, mark: str) -> DataFrame:
+    return rows.select("token", *(F.col(c).alias(f"{c}_{mark}") for c in rows.columns if c != "token"))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct id_a of pairs(id_a, id_b) whose words have Jaccard num / den; written."""
+    pairs = materialize(pairs.distinct(), "line-pairs")
+    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    wanted = materialize(classes.select("id", "doc", "line", "key1", "key2").join(ids, "id", "left_semi"), "line-wanted")
+    names = wanted.select(F.col("doc").alias("doc_id")).distinct()
+    small = wanted.count() <= BROADCAST_ROWS
+    near = docs.select("doc_id", "text").join(F.broadcast(names) if small else names, docs["doc_id"].eqNullSafe(names["doc_id"]), "left_semi")
+    there = _keyed(near)
+    same = there["doc_id"].eqNullSafe(wanted["doc"]) & (there["line_no"] == wanted["line"]) & (there["key1"] == wanted["key1"]) & (there["key2"] == wanted["key2"])
+    words = there.join(F.broadcast(wanted) if small else wanted, same).select("id", F.array_distinct(F.split("norm", " ")).alias("words")).dropDuplicates(["id"])
+    a, b = (words.select(F.col("id").alias(f"id_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    alike = common * (den + num) >= (F.size("words_a") + F.size("words_b")) * num
+    return materialize(pairs.join(a, "id_a").join(b, "id_b").where(alike).select(F.col("id_a").alias("id")).distinct(), "line-late")
+
+
+def similar_earlier(classes: DataFrame, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """id of the classes (as line_classes gives them) that have a similar class earlier."""
+    postings = classes.select("id", "n", "rest", "bits0", "bits1", F.posexplode("prefix").alias("place", "token"))
+
+    # where many classes have one token, most copies of a crowd end at its earliest class; what this leaves out is met again below
+    maybe = postings.where(F.shiftrightunsigned("token", 56) >= 1 + STEPS * (CROWD.bit_length() - 1))  # no rarer token has as many classes
+    crowds = materialize(maybe.groupBy("token").agg(F.count("*").alias("seen"), F.min("id").alias("id")).where(F.col("seen") > CROWD).drop("seen"), "line-crowds")
+    heads = _side(materialize(maybe.join(crowds, ["token", "id"], "left_semi"), "line-heads"), "b")
+    found = _verified(_side(maybe, "a").join(heads, "token").where((F.col("id_b") < F.col("id_a")) & _may_be_similar(num, den)).select("id_a", "id_b"), classes, docs, num, den)
+
+    open_ = postings.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "id", "left_anti")
+    pairs = _side(open_, "a").join(_side(postings, "b"), "token").where((F.col("id_b") < F.col("id_a")) & _may_be_similar(num, den))
+    return found.union(_verified(pairs.select("id_a", "id_b"), classes, docs, num, den))
 
 
 def judged_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, line_no, line, kept for every line. Blank lines are kept.
+    """doc_id, line_no, line, blank, kept for every line. Blank lines are kept.
 
-    A line goes if an equal or similar line stands before it. A null doc_id counts as -1 in that order; of rows that repeat a doc_id, equal
-    lines with equal numbers stay or go together. Null texts have no lines; an empty table gives none. Other columns are not read.
+    A line goes if an equal or similar line stands before it. Lines of rows with a null doc_id stand first; of rows that repeat a doc_id, equal
+    lines with equal numbers stay or go together, and different ones with equal numbers have a fixed order. Null texts have no lines; an
+    empty table gives none. Other columns are not read.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text", F.col("doc_id").isNull().alias("unnamed"))
-    classes = materialize(line_classes(rows), "line-classes")
-    late = similar_earlier(classes, num, den).withColumn("late", F.lit(True))
-    marks = classes.select("key1", "key2", "first").join(late, "first", "left").select("key1", "key2", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    named = rows.where("text is not null").select("doc_id", "unnamed", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("norm", normal(F.col("line")))
-    lines = named.withColumns({"key1": F.xxhash64("norm"), "key2": F.xxhash64(F.lit(1), "norm")}).join(marks, ["key1", "key2"], "left")
-    stays = F.col("first").isNull() | (~F.col("late") & (F.struct("doc_id", "line_no") == F.col("first")))
-    return lines.select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "line_no", "line", stays.alias("kept"))
+    classes = line_classes(docs, num, den)
+    stay = classes.join(similar_earlier(classes, docs, num, den), "id", "left_anti").select("doc", "line", "key1", "key2")
+    stay = stay.select(F.col("doc"), F.col("line").alias("first_line"), F.col("key1").alias("first1"), F.col("key2").alias("first2"))
+    lines = _keyed(docs).select("doc_id", "line_no", "line", (F.col("norm") == "").alias("blank"), "key1", "key2")
+    same = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("line_no") == F.col("first_line")) & (F.col("key1") == F.col("first1")) & (F.col("key2") == F.col("first2"))
+    return lines.join(stay, same, "left").select("doc_id", "line_no", "line", "blank", (F.col("blank") | F.col("first1").isNotNull()).alias("kept"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, kept lines, and the digest of the kept ones' numbers, comma-joined."""
     docs = table(spark, sf_dir, "documents")
-    out = judged_lines(docs).groupBy("doc_id").agg(
+    out = judged_lines(docs).groupBy(F.col("doc_id").alias("_doc_id")).agg(
         F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("kept"), F.col("line_no")))).cast("array<string>"), ",").alias("numbers"),
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("kept"), F.col("line_no")))).cast("array<string>"), ",").alias("numbers"),
     )
-    return docs.select(F.col("doc_id").alias("_id")).join(out, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select(
-        F.col("_id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), F.sha2(F.coalesce("numbers", F.lit("")), 256).alias("kept_sha256")
+    return docs.select("doc_id").join(out, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), F.sha2(F.coalesce("numbers", F.lit("")), 256).alias("kept_sha256")
     )
 
 
 OP9_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(generate_series(0, len(a) - 1)) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
-n AS (SELECT doc_id, line_no, trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '\\s+', ' ', 'g')) AS norm FROM l),
+n AS (SELECT doc_id, line_no, trim(regexp_replace(translate(line, '{UPPER}', '{LOWER_AZ}'), '\\s+', ' ', 'g')) AS norm FROM l),
 c AS (SELECT norm, doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) AS id
   FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line_no) AS rn FROM n WHERE norm <> '') WHERE rn = 1),
 w AS (SELECT DISTINCT id, unnest(string_split(norm, ' ')) AS word FROM c),
