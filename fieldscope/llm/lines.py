@@ -13,6 +13,8 @@ neither ever cuts a similar pair. What is left is verified on the words. A line
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ from fieldscope.llm.common import LOWER_AZ, UPPER, lower_az, materialize, table
 #: Numbers of classes that a broadcast may hold (one long each); more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Classes with one token in their prefix from which they are first compared with the earliest of them.
-CROWD = 64
+CROWD = 256
 #: Ranks of words: steps of a factor 2**(1/4) in their counts.
-STEPS, MOST_RANK, ROW_BITS = 4, 127, 10
+STEPS, MOST_RANK = 4, 127
+#: Tokens are joined in so many rounds, which divides the disk that the shuffle of all prefixes takes.
+ROUNDS = 4
 _ODD_SPACE = ("  ", "\t", "\r", "\x0b", "\f", "\n")
 
 
@@ -46,26 +50,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"key1": F.xxhash64("norm"), "key2": F.xxhash64(F.lit(1), "norm")})
 
 
-def word_ranks(docs: DataFrame, bits: int) -> bytes:
-    """For each of 2**bits hash buckets of words: 1 to MOST_RANK, rising with the number of words of all lines in it."""
-    words = all_lines(docs).select(F.explode(F.split(normal(F.col("line")), " ")).alias("word"))
-    bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("bucket")
-    rank = F.least(F.lit(MOST_RANK), 1 + F.floor(STEPS * F.log2("count"))).cast("int")
-    low = F.col("bucket").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    rows = words.groupBy(bucket).count().groupBy(F.shiftright("bucket", ROW_BITS).alias("row")).agg(F.collect_list(low * 128 + rank).alias("cells"))
-    ranks = bytearray(b"\x01" * (1 << bits))
-    for row, cells in rows.collect():  # a byte a bucket
-        for cell in cells:
-            ranks[(row << ROW_BITS) + (cell >> 7)] = cell & 127
-    return bytes(ranks)
+def word_ranks(lines: DataFrame, bits: int) -> list[int]:
+    """For each of 2**bits hash buckets of words: 1 to MOST_RANK, rising with the number of words of all lines(norm) in it."""
+    words = lines.where("norm <> ''").select(F.explode(F.split("norm", " ")).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("bucket")).count()
+    ranks = [1] * (1 << bits)
+    for bucket, rank in counts.select("bucket", F.least(F.lit(MOST_RANK), 1 + F.floor(STEPS * F.log2("count"))).cast("int")).collect():  # one row a bucket
+        ranks[bucket] = rank
+    return ranks
 
 
-def _tokens(words: Column, ranks: bytes, bits: int) -> Column:
+def _tokens(words: Column, ranks: list[int], bits: int) -> Column:
     """One number a distinct word, sorted from rare to frequent: the rank of the word's bucket, then 56 bits of its hash."""
-    known = F.lit(ranks)
-    rank = lambda h: F.ascii(F.substring(known, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    first = F.from_json(F.lit(json.dumps([r << 56 for r in ranks])), "array<bigint>")
+    rank = lambda h: F.coalesce(F.get(first, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), F.lit(0))
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(rank(h), F.lit(1)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _marks(prefix: Column, half: int) -> Column:
@@ -74,12 +74,12 @@ def _marks(prefix: Column, half: int) -> Column:
     return F.aggregate(prefix, F.lit(0).cast("long"), lambda seen, t: seen.bitwiseOR(bit(t)))
 
 
-def line_classes(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
+def line_classes(keyed: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
     """id, doc, line (the first place), key1, key2, n, rest, prefix, bits0, bits1 of each class of lines that aren't blank; written.
 
-    id rises with the first place; prefix holds all tokens but the last rest.
+    keyed: doc_id, line_no, norm, key1, key2. id rises with the first place; prefix holds all tokens but the last rest.
     """
-    lines = _keyed(docs).where("norm <> ''").select("doc_id", "line_no", "key1", "key2", _tokens(F.split("norm", " "), word_ranks(docs, bits), bits).alias("tokens"))
+    lines = keyed.where("norm <> ''").select("doc_id", "line_no", "key1", "key2", _tokens(F.split("norm", " "), word_ranks(keyed, bits), bits).alias("tokens"))
     lines = lines.withColumn("n", F.size("tokens")).withColumn("rest", (F.ceil(F.col("n") * num / F.lit(den)) - 1).cast("int"))
     lines = lines.select("doc_id", "line_no", "key1", "key2", "n", "rest", F.slice("tokens", F.lit(1), F.col("n") - F.col("rest")).alias("prefix"))
     classes = lines.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "line_no", "n", "rest", "prefix")).alias("first"))
@@ -106,57 +106,69 @@ def _side(rows: DataFrame, mark: str) -> DataFrame:
     return rows.select("token", *(F.col(c).alias(f"{c}_{mark}") for c in rows.columns if c != "token"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """The distinct id_a of pairs(id_a, id_b) whose words have Jaccard num / den; written."""
-    pairs = materialize(pairs.distinct(), "line-pairs")
+def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct id_a of pairs(id_a, id_b), written, whose words have Jaccard num / den; written."""
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     wanted = materialize(classes.select("id", "doc", "line", "key1", "key2").join(ids, "id", "left_semi"), "line-wanted")
-    names = wanted.select(F.col("doc").alias("doc_id")).distinct()
-    small = wanted.count() <= BROADCAST_ROWS
-    near = docs.select("doc_id", "text").join(F.broadcast(names) if small else names, docs["doc_id"].eqNullSafe(names["doc_id"]), "left_semi")
-    there = _keyed(near)
-    same = there["doc_id"].eqNullSafe(wanted["doc"]) & (there["line_no"] == wanted["line"]) & (there["key1"] == wanted["key1"]) & (there["key2"] == wanted["key2"])
-    words = there.join(F.broadcast(wanted) if small else wanted, same).select("id", F.array_distinct(F.split("norm", " ")).alias("words")).dropDuplicates(["id"])
+    same = keyed["doc_id"].eqNullSafe(wanted["doc"]) & (keyed["line_no"] == wanted["line"]) & (keyed["key1"] == wanted["key1"]) & (keyed["key2"] == wanted["key2"])
+    small = wanted.count() <= BROADCAST_ROWS // 8
+    words = keyed.join(F.broadcast(wanted) if small else wanted, same).select("id", F.array_distinct(F.split("norm", " ")).alias("words")).dropDuplicates(["id"])
     a, b = (words.select(F.col("id").alias(f"id_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     common = F.size(F.array_intersect("words_a", "words_b"))
     alike = common * (den + num) >= (F.size("words_a") + F.size("words_b")) * num
     return materialize(pairs.join(a, "id_a").join(b, "id_b").where(alike).select(F.col("id_a").alias("id")).distinct(), "line-late")
 
 
-def similar_earlier(classes: DataFrame, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+def similar_earlier(classes: DataFrame, keyed: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """id of the classes (as line_classes gives them) that have a similar class earlier."""
     postings = classes.select("id", "n", "rest", "bits0", "bits1", F.posexplode("prefix").alias("place", "token"))
 
+    def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        both = _side(later, "a").join(_side(earlier, "b"), "token").where((F.col("id_b") < F.col("id_a")) & _may_be_similar(num, den))
+        return materialize(both.select("id_a", "id_b").distinct(), "line-pairs")
+
     # where many classes have one token, most copies of a crowd end at its earliest class; what this leaves out is met again below
     maybe = postings.where(F.shiftrightunsigned("token", 56) >= 1 + STEPS * (CROWD.bit_length() - 1))  # no rarer token has as many classes
     crowds = materialize(maybe.groupBy("token").agg(F.count("*").alias("seen"), F.min("id").alias("id")).where(F.col("seen") > CROWD).drop("seen"), "line-crowds")
-    heads = _side(materialize(maybe.join(crowds, ["token", "id"], "left_semi"), "line-heads"), "b")
-    found = _verified(_side(maybe, "a").join(heads, "token").where((F.col("id_b") < F.col("id_a")) & _may_be_similar(num, den)).select("id_a", "id_b"), classes, docs, num, den)
+    heads = materialize(maybe.join(crowds, ["token", "id"], "left_semi"), "line-heads")
+    found = _verified(met(maybe, heads), classes, keyed, num, den)
 
     open_ = postings.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "id", "left_anti")
-    pairs = _side(open_, "a").join(_side(postings, "b"), "token").where((F.col("id_b") < F.col("id_a")) & _may_be_similar(num, den))
-    return found.union(_verified(pairs.select("id_a", "id_b"), classes, docs, num, den))
+    pairs = None
+    for turn in range(ROUNDS):
+        mine = F.pmod("token", F.lit(ROUNDS)) == turn
+        more = met(open_.where(mine), postings.where(mine))
+        pairs = more if pairs is None else pairs.union(more)
+    return found.union(_verified(materialize(pairs.distinct(), "line-pairs"), classes, keyed, num, den))
+
+
+def line_verdicts(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, line_no, key1, key2, blank, kept for every line: judged_lines without the lines, which are told by 128 bits."""
+    keyed = materialize(_keyed(docs).drop("line"), "line-norms")
+    classes = line_classes(keyed, num, den)
+    stay = classes.join(similar_earlier(classes, keyed, num, den), "id", "left_anti").select("doc", "line", "key1", "key2")
+    blank = (F.col("norm") == "").alias("blank")
+    lines = keyed.select("doc_id", "line_no", "key1", "key2", blank).alias("lines")
+    same = F.expr("lines.doc_id <=> stay.doc and lines.line_no = stay.line and lines.key1 = stay.key1 and lines.key2 = stay.key2")
+    return lines.join(stay.alias("stay"), same, "left").select("lines.doc_id", "lines.line_no", "lines.key1", "lines.key2", "blank", (F.col("blank") | F.col("stay.line").isNotNull()).alias("kept"))
 
 
 def judged_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, line_no, line, blank, kept for every line. Blank lines are kept.
+    """doc_id, line_no, line, kept for every line. Blank lines are kept.
 
     A line goes if an equal or similar line stands before it. Lines of rows with a null doc_id stand first; of rows that repeat a doc_id, equal
     lines with equal numbers stay or go together, and different ones with equal numbers have a fixed order. Null texts have no lines; an
     empty table gives none. Other columns are not read.
     """
-    classes = line_classes(docs, num, den)
-    stay = classes.join(similar_earlier(classes, docs, num, den), "id", "left_anti").select("doc", "line", "key1", "key2")
-    stay = stay.select(F.col("doc"), F.col("line").alias("first_line"), F.col("key1").alias("first1"), F.col("key2").alias("first2"))
-    lines = _keyed(docs).select("doc_id", "line_no", "line", (F.col("norm") == "").alias("blank"), "key1", "key2")
-    same = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("line_no") == F.col("first_line")) & (F.col("key1") == F.col("first1")) & (F.col("key2") == F.col("first2"))
-    return lines.join(stay, same, "left").select("doc_id", "line_no", "line", "blank", (F.col("blank") | F.col("first1").isNotNull()).alias("kept"))
+    verdicts = line_verdicts(docs, num, den).distinct().alias("told")
+    same = F.expr("lines.doc_id <=> told.doc_id and lines.line_no = told.line_no and lines.key1 = told.key1 and lines.key2 = told.key2")
+    return _keyed(docs).alias("lines").join(verdicts, same).select("lines.doc_id", "lines.line_no", "lines.line", "told.kept")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, kept lines, and the digest of the kept ones' numbers, comma-joined."""
     docs = table(spark, sf_dir, "documents")
-    out = judged_lines(docs).groupBy(F.col("doc_id").alias("_doc_id")).agg(
+    out = line_verdicts(docs).groupBy(F.col("doc_id").alias("_doc_id")).agg(
         F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"),
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("kept"), F.col("line_no")))).cast("array<string>"), ",").alias("numbers"),
     )
