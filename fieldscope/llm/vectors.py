@@ -10,6 +10,7 @@ there and its local component), never the pairs.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ def plan_tables(largest: int, cut: float, miss: float, bucket_rows: int = BUCKET
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - same)))
 
 
+@lru_cache(maxsize=4)
 def planes(width: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, width)).standard_normal((width, bits * tables))
 
@@ -61,43 +63,51 @@ def near_duplicates(vectors: DataFrame, cut: float = 0.98, miss: float = 1e-4, s
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(largest, cut, miss)
 
+    def buckets_of(x: np.ndarray, width: int) -> np.ndarray:
+        return ((x @ planes(width, bits, tables, seed) > 0).reshape(len(x), tables, bits) << np.arange(bits, dtype=np.int64)).sum(axis=2)
+
     def signs(batches):
-        powers = 1 << np.arange(bits, dtype=np.int64)
         for pdf in batches:
             out = [None] * len(pdf)
             sizes = pdf["embedding"].map(len)
             for width, group in pdf.groupby(sizes):
                 x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
-                keys = ((x @ planes(width, bits, tables, seed) > 0).reshape(len(x), tables, bits) * powers).sum(axis=2)
-                for at, key in zip(pdf.index.get_indexer(group.index), keys, strict=True):
-                    out[at] = key
-            yield pdf.assign(signs=out)
+                for at, buckets in zip(pdf.index.get_indexer(group.index), buckets_of(x, width), strict=True):
+                    out[at] = buckets
+            yield pdf.assign(buckets=out)
 
     kind = classes.schema["embedding"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
-    hashed = classes.mapInPandas(signs, f"label {label}, embedding {kind}, rep long, copies long, signs array<long>")
-    placed = hashed.select("*", F.posexplode("signs").alias("table_no", "bucket")).withColumn("width", F.size("embedding"))
+    hashed = classes.mapInPandas(signs, f"label {label}, embedding {kind}, rep long, copies long, buckets array<long>")
+    placed = hashed.select("label", "embedding", "rep", "copies", F.posexplode("buckets").alias("table_no", "bucket")).withColumn("width", F.size("embedding"))
     key = ["label", "width", "table_no", "bucket"]
-    large = placed.groupBy(*key).count().where(F.col("count") > tile_rows).withColumn("tiles", F.ceil(F.col("count") / (tile_rows // 2)).cast("int")).drop("count")
-    large = materialize(large, "large-buckets")
-    tiled = placed.join(large, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    filled = materialize(placed.groupBy(*key).agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")), "vector-buckets")
+    # rows that all tasks get together: a bucket of several tiles is copied once for each of its tiles
+    tiles_of = F.when(F.col("rows") > tile_rows, F.ceil(F.col("rows") / (tile_rows // 2))).otherwise(1).cast("int")
+    n_rows = filled.agg(F.sum(F.col("rows") * tiles_of)).first()[0] or 0
+    tiled = placed.join(filled.where(F.col("rows") > tile_rows).select(*key, tiles_of.alias("tiles")), key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("own", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    n_groups = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), largest * tables // (8 * tile_rows))
+    n_groups = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // (8 * tile_rows))
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    tiled = tiled.select(*key, "own", low, high, "rep", "copies", "embedding", "signs").withColumn("deal", F.pmod(F.xxhash64(*key, "low", "high"), F.lit(n_groups)))
+    tiled = tiled.select(*key, "own", low, high, "rep", "copies", "embedding").withColumn("deal", F.pmod(F.xxhash64(*key, "low", "high"), F.lit(n_groups)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         reps, links, roots = [], [], []
-        for (_, _, t, _, lo, hi), g in pdf.groupby([*key, "low", "high"], sort=False):
-            if len(g) < 2 and int(g["copies"].iloc[0]) < 2:
+        for (_, width, t, _, lo, hi), g in pdf.groupby([*key, "low", "high"], sort=False):
+            if len(g) < 2:
                 continue
-            x = np.stack(g["embedding"].to_numpy()).astype(np.float64)
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            sign, copies, own = np.stack(g["signs"].to_numpy()), g["copies"].to_numpy(), g["own"].to_numpy()
+            raw = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+            x = raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
+            copies, own = g["copies"].to_numpy(), g["own"].to_numpy()
             near = x @ x.T >= cut
-            np.fill_diagonal(near, True)
+            np.fill_diagonal(near, False)
+            some = np.flatnonzero(near.any(axis=1))
+            if not len(some):
+                continue
+            # signs follow from the vector, so they are worked out again for those that met instead of travelling with each copy
+            sign = buckets_of(raw[some], width)
             for earlier in range(t):  # such a pair was found in that table
-                near &= sign[:, earlier][:, None] != sign[:, earlier][None, :]
+                near[np.ix_(some, some)] &= sign[:, earlier][:, None] != sign[:, earlier][None, :]
             np.fill_diagonal(near, True)
             if lo != hi:
                 near &= own[:, None] != own[None, :]
