@@ -8,18 +8,22 @@ the shingle's place in the window (length and positional bounds), and the words
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import materialize, table
-from fieldscope.llm.urls import LOWER, UPPER
+from fieldscope.llm.common import LOWER_AZ, UPPER, lower_az, materialize, table
 
-BROADCAST_ROWS = 500_000
+#: Bytes of benchmark windows, with their words and tokens, that a broadcast may hold.
+BROADCAST_BYTES = 32 << 20
+#: Occurrences of one token that a task may get in the join that does without a broadcast.
+SALT_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased; null has none."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    parts = F.split(lower_az(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     return F.array_remove(parts, "")
 
 
@@ -59,7 +63,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n")).where(F.lit(False))
     fits = lambda k: F.col("n") >= shingle if k == shingle else F.col("n") == k  # noqa: E731  a window's tokens are of the one size that fits it
     parts = materialize(_union([_tokens(windows.where(fits(k)), "words", k) for k in sizes]), "window-tokens")
-    small = parts.count() <= BROADCAST_ROWS
+    small = (parts.agg(F.sum(F.length(F.array_join("words", " ")) * 4 + 64)).first()[0] or 0) <= BROADCAST_BYTES
     near = F.broadcast if small else (lambda df: df)
 
     texts = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("doc_words"))
@@ -70,7 +74,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle
         .groupBy("item_id", "words", "n")
         .agg(F.min_by(F.struct("token", "place"), F.struct(F.coalesce("seen", F.lit(0)), "token", "place")).alias("first"), F.min(F.coalesce("seen", F.lit(0))).alias("least"))
         .where("least > 0")  # a token that no document has: the window is in none
-        .select("item_id", "words", "n", "first.token", F.col("first.place").alias("offset"))
+        .select("item_id", "words", "n", "least", "first.token", F.col("first.place").alias("offset"))
     )
     rarest = materialize(rarest, "rarest-tokens")
 
@@ -80,12 +84,16 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle
         if small:
             pairs = tokens.join(F.broadcast(mine), "token")
         else:
-            # both sides are dealt by token and a salt, so a frequent token is not one task; only the words around a token travel
-            salts = 16
+            # both sides are dealt by token and a salt, so a frequent token is not one task; only the words around a token travel. A token has as
+            # many salts as keep SALT_ROWS of its occurrences together
             around = F.greatest(F.col("at") - window + 1, F.lit(0))
             local = tokens.select("doc_id", "text_hash", "token", "at", "total", around.alias("skipped"), F.slice("doc_words", around + 1, F.lit(2 * window)).alias("doc_words"))
-            pairs = local.withColumn("salt", F.pmod(F.xxhash64("text_hash", "at"), F.lit(salts)).cast("int")).join(
-                mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["token", "salt"]
+            crowded = mine.groupBy("token").agg(F.max("least").alias("least")).where(F.col("least") > SALT_ROWS)
+            salts = {r.token: int(r.least // SALT_ROWS) + 1 for r in crowded.collect()}  # fewer than occurrences / SALT_ROWS
+            known = F.from_json(F.lit(json.dumps(salts)), "map<string,int>")
+            number = F.coalesce(F.try_element_at(known, F.col("token").cast("string")), F.lit(1)) if salts else F.lit(1)
+            pairs = local.withColumn("salt", F.pmod(F.xxhash64("text_hash", "at"), number).cast("int")).join(
+                mine.withColumn("salt", F.explode(F.sequence(F.lit(0), number - 1))), ["token", "salt"]
             )
         start = F.col("at") - F.col("offset")
         inside = (start >= 0) & (start + F.col("n") <= F.col("total"))
@@ -118,8 +126,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
     """docs without the rows that hold an item window; the columns of docs."""
-    found = occurrences(docs, benchmark, window, shingle).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    found = occurrences(docs, benchmark, window, shingle).select("doc_id", "text_hash").distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_hash"]), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +137,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_LOW = f"translate(text, '{UPPER}', '{LOWER}')"
+_LOW = f"translate(text, '{UPPER}', '{LOWER_AZ}')"
 
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all({_LOW}, '{_PATTERN}') END AS w FROM documents),
