@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldscope.llm.common import shared_path, table
+from fieldscope.llm.common import shared_path, table, unused
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -172,17 +172,18 @@ def reshard(rows: DataFrame, plan: ShardPlan, path: str, cell_bytes: int = 64 <<
     n = len(plan.shard_bytes)
     cells = max(-(-max(plan.shard_bytes, default=0) // cell_bytes), -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // n), 1)
     names = [c for c in rows.columns if c not in ("shard", "slot", "old_shard")]
-    moves = spark.createDataFrame([(*k, v) for k, v in plan.moves.items()], "old_shard int, _block int, _part int, shard int")
+    block, part, cell, first, text = unused(rows, "_block", "_part", "_cell", "_first", "_text")
+    moves = spark.createDataFrame([(*k, v) for k, v in plan.moves.items()], f"old_shard int, `{block}` int, `{part}` int, shard int")
     placed = (
-        rows.select(*names, "old_shard", _block(plan.blocks).alias("_block"))
-        .withColumn("_part", _part(plan.split, plan.large, "old_shard", "_block"))
-        .join(F.broadcast(moves), ["old_shard", "_block", "_part"])  # as many rows as blocks, a parameter
-        .select(*names, "old_shard", "shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)).cast("int").alias("_cell"))
+        rows.select(*names, "old_shard", _block(plan.blocks).alias(block), F.xxhash64(F.lit(2), "text").alias(text))
+        .withColumn(part, _part(plan.split, plan.large, "old_shard", block))
+        .join(F.broadcast(moves), ["old_shard", block, part])  # as many rows as blocks, a parameter
+        .select(*names, "old_shard", "shard", text, F.pmod(F.xxhash64("doc_id", text), F.lit(cells)).cast("int").alias(cell))
     )
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = placed.groupBy("shard", "_cell").agg(F.count("*").alias("_n")).select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("shard", "_cell").orderBy("doc_id", "old_shard")
-    numbered = placed.join(firsts, ["shard", "_cell"]).withColumn("slot", (F.col("_first") + F.row_number().over(inside) - 1).cast("long"))
+    before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("shard", cell).agg(F.count("*").alias("n")).select("shard", cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    inside = Window.partitionBy("shard", cell).orderBy("doc_id", text, "old_shard")
+    numbered = placed.join(counts, ["shard", cell]).withColumn("slot", (F.col(first) + F.row_number().over(inside) - 1).cast("long"))
     same = [j for j in range(n) if j not in plan.rewritten]
     numbered.where(F.col("shard").isin(plan.rewritten)).select(*names, "slot", "shard").write.partitionBy("shard").parquet(path)
     schema = numbered.select(*names, "slot", "shard").schema
