@@ -1,7 +1,8 @@
 """Quality classifier by co-training.
 
-Two views of a document are told apart: its content (hashed character n-grams, and how often a word repeats the one
-before) and its page metadata (language, source, length, lines, shares of kinds of characters). Each has a logistic
+Two views of a document that share no number are told apart: its content (hashed character n-grams, and how often a word repeats
+the one before) and its page metadata (language, source, length, mean word length, and as the page's layout the shares of kinds of
+characters). Each has a logistic
 regression, calibrated on labelled documents held out. In every round both score all unlabelled documents, and all of which a
 view is sure, good and bad, join the other view's training set with the label it gave; copies of a text count as one text
 together. Spark sums their features exactly, in bags by the hash of the text, and the means of the bags are the rows that are
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from fieldscope.llm.common import WHITE, bound_batches, materialize, released, row_blocks, table, text_buffer, trim
 from fieldscope.llm.hashing import gram_counts, gram_sums, pieces
 
-SIZES, BITS = (3, 4), 13
+SIZES, BITS = (3, 4), 14
 #: Sums of features are whole numbers of this unit, so they do not depend on partitions.
 UNIT, CHUNK = 2.0**-32, 1024
 #: As many counts of repeated texts are broadcast at most.
@@ -33,7 +34,7 @@ _KINDS = (
     ("upper", [*range(65, 91)]), ("digit", [*range(48, 58)]), ("space", [32, 9, 13]), ("line", [10]), ("stop", [33, 44, 46, 58, 59, 63]),
     ("symbol", [*range(35, 39), 42, 43, 60, 61, 62, 64, 92, 94, 95, 96, 123, 125, 126]), ("bar", [124]), ("wide", [*range(128, 256)]),
 )
-N_PLAIN, N_HASHED = len(_KINDS) + 3, 64
+N_PLAIN, N_HASHED = len(_KINDS) + 2, 64
 _KIND_OF = np.array([sum((c + 1) * (b in values) for c, (_, values) in enumerate(_KINDS)) for b in range(256)], dtype=np.uint8)
 
 
@@ -64,8 +65,8 @@ def repeats(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, same
 
 
-def metadata(column: pa.Array, langs: list, sources: list) -> np.ndarray:
-    """One row of numbers per document; lang and source are hashed into N_HASHED columns."""
+def metadata(column: pa.Array, langs: list, sources: list, words: np.ndarray) -> np.ndarray:
+    """One row of numbers per document; lang and source are hashed into N_HASHED columns. words: their number (repeats)."""
     data, off = text_buffer(column)
     size = np.diff(off).astype(np.float64)
     out = np.zeros((len(size), N_PLAIN + N_HASHED))
@@ -73,33 +74,72 @@ def metadata(column: pa.Array, langs: list, sources: list) -> np.ndarray:
         kind = _KIND_OF[data[s:e]]
         out[i, : len(_KINDS)] = [np.count_nonzero(kind == c) for c in range(1, len(_KINDS) + 1)]
     out[:, : len(_KINDS)] /= np.maximum(size, 1)[:, None]
-    words, same = repeats(column)
-    out[:, len(_KINDS)] = same / np.maximum(words, 1)
-    out[:, len(_KINDS) + 1] = np.log1p(size) / 10
-    out[:, len(_KINDS) + 2] = np.where(words > 0, size / np.maximum(words, 1), 0) / 10
+    out[:, len(_KINDS)] = np.log1p(size) / 10
+    out[:, len(_KINDS) + 1] = np.where(words > 0, size / np.maximum(words, 1), 0) / 10
     for mark, values in (("l", langs), ("s", sources)):
         for i, v in enumerate(values):
             out[i, N_PLAIN + zlib.crc32(f"{mark}:{v}".encode()) % N_HASHED] += 0.1
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300, ridge: float = 1e-3, rate: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by scaled gradient steps; classes count alike."""
-    w, b, seen, seen_b = np.zeros(x.shape[1]), 0.0, np.full(x.shape[1], 1e-8), 1e-8
+class Dense:
+    """A matrix of few columns."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, (self.n, self.width), self.most = x, x.shape, float(np.abs(x).max(initial=1e-9))
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return self.x @ v
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        return self.x.T @ e
+
+    def squares(self) -> np.ndarray:
+        return (self.x**2).sum(axis=0)
+
+
+class Sparse:
+    """A matrix by its entries (columns and values of each row) that aren't zero; every row has one at least."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        sizes = [len(at) for at, _ in rows]
+        self.n, self.width, self.start = len(rows), width, np.cumsum([0, *sizes[:-1]])
+        self.sizes = sizes
+        self.at, self.value = (np.concatenate([r[i] for r in rows]).astype(t) for i, t in ((0, np.int32), (1, np.float32)))
+        self.most = float(self.value.max(initial=1e-9))
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.value * v.astype(np.float32)[self.at], self.start).astype(np.float64)
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, weights=self.value * np.repeat(e.astype(np.float32), self.sizes), minlength=self.width)
+
+    def squares(self) -> np.ndarray:
+        return np.bincount(self.at, weights=self.value.astype(np.float64) ** 2, minlength=self.width)
+
+
+def logistic(x: Dense | Sparse, y: np.ndarray, weight: np.ndarray, rounds: int = 300, ridge: float = 1e-3, rate: float = 1.0, standard: bool = False) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by scaled gradient steps; classes count alike. standard: on columns of mean 0 and spread 1, without making them."""
+    mean, spread = np.zeros(x.width), np.ones(x.width)
+    if standard:
+        mean = x.back(np.ones(x.n)) / x.n
+        spread = np.sqrt(np.maximum(x.squares() / x.n - mean**2, 0)) + 1e-3 * x.most + 1e-9
+    w, b, seen, seen_b = np.zeros(x.width), 0.0, np.full(x.width, 1e-8), 1e-8
     weight = weight / np.where(y > 0.5, max(1e-9, weight[y > 0.5].sum()), max(1e-9, weight[y <= 0.5].sum()))
     for _ in range(rounds):
-        error = weight * (1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -40, 40))) - y)
-        grad, grad_b = x.T @ error.astype(x.dtype) + ridge * w, error.sum()
+        v = w / spread
+        error = weight * (1 / (1 + np.exp(-np.clip(x.times(v) - mean @ v + b, -40, 40))) - y)
+        grad, grad_b = (x.back(error) - mean * error.sum()) / spread + ridge * w, error.sum()
         seen += grad**2
         seen_b += grad_b**2
         w -= rate * grad / np.sqrt(seen)
         b -= rate * grad_b / np.sqrt(seen_b)
-    return w, b
+    return w / spread, float(b - mean @ (w / spread))
 
 
 @dataclass
 class View:
-    """A linear view on standardised numbers: x (w / spread) + bias; calibration turns it into log-odds."""
+    """A linear view: x w + bias; calibration turns it into log-odds."""
 
     weights: np.ndarray
     bias: float
@@ -110,12 +150,8 @@ class View:
         return x @ self.weights + self.bias
 
 
-def fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3 * max(x.max(initial=1e-9), -x.min(initial=0)) + 1e-9  # narrow types stay narrow
-    z = (x - mean).astype(np.float32, copy=False)
-    z /= spread.astype(np.float32)
-    w, b = logistic(z, y, weight, rate=0.05)
-    return View(w / spread, b - float(mean @ (w / spread)))
+def fit_view(x: Dense | Sparse, y: np.ndarray, weight: np.ndarray) -> View:
+    return View(*logistic(x, y, weight, rate=0.05, standard=True))
 
 
 @dataclass
@@ -134,7 +170,7 @@ class QualityModel:
         """Raw scores of both views, and the features that are no n-grams: the share of repeated words, and the metadata."""
         total, count = gram_sums(*text_buffer(column), SIZES, BITS, self.content.weights[:-1, None].astype(np.float32))
         words, same = repeats(column)
-        repeated, meta = same / np.maximum(words, 1), metadata(column, langs, sources)
+        repeated, meta = same / np.maximum(words, 1), metadata(column, langs, sources, words)
         content = total[:, 0] / np.maximum(count, 1) + self.content.weights[-1] * repeated + self.content.bias
         return content, self.page.score(meta), repeated, meta
 
@@ -150,8 +186,10 @@ class QualityModel:
 
 
 def _features(docs: DataFrame) -> list[tuple]:
-    """Rows of docs(doc_id, text, lang, source, ...rest) with their features instead of text, sorted; docs is bounded by its caller."""
-    rest = [c for c in docs.columns if c not in ("text", "lang", "source")]
+    """(doc_id, quality, columns, values, meta) of each row of docs(doc_id, text, lang, source, quality), sorted; docs is bounded by its caller.
+
+    columns and values are the entries of the content view: shares of n-gram buckets, and last the share of repeated words.
+    """
 
     def run(batches):
         for batch in batches:
@@ -159,26 +197,17 @@ def _features(docs: DataFrame) -> list[tuple]:
             data, off = text_buffer(column)
             grams = [gram_counts(data[off[i] : off[i + 1]], SIZES, BITS) for i in range(batch.num_rows)]
             words, same = repeats(column)
-            meta = metadata(column, batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+            meta = metadata(column, batch.column("lang").to_pylist(), batch.column("source").to_pylist(), words)
+            at = [np.append(g[0], 1 << BITS).astype(np.int32) for g in grams]
+            share = [np.append(g[1] / max(1, g[1].sum()), r).astype(np.float32) for g, r in zip(grams, same / np.maximum(words, 1), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in rest), pa.array([g[0].astype(np.int32) for g in grams], pa.list_(pa.int32())), pa.array([g[1].astype(np.float32) / max(1, g[1].sum()) for g in grams], pa.list_(pa.float32())),
-                 pa.array(same / np.maximum(words, 1)), pa.array(list(meta), pa.list_(pa.float64()))],
-                names=[*rest, "at", "share", "same", "meta"],
-            )
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    got = docs.mapInArrow(released(run), f"{kinds}, at array<int>, share array<float>, same double, meta array<double>").toArrow()
-    columns = {c: got.column(c).to_pylist() for c in (*rest, "same")} | {c: [x.values.to_numpy() for x in got.column(c)] for c in ("at", "share", "meta")}
-    rows = [dict(zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True)]
-    return sorted(rows, key=lambda r: (r["doc_id"], r["same"], len(r["at"])))
-
+                [batch.column("doc_id"), batch.column("quality"), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.float64()))],
+                names=["doc_id", "quality", "at", "share", "meta"],
+            )
 
-def _matrices(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    content = np.zeros((len(rows), (1 << BITS) + 1), np.float32)
-    for i, r in enumerate(rows):
-        content[i, r["at"]] = r["share"]
-        content[i, -1] = r["same"]
-    return content, np.array([r["meta"] for r in rows]).reshape(len(rows), N_PLAIN + N_HASHED)
+    got = docs.mapInArrow(released(run), "doc_id long, quality int, at array<int>, share array<float>, meta array<double>").toArrow()
+    columns = [got.column(c).to_pylist() for c in ("doc_id", "quality")] + [[x.values.to_numpy() for x in got.column(c)] for c in ("at", "share", "meta")]
+    return sorted(zip(*columns, strict=True), key=lambda r: (r[0], r[1]))
 
 
 def weighed(docs: DataFrame, bags: int) -> DataFrame:
@@ -252,7 +281,7 @@ def lessons(rows: DataFrame, model: QualityModel, confidence: float, bags: int)
 
 def _calibrate(view: View, score: np.ndarray, y: np.ndarray) -> None:
     spread = score.std() + 1e-9
-    w, b = logistic((score / spread)[:, None], y, np.ones(len(y)), rounds=200, ridge=1e-2, rate=0.3)
+    w, b = logistic(Dense((score / spread)[:, None]), y, np.ones(len(y)), rounds=200, ridge=1e-2, rate=0.3)
     view.slope, view.shift = float(max(w[0], 0.0) / spread), float(b)
 
 
@@ -267,23 +296,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, rounds: int =
     sample = known.where("quality > 0").orderBy(order, "doc_id").limit(per_class).union(known.where("quality <= 0").orderBy(order, "doc_id").limit(per_class))
     sample = docs.sparkSession.createDataFrame([tuple(r) for r in sample.collect()], "doc_id long, quality int")
     columns = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    rows = _features(columns.join(F.broadcast(sample), "doc_id"))  # sample is bounded by per_class
-    y = np.array([r["quality"] for r in rows], dtype=np.float64)
+    told = columns.join(F.broadcast(sample), "doc_id")  # bounded by per_class; of rows that repeat a doc_id one teaches
+    told = told.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "lang", "source")).alias("row"))
+    rows = _features(told.select("doc_id", "row.text", "row.lang", "row.source", "quality"))
+    y = np.array([r[1] for r in rows], dtype=np.float64)
     good, bad = known.agg(F.count_if(F.col("quality") > 0), F.count_if(F.col("quality") <= 0)).first()
     prior = float(np.log((bad + 1) / (good + 1)))  # views are fitted on classes that count alike
     if not len(y) or y.min() == y.max():
         return None
-    content, page = _matrices(rows)
+    content = [(r[2], r[3]) for r in rows]
+    page = np.array([r[4] for r in rows]).reshape(len(rows), N_PLAIN + N_HASHED)
     test = np.arange(len(y)) % 4 == 0
     if len({*y[test]}) < 2 or len({*y[~test]}) < 2:
         test = np.zeros(len(y), bool)
-    sets = {"content": (content[~test], y[~test], np.ones((~test).sum())), "page": (page[~test], y[~test], np.ones((~test).sum()))}
-    check = test if test.any() else np.ones(len(y), bool)
+    taught, check = np.flatnonzero(~test), np.flatnonzero(test if test.any() else ~test)
+    sets = {"content": ([content[i] for i in taught], y[taught], np.ones(len(taught))), "page": (list(page[taught]), y[taught], np.ones(len(taught)))}
+    check_content, check_page = Sparse([content[i] for i in check], (1 << BITS) + 1), page[check]
 
     def fitted(told: list) -> QualityModel:
-        model = QualityModel(fit_view(*sets["content"]), fit_view(*sets["page"]), prior, told)
-        _calibrate(model.content, model.content.score(content[check]), y[check])
-        _calibrate(model.page, model.page.score(page[check]), y[check])
+        x, t, w = sets["content"]
+        model_content = fit_view(Sparse(x, (1 << BITS) + 1), t, w)
+        x, t, w = sets["page"]
+        model = QualityModel(model_content, fit_view(Dense(np.array(x)), t, w), prior, told)
+        _calibrate(model.content, check_content.times(model.content.weights) + model.content.bias, y[check])
+        _calibrate(model.page, model.page.score(check_page), y[check])
         return model
 
     known_sets, model = dict(sets), fitted([])
@@ -295,10 +331,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, rounds: int =
         for name, (mean, label, n) in more.items():
             x, t, w = known_sets[name]
             own = np.where(label > 0.5, n * (t > 0.5).sum() / max(n[label > 0.5].sum(), UNIT), n * (t <= 0.5).sum() / max(n[label <= 0.5].sum(), UNIT))
-            sets[name] = (np.concatenate([x, mean.astype(x.dtype)]), np.concatenate([t, label]), np.concatenate([w, 0.5 * own]))
+            taken = list(mean) if name == "page" else [(np.arange(len(m)), m) for m in mean]
+            sets[name] = (x + taken, np.concatenate([t, label]), np.concatenate([w, 0.5 * own]))
         model = fitted([*model.rounds, sum(float(n.sum()) for _, _, n in more.values())])
-    del known_sets
-    del content, page, sets, rows
+    del known_sets, content, page, sets, rows, taught, check_content
     trim()
     return model
 
