@@ -101,7 +101,8 @@ def fit(docs: DataFrame, per_lang: int = 400) -> LanguageModel | None:
                 names=["doc_id", "at", "n", "lang"],
             )
 
-    got = chosen.select("doc_id", "text", "lang").mapInArrow(grams, "doc_id long, at array<long>, n array<long>, lang string").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang")  # of rows that repeat a doc_id one teaches
+    got = chosen.mapInArrow(grams, "doc_id long, at array<long>, n array<long>, lang string").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     return train([(np.array(a), np.array(n, dtype=np.float64), lang) for a, n, lang in zip(*(got.column(c).to_pylist() for c in ("at", "n", "lang")), strict=True)])
 
 

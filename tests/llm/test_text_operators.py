@@ -50,8 +50,9 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize("k,num,hot", [(4, 85, 64), (5, 80, 2), (3, 50, 3)])
-def test_jaccard_components(docs, documents, k, num, hot):
+@pytest.mark.parametrize("k,num,hot,tile", [(4, 85, 64, 1024), (5, 80, 2, 1024), (3, 50, 3, 1024), (3, 50, 2, 4)])
+def test_jaccard_components(docs, documents, monkeypatch, k, num, hot, tile):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", tile)
     sets = [(d, shingles(t, k)) for d, t, *_ in documents]
     root = {d: d for d, _ in sets if d is not None}
 
@@ -72,9 +73,20 @@ def test_jaccard_components(docs, documents, k, num, hot):
 
 def test_jaccard_empty_and_clashing_columns(spark, docs, empty):
     assert jaccard.jaccard_components(empty).collect() == []
-    odd = docs.selectExpr("doc_id", "text", "'x' as n", "1 as component", "2 as prefix", "'y' as rep")
+    odd = docs.selectExpr("doc_id", "text", "'x' as n", "1 as component", "2 as prefix", "'y' as rep", "1 as _gone", "doc_id as component_id")
     kept = jaccard.keep_first(odd)
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1
+    assert kept.where("doc_id = 5").count() <= 1
+
+
+def test_jaccard_repeated_rows_and_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " + x for x in ("one", "two three four five six seven", "eight nine"))
+    rows = [(1, a), (1, a), (2, b), (2, c + " x y z"), (3, b), (4, c + " x y z"), (None, a), (None, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2, None: None}  # 3 and 4 each equal one text of document 2
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_first(frame).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (2, c + " x y z"), (None, a), (None, a)], key=str)
 
 
 def words(text):
@@ -101,12 +113,15 @@ def test_contamination(spark, docs, documents, empty):
     got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r.item_ids)) for r in decontaminate.contamination(docs, bench).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert any(x[2] for x in want) and not all(x[2] for x in want)
-    old, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0
+    old = decontaminate.BROADCAST_BYTES, decontaminate.SALT_ROWS
+    decontaminate.BROADCAST_BYTES, decontaminate.SALT_ROWS = -1, 2
     try:
         again = [(r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r.item_ids)) for r in decontaminate.contamination(docs, bench).collect()]
     finally:
-        decontaminate.BROADCAST_ROWS = old
+        decontaminate.BROADCAST_BYTES, decontaminate.SALT_ROWS = old
     assert sorted(again, key=str) == sorted(want, key=str)
+    odd = docs.selectExpr("*", "1 as _id", "2 as _hash", "3 as text_hash", "4 as start")
+    assert decontaminate.decontaminate(odd, bench).columns == odd.columns
     assert decontaminate.decontaminate(docs, bench).count() == sum(not x[2] for x in want)
     assert decontaminate.contamination(empty, bench).collect() == []
     assert decontaminate.contamination(docs, bench.where("item_id > 99")).where("n_hit > 0").count() == 0
@@ -124,17 +139,19 @@ def test_lines(spark, empty):
                 line[at] = str(rng.choice(WORDS))
             out.append("  ".join(line) if d % 2 else " ".join(line).upper())
         rows.append((d, "\n".join(out + [""] * (d % 3))))
-    rows += [(50, None), (51, ""), (52, "the"), (53, "THE "), (None, "the of")]
+    rows += [(50, None), (51, ""), (52, "the"), (53, "THE "), (None, "the of"), (-1, "of the"), (54, "ÄB ab\tÄB  x"), (55, "Äb AB x"), (56, " ".join(f"w{i}" for i in range(20000)))]
+    crowd = "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12".split()  # more lines of one kind than are compared at first
+    rows += [(100 + i, " ".join([*crowd, f"v{i}"] if i % 3 else [*crowd[:8], f"u{i}", f"y{i}", f"x{i}"])) for i in range(150)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key1", urls.F.lit(1))
     norm, first = {}, {}
-    for d, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+    for d, t in sorted(rows, key=lambda r: -2 if r[0] is None else r[0]):
         for i, line in enumerate((t if t is not None else "").split("\n") if t is not None else []):
             n = re.sub(r"\s+", " ", line.translate(LOWER)).strip(" ")
             norm[d, i] = n
             if n:
                 first.setdefault(n, (d, i))
     seen, late = [], set()
-    for n, place in sorted(first.items(), key=lambda x: (-1 if x[1][0] is None else x[1][0], x[1][1])):
+    for n, place in sorted(first.items(), key=lambda x: (-2 if x[1][0] is None else x[1][0], x[1][1])):
         s = set(n.split(" "))
         if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
             late.add(n)
