@@ -139,7 +139,13 @@ def similar_earlier(classes: DataFrame, keyed: DataFrame, num: int = 80, den: in
         mine = F.pmod("token", F.lit(ROUNDS)) == turn
         more = met(open_.where(mine), postings.where(mine))
         pairs = more if pairs is None else pairs.union(more)
-    return found.union(_verified(materialize(pairs.distinct(), "line-pairs"), classes, keyed, num, den))
+    pairs = materialize(pairs.distinct(), "line-pairs")
+
+    # most are settled by their earliest candidate, so few pairs need their words a second time
+    first = materialize(pairs.groupBy("id_a").agg(F.min("id_b").alias("id_b")), "line-first-pairs")
+    settled = _verified(first, classes, keyed, num, den)
+    rest = pairs.join(settled.select(F.col("id").alias("id_a")), "id_a", "left_anti").join(first, ["id_a", "id_b"], "left_anti")
+    return found.union(settled).union(_verified(materialize(rest, "line-pairs"), classes, keyed, num, den))
 
 
 def line_verdicts(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
