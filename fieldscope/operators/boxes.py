@@ -32,14 +32,15 @@ def iou_join(a: DataFrame, b: DataFrame, width: float, least: float = 0.0, keys:
     return overlapping(a, _other(b, keys), keys, width).withColumn("iou", pair_iou()).where(F.col("iou") > least)
 
 
-def nms(boxes: DataFrame, cut: float = 0.5, width: float = 3600.0, class_aware: bool = True) -> DataFrame:
-    """Greedy suppression: best score first, a box goes if a kept one of its class overlaps it by more than cut.
+def nms(boxes: DataFrame, cut: float = 0.5, width: float = 3600.0, class_aware: bool = True, earliest: bool = False) -> DataFrame:
+    """Greedy suppression: best score first (earliest: in order of t0, t1), a box goes if a kept one of its class overlaps it by more than cut.
 
     In rounds over the pairs that overlap so much: a box with no better living neighbour stays, its neighbours go. Each round settles at
     least the best box of every cluster; the result is that of the greedy loop, ties by uid. Dense clusters are not gathered.
     """
     keys = ["rec", "cls"] if class_aware else ["rec"]
-    ahead = (F.col("score_b") > F.col("score")) | ((F.col("score_b") == F.col("score")) & (F.col("uid_b") < F.col("uid")))
+    order = [("t0", 1), ("t1", 1), ("uid", 1)] if earliest else [("score", -1), ("uid", 1)]
+    ahead = F.struct(*(F.col(f"{c}_b") * sign for c, sign in order)) < F.struct(*(F.col(c) * sign for c, sign in order))
     pairs = iou_join(boxes.select(*{*keys, "rec"}, "uid", "score", *CORNERS), boxes.select(*{*keys, "rec"}, "uid", "score", *CORNERS), width, cut, tuple(keys))
     pairs = written(pairs.where(ahead).select("uid", "uid_b"), "nms-pairs")  # uid is behind uid_b
     gone = None

@@ -1,20 +1,23 @@
-"""Edits of track tables as changes(row, old, new); conflicts in a frame are settled by the local median."""
+"""Edits of track tables as changes(keys..., row, old, new); conflicts in a frame are settled by the local median.
+
+keys name the columns of a session (as in tracks): rows are told apart by session and row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.operators.tracks import local_median_losers
+from fieldscope.operators.tracks import Keys, local_median_losers
 
 
-def apply_changes(rows: DataFrame, changes: DataFrame) -> DataFrame:
-    new = changes.select("row", F.col("new").alias("_new"), F.lit(True).alias("_hit"))
-    return rows.join(new, "row", "left").withColumn("ident", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("ident"))).drop("_new", "_hit")
+def apply_changes(rows: DataFrame, changes: DataFrame, keys: Keys = ()) -> DataFrame:
+    new = changes.select(*keys, "row", F.col("new").alias("_new"), F.lit(True).alias("_hit"))
+    return rows.join(new, [*keys, "row"], "left").withColumn("ident", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("ident"))).drop("_new", "_hit")
 
 
-def changes_between(before: DataFrame, after: DataFrame) -> DataFrame:
-    both = before.select("row", F.col("ident").alias("old")).join(after.select("row", F.col("ident").alias("new")), "row")
+def changes_between(before: DataFrame, after: DataFrame, keys: Keys = ()) -> DataFrame:
+    both = before.select(*keys, "row", F.col("ident").alias("old")).join(after.select(*keys, "row", F.col("ident").alias("new")), [*keys, "row"])
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
 
 
@@ -22,54 +25,169 @@ def set_where(rows: DataFrame, condition: Column, new: Column) -> DataFrame:
     return rows.withColumn("ident", F.when(condition, new).otherwise(F.col("ident")))
 
 
-def delete_ids(rows: DataFrame, ids: list[int]) -> DataFrame:
-    return changes_between(rows, set_where(rows, F.col("ident").isin(ids), F.lit(None).cast("long")))
+def unassign(rows: DataFrame, selected: DataFrame, keys: Keys = ()) -> DataFrame:
+    """The selected(row) lose their id; rows without one are no change."""
+    hit = rows.where("ident is not null").join(selected.select(*keys, "row").distinct(), [*keys, "row"], "left_semi")
+    return hit.select(*keys, "row", F.col("ident").alias("old"), F.lit(None).cast("long").alias("new"))
+
+
+def delete_ids(rows: DataFrame, ids: list[int], keys: Keys = ()) -> DataFrame:
+    return changes_between(rows, set_where(rows, F.col("ident").isin(ids), F.lit(None).cast("long")), keys)
 
 
-def merge_ids(rows: DataFrame, ids: list[int], target: int, half: int = 30) -> DataFrame:
+def merge_ids(rows: DataFrame, ids: list[int], target: int, half: int = 30, keys: Keys = ()) -> DataFrame:
     """All ids become target, which must be one of them; where frames then hold several rows of it, losers are unassigned."""
     if target not in ids:
         raise ValueError("the target must be one of the merged ids")
     joined = set_where(rows, F.col("ident").isin(ids), F.lit(target).cast("long"))
-    lost = local_median_losers(joined.where(F.col("ident") == target), half).select("row", F.lit(None).cast("long").alias("new"))
-    return changes_between(rows, apply_changes(joined, lost))
+    lost = local_median_losers(joined.where(F.col("ident") == target), half, keys).select(*keys, "row", F.lit(None).cast("long").alias("new"))
+    return changes_between(rows, apply_changes(joined, lost, keys), keys)
 
 
-def assign_rows(rows: DataFrame, selected: DataFrame, target: int) -> DataFrame:
+def assign_rows(rows: DataFrame, selected: DataFrame, target: int, keys: Keys = ()) -> DataFrame:
     """The selected(row) get the target; of several in a frame the one nearest the local median, and rows that held the target there give it up."""
-    picked = rows.join(selected.select("row"), "row", "left_semi").withColumn("ident", F.lit(target).cast("long"))
-    lost = local_median_losers(picked).select("row")
-    won = picked.join(lost, "row", "left_anti").select("row", "k")
-    displaced = rows.where(F.col("ident") == target).join(won.select("k").distinct(), "k", "left_semi").join(won.select("row"), "row", "left_anti").select("row", F.lit(None).cast("long").alias("new"))
-    return changes_between(rows, apply_changes(rows, won.select("row", F.lit(target).cast("long").alias("new")).unionByName(displaced)))
-
-
-def cut_at(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    by = [*keys, "row"]
+    picked = rows.join(selected.select(*by), by, "left_semi").withColumn("ident", F.lit(target).cast("long"))
+    lost = local_median_losers(picked, keys=keys).select(*by)
+    won = picked.join(lost, by, "left_anti").select(*by, "k")
+    held = rows.where(F.col("ident") == target).join(won.select(*keys, "k").distinct(), [*keys, "k"], "left_semi")
+    displaced = held.join(won.select(*by), by, "left_anti").select(*by, F.lit(None).cast("long").alias("new"))
+    return changes_between(rows, apply_changes(rows, won.select(*by, F.lit(target).cast("long").alias("new")).unionByName(displaced), keys), keys)
+
+
+def new_id(rows: DataFrame, selected: DataFrame, keys: Keys = ()) -> DataFrame:
+    """The selected(row) get one id that the session has not; of several in a frame the others keep theirs."""
+    by = [*keys, "row"]
+    top = rows.groupBy(*keys).agg((F.coalesce(F.max("ident"), F.lit(-1)) + 1).alias("new"))
+    picked = rows.join(selected.select(*by), by, "left_semi")
+    lost = local_median_losers(picked.withColumn("ident", F.lit(0).cast("long")), keys=keys).select(*by)
+    won = picked.join(lost, by, "left_anti").select(*by, F.col("ident").alias("old"))
+    return (won.join(top, list(keys)) if keys else won.crossJoin(F.broadcast(top))).select(*by, "old", "new")
+
+
+def apply_ident(rows: DataFrame, variant: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Changes that replace the whole identity column by variant(row, ident); rows that it does not name have no id then."""
+    told = variant.select(*keys, "row", F.col("ident").alias("new"))
+    return rows.select(*keys, "row", F.col("ident").alias("old")).join(told, [*keys, "row"], "left").where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def revert(rows: DataFrame, selected: DataFrame, keys: Keys = ()) -> DataFrame:
+    """The selected(row) get the id that the tracker gave them (column tracked of rows) back; rows that hold that id in their frame give it up.
+
+    Of several selected rows with one tracked id in a frame the one nearest the local median wins; a null tracked id takes the id away.
+    """
+    by = [*keys, "row"]
+    picked = rows.join(selected.select(*by).distinct(), by, "left_semi").withColumn("ident", F.col("tracked"))
+    lost = local_median_losers(picked, keys=keys).select(*by)
+    won = picked.join(lost, by, "left_anti").select(*by, "k", F.col("tracked").alias("new"))
+    taken = won.where("new is not null").select(*keys, "k", F.col("new").alias("ident")).distinct()
+    displaced = rows.join(taken, [*keys, "k", "ident"], "left_semi").join(won.select(*by), by, "left_anti").select(*by, F.lit(None).cast("long").alias("new"))
+    return changes_between(rows, apply_changes(rows, won.select(*by, "new").unionByName(displaced), keys), keys)
+
+
+def cut_at(rows: DataFrame, cuts: DataFrame, keys: Keys = ()) -> DataFrame:
     """cuts(ident, t, new_id): rows of ident from t on get new_id; a cut that leaves a side empty does nothing."""
-    c = cuts.select("ident", F.col("t").alias("_t"), "new_id")
-    sides = rows.join(c, "ident").groupBy("ident", "_t").agg(F.max(F.col("t") < F.col("_t")).alias("_l"), F.max(F.col("t") >= F.col("_t")).alias("_r")).where("_l and _r").select("ident", "_t")
-    hits = rows.join(c.join(sides, ["ident", "_t"]), "ident").where(F.col("t") >= F.col("_t"))
-    return hits.select("row", F.col("ident").alias("old"), F.col("new_id").alias("new"))
+    by = [*keys, "ident"]
+    c = cuts.select(*by, F.col("t").alias("_t"), "new_id")
+    sides = rows.join(c, by).groupBy(*by, "_t").agg(F.max(F.col("t") < F.col("_t")).alias("_l"), F.max(F.col("t") >= F.col("_t")).alias("_r")).where("_l and _r").select(*by, "_t")
+    hits = rows.join(c.join(sides, [*by, "_t"]), by).where(F.col("t") >= F.col("_t"))
+    return hits.select(*keys, "row", F.col("ident").alias("old"), F.col("new_id").alias("new"))
 
 
-def swap_after(rows: DataFrame, a: int, b: int, t: float) -> DataFrame:
+def swap_after(rows: DataFrame, a: int, b: int, t: float, keys: Keys = ()) -> DataFrame:
     new = F.when(F.col("t") >= t, F.when(F.col("ident") == a, F.lit(b)).when(F.col("ident") == b, F.lit(a))).cast("long")
-    return rows.withColumn("new", new).where("new is not null").select("row", F.col("ident").alias("old"), "new")
+    return rows.withColumn("new", new).where("new is not null").select(*keys, "row", F.col("ident").alias("old"), "new")
 
 
-def rebase(result: DataFrame, base: DataFrame, current: DataFrame) -> DataFrame:
+def rebase(result: DataFrame, base: DataFrame, current: DataFrame, keys: Keys = ()) -> DataFrame:
     """Changes of a result computed on base that still apply: where the current ident is the base's (nulls are equal)."""
-    x = result.select("row", F.col("ident").alias("new")).join(base.select("row", F.col("ident").alias("was")), "row").join(current.select("row", F.col("ident").alias("old")), "row")
-    return x.where(F.col("old").eqNullSafe(F.col("was")) & ~F.col("old").eqNullSafe(F.col("new"))).select("row", "old", "new")
+    by = [*keys, "row"]
+    x = result.select(*by, F.col("ident").alias("new")).join(base.select(*by, F.col("ident").alias("was")), by).join(current.select(*by, F.col("ident").alias("old")), by)
+    return x.where(F.col("old").eqNullSafe(F.col("was")) & ~F.col("old").eqNullSafe(F.col("new"))).select(*by, "old", "new")
 
 
-def state_at(rows: DataFrame, log: DataFrame, seq: int) -> DataFrame:
+def state_at(rows: DataFrame, log: DataFrame, seq: int, keys: Keys = ()) -> DataFrame:
     """rows after all changes(seq, row, new) up to seq: the last one of each row holds; undo is a smaller seq."""
-    last = log.where(F.col("seq") <= seq).groupBy("row").agg(F.max_by(F.struct("new"), "seq").alias("_m")).select("row", "_m.new")
-    return apply_changes(rows, last)
+    last = log.where(F.col("seq") <= seq).groupBy(*keys, "row").agg(F.max_by(F.struct("new"), "seq").alias("_m")).select(*keys, "row", "_m.new")
+    return apply_changes(rows, last, keys)
 
 
-def add_rows(rows: DataFrame, new: DataFrame) -> DataFrame:
+def add_rows(rows: DataFrame, new: DataFrame, keys: Keys = ()) -> DataFrame:
     """rows and those of new(row, ident, k, f, t) with a finite f whose target has no row in that frame."""
+    by = [*keys, "ident", "k"]
     fine = new.where(F.col("f").isNotNull() & ~F.isnan("f") & (F.abs("f") < float("inf")))
-    return rows.unionByName(fine.join(rows.select("ident", "k").where("ident is not null").distinct(), ["ident", "k"], "left_anti").select(*rows.columns))
+    return rows.unionByName(fine.join(rows.select(*by).where("ident is not null").distinct(), by, "left_anti").select(*rows.columns))
+
+
+def grown_ids(changes: DataFrame, keys: Keys = ()) -> DataFrame:
+    """ident: the ids that an edit gave rows to."""
+    return changes.where("new is not null").select(*keys, F.col("new").alias("ident")).distinct()
+
+
+def set_meta(meta: DataFrame, told: DataFrame, keys: Keys = ()) -> DataFrame:
+    """meta(ident, label, note) after told(seq, ident, label, note): of each field the last value that is told holds, an empty text takes it away.
+
+    A null in told leaves a field as it is. Ids without a label and a note have no row.
+    """
+    last = told.groupBy(*keys, "ident").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in ("label", "note")))
+    both = meta.join(last, [*keys, "ident"], "full")
+    fields = [F.nullif(F.coalesce(f"_{c}", c), F.lit("")).alias(c) for c in ("label", "note")]
+    return both.select(*keys, "ident", *fields).where("label is not null or note is not null")
+
+
+def edge_matches(left: DataFrame, right: DataFrame, tolerance: float, keys: Keys = ()) -> DataFrame:
+    """left, right, df: ids of left(ident, f) and right(ident, f) at an edge, matched one to one by the least |df| within tolerance.
+
+    Pairs that are the best of both their ids are settled round by round, which gives the same matches as taking all pairs in order of
+    (df, left, right). Both sides are sorted along f, so a round settles the closest pair of every neighbourhood.
+    """
+    a, b = left.select(*keys, F.col("ident").alias("left"), F.col("f").alias("f_a")), right.select(*keys, F.col("ident").alias("right"), F.col("f").alias("f_b"))
+    a = a.withColumn("_b", F.floor(F.col("f_a") / tolerance))
+    b = b.withColumn("_b", F.explode(F.sequence(F.floor(F.col("f_b") / tolerance) - 1, F.floor(F.col("f_b") / tolerance) + 1)))
+    pairs = a.join(b, [*keys, "_b"]).withColumn("df", F.abs(F.col("f_a") - F.col("f_b"))).where(F.col("df") <= tolerance).select(*keys, "left", "right", "df")
+    return one_to_one(pairs, "left", "right", ["df"], keys)
+
+
+def one_to_one(pairs: DataFrame, left: str, right: str, order: list[str], keys: Keys = ()) -> DataFrame:
+    """The pairs that a greedy pass in order (then left, right) takes, each id of either side once."""
+    from fieldscope.sources.tables import written
+
+    rest, out = written(pairs, "pairs"), None
+    while not rest.isEmpty():
+        rank = F.struct(*order, left, right)
+        best = rest.withColumns({f"_{side}": F.min(rank).over(Window.partitionBy(*keys, side)) for side in (left, right)})
+        taken = written(best.where((F.col(f"_{left}") == rank) & (F.col(f"_{right}") == rank)).select(*rest.columns), "pairs-taken")
+        out = taken if out is None else out.unionByName(taken)
+        for side in (left, right):
+            rest = rest.join(taken.select(*keys, side), [*keys, side], "left_anti")
+        rest = written(rest.select(*pairs.columns), "pairs")
+    return pairs.limit(0) if out is None else out
+
+
+def replace_span(rows: DataFrame, snippet: DataFrame, k0: int, k1: int, tolerance: float, near: int = 5, keys: Keys = ()) -> DataFrame:
+    """rows after a new tracking(row, ident, k, f, t) of the frames k0 to k1: the old rows of the span lose their ids and the snippet's are added.
+
+    A snippet's track takes the id of the session's track that it continues: at the left edge the ids whose last row lies within near frames
+    before k0 are matched with the tracks by f (edge_matches), then those left over at the right edge with the ids that begin within near frames after
+    k1; an id that has been given is not given again. Other tracks get fresh ids from the session's largest on, in the order of their own ids.
+    Rows are numbered on from the session's largest row.
+    """
+    by = [*keys, "ident"]
+    inside = F.col("k").between(k0, k1)
+    base = rows.withColumn("ident", F.when(~inside, F.col("ident")))
+    kept, told = base.where("ident is not null"), snippet.where("ident is not null")
+    before = kept.where((F.col("k") < k0) & (F.col("k") >= k0 - near)).groupBy(*by).agg(F.max_by("f", F.struct("k", "row")).alias("f"))
+    after = kept.where((F.col("k") > k1) & (F.col("k") <= k1 + near)).groupBy(*by).agg(F.min_by("f", F.struct("k", "row")).alias("f"))
+    begins, ends = (told.groupBy(*by).agg(pick("f", F.struct("k", "row")).alias("f")) for pick in (F.min_by, F.max_by))
+    left = edge_matches(begins, before, tolerance, keys).select(*keys, "left", "right")
+    free = lambda df, taken, side: df.join(taken.select(*keys, F.col(side).alias("ident")), by, "left_anti")
+    right = edge_matches(free(ends, left, "left"), free(after, left, "right"), tolerance, keys).select(*keys, "left", "right")
+    stitched = left.unionByName(right).withColumnRenamed("left", "ident")
+    top = rows.groupBy(*keys).agg(F.coalesce(F.max("ident"), F.lit(-1)).alias("_top"), F.max("row").alias("_last"))
+    others = begins.select(*by).join(stitched, by, "left_anti")
+    number = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ident"))  # a row for each track of the snippet
+    with_top = lambda df: df.join(top, list(keys)) if keys else df.crossJoin(F.broadcast(top))
+    fresh = with_top(others.withColumn("_n", number)).select(*by, (F.col("_top") + F.col("_n")).alias("right"))
+    named = snippet.join(stitched.unionByName(fresh), by, "left").withColumn("ident", F.col("right")).drop("right")
+    moved = with_top(named).withColumn("row", F.col("_last") + 1 + F.col("row")).select(*rows.columns)
+    return base.unionByName(moved)

@@ -91,8 +91,41 @@ def merge_spans(spans: DataFrame, keys: list[str], tolerance: float = 0.0, width
     ).drop("_island")
 
 
-def time_islands(rows: DataFrame, keys: list[str], gap: float, t0: str = "t0", t1: str = "t1", name: str = "island") -> DataFrame:
+def neighbour(rows: DataFrame, keys: list[str], columns: list[str], name: str, width: float, order: tuple[str, ...] = ("t", "row"), forward: bool = False) -> DataFrame:
+    """rows with name: the struct of columns of the row before (forward: after) it in order within keys, null where there is none.
+
+    order begins with a time or frame, which is cut in buckets of width; a bucket's first row takes the last one of the bucket before.
+    """
+    cut = rows.withColumn("_b", bucket(F.col(order[0]), width))
+    mark = F.struct(*columns)
+    ends = cut.groupBy(*keys, "_b").agg((F.min_by if forward else F.max_by)(mark, F.struct(*order)).alias("_end"))
+    turn = (lambda c: F.col(c).desc()) if forward else F.col
+    ends = ends.select(*keys, "_b", F.lag("_end").over(Window.partitionBy(*keys).orderBy(turn("_b"))).alias("_far"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*map(turn, order))
+    return cut.withColumn("_near", F.lag(mark).over(inside)).join(ends, [*keys, "_b"]).withColumn(name, F.coalesce("_near", "_far")).drop("_b", "_near", "_far")
+
+
+def running_sum(rows: DataFrame, keys: list[str], value: str, name: str, width: float, order: tuple[str, ...] = ("t", "row")) -> DataFrame:
+    """rows with name: the sum of value up to each row in order within keys, in two levels as neighbour; rows of equal order share it."""
+    cut = rows.withColumn("_b", bucket(F.col(order[0]), width))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy(*keys, "_b").agg(F.sum(value).alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    return cut.join(base, [*keys, "_b"]).withColumn(name, F.col("_base") + F.sum(value).over(inside)).drop("_b", "_base")
+
+
+def reach_before(rows: DataFrame, keys: list[str], end: str, name: str, width: float, order: tuple[str, ...]) -> DataFrame:
+    """rows with name: the largest end of all rows before it in order within keys, null for the first."""
+    cut = rows.withColumn("_b", bucket(F.col(order[0]), width))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    far = cut.groupBy(*keys, "_b").agg(F.max(end).alias("_m")).select(*keys, "_b", F.max("_m").over(before).alias("_far"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(far, [*keys, "_b"]).withColumn(name, F.greatest(F.max(end).over(inside), F.col("_far"))).drop("_b", "_far")
+
+
+def time_islands(rows: DataFrame, keys: list[str], gap: float, t0: str = "t0", t1: str = "t1", name: str = "island", width: float = 86400.0) -> DataFrame:
     """rows with the number of its island: a new one starts where t0 is over gap after every end before it."""
-    w = Window.partitionBy(*keys).orderBy(t0, t1)
-    fresh = F.col(t0) - F.max(t1).over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap
-    return rows.withColumn("_new", F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    order = (t0, t1) if t0 != t1 else (t0,)
+    reached = reach_before(rows, keys, t1, "_reach", width, order)
+    fresh = reached.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(t0) - F.col("_reach") > gap), 1).otherwise(0)).drop("_reach")
+    return running_sum(fresh, keys, "_new", name, width, order).drop("_new")

@@ -1,4 +1,8 @@
-"""Frequency-track tables: detections(row, ident, k, f, t); ident null where none is assigned."""
+"""Frequency-track tables: detections(keys..., row, ident, k, f, t); ident null where none is assigned.
+
+keys name the columns of a session: row, ident, k and t are told apart by session, so rows of two never meet. Without keys all rows are of
+one session. What looks along a whole track works in two levels, on buckets of frames or of time.
+"""
 
 from __future__ import annotations
 
@@ -7,115 +11,166 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldscope.operators.joins import bucket, neighbour, running_sum
+from fieldscope.sources.tables import written
+
+Keys = list[str] | tuple[str, ...]
+#: Frames and seconds of a bucket of the two-level forms.
+FRAMES, SECONDS = 4096, 86400.0
 
-def track_stats(rows: DataFrame) -> DataFrame:
+
+def track_stats(rows: DataFrame, keys: Keys = ()) -> DataFrame:
     assigned = rows.where("ident is not null")
-    return assigned.groupBy("ident").agg(
+    return assigned.groupBy(*keys, "ident").agg(
         F.count("*").alias("n"), F.min("k").alias("k_first"), F.max("k").alias("k_last"), F.min("t").alias("t_first"), F.max("t").alias("t_last"),
         F.min("f").alias("f_min"), F.percentile("f", 0.5).alias("f_median"), F.max("f").alias("f_max"),
     )
 
 
-def one_per_frame(rows: DataFrame) -> DataFrame:
+def one_per_frame(rows: DataFrame, keys: Keys = ()) -> DataFrame:
     """The first row of each (ident, k)."""
-    w = Window.partitionBy("ident", "k").orderBy("row")
+    w = Window.partitionBy(*keys, "ident", "k").orderBy("row")
     return rows.where("ident is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def frame_duplicates(rows: DataFrame) -> DataFrame:
+def frame_duplicates(rows: DataFrame, keys: Keys = ()) -> DataFrame:
     """ident, k, n where an id has several detections in a frame."""
-    return rows.where("ident is not null").groupBy("ident", "k").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.where("ident is not null").groupBy(*keys, "ident", "k").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def local_median_losers(rows: DataFrame, half: int = 30) -> DataFrame:
+def local_median_losers(rows: DataFrame, half: int = 30, keys: Keys = ()) -> DataFrame:
     """row, ident, k of the rows to let go where several share id and frame.
 
     The one stays whose f is nearest the median of that id's rows in other frames within half frames (of its own group where there are
     none); ties go to the smallest row. Only frames with duplicates are joined with their surroundings, in buckets of frames.
     """
+    by = [*keys, "ident", "k"]
     assigned = rows.where("ident is not null")
-    twice = frame_duplicates(rows).select("ident", "k")
-    spread = twice.select("ident", "k", F.explode(F.sequence(F.floor((F.col("k") - half) / half), F.floor((F.col("k") + half) / half))).alias("_b"))
-    others = assigned.select("ident", F.col("k").alias("_k"), "f", F.floor(F.col("k") / half).alias("_b"))
-    near = spread.join(others, ["ident", "_b"]).where((F.abs(F.col("k") - F.col("_k")) <= half) & (F.col("k") != F.col("_k")))
-    around = near.groupBy("ident", "k").agg(F.percentile("f", 0.5).alias("_around"))
-    own = assigned.join(twice, ["ident", "k"])
-    middle = own.groupBy("ident", "k").agg(F.percentile("f", 0.5).alias("_own")).join(around, ["ident", "k"], "left").select("ident", "k", F.coalesce("_around", "_own").alias("_mid"))
-    rank = F.row_number().over(Window.partitionBy("ident", "k").orderBy(F.abs(F.col("f") - F.col("_mid")), "row"))
-    return own.join(middle, ["ident", "k"]).withColumn("_rank", rank).where("_rank > 1").select("row", "ident", "k")
+    twice = frame_duplicates(rows, keys).select(*by)
+    spread = twice.select(*by, F.explode(F.sequence(F.floor((F.col("k") - half) / half), F.floor((F.col("k") + half) / half))).alias("_b"))
+    others = assigned.select(*keys, "ident", F.col("k").alias("_k"), "f", F.floor(F.col("k") / half).alias("_b"))
+    near = spread.join(others, [*keys, "ident", "_b"]).where((F.abs(F.col("k") - F.col("_k")) <= half) & (F.col("k") != F.col("_k")))
+    around = near.groupBy(*by).agg(F.percentile("f", 0.5).alias("_around"))
+    own = assigned.join(twice, by)
+    middle = own.groupBy(*by).agg(F.percentile("f", 0.5).alias("_own")).join(around, by, "left").select(*by, F.coalesce("_around", "_own").alias("_mid"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.abs(F.col("f") - F.col("_mid")), "row"))
+    return own.join(middle, by).withColumn("_rank", rank).where("_rank > 1").select(*keys, "row", "ident", "k")
+
 
+def highpass(rows: DataFrame, half: int, keys: Keys = ()) -> DataFrame:
+    """rows (one per frame) with high: f minus the median of its id's f within half frames.
 
-def highpass(rows: DataFrame, half: int) -> DataFrame:
-    """rows (one per frame) with high: f minus the median of its id's f within half frames."""
-    w = Window.partitionBy("ident").orderBy("k").rangeBetween(-half, half)
-    return one_per_frame(rows).withColumn("high", F.col("f") - F.percentile("f", F.lit(0.5)).over(w))
+    Windows run inside buckets of frames, which also hold the rows within half frames of them.
+    """
+    width = max(FRAMES, 4 * half)
+    spread = F.explode(F.sequence(F.floor((F.col("k") - half) / width), F.floor((F.col("k") + half) / width)))
+    w = Window.partitionBy(*keys, "ident", "_b").orderBy("k").rangeBetween(-half, half)
+    out = one_per_frame(rows, keys).withColumn("_b", spread).withColumn("high", F.col("f") - F.percentile("f", F.lit(0.5)).over(w))
+    return out.where(F.col("_b") == F.floor(F.col("k") / width)).drop("_b")
 
 
-def track_breaks(rows: DataFrame, limit: int) -> DataFrame:
+def track_breaks(rows: DataFrame, limit: int, keys: Keys = ()) -> DataFrame:
     """rows with piece: the number of the id's unbroken piece; it breaks where frames lie over limit apart."""
-    w = Window.partitionBy("ident").orderBy("k", "row")
-    new = F.when(F.col("k") - F.lag("k").over(w) > limit, 1).otherwise(0)
-    return rows.where("ident is not null").withColumn("_new", new).withColumn("piece", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    by = [*keys, "ident"]
+    before = neighbour(rows.where("ident is not null"), by, ["k"], "_prev", FRAMES, ("k", "row"))
+    broken = before.withColumn("_new", F.when(F.col("k") - F.col("_prev.k") > limit, 1).otherwise(0)).drop("_prev")
+    return running_sum(broken, by, "_new", "piece", FRAMES, ("k", "row")).drop("_new")
 
 
-def gap_issues(rows: DataFrame, gap_s: float = 0.5) -> DataFrame:
-    w = Window.partitionBy("ident").orderBy("t", "row")
-    gaps = rows.where("ident is not null").withColumn("t_next", F.lead("t").over(w)).where(F.col("t_next") - F.col("t") > gap_s)
-    return gaps.select(F.lit("gap").alias("kind"), "ident", "t", "t_next")
+def gap_issues(rows: DataFrame, gap_s: float = 0.5, keys: Keys = ()) -> DataFrame:
+    after = neighbour(rows.where("ident is not null"), [*keys, "ident"], ["t"], "_next", SECONDS, forward=True)
+    return after.where(F.col("_next.t") - F.col("t") > gap_s).select(F.lit("gap").alias("kind"), *keys, "ident", "t", F.col("_next.t").alias("t_next"))
 
 
-def short_issues(rows: DataFrame, least: int = 10) -> DataFrame:
-    stats = rows.where("ident is not null").groupBy("ident").agg(F.count("*").alias("n"), F.min("t").alias("t")).where(F.col("n") < least)
-    return stats.select(F.lit("short").alias("kind"), "ident", "t", "n")
+def short_issues(rows: DataFrame, least: int = 10, keys: Keys = ()) -> DataFrame:
+    stats = rows.where("ident is not null").groupBy(*keys, "ident").agg(F.count("*").alias("n"), F.min("t").alias("t")).where(F.col("n") < least)
+    return stats.select(F.lit("short").alias("kind"), *keys, "ident", "t", "n")
 
 
-def join_issues(rows: DataFrame, max_dt: float = 10.0, max_df: float = 2.5) -> DataFrame:
+def join_issues(rows: DataFrame, max_dt: float = 10.0, max_df: float = 2.5, keys: Keys = ()) -> DataFrame:
     """ident, other, t, dt, df: for each track end the start of another track that comes later, within max_dt and nearest in f within max_df."""
-    from fieldscope.operators.joins import bucket
-
     assigned = rows.where("ident is not null")
-    ends = assigned.groupBy("ident").agg(F.max(F.struct("t", "k", "f", "row")).alias("e"), F.min(F.struct("t", "k", "f", "row")).alias("s"))
-    a = ends.select("ident", "e.t", "e.k", "e.f", F.explode(F.sequence(bucket(F.col("e.t"), max_dt), bucket(F.col("e.t"), max_dt) + 1)).alias("_b"))
-    b = ends.select(F.col("ident").alias("other"), F.col("s.t").alias("t_b"), F.col("s.k").alias("k_b"), F.col("s.f").alias("f_b"), bucket(F.col("s.t"), max_dt).alias("_b"))
-    pairs = a.join(b, "_b").withColumns({"dt": F.col("t_b") - F.col("t"), "df": F.abs(F.col("f_b") - F.col("f"))})
+    ends = assigned.groupBy(*keys, "ident").agg(F.max(F.struct("t", "k", "f", "row")).alias("e"), F.min(F.struct("t", "k", "f", "row")).alias("s"))
+    a = ends.select(*keys, "ident", "e.t", "e.k", "e.f", F.explode(F.sequence(bucket(F.col("e.t"), max_dt), bucket(F.col("e.t"), max_dt) + 1)).alias("_b"))
+    b = ends.select(*keys, F.col("ident").alias("other"), F.col("s.t").alias("t_b"), F.col("s.k").alias("k_b"), F.col("s.f").alias("f_b"), bucket(F.col("s.t"), max_dt).alias("_b"))
+    pairs = a.join(b, [*keys, "_b"]).withColumns({"dt": F.col("t_b") - F.col("t"), "df": F.abs(F.col("f_b") - F.col("f"))})
     pairs = pairs.where((F.col("ident") != F.col("other")) & (F.col("k_b") > F.col("k")) & F.col("dt").between(0, max_dt) & (F.col("df") <= max_df))
-    best = pairs.groupBy("ident").agg(F.min_by(F.struct("other", "t", "dt", "df"), F.struct("df", "dt", "other")).alias("m"))
-    return best.select(F.lit("join").alias("kind"), "ident", "m.other", "m.t", "m.dt", "m.df")
+    best = pairs.groupBy(*keys, "ident").agg(F.min_by(F.struct("other", "t", "dt", "df"), F.struct("df", "dt", "other")).alias("m"))
+    return best.select(F.lit("join").alias("kind"), *keys, "ident", "m.other", "m.t", "m.dt", "m.df")
 
 
-def cross_issues(rows: DataFrame, bin_hz: float, gap: int = 30) -> DataFrame:
+def cross_issues(rows: DataFrame, bin_hz: float, gap: int = 30, keys: Keys = ()) -> DataFrame:
     """lo, hi, k of crossings: ids next to each other in a frame within a bin; a new one where the pair was over gap frames apart."""
-    w = Window.partitionBy("k").orderBy("f", "row")
-    near = one_per_frame(rows).withColumns({"_other": F.lead("ident").over(w), "_df": F.lead("f").over(w) - F.col("f")}).where(F.col("_df") <= bin_hz)
-    pairs = near.select(F.least("ident", "_other").alias("lo"), F.greatest("ident", "_other").alias("hi"), "k").distinct()
-    before = F.lag("k").over(Window.partitionBy("lo", "hi").orderBy("k"))
-    return pairs.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("k") - F.col("_before") > gap)).select("lo", "hi", "k")
+    w = Window.partitionBy(*keys, "k").orderBy("f", "row")
+    near = one_per_frame(rows, keys).withColumns({"_other": F.lead("ident").over(w), "_df": F.lead("f").over(w) - F.col("f")}).where(F.col("_df") <= bin_hz)
+    pairs = near.select(*keys, F.least("ident", "_other").alias("lo"), F.greatest("ident", "_other").alias("hi"), "k").distinct()
+    before = neighbour(pairs, [*keys, "lo", "hi"], ["k"], "_prev", FRAMES, ("k",))
+    return before.where(F.col("_prev").isNull() | (F.col("k") - F.col("_prev.k") > gap)).select(*keys, "lo", "hi", "k")
 
 
-def concurrent_ids(rows: DataFrame) -> DataFrame:
-    """ids: the median of distinct ids per occupied frame, rounded half to even, at least 1."""
-    per = rows.where("ident is not null").groupBy("k").agg(F.countDistinct("ident").alias("n"))
-    return per.agg(F.greatest(F.lit(1), F.rint(F.percentile("n", 0.5)).cast("long")).alias("ids"))
+def review_issues(rows: DataFrame, items: DataFrame, most: float, keys: Keys = ()) -> DataFrame:
+    """kind, item, ident, other, t, confidence of items(item, kind, ident, other, k, t, confidence) that still apply and are not surer than most.
 
-
-def harmonic_candidates(rows: DataFrame, tolerance: float, orders: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+    An item applies while its ids have rows; a join names the other id anew, by the row of that frame nearest in f to the end of ident, where its
+    other id is gone. A null confidence counts as 0.
+    """
+    sure = F.coalesce("confidence", F.lit(0.0))
+    there = rows.where("ident is not null").groupBy(*keys, "ident").agg(F.max_by("f", F.struct("t", "row")).alias("_f"))
+    open_ = items.where(sure <= most).join(there, [*keys, "ident"])
+    held = there.select(*keys, F.col("ident").alias("other"), F.lit(True).alias("_held"))
+    open_ = open_.join(held, [*keys, "other"], "left")
+    lost = open_.where(F.col("other").isNotNull() & F.col("_held").isNull() & (F.col("kind") == "join"))
+    at = rows.where("ident is not null").select(*keys, "k", F.col("ident").alias("_new"), F.col("f").alias("_f_new"), "row")
+    found = lost.join(at, [*keys, "k"]).where(F.col("_new") != F.col("ident")).groupBy(*keys, "item").agg(F.min_by("_new", F.struct(F.abs(F.col("_f_new") - F.col("_f")), "row")).alias("_found"))
+    out = open_.join(found, [*keys, "item"], "left").withColumn("other", F.when(F.col("_held"), F.col("other")).otherwise(F.col("_found")))
+    wanted = (F.col("kind") != "join") | F.col("other").isNotNull()
+    return out.where(wanted).select(*keys, "kind", "item", "ident", "other", "t", sure.alias("confidence"))
+
+
+def issues(rows: DataFrame, bin_hz: float, gap_s: float = 0.5, least: int = 10, max_dt: float = 10.0, max_df: float = 2.5, items: DataFrame | None = None, most: float = 1.0, keys: Keys = ()) -> DataFrame:
+    """kind, ident, other, t, confidence of all kinds; order_issues puts them in the order of review."""
+    frames = rows.groupBy(*keys, "k").agg(F.min("t").alias("t"))
+    none, unsure = F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("confidence")
+    parts = [x.select(*keys, "kind", "ident", none, "t", unsure) for x in (gap_issues(rows, gap_s, keys), short_issues(rows, least, keys))]
+    parts.append(join_issues(rows, max_dt, max_df, keys).select(*keys, "kind", "ident", "other", "t", unsure))
+    parts.append(cross_issues(rows, bin_hz, keys=keys).join(frames, [*keys, "k"]).select(*keys, F.lit("cross").alias("kind"), F.col("lo").alias("ident"), F.col("hi").alias("other"), "t", unsure))
+    if items is not None:
+        parts.append(review_issues(rows, items, most, keys).select(*keys, F.lit("review").alias("kind"), "ident", "other", "t", "confidence"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def order_issues(found: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Items of a review first, least sure first; then by time and kind."""
+    return found.orderBy(*keys, F.when(F.col("kind") == "review", 0).otherwise(1), F.col("confidence").asc_nulls_last(), "t", "kind", "ident", "other")
+
+
+def concurrent_ids(rows: DataFrame, keys: Keys = ()) -> DataFrame:
+    """ids: the median of distinct ids per occupied frame, rounded half to even, at least 1; a row for each session."""
+    per = rows.where("ident is not null").groupBy(*keys, "k").agg(F.countDistinct("ident").alias("n"))
+    return per.groupBy(*keys).agg(F.greatest(F.lit(1), F.rint(F.percentile("n", 0.5)).cast("long")).alias("ids"))
+
+
+def harmonic_candidates(rows: DataFrame, tolerance: float, orders: tuple[int, ...] = (2, 3, 4, 5), keys: Keys = ()) -> DataFrame:
     """lo, hi, h, n, offset (median of f_hi - h f_lo) of ids that meet within tolerance sqrt(1 + h^2) in a frame.
 
     Frames are joined with f in buckets of the largest tolerance, so a crowded frame does not give all its pairs.
     """
     width = tolerance * math.sqrt(1 + max(orders) ** 2)
-    once = one_per_frame(rows).select("ident", "k", "f")
-    lo = once.select(F.col("ident").alias("lo"), "k", F.col("f").alias("f_lo"), F.explode(F.array(*map(F.lit, orders))).alias("h"))
-    at = F.floor(F.col("h") * F.col("f_lo") / width)
-    lo = lo.withColumn("_b", F.explode(F.sequence(at - 1, at + 1)))
-    hi = once.select(F.col("ident").alias("hi"), "k", F.col("f").alias("f_hi"), F.floor(F.col("f") / width).alias("_b"))
+    once = one_per_frame(rows, keys).select(*keys, "ident", "k", "f")
+    lo = once.select(*keys, F.col("ident").alias("lo"), "k", F.col("f").alias("f_lo"), F.explode(F.array(*map(F.lit, orders))).alias("h"))
+    lo = lo.withColumn("_b", F.floor(F.col("h") * F.col("f_lo") / width))
+    at = F.floor(F.col("f") / width)
+    hi = once.select(*keys, F.col("ident").alias("hi"), "k", F.col("f").alias("f_hi"), F.explode(F.array(at - 1, at, at + 1)).alias("_b"))
     off = F.col("f_hi") - F.col("h") * F.col("f_lo")
-    pairs = lo.join(hi, ["k", "_b"]).withColumn("_off", off).where((F.abs("_off") <= tolerance * F.sqrt(1 + F.col("h") * F.col("h"))) & (F.col("lo") != F.col("hi")))
-    return pairs.groupBy("lo", "hi", "h").agg(F.count("*").alias("n"), F.percentile("_off", 0.5).alias("offset"))
+    pairs = lo.join(hi, [*keys, "k", "_b"]).withColumn("_off", off).where((F.abs("_off") <= tolerance * F.sqrt(1 + F.col("h") * F.col("h"))) & (F.col("lo") != F.col("hi")))
+    return pairs.groupBy(*keys, "lo", "hi", "h").agg(F.count("*").alias("n"), F.percentile("_off", 0.5).alias("offset"))
 
 
 def judge_harmonics(
-    rows: DataFrame, candidates: DataFrame, bin_hz: float, least: int = 5, share: float = 0.7, *, frame_s: float | None, min_overlap: float = 10.0, timescale: float = 30.0, least_corr: float = 0.5
+    rows: DataFrame, candidates: DataFrame, bin_hz: float, least: int = 5, share: float = 0.7, *, frame_s: float | None, min_overlap: float = 10.0, timescale: float = 30.0, least_corr: float = 0.5, keys: Keys = ()
 ) -> DataFrame:
     """lo, hi, h, n, offset, match, corr of candidates that are harmonics: enough common frames, a small median offset, enough frames close by.
 
@@ -124,90 +179,163 @@ def judge_harmonics(
     short overlap, and for all where frame_s is None, which leaves the test out.
     The candidates' tolerance must be 0.3 bin_hz at least: a harmonic then has share * least of its frames among them, and the rest is not looked at.
     """
+    by = [*keys, "lo", "hi", "h"]
     candidates = candidates.where(F.col("n") >= math.ceil(share * least))
-    once = one_per_frame(rows).select("ident", "k", "f")
-    a = once.select(F.col("ident").alias("lo"), "k", F.col("f").alias("f_lo"))
-    b = once.select(F.col("ident").alias("hi"), "k", F.col("f").alias("f_hi"))
-    both = candidates.select("lo", "hi", "h").join(a, "lo").join(b, ["hi", "k"]).withColumn("_off", F.col("f_hi") - F.col("h") * F.col("f_lo"))
+    once = one_per_frame(rows, keys).select(*keys, "ident", "k", "f")
+    a = once.select(*keys, F.col("ident").alias("lo"), "k", F.col("f").alias("f_lo"))
+    b = once.select(*keys, F.col("ident").alias("hi"), "k", F.col("f").alias("f_hi"))
+    both = candidates.select(*by).join(a, [*keys, "lo"]).join(b, [*keys, "hi", "k"]).withColumn("_off", F.col("f_hi") - F.col("h") * F.col("f_lo"))
     tol = bin_hz * F.sqrt(1 + F.col("h") * F.col("h"))
-    out = both.groupBy("lo", "hi", "h").agg(F.count("*").alias("n"), F.percentile("_off", 0.5).alias("offset"), F.avg(F.when(F.abs("_off") <= 0.3 * tol, 1.0).otherwise(0.0)).alias("match"))
+    out = both.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_off", 0.5).alias("offset"), F.avg(F.when(F.abs("_off") <= 0.3 * tol, 1.0).otherwise(0.0)).alias("match"))
     out = out.where((F.col("n") >= least) & (F.abs("offset") <= 0.1 * tol) & (F.col("match") >= share))
     if frame_s is None:
         return out.withColumn("corr", F.lit(None).cast("double"))
-    long = out.where(F.col("n") * frame_s >= min_overlap).select("lo", "hi", "h")
+    long = out.where(F.col("n") * frame_s >= min_overlap).select(*by)
     half = round(timescale / frame_s) // 2
-    w = Window.partitionBy("lo", "hi", "h").orderBy("k").rangeBetween(-half, half)
+    width = max(FRAMES, 4 * half)
+    spread = F.explode(F.sequence(F.floor((F.col("k") - half) / width), F.floor((F.col("k") + half) / width)))
+    w = Window.partitionBy(*by, "_b").orderBy("k").rangeBetween(-half, half)
     high = [(value - F.percentile(value, F.lit(0.5)).over(w)).alias(name) for name, value in (("_x", F.col("h") * F.col("f_lo")), ("_y", F.col("f_hi")))]
-    moves = both.join(long, ["lo", "hi", "h"], "left_semi").select("lo", "hi", "h", *high)
-    alike = moves.groupBy("lo", "hi", "h").agg(F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("corr"))
+    moves = both.join(long, by, "left_semi").withColumn("_b", spread).select(*by, "k", "_b", *high).where(F.col("_b") == F.floor(F.col("k") / width))
+    alike = moves.groupBy(*by).agg(F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("corr"))
     fits = ~F.isnan("corr") & (F.col("corr") >= least_corr)  # null fails too
-    return out.join(alike, ["lo", "hi", "h"], "left").where((F.col("n") * frame_s < min_overlap) | fits)
+    return out.join(alike, by, "left").where((F.col("n") * frame_s < min_overlap) | fits)
 
 
-def best_per_harmonic(judged: DataFrame) -> DataFrame:
+def best_per_harmonic(judged: DataFrame, keys: Keys = ()) -> DataFrame:
     """For each hi one lo: first one that is no harmonic itself, then the most matching frames, then the least offset."""
-    himself = judged.select(F.col("hi").alias("lo")).distinct().withColumn("_overtone", F.lit(1))
-    w = Window.partitionBy("hi").orderBy(F.coalesce("_overtone", F.lit(0)), (-F.col("match") * F.col("n")), F.abs("offset"), "lo", "h")
-    return judged.join(himself, "lo", "left").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_overtone")
+    himself = judged.select(*keys, F.col("hi").alias("lo")).distinct().withColumn("_overtone", F.lit(1))
+    w = Window.partitionBy(*keys, "hi").orderBy(F.coalesce("_overtone", F.lit(0)), (-F.col("match") * F.col("n")), F.abs("offset"), "lo", "h")
+    return judged.join(himself, [*keys, "lo"], "left").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_overtone")
 
 
-def band_harmonics(rows: DataFrame, band: DataFrame, orders: tuple[int, ...] = (2, 3, 4, 5), least: int = 5, share: float = 0.7) -> DataFrame:
+def find_harmonics(rows: DataFrame, tolerance: float, bin_hz: float, least: int = 5, share: float = 0.7, frame_s: float | None = None, ids: DataFrame | None = None, keys: Keys = ()) -> DataFrame:
+    """The best fundamental of each id, as best_per_harmonic; ids(ident): only pairs with one of them are looked at, in frames that they have."""
+    if ids is not None:
+        rows = harmonic_subset(rows, ids, keys)
+    rows = written(one_per_frame(rows, keys).select(*keys, "row", "ident", "k", "f"), "frames")
+    found = harmonic_candidates(rows, tolerance, keys=keys)
+    if ids is not None:
+        asked = [ids.select(*keys, F.col("ident").alias(end), F.lit(True).alias(f"_{end}")).distinct() for end in ("lo", "hi")]
+        found = found.join(asked[0], [*keys, "lo"], "left").join(asked[1], [*keys, "hi"], "left").where("_lo or _hi").drop("_lo", "_hi")
+    found = written(found, "harmonic-candidates")
+    return best_per_harmonic(written(judge_harmonics(rows, found, bin_hz, least, share, frame_s=frame_s, keys=keys), "harmonics"), keys)
+
+
+def harmonic_subset(rows: DataFrame, ids: DataFrame, keys: Keys = ()) -> DataFrame:
+    """The rows of all frames in which one of ids(ident) has a row."""
+    frames = rows.join(ids.select(*keys, "ident").distinct(), [*keys, "ident"], "left_semi").select(*keys, "k").distinct()
+    return rows.join(frames, [*keys, "k"], "left_semi")
+
+
+def check_track(rows: DataFrame, track: DataFrame, tolerance: float, bin_hz: float, ident: int = -1, **settings) -> DataFrame:
+    """Harmonic relations of a track(k, f, row, t) that has no id yet with the ids of rows; it goes by ident."""
+    keys = settings.get("keys", ())
+    both = rows.select(*keys, "row", "ident", "k", "f", "t").unionByName(track.select(*keys, "row", F.lit(ident).cast("long").alias("ident"), "k", "f", "t"))
+    ids = track.select(*keys, F.lit(ident).cast("long").alias("ident")).distinct()
+    return find_harmonics(both, tolerance, bin_hz, ids=ids, **settings)
+
+
+def band_harmonics(rows: DataFrame, band: DataFrame, orders: tuple[int, ...] = (2, 3, 4, 5), least: int = 5, share: float = 0.7, keys: Keys = ()) -> DataFrame:
     """ident, h, up, n, inside: ids of which h f (up) or f / h lies in band(k, lo_hz, hi_hz) in enough frames."""
-    each = one_per_frame(rows).select("ident", "k", "f").join(band, "k").select("*", F.explode(F.array(*map(F.lit, orders))).alias("h"))
+    each = one_per_frame(rows, keys).select(*keys, "ident", "k", "f").join(band, [*keys, "k"]).select("*", F.explode(F.array(*map(F.lit, orders))).alias("h"))
     each = each.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("up"))
     value = F.when(F.col("up"), F.col("f") * F.col("h")).otherwise(F.col("f") / F.col("h"))
-    out = each.groupBy("ident", "h", "up").agg(F.count("*").alias("n"), F.count_if(value.between(F.col("lo_hz"), F.col("hi_hz"))).alias("inside"))
+    out = each.groupBy(*keys, "ident", "h", "up").agg(F.count("*").alias("n"), F.count_if(value.between(F.col("lo_hz"), F.col("hi_hz"))).alias("inside"))
     return out.where((F.col("n") >= least) & (F.col("inside") >= share * F.col("n")))
 
 
-def first_per_bin(rows: DataFrame, width: int) -> DataFrame:
+def first_per_bin(rows: DataFrame, width: int, keys: Keys = ()) -> DataFrame:
     """One vertex per id and bin of width frames: the first."""
-    w = Window.partitionBy("ident", F.floor(F.col("k") / width)).orderBy("k", "row")
+    w = Window.partitionBy(*keys, "ident", F.floor(F.col("k") / width)).orderBy("k", "row")
     return rows.where("ident is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def thin_points(rows: DataFrame, cell_s: float, cell_hz: float, keys: Keys = ()) -> DataFrame:
+    """keys, x, y, row, n: the first row of each cell of the picture, and how many rows lie in it."""
+    x, y = F.floor(F.col("t") / cell_s).cast("long").alias("x"), F.floor(F.col("f") / cell_hz).cast("long").alias("y")
+    return rows.groupBy(*keys, x, y).agg(F.min("row").alias("row"), F.count("*").alias("n"))
+
+
 def distance2(t: Column, f: Column, per_s: float, per_hz: float) -> Column:
     dx, dy = (F.col("t") - t) * per_s, (F.col("f") - f) * per_hz
     return dx * dx + dy * dy
 
 
-def nearest_row(rows: DataFrame, points: DataFrame, per_s: float, per_hz: float, radius: float) -> DataFrame:
-    """q, row, d2: the detection closest to each of points(q, t_q, f_q) within radius (in pixels); time buckets keep the join local."""
-    from fieldscope.operators.joins import bucket
-
+def _near_points(rows: DataFrame, points: DataFrame, per_s: float, per_hz: float, radius: float, keys: Keys) -> DataFrame:
     width = radius / per_s
     asked = points.withColumn("_b", F.explode(F.sequence(bucket(F.col("t_q"), width) - 1, bucket(F.col("t_q"), width) + 1)))
-    pairs = asked.join(rows.withColumn("_b", bucket(F.col("t"), width)), "_b").withColumn("d2", distance2(F.col("t_q"), F.col("f_q"), per_s, per_hz)).where(F.col("d2") <= radius * radius)
-    return pairs.groupBy("q").agg(F.min_by(F.struct("row", "d2"), F.struct("d2", "row")).alias("m")).select("q", "m.row", "m.d2")
+    pairs = asked.join(rows.withColumn("_b", bucket(F.col("t"), width)), [*keys, "_b"]).withColumn("d2", distance2(F.col("t_q"), F.col("f_q"), per_s, per_hz))
+    return pairs.where(F.col("d2") <= radius * radius)
 
 
-def brush_rows(rows: DataFrame, strokes: DataFrame, per_s: float, per_hz: float, radius: float) -> DataFrame:
-    """stroke, row within radius of the segment (t_a, f_a) to (t_b, f_b) of strokes(stroke, ...)."""
-    from fieldscope.operators.joins import bucket
+def nearest_row(rows: DataFrame, points: DataFrame, per_s: float, per_hz: float, radius: float, keys: Keys = ()) -> DataFrame:
+    """q, row, d2: the detection closest to each of points(q, t_q, f_q) within radius (in pixels); time buckets keep the join local."""
+    pairs = _near_points(rows, points, per_s, per_hz, radius, keys)
+    return pairs.groupBy(*keys, "q").agg(F.min_by(F.struct("row", "d2"), F.struct("d2", "row")).alias("m")).select(*keys, "q", "m.row", "m.d2")
+
+
+def nearest_of_id(rows: DataFrame, points: DataFrame, per_s: float, per_hz: float, radius: float, keys: Keys = ()) -> DataFrame:
+    """q, place, ident, row, d2: the ids with a detection within radius of each point, nearest first, each by its nearest detection."""
+    pairs = _near_points(rows.where("ident is not null"), points, per_s, per_hz, radius, keys)
+    best = pairs.groupBy(*keys, "q", "ident").agg(F.min(F.struct("d2", "row")).alias("m"))
+    place = F.row_number().over(Window.partitionBy(*keys, "q").orderBy("m.d2", "m.row"))  # a row for each id near a point
+    return best.select(*keys, "q", place.alias("place"), "ident", "m.row", "m.d2")
+
+
+def nearest_ends(rows: DataFrame, points: DataFrame, per_s: float, per_hz: float, radius: float, keys: Keys = ()) -> DataFrame:
+    """q, ident, edge (first or last), row, d2: the closest end of a track to each point within radius."""
+    at = F.struct("k", "row", "t", "f")
+    ends = rows.where("ident is not null").groupBy(*keys, "ident").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    ends = ends.select(*keys, "ident", F.explode(F.array(*(F.struct(F.lit(e).alias("edge"), F.col(e).alias("p")) for e in ("first", "last")))).alias("e"))
+    pairs = _near_points(ends.select(*keys, "ident", "e.edge", "e.p.row", "e.p.t", "e.p.f"), points, per_s, per_hz, radius, keys)
+    best = pairs.groupBy(*keys, "q").agg(F.min_by(F.struct("ident", "edge", "row", "d2"), F.struct("d2", "ident", "edge")).alias("m"))
+    return best.select(*keys, "q", "m.ident", "m.edge", "m.row", "m.d2")
 
+
+def brush_rows(rows: DataFrame, strokes: DataFrame, per_s: float, per_hz: float, radius: float, keys: Keys = ()) -> DataFrame:
+    """stroke, row within radius of the segment (t_a, f_a) to (t_b, f_b) of strokes(stroke, ...)."""
     width = 3600.0
     lo, hi = F.least("t_a", "t_b") - radius / per_s, F.greatest("t_a", "t_b") + radius / per_s
     s = strokes.withColumn("_b", F.explode(F.sequence(bucket(lo, width), bucket(hi, width))))
-    pairs = s.join(rows.withColumn("_b", bucket(F.col("t"), width)), "_b")
+    pairs = s.join(rows.withColumn("_b", bucket(F.col("t"), width)), [*keys, "_b"])
     ax, ay = (F.col("t_b") - F.col("t_a")) * per_s, (F.col("f_b") - F.col("f_a")) * per_hz
     px, py = (F.col("t") - F.col("t_a")) * per_s, (F.col("f") - F.col("f_a")) * per_hz
     length = ax * ax + ay * ay
     u = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * ax + py * ay) / length))).otherwise(0.0)
     d2 = (px - u * ax) * (px - u * ax) + (py - u * ay) * (py - u * ay)
-    return pairs.where(d2 <= radius * radius).select("stroke", "row").distinct()
+    return pairs.where(d2 <= radius * radius).select(*keys, "stroke", "row").distinct()
 
 
-def line_crossings(rows: DataFrame, lines: DataFrame) -> DataFrame:
+def line_crossings(rows: DataFrame, lines: DataFrame, keys: Keys = ()) -> DataFrame:
     """line, ident, k, cut_t where a line(line, t_a, f_a, t_b, f_b) crosses the way between consecutive detections; the cut is midway."""
-    from fieldscope.operators.joins import bucket
-
     width = 86400.0
-    w = Window.partitionBy("ident").orderBy("k", "row")
-    steps = one_per_frame(rows).select("ident", "k", "t", "f", F.lead("t").over(w).alias("t2"), F.lead("f").over(w).alias("f2")).where("t2 is not null")
+    steps = neighbour(one_per_frame(rows, keys), [*keys, "ident"], ["t", "f"], "_next", FRAMES, ("k", "row"), forward=True)
+    steps = steps.where("_next is not null").select(*keys, "ident", "k", "t", "f", F.col("_next.t").alias("t2"), F.col("_next.f").alias("f2"))
     steps = steps.withColumn("_b", F.explode(F.sequence(bucket(F.col("t"), width), bucket(F.col("t2"), width))))
     cuts = lines.withColumn("_b", F.explode(F.sequence(bucket(F.least("t_a", "t_b"), width), bucket(F.greatest("t_a", "t_b"), width))))
     side = lambda p, q, x, y: (F.col(q[0]) - F.col(p[0])) * (F.col(y) - F.col(p[1])) - (F.col(q[1]) - F.col(p[1])) * (F.col(x) - F.col(p[0]))
     one, two = ("t", "f"), ("t2", "f2")
     a, b = ("t_a", "f_a"), ("t_b", "f_b")
     meets = (side(one, two, *a) * side(one, two, *b) <= 0) & (side(a, b, *one) * side(a, b, *two) <= 0)
-    return steps.join(cuts, "_b").where(meets).select("line", "ident", "k", ((F.col("t") + F.col("t2")) / 2).alias("cut_t")).distinct()
+    return steps.join(cuts, [*keys, "_b"]).where(meets).select(*keys, "line", "ident", "k", ((F.col("t") + F.col("t2")) / 2).alias("cut_t")).distinct()
+
+
+def compose_cuts(rows: DataFrame, cuts: DataFrame, keys: Keys = ()) -> DataFrame:
+    """row, old, new after all cuts(ident, cut_t) of a session: an id is split at each of its cuts that has rows on both sides, and what follows a
+    cut gets a fresh id; fresh ids run on from the session's largest in the order of (ident, cut_t).
+
+    Windows hold a row for each cut.
+    """
+    assigned = rows.where("ident is not null")
+    ends = assigned.groupBy(*keys, "ident").agg(F.min("t").alias("_a"), F.max("t").alias("_z"))
+    real = cuts.select(*keys, "ident", "cut_t").distinct().join(ends, [*keys, "ident"]).where("cut_t > _a and cut_t <= _z").select(*keys, "ident", "cut_t")
+    after = F.coalesce(F.lead("cut_t").over(Window.partitionBy(*keys, "ident").orderBy("cut_t")), F.lit(float("inf")))
+    parts = real.withColumn("_until", after)
+    hit = assigned.join(parts, [*keys, "ident"]).where("t >= cut_t and t < _until").select(*keys, "row", "ident", "cut_t")
+    used = hit.select(*keys, "ident", "cut_t").distinct()
+    number = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ident", "cut_t"))
+    largest = assigned.groupBy(*keys).agg(F.max("ident").alias("_top"))
+    fresh = used.withColumn("_n", number)
+    fresh = (fresh.join(largest, list(keys)) if keys else fresh.crossJoin(F.broadcast(largest))).select(*keys, "ident", "cut_t", (F.col("_top") + F.col("_n")).alias("new"))
+    return hit.join(fresh, [*keys, "ident", "cut_t"]).select(*keys, "row", F.col("ident").alias("old"), "new")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "tracks", "boxes", "labels", "signals", "reviews")
+MODULES = ("timeline", "tracks", "editing", "boxes", "labels", "signals", "dataset", "reviews", "layers")
 
 
 def all_queries() -> tuple[dict, dict]:

@@ -140,7 +140,7 @@ def review_windows(spark, sf_dir):
 
 
 @query("""SELECT cls, count(*) AS events, count(DISTINCT rec) AS recordings, count(*) FILTER (score >= 0.5) AS strong, round(avg(greatest(0, 1 - abs(score - 0.25) / 0.75)), 6) AS uncertain FROM boxes GROUP BY cls""", "ev boxes")
-def dataset_report(spark, sf_dir):
+def class_report(spark, sf_dir):
     b = ev_boxes(spark, sf_dir)
     return b.groupBy("cls").agg(F.count("*").alias("events"), F.countDistinct("rec").alias("recordings"), F.count_if(F.col("score") >= 0.5).alias("strong"), F.round(F.avg(scalars.uncertainty(F.col("score"), 0.25)), 6).alias("uncertain"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldscope.operators import edits, labels
-from fieldscope.plans.registry import ev, ev_labels, ev_tracks, query
+from fieldscope.plans.registry import SESSION, ev, ev_labels, ev_tracks, query
 from fieldscope.plans.tracks import LOSERS_SQL
 
 
@@ -57,62 +57,62 @@ def sync_classes(spark, sf_dir):
     return labels.sync_classes(ev_labels(spark, sf_dir).select(F.col("category").alias("name"), F.col("label_id").alias("position")), known)
 
 
-@query("""SELECT row, ident AS old, CAST(NULL AS BIGINT) AS new FROM trk WHERE ident IN (3, 8, 11)""", "ev tracks")
+@query("""SELECT session, row, ident AS old, CAST(NULL AS BIGINT) AS new FROM trk WHERE ident IN (3, 8, 11)""", "ev tracks")
 def delete_ids(spark, sf_dir):
-    return edits.delete_ids(ev_tracks(spark, sf_dir), [3, 8, 11])
+    return edits.delete_ids(ev_tracks(spark, sf_dir), [3, 8, 11], SESSION)
 
 
 _MERGE = LOSERS_SQL.replace("FROM trk WHERE ident IS NOT NULL", "FROM mg").replace("JOIN trk o", "JOIN mg o").replace("FROM trk t", "FROM mg t")
 
 
-@query("+mg AS (SELECT row, 5::BIGINT AS ident, k, f, t FROM trk WHERE ident BETWEEN 1 AND 60)," + _MERGE + """,
-n AS (SELECT trk.row, trk.ident AS old, CASE WHEN l.row IS NOT NULL THEN NULL ELSE 5 END AS new FROM trk LEFT JOIN losers l ON l.row = trk.row WHERE trk.ident BETWEEN 1 AND 60)
-SELECT row, old, CAST(new AS BIGINT) AS new FROM n WHERE old IS DISTINCT FROM new""", "ev tracks")
+@query("+mg AS (SELECT session, row, 5::BIGINT AS ident, k, f, t FROM trk WHERE ident BETWEEN 1 AND 60)," + _MERGE + """,
+n AS (SELECT trk.session, trk.row, trk.ident AS old, CASE WHEN l.row IS NOT NULL THEN NULL ELSE 5 END AS new FROM trk LEFT JOIN losers l ON l.row = trk.row WHERE trk.ident BETWEEN 1 AND 60)
+SELECT session, row, old, CAST(new AS BIGINT) AS new FROM n WHERE old IS DISTINCT FROM new""", "ev tracks")
 def merge_ids(spark, sf_dir):
-    return edits.merge_ids(ev_tracks(spark, sf_dir), list(range(1, 61)), 5)
+    return edits.merge_ids(ev_tracks(spark, sf_dir), list(range(1, 61)), 5, keys=SESSION)
 
 
-@query("+mg AS (SELECT row, 7::BIGINT AS ident, k, f, t FROM trk WHERE f > 150 AND coalesce(ident, 0) % 3 = 0)," + _MERGE + """,
-won AS (SELECT row, k FROM mg WHERE row NOT IN (SELECT row FROM losers)),
-x AS (SELECT trk.row, trk.ident AS old, CASE WHEN won.row IS NOT NULL THEN 7 WHEN trk.ident = 7 AND trk.k IN (SELECT k FROM won) THEN NULL ELSE trk.ident END AS new FROM trk LEFT JOIN won ON won.row = trk.row)
-SELECT row, old, new FROM x WHERE old IS DISTINCT FROM new""", "ev tracks")
+@query("+mg AS (SELECT session, row, 7::BIGINT AS ident, k, f, t FROM trk WHERE f > 150 AND coalesce(ident, 0) % 3 = 0)," + _MERGE + """,
+won AS (SELECT session, row, k FROM mg WHERE row NOT IN (SELECT row FROM losers)),
+x AS (SELECT trk.session, trk.row, trk.ident AS old, CASE WHEN won.row IS NOT NULL THEN 7 WHEN trk.ident = 7 AND (trk.session, trk.k) IN (SELECT (session, k) FROM won) THEN NULL ELSE trk.ident END AS new FROM trk LEFT JOIN won ON won.row = trk.row)
+SELECT session, row, old, new FROM x WHERE old IS DISTINCT FROM new""", "ev tracks")
 def assign_rows(spark, sf_dir):
     rows = ev_tracks(spark, sf_dir)
-    return edits.assign_rows(rows, rows.where((F.col("f") > 150) & (F.coalesce("ident", F.lit(0)) % 3 == 0)), 7)
+    return edits.assign_rows(rows, rows.where((F.col("f") > 150) & (F.coalesce("ident", F.lit(0)) % 3 == 0)), 7, SESSION)
 
 
-@query("""+c AS (SELECT ident, avg(t) AS t, ident + 100000 AS new_id FROM trk WHERE ident % 2 = 0 GROUP BY ident)
-SELECT trk.row, trk.ident AS old, new_id AS new FROM trk JOIN c ON c.ident = trk.ident WHERE trk.t >= c.t""", "ev tracks")
+@query("""+c AS (SELECT session, ident, avg(t) AS t, ident + 100000 AS new_id FROM trk WHERE ident % 2 = 0 GROUP BY session, ident)
+SELECT trk.session, trk.row, trk.ident AS old, new_id AS new FROM trk JOIN c ON c.session = trk.session AND c.ident = trk.ident WHERE trk.t >= c.t""", "ev tracks")
 def cut_tracks(spark, sf_dir):
     rows = ev_tracks(spark, sf_dir)
-    return edits.cut_at(rows, rows.where("ident % 2 = 0").groupBy("ident").agg(F.avg("t").alias("t")).withColumn("new_id", F.col("ident") + 100000))
+    return edits.cut_at(rows, rows.where("ident % 2 = 0").groupBy("session", "ident").agg(F.avg("t").alias("t")).withColumn("new_id", F.col("ident") + 100000), SESSION)
 
 
-@query("""SELECT row, ident AS old, CASE ident WHEN 4 THEN 9 ELSE 4 END::BIGINT AS new FROM trk WHERE ident IN (4, 9) AND t >= 1000000""", "ev tracks")
+@query("""SELECT session, row, ident AS old, CASE ident WHEN 4 THEN 9 ELSE 4 END::BIGINT AS new FROM trk WHERE ident IN (4, 9) AND t >= 1000000""", "ev tracks")
 def swap_after(spark, sf_dir):
-    return edits.swap_after(ev_tracks(spark, sf_dir), 4, 9, 1e6)
+    return edits.swap_after(ev_tracks(spark, sf_dir), 4, 9, 1e6, SESSION)
 
 
-@query("""+r AS (SELECT row, CASE WHEN f > 100 THEN ident + 1 ELSE ident END AS new, CASE WHEN row % 4 = 0 THEN NULL ELSE ident END AS old, ident AS was FROM trk)
-SELECT row, old, new FROM r WHERE old IS NOT DISTINCT FROM was AND old IS DISTINCT FROM new""", "ev tracks")
+@query("""+r AS (SELECT session, row, CASE WHEN f > 100 THEN ident + 1 ELSE ident END AS new, CASE WHEN row % 4 = 0 THEN NULL ELSE ident END AS old, ident AS was FROM trk)
+SELECT session, row, old, new FROM r WHERE old IS NOT DISTINCT FROM was AND old IS DISTINCT FROM new""", "ev tracks")
 def rebase_ident(spark, sf_dir):
     rows = ev_tracks(spark, sf_dir)
     result = edits.set_where(rows, F.col("f") > 100, F.col("ident") + 1)
-    return edits.rebase(result, rows, edits.set_where(rows, F.col("row") % 4 == 0, F.lit(None).cast("long")))
+    return edits.rebase(result, rows, edits.set_where(rows, F.col("row") % 4 == 0, F.lit(None).cast("long")), SESSION)
 
 
-@query("""+log AS (SELECT event_id * 7 % 10007 AS seq, event_id // 3 AS row, CASE WHEN event_id % 5 = 0 THEN NULL ELSE channel END AS new FROM ev),
-l AS (SELECT row, arg_max_null(new, seq) AS new FROM log WHERE seq <= 5000 GROUP BY row)
-SELECT trk.row, CASE WHEN l.row IS NOT NULL THEN l.new ELSE trk.ident END AS ident FROM trk LEFT JOIN l ON l.row = trk.row""", "ev tracks")
+@query("""+log AS (SELECT event_id * 7 % 10007 AS seq, event_id // 3 % 3 AS session, event_id // 3 AS row, CASE WHEN event_id % 5 = 0 THEN NULL ELSE channel END AS new FROM ev),
+l AS (SELECT session, row, arg_max_null(new, seq) AS new FROM log WHERE seq <= 5000 GROUP BY session, row)
+SELECT trk.session, trk.row, CASE WHEN l.row IS NOT NULL THEN l.new ELSE trk.ident END AS ident FROM trk LEFT JOIN l ON l.row = trk.row AND l.session = trk.session""", "ev tracks")
 def edit_state(spark, sf_dir):
     e = ev(spark, sf_dir)
-    log = e.select((F.col("event_id") * 7 % 10007).alias("seq"), F.expr("event_id div 3").alias("row"), F.when(F.col("event_id") % 5 != 0, F.col("channel")).alias("new"))
-    return edits.state_at(ev_tracks(spark, sf_dir), log, 5000).select("row", "ident")
+    log = e.select((F.col("event_id") * 7 % 10007).alias("seq"), F.expr("event_id div 3 % 3").alias("session"), F.expr("event_id div 3").alias("row"), F.when(F.col("event_id") % 5 != 0, F.col("channel")).alias("new"))
+    return edits.state_at(ev_tracks(spark, sf_dir), log, 5000, SESSION).select("session", "row", "ident")
 
 
-@query("""+a AS (SELECT row + 1000000 AS row, ident, k + row % 2 AS k, f, t FROM trk WHERE ident IS NOT NULL)
-SELECT row, ident, k, f FROM trk UNION ALL SELECT row, ident, k, f FROM a WHERE NOT EXISTS (SELECT 1 FROM trk WHERE trk.ident = a.ident AND trk.k = a.k)""", "ev tracks")
+@query("""+a AS (SELECT session, row + 1000000 AS row, ident, k + row % 2 AS k, f, t FROM trk WHERE ident IS NOT NULL)
+SELECT session, row, ident, k, f FROM trk UNION ALL SELECT session, row, ident, k, f FROM a WHERE NOT EXISTS (SELECT 1 FROM trk WHERE trk.session = a.session AND trk.ident = a.ident AND trk.k = a.k)""", "ev tracks")
 def add_rows(spark, sf_dir):
     rows = ev_tracks(spark, sf_dir)
-    new = rows.where("ident is not null").select((F.col("row") + 1000000).alias("row"), "ident", (F.col("k") + F.col("row") % 2).alias("k"), "f", "t")
-    return edits.add_rows(rows, new).select("row", "ident", "k", "f")
+    new = rows.where("ident is not null").select("session", (F.col("row") + 1000000).alias("row"), "ident", (F.col("k") + F.col("row") % 2).alias("k"), "f", "t")
+    return edits.add_rows(rows, new, SESSION).select("session", "row", "ident", "k", "f")

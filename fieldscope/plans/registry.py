@@ -11,14 +11,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, views: str = ""):
+def query(sql: str | None = None, views: str = "", recursive: bool = False):
     """Registers a function under its name; views names the SQL views (of SQL_VIEWS) that sql reads, in order."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             head = ", ".join(SQL_VIEWS[v] for v in views.split())
-            ORACLES[f.__name__] = (f"WITH {head}" + (", " if sql.lstrip().startswith("+") else " ") if head else "") + sql.lstrip().removeprefix("+")
+            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' * recursive}{head}" + (", " if sql.lstrip().startswith("+") else " ") if head else "") + sql.lstrip().removeprefix("+")
         return f
 
     return add
@@ -35,7 +35,7 @@ SQL_VIEWS = {
     "steps": "steps AS (SELECT channel, category AS name, event_id AS row, t, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value FROM ev)",
     "labels": "lab AS (SELECT event_id AS label_id, category, CASE WHEN event_id % 5 = 0 THEN 'point' ELSE 'span' END AS kind, CASE WHEN event_id % 7 = 0 THEN NULL ELSE channel % 16 END AS channel, t AS t0, CASE WHEN event_id % 5 = 0 THEN NULL ELSE t + value END AS t1, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS f0, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value + 50 END AS f1 FROM ev)",
     "boxes": "boxes AS (SELECT channel AS rec, event_id AS uid, category AS cls, (event_id % 97) / 97.0::DOUBLE AS score, t AS t0, t + 3600 AS t1, value AS f0, value + 50 AS f1 FROM ev)",
-    "tracks": "trk AS (SELECT event_id AS row, CASE WHEN category = 'error' THEN NULL ELSE channel END AS ident, CAST(floor(t / 3600) AS BIGINT) AS k, value AS f, t FROM ev)",
+    "tracks": "trk AS (SELECT event_id % 3 AS session, event_id AS row, CASE WHEN category = 'error' THEN NULL ELSE channel END AS ident, CAST(floor(t / 3600) AS BIGINT) AS k, value AS f, t FROM ev)",
     "files": "files AS (SELECT o_custkey AS rec, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS part, o_orderkey % 5000 + 1 AS frames, epoch_us(o_orderdate) / 1e6 AS stamp FROM orders)",
     "emb": "emb AS (SELECT vec_id AS rec, unnest(generate_series(0, len(embedding) - 1)) AS frame, unnest(embedding)::DOUBLE AS value FROM embeddings)",
 }
@@ -72,8 +72,12 @@ def ev_boxes(spark, sf_dir):
     )
 
 
+#: The column that tells sessions of the stand-in tracks apart; every id has rows in each.
+SESSION = ["session"]
+
+
 def ev_tracks(spark, sf_dir):
-    return ev(spark, sf_dir).select(F.col("event_id").alias("row"), F.when(F.col("category") != "error", F.col("channel")).alias("ident"), F.floor(F.col("t") / 3600).cast("long").alias("k"), F.col("value").alias("f"), "t")
+    return ev(spark, sf_dir).select((F.col("event_id") % 3).alias("session"), F.col("event_id").alias("row"), F.when(F.col("category") != "error", F.col("channel")).alias("ident"), F.floor(F.col("t") / 3600).cast("long").alias("k"), F.col("value").alias("f"), "t")
 
 
 def files(spark, sf_dir):

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldscope.operators import reviews
-from fieldscope.operators.tracks import gap_issues as gaps, short_issues as shorts
-from fieldscope.plans.registry import ev, ev_boxes, ev_tracks, files, load, query
+from fieldscope.operators import reviews, tracks
+from fieldscope.plans.registry import SESSION, ev, ev_boxes, ev_tracks, files, load, query
 from fieldscope.plans.signals import _DFT, _cells
 from fieldscope.sources import sessions
 
@@ -45,11 +44,30 @@ def sync_candidates(spark, sf_dir):
     return reviews.sync_candidates(b.where(uid % 7 != 0), changed)
 
 
-@query("""+g AS (SELECT ident, t, lead(t) OVER (PARTITION BY ident ORDER BY t, row) AS n FROM trk WHERE ident IS NOT NULL)
-SELECT 'gap' AS kind, ident, t FROM g WHERE n - t > 172800 UNION ALL SELECT 'short', ident, min(t) FROM trk WHERE ident IS NOT NULL GROUP BY ident HAVING count(*) < 48""", "ev tracks")
+_ONCE = "once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, ident, k ORDER BY row) AS rn FROM pc WHERE ident IS NOT NULL) WHERE rn = 1)"
+
+
+@query("""+pc AS (SELECT session, row, ident * 1000 + k // 48 AS ident, k, f, t FROM trk), g AS (SELECT session, ident, t, lead(t) OVER (PARTITION BY session, ident ORDER BY t, row) AS n FROM pc WHERE ident IS NOT NULL),
+e AS (SELECT session, ident, arg_max(t, (t, k, f, row)) AS te, arg_max(k, (t, k, f, row)) AS ke, arg_max(f, (t, k, f, row)) AS fe, arg_min(t, (t, k, f, row)) AS ts, arg_min(k, (t, k, f, row)) AS ks, arg_min(f, (t, k, f, row)) AS fs FROM pc WHERE ident IS NOT NULL GROUP BY session, ident),
+p AS (SELECT a.session, a.ident, b.ident AS other, a.te AS t, b.ts - a.te AS dt, abs(b.fs - a.fe) AS df FROM e a JOIN e b ON a.session = b.session AND a.ident <> b.ident AND b.ks > a.ke AND b.ts - a.te BETWEEN 0 AND 7200 AND abs(b.fs - a.fe) <= 25),
+""" + _ONCE + """, nx AS (SELECT *, lead(ident) OVER w AS o, lead(f) OVER w - f AS df FROM once WINDOW w AS (PARTITION BY session, k ORDER BY f, row)),
+x AS (SELECT DISTINCT session, least(ident, o) AS lo, greatest(ident, o) AS hi, k FROM nx WHERE df <= 5), y AS (SELECT *, lag(k) OVER (PARTITION BY session, lo, hi ORDER BY k) AS b FROM x),
+fr AS (SELECT session, k, min(t) AS t FROM trk GROUP BY session, k),
+it AS (SELECT session, row AS item, CASE WHEN row % 2 = 0 THEN 'join' ELSE 'cut' END AS kind, ident, CASE WHEN row % 2 = 0 THEN CASE WHEN row % 4 = 0 THEN -5 ELSE ident + 1 END END AS other, k, t, CASE WHEN row % 7 > 0 THEN row % 10 / 10.0::DOUBLE END AS confidence FROM pc WHERE row % 50 = 0 OR row % 50 = 25),
+h AS (SELECT session, ident, arg_max(f, (t, row)) AS fl FROM pc WHERE ident IS NOT NULL GROUP BY session, ident),
+op AS (SELECT it.session, item, kind, it.ident, other, k, t, coalesce(confidence, 0) AS confidence, h.fl, other IS NOT NULL AND EXISTS (SELECT 1 FROM h h2 WHERE h2.session = it.session AND h2.ident = it.other) AS held FROM it JOIN h ON h.session = it.session AND h.ident = it.ident WHERE coalesce(confidence, 0) <= 0.6),
+nf AS (SELECT op.session, item, arg_min(pc.ident, (abs(pc.f - op.fl), pc.row)) AS found FROM op JOIN pc ON pc.session = op.session AND pc.k = op.k AND pc.ident IS NOT NULL AND pc.ident <> op.ident WHERE op.other IS NOT NULL AND NOT held AND kind = 'join' GROUP BY op.session, item),
+rv AS (SELECT op.session, op.ident, CASE WHEN held THEN op.other ELSE found END AS other, op.t, op.confidence, op.kind FROM op LEFT JOIN nf ON nf.session = op.session AND nf.item = op.item)
+SELECT session, 'gap' AS kind, ident, CAST(NULL AS BIGINT) AS other, t, CAST(NULL AS DOUBLE) AS confidence FROM g WHERE n - t > 172800 UNION ALL SELECT session, 'short', ident, NULL, min(t), NULL FROM pc WHERE ident IS NOT NULL GROUP BY session, ident HAVING count(*) < 3
+UNION ALL SELECT session, 'join', ident, other, t, NULL FROM (SELECT *, row_number() OVER (PARTITION BY session, ident ORDER BY df, dt, other) AS rn FROM p) WHERE rn = 1
+UNION ALL SELECT y.session, 'cross', lo, hi, fr.t, NULL FROM y JOIN fr ON fr.session = y.session AND fr.k = y.k WHERE b IS NULL OR y.k - b > 30 UNION ALL SELECT session, 'review', ident, other, t, confidence FROM rv WHERE kind <> 'join' OR other IS NOT NULL""", "ev tracks")
 def track_issues(spark, sf_dir):
-    rows = ev_tracks(spark, sf_dir)
-    return gaps(rows, 172800.0).select("kind", "ident", "t").unionByName(shorts(rows, 48).select("kind", "ident", "t")).orderBy("t", "kind", "ident")
+    """All kinds of issues of tracks cut into pieces of 48 frames, with items of a review of every 25th row."""
+    rows = ev_tracks(spark, sf_dir).withColumn("ident", F.col("ident") * 1000 + F.floor(F.col("k") / 48))
+    row, ident = F.col("row"), F.col("ident")
+    other = F.when(row % 2 == 0, F.when(row % 4 == 0, F.lit(-5)).otherwise(ident + 1))
+    items = rows.where("row % 50 = 0 or row % 50 = 25").select("session", row.alias("item"), F.when(row % 2 == 0, "join").otherwise("cut").alias("kind"), "ident", other.alias("other"), "k", "t", F.when(row % 7 > 0, row % 10 / F.lit(10.0)).alias("confidence"))
+    return tracks.order_issues(tracks.issues(rows, 5.0, 172800.0, 3, 7200.0, 25.0, items, 0.6, SESSION), SESSION)
 
 
 @query("""SELECT region, median FROM (SELECT CAST(floor(t / 345600) AS BIGINT) AS region, round(median(value - 100), 6) AS median FROM ev GROUP BY 1) ORDER BY abs(median) DESC, region LIMIT 1""", "ev")

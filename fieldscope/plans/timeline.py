@@ -208,14 +208,6 @@ def read_region(spark, sf_dir):
     return emb_samples(spark, sf_dir).where((F.col("frame") >= int(0.16 * 64)) & (F.col("frame") < int(0.3 * 64) + 1))
 
 
-@query("""+r AS (SELECT CAST(floor(t / 345600) AS BIGINT) AS region, value FROM ev WHERE category = 'click')
-SELECT region, count(*) AS total, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75 FROM r GROUP BY region""", "ev")
-def residual_regions(spark, sf_dir):
-    rows = ev(spark, sf_dir).where("category = 'click'").select(F.floor(F.col("t") / 345600).cast("long").alias("region"), "value")
-    q = rows.groupBy("region").agg(F.count("*").alias("total"), F.percentile("value", [0.25, 0.5, 0.75]).alias("q"))
-    return q.select("region", "total", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("q25", "median", "q75"))))
-
-
 @query("""SELECT category AS layer, count(*) AS n, min(t) AS t_min, max(t) AS t_max, count(*) FILTER (value > 150) AS loud FROM ev GROUP BY category""", "ev")
 def layer_counts(spark, sf_dir):
     return ev(spark, sf_dir).groupBy(F.col("category").alias("layer")).agg(F.count("*").alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.count_if(F.col("value") > 150).alias("loud"))
