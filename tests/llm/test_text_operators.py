@@ -308,31 +308,68 @@ def test_raking_meets_the_marginals():
 
 
 def test_mixing(spark, docs, documents, empty):
-    described = mixing.described(docs)
-    rows = mixing.mix(described, mixing.TARGETS, keep=0.6).collect()
+    model = mixing.fit_topics(docs)
+    targets, described = mixing.targets_of(model), mixing.described(docs, model)
+    rows = mixing.mix(described, targets, keep=0.6).collect()
     assert len(rows) == len(documents) and all(0 <= r.probability <= 1 for r in rows)
     want = defaultdict(int)
     for d, t, *_ in documents:
         want[d] = len((t or "").split())
     assert all(r.tokens == want[r.doc_id] for r in rows if r.doc_id != 67)
-    again = {(r.doc_id, r.source): r.kept for r in mixing.mix(described, mixing.TARGETS, keep=0.6).collect()}
+    # all columns anew in plain Python: classes, raked cells, probabilities, weights and draws
+    axes = [[*t, mixing.OTHER] for t in targets.values()]
+    place = lambda r: tuple(a.index(v if v in a else mixing.OTHER) for a, v in zip(axes, (r.source, r.lang, r.topic), strict=True))
+    tokens = np.zeros([len(a) for a in axes])
+    for r in rows:
+        tokens[place(r)] += r.tokens
+    shares = [mixing.shares_of(t, tokens.sum(axis=tuple(a for a in range(3) if a != i))) for i, t in enumerate(targets.values())]
+    least = np.zeros_like(tokens)
+    for i in range(3):
+        other = tuple(-1 if a == i else slice(None) for a in range(3))
+        least[other] = 0.25 * 0.6 * tokens[other]
+    kept = mixing.rake(tokens, shares, 0.6, least=least)
+    draws = {r.doc_id: r.u for r in docs.selectExpr("doc_id", "pmod(xxhash64(1, doc_id), 1099511627776) / 1099511627776D as u").collect()}
+    for r in rows:
+        p = kept[place(r)] / tokens[place(r)] if tokens[place(r)] else 0.6
+        assert abs(r.probability - p) < 1e-12 and abs(r.weight - p / 0.6) < 1e-12 and r.kept == (draws[r.doc_id] < p)
+    again = {(r.doc_id, r.source): r.kept for r in mixing.mix(described, targets, keep=0.6).collect()}
     assert all(again[r.doc_id, r.source] == r.kept for r in rows)
-    kept = mixing.sample_documents(docs, keep=0.6)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id, r.source) for r in kept.collect() if r.doc_id is not None) == sorted((r.doc_id, r.source) for r in rows if r.kept and r.doc_id is not None)
-    assert mixing.mix(mixing.described(empty), mixing.TARGETS).collect() == []
-    assert mixing.mix(described.withColumn("kept", urls.F.lit(1)), mixing.TARGETS).count() == len(documents)
+    sampled = mixing.sample_documents(docs, keep=0.6)
+    assert sampled.columns == docs.columns
+    assert sorted((r.doc_id, r.source) for r in sampled.collect() if r.doc_id is not None) == sorted((r.doc_id, r.source) for r in rows if r.kept and r.doc_id is not None)
+    odd = docs.selectExpr("*", "1 as _source", "2 as source_class", "3 as draw", "'t' as topic")
+    assert mixing.sample_documents(odd, keep=0.6).columns == odd.columns and mixing.sample_documents(odd, keep=0.6).count() == sampled.count()
+    assert mixing.mix(mixing.described(empty, mixing.fit_topics(empty)), targets).collect() == [] and mixing.sample_documents(empty).collect() == []
+    assert mixing.mix(described.selectExpr("*", "1 as kept", "2 as _source", "3 as _lang"), targets).count() == len(documents)
     total = spark.range(20000).selectExpr("id as doc_id", "'src' || (id % 3) as source", "'en' as lang", "'short' as topic", "10L as tokens")
     out = mixing.mix(total, {"source": {"src0": 0.6, "src1": 0.3, "src2": 0.1}}, keep=0.4).where("kept").groupBy("source").count().collect()
     share = {r.source: r["count"] / sum(x["count"] for x in out) for r in out}
     assert abs(share["src0"] - 0.6) < 0.03 and abs(share["src2"] - 0.1) < 0.02
 
 
+def test_topics_are_found_across_languages(spark):
+    rng = np.random.default_rng(7)
+    themes = [[f"{t}word{i}" for i in range(30)] for t in ("fish", "rock", "tax")]
+    small = {"en": "the of and to in".split(), "de": "der die und von zu".split()}
+    rows = [(i, " ".join(rng.choice(themes[i % 3], 30)) + " " + " ".join(rng.choice(small[("en", "de")[i % 2]], 30)), ("en", "de")[i % 2], "src0") for i in range(300)]
+    frame = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string, source string")
+    model = mixing.fit_topics(frame, sample=150, topics=3)
+    assert model.sizes.sum() == 150
+    got = {r.doc_id: r.topic for r in mixing.described(frame, model).collect()}
+    named = [{got[i] for i in range(300) if i % 3 == t} for t in range(3)]
+    assert all(len(n) == 1 for n in named) and len(set.union(*named)) == 3
+    again = mixing.fit_topics(frame.repartition(5), sample=150, topics=3)
+    assert (again.centres == model.centres).all()
+    x = mixing.word_rows(mixing.pa.array(["a b a", None, "", "c"]))
+    assert x[0].tolist() == [3, 0, 0, 1] and np.allclose(np.sort(x[1][0])[-2:], [np.sqrt(1 / 3), np.sqrt(2 / 3)])
+
+
 def test_mixing_keeps_values_without_a_target(spark):
     columns = ["id as doc_id", "if(id % 10 = 3, if(id % 20 = 3, null, 'elsewhere'), 'src' || (id % 20)) as source"]
     columns += ["case pmod(hash(id), 7) when 0 then null when 1 then 'it' when 2 then 'de' when 3 then 'fr' when 4 then 'es' else 'en' end as lang"]
     rows = spark.range(8000).selectExpr(*columns, "'some words of prose' as text", "19L as n_chars")
-    out = mixing.mix(mixing.described(rows), mixing.TARGETS, keep=0.3).collect()
+    model = mixing.fit_topics(rows)
+    out = mixing.mix(mixing.described(rows, model), mixing.targets_of(model), keep=0.3).collect()
     for other in ([r for r in out if r.lang is None], [r for r in out if r.lang == "it"], [r for r in out if r.source is None], [r for r in out if r.source == "elsewhere"]):
         assert min(r.probability for r in other) > 0.1
         assert abs(np.mean([r.kept for r in other]) - np.mean([r.probability for r in other])) < 0.08
@@ -341,9 +378,6 @@ def test_mixing_keeps_values_without_a_target(spark):
     assert abs(sum(r.probability for r in named if r.lang == "de") / sum(r.probability for r in named) - 0.18) < 0.01
     kept = mixing.sample_documents(rows, keep=0.3).collect()
     assert {r.doc_id for r in kept} == {r.doc_id for r in out if r.kept}
-    scarce = rows.withColumn("text", mixing.F.expr("if(id % 9 = 0, 'some words of prose', repeat('some words of prose ', 300))".replace("id", "doc_id")))
-    out = mixing.mix(mixing.described(scarce), mixing.TARGETS).collect()  # short pages hold less than is wanted of them
-    assert min(r.probability for r in out if r.lang in (None, "it") or r.source in (None, "elsewhere")) >= 0.25 * 0.5 - 1e-9
     assert mixing.shares_of({"a": 0.6, "b": 0.3}, np.array([1.0, 1.0, 8.0])).round(9).tolist() == [0.6, 0.3, 0.1]
 
 
