@@ -1,4 +1,4 @@
-"""Written intermediate tables: they end lineage and live in the cluster's shared folder."""
+"""Written intermediate tables: they end lineage and live in the cluster's shared folder (where all of Spark is one process, and only there, in a temporary one if none is named)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -124,6 +124,16 @@ def test_clicks_go_and_the_rest_stays(spark):
     assert np.abs(y - clean).max() < 0.05 < np.abs(x - clean).max() and (y != x).mean() < 0.05
 
 
+def test_rings_and_runs():
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.standard_normal(200))
+    ring = kernels.closed_ring(x, 60)
+    assert (ring[:200] == x).all() and np.abs(np.diff(np.append(ring[199:], x[0]))).max() < 3 * np.abs(np.diff(x)).max()
+    label, size = kernels.run_labels(np.array([1, 1, 0, 1, 0, 0, 1, 1, 1], bool))
+    assert label.tolist() == [1, 1, 0, 2, 0, 0, 3, 3, 3] and size.tolist() == [3, 2, 1, 3]
+    assert abs(kernels.vertex(np.array([-1.0]), np.array([0.0]), np.array([-0.5]))[0] - 1 / 6) < 1e-12
+
+
 def test_ridge_follows_a_line():
     p = np.random.default_rng(6).gamma(2, size=(60, 100))
     freqs, line = np.arange(100.0), 40 + 10 * np.sin(np.arange(60) / 10)
