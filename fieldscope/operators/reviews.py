@@ -86,3 +86,10 @@ def brush_bands(strokes: DataFrame, frames: DataFrame, dt: float, df: float, wid
 
 def describe(category: Column, t: Column, value: Column) -> Column:
     return F.concat_ws(" ", category, F.format_string("%.1f s", t), F.when(value.isNotNull(), F.format_string("(%.2f)", value)))
+
+
+def session_channels(meta: DataFrame) -> DataFrame:
+    """recording_id, channels of meta(recording_id, n, channels, exclude): the channels told, else all but the excluded; those that don't exist go."""
+    every = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    told = F.array_sort(F.array_intersect("channels", every))
+    return meta.select("recording_id", F.coalesce(told, F.array_except(every, F.coalesce("exclude", F.array().cast("array<int>")))).alias("channels"))

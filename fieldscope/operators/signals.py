@@ -97,6 +97,72 @@ def clean_clicks(blocks: DataFrame, rate: float) -> DataFrame:
     return with_halo(blocks, margin, margin).mapInPandas(run, f"{BLOCKS}, clicked long")
 
 
+def filter_pipeline(blocks: DataFrame, rate: float, clicks: bool = True, high_pass: float | None = None, low_pass: float | None = None, order: int = 2) -> DataFrame:
+    """blocks with clicks repaired first and the band filtered then, so that a click does not ring in the filter."""
+    repaired = clean_clicks(blocks, rate).drop("clicked") if clicks else blocks
+    return band_filter(repaired, rate, high_pass, low_pass, order)
+
+
+def power_on_frames(blocks: DataFrame, frames: DataFrame, rate: float, nfft: int, lo_hz: float, hi_hz: float, block_length: int) -> DataFrame:
+    """recording_id, k, bin, freq, power (summed over channels), per_channel of frames(recording_id, k, start): windows of nfft samples at any start.
+
+    The window is a symmetric Hann, power is a one-sided density, and only bins from lo_hz to hi_hz come out. A frame that reaches outside of the
+    recording has a null power.
+    """
+    window = np.hanning(nfft)
+    bins = np.arange(nfft // 2 + 1)
+    bins = bins[(bins * rate / nfft >= lo_hz) & (bins * rate / nfft <= hi_hz)]
+    scale = np.where((bins == 0) | (2 * bins == nfft), 1.0, 2.0) / ((window**2).sum() * rate)
+    reach = F.sequence(F.floor(F.col("start") / block_length), F.floor((F.col("start") + nfft - 1) / block_length))
+    needed = frames.withColumn("block", F.explode(reach))
+    met = needed.join(blocks, ["recording_id", "block"], "left").groupBy("recording_id", "k", "start").agg(F.collect_list(F.when(F.col("channel").isNotNull(), F.struct("channel", "start_frame", "samples"))).alias("parts"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for rec, k, start, parts in zip(pdf["recording_id"], pdf["k"], pdf["start"], pdf["parts"], strict=True):
+                channels = sorted({p["channel"] for p in parts}) or [0]
+                x = np.full((len(channels), nfft), np.nan)
+                for p in parts:
+                    first, values = int(p["start_frame"]), np.asarray(p["samples"], dtype=np.float64)
+                    lo, hi = max(first, int(start)), min(first + len(values), int(start) + nfft)
+                    x[channels.index(p["channel"]), lo - int(start) : hi - int(start)] = values[lo - first : hi - first]
+                power = np.full((len(channels), len(bins)), np.nan) if np.isnan(x).any() else np.abs(np.fft.rfft(x * window, axis=1)[:, bins]) ** 2 * scale
+                out += [(rec, k, int(b), float(b * rate / nfft), float(power[:, i].sum()), power[:, i].tolist()) for i, b in enumerate(bins)]
+            yield pd.DataFrame(out, columns=["recording_id", "k", "bin", "freq", "power", "per_channel"])
+
+    kind = frames.schema["recording_id"].dataType.simpleString()
+    return met.mapInPandas(run, f"recording_id {kind}, k long, bin int, freq double, power double, per_channel array<double>")
+
+
+def gaussian_smooth(cells: DataFrame, sigma: float, floor_db: float = -200.0) -> DataFrame:
+    """recording_id, channel, col, bin, smooth of cells(recording_id, channel, col, bin, db), which are a whole picture: Gaussian of sigma cells, cut at
+    four sigma, with mirrored edges; what is no finite level counts as floor_db.
+
+    Along the bins an array does it; along the columns every column gives its weighted row to those around, so only neighbours meet.
+    """
+    reach = int(4 * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    weights = (weights / weights.sum()).tolist()
+    level = F.when(F.col("db").isNotNull() & ~F.isnan("db") & (F.abs("db") < float("inf")), F.col("db")).otherwise(F.lit(floor_db))
+    rows = cells.groupBy(*KEYS, "col").agg(F.array_sort(F.collect_list(F.struct("bin", level.alias("v")))).alias("_r"))
+    values, n = F.transform("_r", lambda r: r["v"]), F.size("_r")
+
+    def mirrored(i, size):
+        at = F.pmod(i, 2 * size)
+        return F.when(at < size, at).otherwise(2 * size - 1 - at)
+
+    across = F.transform(F.sequence(F.lit(0), n - 1), lambda i: sum(F.get(F.col("_v"), mirrored(i + (j - reach), n)) * w for j, w in enumerate(weights)))
+    rows = rows.withColumn("_v", values).select(*KEYS, "col", F.transform("_r", lambda r: r["bin"]).alias("_bins"), across.alias("_v"))
+    ends = rows.groupBy(*KEYS).agg(F.min("col").alias("_a"), (F.max("col") - F.min("col") + 1).alias("_n"))
+    placed = rows.join(ends, KEYS)
+    # every column takes what lies d columns on, mirrored at the picture's ends
+    asked = placed.select(*KEYS, F.col("col").alias("_to"), "_a", "_n", "_bins", F.explode(F.array(*(F.struct(F.lit(j - reach).alias("d"), F.lit(w).alias("w")) for j, w in enumerate(weights)))).alias("_s"))
+    asked = asked.withColumn("col", (F.col("_a") + mirrored(F.col("_to") - F.col("_a") + F.col("_s.d"), F.col("_n"))).cast("long"))
+    met = asked.join(rows.select(*KEYS, "col", F.posexplode("_v").alias("_i", "_x")), [*KEYS, "col"])
+    return met.groupBy(*KEYS, F.col("_to").alias("col"), F.get("_bins", F.col("_i")).alias("bin")).agg(F.sum(F.col("_x") * F.col("_s.w")).alias("smooth"))
+
+
 def spectrogram(blocks: DataFrame, rate: float, nfft: int, hop: int, length: int) -> DataFrame:
     """recording_id, channel, col, t, power: all full windows, a column where its first frame lies. length is the blocks' length, nfft at least."""
     if nfft > length:

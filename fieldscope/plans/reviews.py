@@ -144,3 +144,12 @@ def snap_markers(spark, sf_dir):
     cell = F.floor(F.col("t") / 86400).cast("long").alias("cell")
     i, v = F.col("event_id"), F.col("value")
     return ev(spark, sf_dir).groupBy("channel", cell).agg(F.min_by(i, F.struct(F.abs(v - 75), i)).alias("near"), F.min_by(i, F.struct(v, i)).alias("low"), F.max_by(i, F.struct(v, -i)).alias("high"))
+
+
+@query("""+r AS (SELECT rec, CAST(count(*) AS INTEGER) AS n FROM files GROUP BY rec), m AS (SELECT rec, n, CASE WHEN rec % 3 = 0 THEN [n - 1, 0, n + 4] END AS channels, CASE WHEN rec % 4 > 0 THEN [1, 2] END AS exclude FROM r)
+SELECT rec, array_to_string(CASE WHEN channels IS NOT NULL THEN list_sort(list_distinct(list_filter(channels, lambda c: c < n))) ELSE list_filter(generate_series(0, n - 1), lambda c: exclude IS NULL OR c NOT IN (1, 2)) END, ',') AS channels FROM m""", "files")
+def session_channels(spark, sf_dir):
+    known = files(spark, sf_dir).groupBy("rec").agg(F.count("*").cast("int").alias("n"))
+    told = F.when(F.col("rec") % 3 == 0, F.array(F.col("n") - 1, F.lit(0), F.col("n") + 4))
+    meta = known.select(F.col("rec").alias("recording_id"), "n", told.alias("channels"), F.when(F.col("rec") % 4 > 0, F.array(F.lit(1), F.lit(2))).alias("exclude"))
+    return reviews.session_channels(meta).select(F.col("recording_id").alias("rec"), F.array_join(F.col("channels").cast("array<string>"), ",").alias("channels"))

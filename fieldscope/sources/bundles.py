@@ -7,9 +7,12 @@ import tomllib
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldscope.sources.tables import plain_path, told_path, written
+
 META = "path string, recording string, rate double, frames long, channel int, validated boolean, digests array<string>, file_frames array<long>, problems array<string>"
 
 
@@ -62,9 +65,9 @@ def discover_bundles(meta: DataFrame, recordings: DataFrame) -> DataFrame:
 def verify_sha256(spark: SparkSession, declared: DataFrame) -> DataFrame:
     """path, same of declared(path, sha256): whether the file has that digest; null where none is declared."""
     paths = [r.path for r in declared.select("path").distinct().collect()]  # the files of one recording
-    have = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.sha2("content", 256).alias("_sha"))
-    name = F.element_at(F.split("path", "/"), -1)
-    return declared.withColumn("_name", name).join(have, "_name").select("path", (F.lower("sha256") == F.col("_sha")).alias("same"))
+    have = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("path")).alias("_name"), F.sha2("content", 256).alias("_sha"))
+    names = F.broadcast(spark.createDataFrame([(p, told_path(p)) for p in paths], "path string, _name string"))
+    return declared.join(names, "path").join(have, "_name").select("path", (F.lower("sha256") == F.col("_sha")).alias("same"))
 
 
 def read_tracks(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
@@ -72,10 +75,9 @@ def read_tracks(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
 
     An id that is NaN is null. Lengths that differ, frames out of range, or ids that are no whole numbers are an error in that session's task.
     """
-    sessions = spark.createDataFrame(list(folders.items()), "session_id string, folder string")
+    keyed = spark.createDataFrame([(s, told_path(f.rstrip("/"))) for s, f in folders.items()], "session_id string, _folder string")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(list(folders.values()))
-    named = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("_last"), F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("name"), "content")
-    keyed = sessions.withColumn("_last", F.element_at(F.split(F.rtrim("folder"), "/"), -1))
+    named = files.select(F.regexp_extract(plain_path(F.col("path")), r"^(.*)/[^/]+$", 1).alias("_folder"), F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("name"), "content")
 
     def load(pdf: pd.DataFrame) -> pd.DataFrame:
         a = {n: np.load(io.BytesIO(c), allow_pickle=False) for n, c in zip(pdf["name"], pdf["content"], strict=True)}
@@ -88,7 +90,49 @@ def read_tracks(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
         ids = pd.array([None if np.isnan(i) else int(i) for i in ident], "Int64")
         return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "row": np.arange(len(f)), "k": k, "f": f, "ident": ids, "t": times[k]})
 
-    return named.join(F.broadcast(keyed), "_last").select("session_id", "name", "content").groupBy("session_id").applyInPandas(load, "session_id string, row long, k long, f double, ident long, t double")
+    return named.join(F.broadcast(keyed), "_folder").select("session_id", "name", "content").groupBy("session_id").applyInPandas(load, "session_id string, row long, k long, f double, ident long, t double")
+
+
+def write_tracks(rows: DataFrame, path: str) -> DataFrame:
+    """Writes a track table(session_id, row, ident, ...) below path and returns the sessions whose rows were written, not only their ids.
+
+    Ids go to path/ident, all else to path/rows, a folder a session; sessions that rows does not hold stay. A session whose rows are as they were
+    written before gets new ids only.
+    """
+    spark = rows.sparkSession
+    base = rows.drop("ident")
+    try:
+        before = spark.read.schema(base.schema).parquet(f"{path}/rows").select(*base.columns)
+    except AnalysisException:
+        before = base.limit(0)
+    mine = before.join(base.select("session_id").distinct(), "session_id", "left_semi").select(*base.columns)
+    changed = written(base.exceptAll(mine).select("session_id").union(mine.exceptAll(base).select("session_id")).distinct(), "changed-sessions")
+    replace_recordings(base.join(changed, "session_id", "left_semi"), f"{path}/rows", "session_id")
+    replace_recordings(rows.select("session_id", "row", "ident"), f"{path}/ident", "session_id")
+    return changed
+
+
+def read_written_tracks(spark: SparkSession, path: str) -> DataFrame:
+    rows, ident = (spark.read.parquet(f"{path}/{part}") for part in ("rows", "ident"))
+    return rows.join(ident, ["session_id", "row"], "left")
+
+
+def file_set_key(files: DataFrame) -> DataFrame:
+    """recording_id, key of files(recording_id, path, frames): the same for the same files in the same order of paths."""
+    each = F.concat_ws(":", "path", F.col("frames").cast("string"))
+    return files.groupBy("recording_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(each)), "|"), 256).alias("key"))
+
+
+def usable_overviews(stored: DataFrame, files: DataFrame, most_step: int, channels: DataFrame | None = None) -> DataFrame:
+    """Rows of stored(recording_id, key, step, channel, ...) that still hold: of the files there are now and no coarser than most_step.
+
+    channels(recording_id, channels): recordings of which not every channel is stored are left out whole; what is missing here is to be computed anew.
+    """
+    out = stored.where(F.col("step") <= most_step).join(file_set_key(files), ["recording_id", "key"], "left_semi")
+    if channels is not None:
+        whole = out.groupBy("recording_id").agg(F.count_distinct("channel").alias("n")).join(channels, "recording_id").where("n = channels").select("recording_id")
+        out = out.join(whole, "recording_id", "left_semi")
+    return out
 
 
 def replace_recordings(rows: DataFrame, path: str, key: str = "recording_id") -> None:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldscope.sources.tables import plain_path, told_path
+
 
 def wav_header(raw: bytes) -> dict | None:
     """rate, channels, bits, float, at, frames of a PCM or float WAV; None where it is none. A data chunk cut short counts as far as it goes."""
@@ -67,9 +69,9 @@ def file_frames(spark: SparkSession, paths: list[str]) -> DataFrame:
             rows = [(p, h and h["rate"], h and h["channels"], h and h["frames"]) for p, h in ((p, wav_header(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True))]
             yield pd.DataFrame(rows, columns=["path", "rate", "channels", "frames"]).astype({"channels": "Int32", "frames": "Int64"})
 
-    order = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)], "name string, part long")
+    order = spark.createDataFrame([(told_path(p), i) for i, p in enumerate(paths)], "name string, part long")
     got = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(heads, "path string, rate double, channels int, frames long")
-    return got.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(order), "name").select("path", "part", "rate", "channels", "frames")
+    return got.withColumn("name", plain_path(F.col("path"))).join(F.broadcast(order), "name").select("path", "part", "rate", "channels", "frames")
 
 
 def read_recording(spark: SparkSession, recording_id: str, paths: list[str], length: int) -> DataFrame:

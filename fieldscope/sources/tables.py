@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_HEAD = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +27,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def plain_path(path: Column) -> Column:
+    """A file's whole path without scheme and host, as told_path gives it."""
+    return F.regexp_replace(path, _HEAD, "/")
+
+
+def told_path(path: str) -> str:
+    """plain_path of a path that a caller names; a relative one is made whole."""
+    return re.sub(_HEAD, "/", path) if re.match(_HEAD, path) else os.path.abspath(path)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldscope.functions import registry
-from fieldscope.sources import bundles
+from fieldscope.sources import bundles, recordings
 
 
 def test_metadata_and_discovery(spark, tmp_path):
@@ -55,3 +55,31 @@ def test_registries(spark):
     assert registry.denoise(spark.createDataFrame([(1.0,)], "power double"), {"plus": {}, "twice": {"by": 3}}).first().power == 4.0
     labels = spark.createDataFrame([(1, 0.0, 1.0, 2.0, 3.0), (2, 0.0, None, None, None)], "label_id long, t0 double, t1 double, f0 double, f1 double")
     assert [tuple(r) for r in registry.refine_labels(labels, lambda p: p.assign(t1=p["t1"] + 1)).collect()] == [(1, 0.0, 2.0, 2.0, 3.0)]
+
+
+def test_written_tracks_and_overviews(spark, tmp_path):
+    kind = "session_id string, row long, k long, f double, ident long, t double"
+    a = [("s1", 0, 0, 1.0, 3, 0.0), ("s1", 1, 1, 1.5, None, 0.1), ("s2", 0, 0, 2.0, 4, 0.0)]
+    store = f"{tmp_path}/tracks"
+    assert {r.session_id for r in bundles.write_tracks(spark.createDataFrame(a, kind), store).collect()} == {"s1", "s2"}
+    b = [("s1", 0, 0, 1.0, 9, 0.0), ("s1", 1, 1, 1.5, 9, 0.1)]
+    assert bundles.write_tracks(spark.createDataFrame(b, kind), store).collect() == []  # only ids are new
+    back = {(r.session_id, r.row): r.ident for r in bundles.read_written_tracks(spark, store).collect()}
+    assert back == {("s1", 0): 9, ("s1", 1): 9, ("s2", 0): 4}
+    files = spark.createDataFrame([("r", "a.wav", 10), ("r", "b.wav", 20), ("q", "c.wav", 5)], "recording_id string, path string, frames long")
+    keys = {r.recording_id: r.key for r in bundles.file_set_key(files).collect()}
+    stored = spark.createDataFrame([("r", keys["r"], 32, 0), ("r", keys["r"], 64, 0), ("q", "old", 32, 0)], "recording_id string, key string, step int, channel int")
+    assert [(r.recording_id, r.step) for r in bundles.usable_overviews(stored, files, 32).collect()] == [("r", 32)]
+    two = spark.createDataFrame([("r", 2)], "recording_id string, channels int")
+    assert bundles.usable_overviews(stored, files, 64, two).count() == 0
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for folder, n in (("a", 5), ("b", 7)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1.wav").write_bytes(recordings.wav_bytes(np.zeros((n, 1)), 10.0))
+    paths = [f"{tmp_path}/b/1.wav", f"file://{tmp_path}/a/1.wav"]
+    assert [(r.part, r.frames) for r in sorted(recordings.file_frames(spark, paths).collect(), key=lambda r: r.part)] == [(0, 7), (1, 5)]
+    assert recordings.read_recording(spark, "x", paths, 6).selectExpr("sum(size(samples)) n").first().n == 12
+    told = [(p, hashlib.sha256((tmp_path / f / "1.wav").read_bytes()).hexdigest().upper() if f == "b" else None) for p, f in zip(paths, "ba", strict=True)]
+    assert {r.path: r.same for r in bundles.verify_sha256(spark, spark.createDataFrame(told, "path string, sha256 string")).collect()} == {paths[0]: True, paths[1]: None}

@@ -126,3 +126,35 @@ def test_sessions_without_tables(spark):
     assert [(r.kind, r["rows"], r.unlayered) for r in loaded["counts"].collect()] == [("pulses", 2, 1)] and loaded["spans"] is None
     assert [r.series for r in loaded["marks"].collect()] == ["observed"]  # without any statement all count as observed
     assert [r.warning for r in loaded["warnings"].collect()] == ["pulses of an unknown type"]
+
+
+def test_power_on_frames_and_pipeline(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2, 200))
+    rows = [("a", c, i, float(x[c, i])) for c in range(2) for i in range(200)]
+    blocks = signals.to_blocks(spark.createDataFrame(rows, "recording_id string, channel int, frame long, value double"), 64)
+    frames = spark.createDataFrame([("a", 0, -3), ("a", 1, 50), ("a", 2, 168), ("a", 3, 169)], "recording_id string, k long, start long")
+    got = {(r.k, r.bin): (r.power, r.per_channel) for r in signals.power_on_frames(blocks, frames, 100.0, 32, 10.0, 40.0, 64).collect()}
+    assert got[0, 5][0] is None and got[3, 5][0] is None and {b for _, b in got} == set(range(4, 13))
+    window = np.hanning(32)
+    want = 2 * np.abs(np.fft.rfft(x[:, 50:82] * window, axis=1)[:, 5]) ** 2 / ((window**2).sum() * 100)
+    assert np.allclose(got[1, 5][1], want) and np.isclose(got[1, 5][0], want.sum())
+    plain = signals.band_filter(blocks, 100.0, 5.0, 30.0)
+    piped = signals.filter_pipeline(blocks, 100.0, False, 5.0, 30.0)
+    assert piped.exceptAll(plain).count() == 0 and signals.filter_pipeline(blocks, 100.0, True, 5.0).count() == blocks.count()
+
+
+def test_gaussian_smoothing(spark):
+    rng = np.random.default_rng(9)
+    db = rng.uniform(-80, 0, (9, 7))
+    db[2, 3] = -np.inf
+    rows = [("a", 0, c, b, float(db[c, b])) for c in range(9) for b in range(7)]
+    cells = spark.createDataFrame(rows, "recording_id string, channel int, col long, bin int, db double")
+    weights = np.exp(-0.5 * np.arange(-4, 5) ** 2)
+    weights /= weights.sum()
+    want = np.where(np.isfinite(db), db, -200)
+    for axis in (1, 0):
+        padded = np.pad(want, [(4, 4) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+        want = np.apply_along_axis(lambda v: np.convolve(v, weights, mode="valid"), axis, padded)
+    got = {(r.col, r.bin): r.smooth for r in signals.gaussian_smooth(cells, 1.0).collect()}
+    assert len(got) == 63 and all(abs(got[c, b] - want[c, b]) < 1e-9 for c in range(9) for b in range(7))
