@@ -106,7 +106,7 @@ class UrlModel:
         return 1 / (1 + F.exp(-margin))
 
 
-def fit(labelled: DataFrame, sizes=(3, 4), dim: int = 4096, epochs: int = 30, rate: float = 4.0, ridge: float = 1e-3, most: int = 20_000) -> UrlModel:
+def fit(labelled: DataFrame, sizes=(3, 4), dim: int = 4096, epochs: int = 100, rate: float = 4.0, ridge: float = 1e-3, most: int = 20_000) -> UrlModel:
     """Gradient descent with momentum on url, label (1: block), of which at most most rows are taken, by a hash of the url.
 
     Rows with a null label are left out; with no rows at all the model says 0.5 everywhere, which allows.
