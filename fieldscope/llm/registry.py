@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("urls", "decontaminate", "jaccard", "langid", "lines", "mixing", "quality", "shards", "tokens", "vectors")
+_MODULES = ("urls", "decontaminate", "jaccard", "langid", "lines", "mixing", "quality", "shards", "tokens", "vectors", "topk", "resample", "periodic")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in _MODULES:

@@ -36,7 +36,7 @@ def test_query(spark, con, tmp_path, name):
 
 
 def test_all_are_registered():
-    assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and len(registry.QUERIES) == 10
+    assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and len(registry.QUERIES) == 13
 
 
 def test_shards_by_plain_python(spark):
