@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "tracks", "editing", "boxes", "labels", "signals", "dataset", "reviews", "layers")
+MODULES = ("timeline", "tracks", "editing", "boxes", "labels", "signals", "dataset", "reviews", "layers", "files")
 
 
 def all_queries() -> tuple[dict, dict]:

@@ -205,7 +205,13 @@ def join_times(spark, sf_dir):
 
 @query("""SELECT rec, frame, value FROM emb WHERE frame >= 10 AND frame < CAST(0.3 * 64 AS INT) + 1""", "emb")
 def read_region(spark, sf_dir):
-    return emb_samples(spark, sf_dir).where((F.col("frame") >= int(0.16 * 64)) & (F.col("frame") < int(0.3 * 64) + 1))
+    from fieldscope.operators.signals import to_blocks
+    from fieldscope.sources import recordings
+
+    samples = emb_samples(spark, sf_dir).select(F.col("rec").alias("recording_id"), F.lit(0).alias("channel"), "frame", "value")
+    region = recordings.read_region(to_blocks(samples, 8), 8, 64.0, 0.16, 0.3, 0)
+    at = region.select(F.col("recording_id").alias("rec"), "start_frame", F.posexplode("samples").alias("i", "value"))
+    return at.select("rec", (F.col("start_frame") + F.col("i")).alias("frame"), "value")
 
 
 @query("""SELECT category AS layer, count(*) AS n, min(t) AS t_min, max(t) AS t_max, count(*) FILTER (value > 150) AS loud FROM ev GROUP BY category""", "ev")
