@@ -19,6 +19,8 @@ from fieldscope.llm.common import materialize, splitmix, table
 
 #: Pivots, the sample they are chosen from, rows of a block, blocks of a stripe and queries of a group (as expected).
 PIVOTS, PIVOT_ROWS, BLOCK_ROWS, STRIPE_BLOCKS, GROUP_QUERIES = 32, 4096, 1024, 8, 2048
+#: Cells (pivots times widths) up to which their sizes are broadcast.
+CELL_ROWS = 100_000
 #: Queries bounded at once, and candidates that a query takes in its first step.
 AT_ONCE, FIRST_STEP = 128, 128
 _LONG = (-(1 << 63), (1 << 63) - 1)
@@ -130,15 +132,17 @@ def top_k(
             nearest = np.zeros(len(pdf), np.int64)
             for width, at in pdf.groupby("width").indices.items():
                 x = whole(pdf["embedding"].iloc[at], scale)
-                nearest[at] = distances(x, chosen.get(width, np.zeros((1, width)))).argmin(axis=1)
+                if len(pivots_of := chosen.get(width, np.zeros((1, width)))) > 1:  # the origin is near to all alike
+                    nearest[at] = distances(x, pivots_of[1:]).argmin(axis=1)
             deal = splitmix(made + np.arange(len(pdf), dtype=np.uint64)) >> np.uint64(1)
             made += np.uint64(len(pdf))
             yield pdf.assign(nearest=nearest, deal=deal.astype(np.int64))
 
     vector = vectors.schema["embedding"].dataType.simpleString()
     placed = materialize(both.mapInPandas(place, f"vec_id {kind}, embedding {vector}, is_query boolean, width int, nearest long, deal long"), "topk-rows")
-    cells = placed.groupBy("width", "nearest").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
-    dealt = placed.join(cells, ["width", "nearest"]).withColumn("block", F.pmod("deal", "blocks")).drop("deal", "blocks")
+    cells = materialize(placed.groupBy("width", "nearest").agg(F.ceil(F.count("*") / block_rows).alias("blocks")), "topk-cells")
+    few = cells.count() <= CELL_ROWS  # pivots times widths
+    dealt = placed.join(F.broadcast(cells) if few else cells, ["width", "nearest"]).withColumn("block", F.pmod("deal", "blocks")).drop("deal", "blocks")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         width, nearest, block = (int(pdf[c].iloc[0]) for c in ("width", "nearest", "block"))
@@ -160,8 +164,10 @@ def top_k(
     sizes = packs.groupBy("width").agg(
         F.ceil(F.count_if(~F.col("asks")) / STRIPE_BLOCKS).alias("stripes"), F.ceil(F.sum(F.when(F.col("asks"), F.octet_length("ids") / 8)) / GROUP_QUERIES).alias("groups")
     )
+    sizes = materialize(sizes.where("groups > 0 and stripes > 0"), "topk-sizes")
+    pairs = sizes.agg(F.sum(F.col("groups") * F.col("stripes"))).first()[0] or 1
     # a query block meets each stripe of blocks once: the rows here are blocks
-    sized = packs.join(sizes.where("groups > 0 and stripes > 0"), "width").withColumn("h", F.xxhash64("name", "asks"))
+    sized = packs.join(sizes, "width").withColumn("h", F.xxhash64("name", "asks"))
     candidates = sized.where(~F.col("asks")).withColumn("stripe", F.pmod("h", "stripes").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("groups").cast("int") - 1)).alias("group"))
     queries = sized.where("asks").withColumn("group", F.pmod("h", "groups").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("stripes").cast("int") - 1)).alias("stripe"))
 
@@ -188,7 +194,10 @@ def top_k(
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     columns = ["width", "asks", "name", "group", "stripe", "ids", "kind", "data", "far", "least", "low", "high"]
-    met = candidates.select(columns).unionByName(queries.select(columns)).groupBy("width", "group", "stripe").applyInPandas(meet, "query_id long, ids array<long>, scores array<long>")
+    # a task a pair of stripe and group, however few bytes that is: the work is their product
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * pairs)
+    both_sides = candidates.select(columns).unionByName(queries.select(columns)).repartition(tasks, "width", "group", "stripe")
+    met = both_sides.groupBy("width", "group", "stripe").applyInPandas(meet, "query_id long, ids array<long>, scores array<long>")
     each = met.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("r")).select("query_id", F.col("r.ids").alias("vec_id"), F.col("r.scores").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
