@@ -21,8 +21,8 @@ from fieldscope.llm.common import materialize, splitmix, table
 PIVOTS, PIVOT_ROWS, BLOCK_ROWS, STRIPE_BLOCKS, GROUP_QUERIES = 32, 4096, 1024, 8, 2048
 #: Cells (pivots times widths) up to which their sizes are broadcast.
 CELL_ROWS = 100_000
-#: Queries bounded at once, and candidates that a query takes in its first step.
-AT_ONCE, FIRST_STEP = 128, 128
+#: Queries bounded at once, candidates that a query takes in its first step, and the share of rows from which those that are left are multiplied in place.
+AT_ONCE, FIRST_STEP, MOST = 16, 128, 0.125
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -54,19 +54,20 @@ def _bound(lengths: np.ndarray, apart: np.ndarray) -> np.ndarray:
 
 def upper_bounds(q: np.ndarray, q_far: np.ndarray, x: np.ndarray, x_far: np.ndarray) -> np.ndarray:
     """Upper bounds of the inner products of rows of q with rows of x; far: distances to the pivots."""
-    apart = np.zeros((len(q), len(x)))
+    apart, gap = np.zeros((len(q), len(x))), np.empty((len(q), len(x)))
     with np.errstate(over="ignore", invalid="ignore"):
         for p in range(q_far.shape[1]):
-            np.maximum(apart, np.abs(q_far[:, p, None] - x_far[None, :, p]), out=apart)
+            np.subtract(q_far[:, p, None], x_far[None, :, p], out=gap)
+            np.maximum(apart, np.abs(gap, out=gap), out=apart)
         return _bound(q_far[:, 0, None] ** 2 + x_far[None, :, 0] ** 2, apart)
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of q with the rows of x, whole numbers all; beyond a long's range its ends."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * len(q) < 2.0**53:
-        return (x @ q).astype(np.int64)
-    exact = [int(v) for v in q]
-    return np.array([min(_LONG[1], max(_LONG[0], sum(int(v) * w for v, w in zip(row, exact, strict=True)))) for row in x], dtype=np.int64)
+    """Exact inner products of the rows of q with those of x, whole numbers all; beyond a long's range its ends."""
+    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2.0**53:
+        return (q @ x.T).astype(np.int64)
+    exact, rows = [[int(v) for v in row] for row in q], [[int(v) for v in row] for row in x]
+    return np.array([[min(_LONG[1], max(_LONG[0], sum(v * w for v, w in zip(a, b, strict=True)))) for b in rows] for a in exact], dtype=np.int64).reshape(len(q), len(x))
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -83,25 +84,51 @@ def _reached(best: np.ndarray, k: int) -> float:
 def search(query_ids, q, q_far, least, ids, x, x_far, k):
     """For each query (place, ids, scores): the k best rows of x among those with the score least[query] or more; no row of the query's own id.
 
-    Rows are taken in the order of their bounds, in steps that double, until the next bound is below the k-th best score.
+    Rows are taken in the order of their bounds, in steps that double, until the next bound is below the k-th best score. Where after the first
+    step most rows are still to be looked at, they are multiplied together, those of several queries at once.
     """
+    x_far = np.asfortranarray(x_far)
     for lo in range(0, len(q), AT_ONCE):
         bound = upper_bounds(q[lo : lo + AT_ONCE], q_far[lo : lo + AT_ONCE], x, x_far)
         bound[query_ids[lo : lo + AT_ONCE, None] == ids[None, :]] = -np.inf
-        for i, row in enumerate(bound, lo):
-            some = np.flatnonzero((row >= least[i]) & (row > -np.inf))
-            some = some[np.argsort(-row[some], kind="stable")]
-            cut, at, step = least[i], 0, FIRST_STEP
-            best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            while at < len(some) and row[some[at]] >= cut:
-                part = some[at : at + step]
-                score = np.concatenate([best, _products(q[i], x[part])])
-                both = np.concatenate([best_ids, ids[part]])
-                top = _best(score, both, k)
-                best_ids, best = both[top], score[top]
+        bound[bound < least[lo : lo + AT_ONCE, None]] = -np.inf
+        first = np.argpartition(-bound, FIRST_STEP, axis=1)[:, :FIRST_STEP] if len(x) > FIRST_STEP else np.broadcast_to(np.arange(len(x)), bound.shape)
+        held, most = [], []
+        for i, row in enumerate(bound):
+            some = first[i][row[first[i]] > -np.inf]
+            score = _products(q[lo + i : lo + i + 1], x[some])[0]
+            top = _best(score, ids[some], k)
+            held.append((ids[some][top], score[top], max(least[lo + i], _reached(score[top], k))))
+            row[some] = -np.inf
+            if np.count_nonzero(row >= held[i][2]) > MOST * len(x):
+                most.append(i)
+        dense = dict(zip(most, _products(q[lo : lo + AT_ONCE][most], x), strict=True)) if most else {}
+        for i, row in enumerate(bound):
+            best_ids, best, cut = held[i]
+            some = np.flatnonzero((row >= cut) & (row > -np.inf))
+            if i in dense:
+                some = some[dense[i][some] >= cut]
+                parts = [(some, dense[i][some])]
+            else:
+                some = some[np.argsort(-row[some], kind="stable")]
+                parts = _steps(q[lo + i : lo + i + 1], x, some)
+            for part, score in parts:
+                if not len(part) or row[part[0]] < cut:
+                    break
+                both, ranked = np.concatenate([best_ids, ids[part]]), np.concatenate([best, score])
+                top = _best(ranked, both, k)
+                best_ids, best = both[top], ranked[top]
                 cut = max(cut, _reached(best, k))
-                at, step = at + step, step * 2
-            yield i, best_ids, best
+            yield lo + i, best_ids, best
+
+
+def _steps(q: np.ndarray, x: np.ndarray, order: np.ndarray):
+    """(rows, scores) of order in steps that double, worked out as they are asked for."""
+    at, step = 0, FIRST_STEP
+    while at < len(order):
+        part = order[at : at + step]
+        yield part, _products(q, x[part])[0]
+        at, step = at + step, step * 2
 
 
 def top_k(
