@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldscope.operators.quantiles import exact_quantiles
+from fieldscope.sources.tables import written
+
 
 def bin_stats(samples: DataFrame, step: int, keys: list[str] | None = None) -> DataFrame:
     """keys, bin, n, total, total_sq, minimum, maximum of samples(keys, frame, value) in bins of step frames; a short last bin keeps its n."""
@@ -38,8 +41,8 @@ def bin_peak() -> Column:
 
 def global_baseline(stats: DataFrame, keys: list[str], percent: float = 10.0) -> DataFrame:
     """keys, sigma: the percentile of the bins' RMS about their mean, at least 1e-12."""
-    rms = F.sqrt(bin_variance())
-    return stats.groupBy(*keys).agg(F.greatest(F.percentile(rms, percent / 100), F.lit(1e-12)).alias("sigma"))
+    found = exact_quantiles(stats, keys, F.sqrt(bin_variance()), [percent / 100])
+    return found.select(*keys, F.greatest(F.col("quantiles")[0], F.lit(1e-12)).alias("sigma"))
 
 
 def noise_peak_db(n: Column) -> Column:
@@ -52,6 +55,7 @@ def activity(stats: DataFrame, keys: list[str], margin_db: float = 6.0, percent:
 
     A bin is active if its peak is margin_db over the noise's own; an active bin whose crest is under that floor is sustained.
     """
+    stats = written(stats, "bin-stats")
     sigma = global_baseline(stats, keys, percent).select(*(F.col(k).alias(f"_{k}") for k in keys), "sigma")
     on = F.col(keys[0]) == F.col(f"_{keys[0]}")
     for k in keys[1:]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscope.operators.joins import nearest_within
+from fieldscope.operators.quantiles import exact_quantiles
 from fieldscope.operators.runs import pair_runs
 
 #: Tolerance of a match where the session names none, bins of a session without file joins, and tolerances from which a residual is told; fixed values.
@@ -96,7 +97,9 @@ def residual_regions(pulses: DataFrame, meta: DataFrame, keys: list[str]) -> Dat
     where = F.size(F.filter(inner, lambda e: e <= F.col("t")))
     # a row for each session: its edges are few
     found = placed.join(edges.select(*keys, "_edges"), keys).withColumn("region", where)
-    stats = found.groupBy(*keys, "region").agg(F.count("*").alias("total"), F.count_if(finite(F.col("r"))).alias("matched"), F.percentile(F.when(finite(F.col("r")), F.col("r")), [0.25, 0.5, 0.75]).alias("_q"))
+    stats = found.groupBy(*keys, "region").agg(F.count("*").alias("total"))
+    matched = exact_quantiles(found, [*keys, "region"], F.when(finite(F.col("r")), F.col("r")), [0.25, 0.5, 0.75])
+    stats = stats.join(matched.select(*keys, "region", F.col("n").alias("matched"), F.col("quantiles").alias("_q")), [*keys, "region"], "left")
     n = F.size("_edges") - 1
     each = edges.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("region"))
     label = F.format_string("%s %d of %d", F.when(F.col("_files"), "file").otherwise("region"), F.col("region") + 1, n)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscope.operators.joins import bucket, neighbour, running_sum
+from fieldscope.operators.quantiles import exact_quantiles
 from fieldscope.sources.tables import written
 
 Keys = list[str] | tuple[str, ...]
@@ -20,11 +21,13 @@ FRAMES, SECONDS = 4096, 86400.0
 
 
 def track_stats(rows: DataFrame, keys: Keys = ()) -> DataFrame:
-    assigned = rows.where("ident is not null")
-    return assigned.groupBy(*keys, "ident").agg(
-        F.count("*").alias("n"), F.min("k").alias("k_first"), F.max("k").alias("k_last"), F.min("t").alias("t_first"), F.max("t").alias("t_last"),
-        F.min("f").alias("f_min"), F.percentile("f", 0.5).alias("f_median"), F.max("f").alias("f_max"),
-    )
+    """keys, ident, n, k_first, k_last, t_first, t_last, f_min, f_median, f_max of every id; a track may have any number of rows."""
+    assigned, by = rows.where("ident is not null"), [*keys, "ident"]
+    ends = assigned.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min("k").alias("k_first"), F.max("k").alias("k_last"), F.min("t").alias("t_first"), F.max("t").alias("t_last"), F.min("f").alias("f_min"), F.max("f").alias("f_max")
+    )
+    middle = exact_quantiles(assigned, by, "f", [0.5]).select(*by, F.col("quantiles")[0].alias("f_median"))
+    return ends.join(middle, by, "left").select(*by, "n", "k_first", "k_last", "t_first", "t_last", "f_min", "f_median", "f_max")
 
 
 def one_per_frame(rows: DataFrame, keys: Keys = ()) -> DataFrame:
