@@ -66,9 +66,15 @@ def new_id(rows: DataFrame, selected: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def apply_ident(rows: DataFrame, variant: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Changes that replace the whole identity column by variant(row, ident); rows that it does not name have no id then."""
-    told = variant.select(*keys, "row", F.col("ident").alias("new"))
-    return rows.select(*keys, "row", F.col("ident").alias("old")).join(told, [*keys, "row"], "left").where(~F.col("old").eqNullSafe(F.col("new")))
+    """Changes that replace the whole identity column by variant(row, ident); rows that it does not name have no id then.
+
+    Where the variant names several rows of a frame alike, the one nearest the local median keeps the id and the others have none.
+    """
+    by = [*keys, "row"]
+    told = rows.withColumn("old", F.col("ident")).drop("ident").join(variant.select(*by, "ident"), by, "left")
+    lost = local_median_losers(told, keys=keys).select(*by, F.lit(True).alias("_lost"))
+    new = F.when(F.col("_lost").isNull(), F.col("ident"))
+    return told.join(lost, by, "left").select(*by, "old", new.alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
 
 
 def revert(rows: DataFrame, selected: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -112,11 +118,33 @@ def state_at(rows: DataFrame, log: DataFrame, seq: int, keys: Keys = ()) -> Data
     return apply_changes(rows, last, keys)
 
 
+def _next_id(rows: DataFrame) -> Column:
+    """Of a group of rows: the id after the largest."""
+    return F.coalesce(F.max("ident"), F.lit(-1)) + 1
+
+
+def _with(df: DataFrame, per_session: DataFrame, keys: Keys) -> DataFrame:
+    """df with the columns of a table of one row a session; null where there is none of it."""
+    return df.join(per_session, list(keys), "left") if keys else df.crossJoin(F.broadcast(per_session))
+
+
 def add_rows(rows: DataFrame, new: DataFrame, keys: Keys = ()) -> DataFrame:
-    """rows and those of new(row, ident, k, f, t) with a finite f whose target has no row in that frame."""
+    """rows and those of new(row, ident, k, f, t) with a finite f whose target, the ident, has no row in that frame.
+
+    Rows without a target get one fresh id, the session's next. Of several new rows of an id and frame the one nearest the id's local median is
+    added, and no other.
+    """
     by = [*keys, "ident", "k"]
-    fine = new.where(F.col("f").isNotNull() & ~F.isnan("f") & (F.abs("f") < float("inf")))
-    return rows.unionByName(fine.join(rows.select(*by).where("ident is not null").distinct(), by, "left_anti").select(*rows.columns))
+    fresh = rows.groupBy(*keys).agg(_next_id(rows).alias("_fresh"))
+    fine = _with(new.where(F.col("f").isNotNull() & ~F.isnan("f") & (F.abs("f") < float("inf"))), fresh, keys)
+    fine = fine.withColumn("ident", F.coalesce("ident", "_fresh", F.lit(0).cast("long"))).select(*rows.columns)
+    taken = rows.select(*by).where("ident is not null").distinct()
+    free = fine.join(taken, by, "left_anti").withColumn("_new", F.lit(True))
+    mine = rows.join(free.select(*keys, "ident").distinct(), [*keys, "ident"], "left_semi").withColumn("_new", F.lit(False))
+    # rows that are there already are alone in their frames or in others, so none of them is let go for a new one
+    around = free.unionByName(mine)
+    lost = local_median_losers(around, keys=keys).select(*keys, "row", "ident", "k")
+    return rows.unionByName(free.join(lost, [*keys, "row", "ident", "k"], "left_anti").select(*rows.columns))
 
 
 def grown_ids(changes: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -164,30 +192,67 @@ def one_to_one(pairs: DataFrame, left: str, right: str, order: list[str], keys:
     return pairs.limit(0) if out is None else out
 
 
-def replace_span(rows: DataFrame, snippet: DataFrame, k0: int, k1: int, tolerance: float, near: int = 5, keys: Keys = ()) -> DataFrame:
-    """rows after a new tracking(row, ident, k, f, t) of the frames k0 to k1: the old rows of the span lose their ids and the snippet's are added.
+def stitches(rows: DataFrame, snippet: DataFrame, k0: int, k1: int, tolerance: float, near: int = 5, keys: Keys = ()) -> tuple[DataFrame, DataFrame]:
+    """(final, relabel): keys, ident, new of the tracks of a snippet of the frames k0 to k1 (exclusive), and of the session's ids that go on under another one.
 
-    A snippet's track takes the id of the session's track that it continues: at the left edge the ids whose last row lies within near frames
-    before k0 are matched with the tracks by f (edge_matches), then those left over at the right edge with the ids that begin within near frames after
-    k1; an id that has been given is not given again. Other tracks get fresh ids from the session's largest on, in the order of their own ids.
-    Rows are numbered on from the session's largest row.
+    At the left edge tracks that begin before k0 + near meet the ids with a row in the near frames before k0, by the last frequency of those; at the right
+    edge tracks that end at k1 - near or later meet the ids with a row in the near frames from k1 on, by their first (edge_matches). A track takes the
+    id on its left. If it has another one on its right, that one's rows from k1 on take the id too, unless the id has rows there
+    itself. A track without an id on its left takes the one on its right, unless a track that has it already shares a frame with it. All
+    others get fresh ids after the session's largest, in the order of their own.
     """
     by = [*keys, "ident"]
-    inside = F.col("k").between(k0, k1)
-    base = rows.withColumn("ident", F.when(~inside, F.col("ident")))
-    kept, told = base.where("ident is not null"), snippet.where("ident is not null")
-    before = kept.where((F.col("k") < k0) & (F.col("k") >= k0 - near)).groupBy(*by).agg(F.max_by("f", F.struct("k", "row")).alias("f"))
-    after = kept.where((F.col("k") > k1) & (F.col("k") <= k1 + near)).groupBy(*by).agg(F.min_by("f", F.struct("k", "row")).alias("f"))
-    begins, ends = (told.groupBy(*by).agg(pick("f", F.struct("k", "row")).alias("f")) for pick in (F.min_by, F.max_by))
-    left = edge_matches(begins, before, tolerance, keys).select(*keys, "left", "right")
-    free = lambda df, taken, side: df.join(taken.select(*keys, F.col(side).alias("ident")), by, "left_anti")
-    right = edge_matches(free(ends, left, "left"), free(after, left, "right"), tolerance, keys).select(*keys, "left", "right")
-    stitched = left.unionByName(right).withColumnRenamed("left", "ident")
-    top = rows.groupBy(*keys).agg(F.coalesce(F.max("ident"), F.lit(-1)).alias("_top"), F.max("row").alias("_last"))
-    others = begins.select(*by).join(stitched, by, "left_anti")
+    kept, told = rows.where("ident is not null"), snippet.where("ident is not null")
+    at = F.struct("k", "row")
+    tracks = told.groupBy(*by).agg(F.min("k").alias("first"), F.min_by("f", at).alias("f_first"), F.max("k").alias("last"), F.max_by("f", at).alias("f_last"))
+    before = kept.where((F.col("k") >= k0 - near) & (F.col("k") < k0)).groupBy(*by).agg(F.max_by("f", at).alias("f"))
+    after = kept.where((F.col("k") >= k1) & (F.col("k") < k1 + near)).groupBy(*by).agg(F.min_by("f", at).alias("f"))
+    left = edge_matches(tracks.where(F.col("first") < k0 + near).select(*by, F.col("f_first").alias("f")), before, tolerance, keys).select(*keys, F.col("left").alias("ident"), F.col("right").alias("new"))
+    right = edge_matches(tracks.where(F.col("last") >= k1 - near).select(*by, F.col("f_last").alias("f")), after, tolerance, keys).select(*keys, F.col("left").alias("ident"), F.col("right").alias("_b"))
+    both = right.join(left, by, "left")
+    going_on = kept.where(F.col("k") >= k1).select(*keys, F.col("ident").alias("new")).distinct()
+    relabel = both.where(F.col("new") != F.col("_b")).join(going_on, [*keys, "new"], "left_anti").select(*keys, F.col("_b").alias("ident"), "new")
+    alone = both.where("new is null").select(*by, F.col("_b").alias("new"))
+    rivals = alone.join(left.withColumnRenamed("ident", "_x"), [*keys, "new"])
+    frames = told.select(*by, "k")
+    clash = rivals.join(frames, by).join(frames.withColumnRenamed("ident", "_x"), [*keys, "_x", "k"], "left_semi").select(*by).distinct()
+    final = left.unionByName(alone.join(clash, by, "left_anti"))
+    top = rows.groupBy(*keys).agg(_next_id(rows).alias("_next"))
     number = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ident"))  # a row for each track of the snippet
-    with_top = lambda df: df.join(top, list(keys)) if keys else df.crossJoin(F.broadcast(top))
-    fresh = with_top(others.withColumn("_n", number)).select(*by, (F.col("_top") + F.col("_n")).alias("right"))
-    named = snippet.join(stitched.unionByName(fresh), by, "left").withColumn("ident", F.col("right")).drop("right")
-    moved = with_top(named).withColumn("row", F.col("_last") + 1 + F.col("row")).select(*rows.columns)
-    return base.unionByName(moved)
+    fresh = _with(tracks.select(*by).join(final, by, "left_anti").withColumn("_n", number), top, keys)
+    return final.unionByName(fresh.select(*by, (F.coalesce("_next", F.lit(0)) + F.col("_n") - 1).alias("new"))), relabel
+
+
+def replace_span(rows: DataFrame, snippet: DataFrame, k0: int, k1: int, tolerance: float, near: int = 5, keys: Keys = ()) -> DataFrame:
+    """rows after a new tracking(row, ident, k, f, t) of the frames k0 to k1 (exclusive): old rows of the span lose their ids, the snippet's are added.
+
+    Its tracks are named by stitches. Of several of its rows with one id in a frame the one nearest the local median keeps it. Rows are
+    numbered on from the session's largest row; a session that rows does not hold begins at 0. A snippet with rows outside of the span is an error.
+    """
+    if not 0 <= k0 <= k1 or not snippet.where(~((F.col("k") >= k0) & (F.col("k") < k1))).isEmpty():
+        raise ValueError("the snippet has rows outside its frames")
+    by = [*keys, "ident"]
+    final, relabel = stitches(rows, snippet, k0, k1, tolerance, near, keys)
+    base = rows.join(relabel, by, "left").withColumn("ident", F.when((F.col("k") >= k0) & (F.col("k") < k1), F.lit(None)).when(F.col("k") >= k1, F.coalesce("new", "ident")).otherwise(F.col("ident")))
+    named = snippet.join(final, by, "left").withColumn("ident", F.col("new")).drop("new")
+    lost = local_median_losers(named, keys=keys).select(*keys, "row", F.lit(True).alias("_lost"))
+    named = named.join(lost, [*keys, "row"], "left").withColumn("ident", F.when(F.col("_lost").isNull(), F.col("ident")))
+    last = rows.groupBy(*keys).agg(F.max("row").alias("_last"))
+    moved = _with(named, last, keys).withColumn("row", F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("row"))
+    return base.select(*rows.columns).unionByName(moved.select(*rows.columns))
+
+
+def review_after_span(items: DataFrame, snippet_items: DataFrame, final: DataFrame, relabel: DataFrame, k0: int, k1: int, t0: float, t1: float, keys: Keys = ()) -> DataFrame:
+    """The review items(kind, ids, k, t, ...) of a session once a snippet stands in the frames k0 to k1 (exclusive), whose times are t0 to t1.
+
+    Items of the session that lie in the span go (outside_span). Joins from k1 on and missed joins after t1 follow their ids to the names that relabel
+    gives; the snippet's items come under the names of final. A missed join of one id with itself goes, and so does an item of the snippet
+    with an id that has no name.
+    """
+    from fieldscope.operators.reviews import outside_span, relabelled
+
+    kept = outside_span(items, k0, k1, t0, t1)
+    follows = ((F.col("kind") == "join") & F.coalesce(F.col("k") >= k1, F.lit(False))) | ((F.col("kind") == "missed_join") & (F.col("t") > t1))
+    follows = F.coalesce(follows, F.lit(False))
+    moved = relabelled(kept.where(follows), relabel, keys, drop=False)
+    return kept.where(~follows).unionByName(moved).unionByName(relabelled(snippet_items, final, keys, drop=True))

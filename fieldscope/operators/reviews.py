@@ -68,6 +68,24 @@ def review_shift(items: DataFrame, shift: float, t0: float, t1: float, renamed:
     return moved.join(renamed, "ident", "left").withColumn("ident", F.coalesce("new", "ident")).drop("new")
 
 
+def outside_span(items: DataFrame, k0: int, k1: int, t0: float, t1: float) -> DataFrame:
+    """items(kind, k, t, ...) without the joins in the frames k0 to k1 (exclusive) and the missed joins in the seconds t0 to t1; tracks stay."""
+    join = (F.col("kind") == "join") & (F.col("k") >= k0) & (F.col("k") < k1)
+    missed = (F.col("kind") == "missed_join") & F.col("t").between(t0, t1)
+    return items.where(~F.coalesce(join, F.lit(False)) & ~F.coalesce(missed, F.lit(False)))
+
+
+def relabelled(items: DataFrame, names: DataFrame, keys: list[str] | tuple = (), drop: bool = True) -> DataFrame:
+    """items(ids, kind, ...) under the names(ident, new); one with an id that has none goes, or keeps it where drop is false. A missed join of one id with itself goes."""
+    item, n = [F.monotonically_increasing_id().alias("_item"), *items.columns], F.size("ids")
+    each = items.select(*item).select("*", n.alias("_n"), F.posexplode("ids").alias("_at", "ident"))
+    met = each.join(names, [*keys, "ident"], "inner" if drop else "left").withColumn("new", F.coalesce("new", "ident"))
+    others = [c for c in items.columns if c != "ids" and c not in keys]
+    back = met.groupBy(*keys, "_item", "_n").agg(*(F.first(c).alias(c) for c in others), F.transform(F.array_sort(F.collect_list(F.struct("_at", "new"))), lambda r: r["new"]).alias("ids"))
+    same = (F.col("kind") == "missed_join") & (F.element_at("ids", 1) == F.element_at("ids", -1))
+    return back.where((F.size("ids") == F.col("_n")) & ~F.coalesce(same, F.lit(False))).select(*items.columns)
+
+
 def brush_bands(strokes: DataFrame, frames: DataFrame, dt: float, df: float, width: float) -> DataFrame:
     """stroke, k, lo, hi: the band that an ellipse (dt, df) swept along segments(stroke, t_a, f_a, t_b, f_b) covers at each of frames(k, t)."""
     from fieldscope.operators.joins import bucket

@@ -108,11 +108,3 @@ def edit_state(spark, sf_dir):
     e = ev(spark, sf_dir)
     log = e.select((F.col("event_id") * 7 % 10007).alias("seq"), F.expr("event_id div 3 % 3").alias("session"), F.expr("event_id div 3").alias("row"), F.when(F.col("event_id") % 5 != 0, F.col("channel")).alias("new"))
     return edits.state_at(ev_tracks(spark, sf_dir), log, 5000, SESSION).select("session", "row", "ident")
-
-
-@query("""+a AS (SELECT session, row + 1000000 AS row, ident, k + row % 2 AS k, f, t FROM trk WHERE ident IS NOT NULL)
-SELECT session, row, ident, k, f FROM trk UNION ALL SELECT session, row, ident, k, f FROM a WHERE NOT EXISTS (SELECT 1 FROM trk WHERE trk.session = a.session AND trk.ident = a.ident AND trk.k = a.k)""", "ev tracks")
-def add_rows(spark, sf_dir):
-    rows = ev_tracks(spark, sf_dir)
-    new = rows.where("ident is not null").select("session", (F.col("row") + 1000000).alias("row"), "ident", (F.col("k") + F.col("row") % 2).alias("k"), "f", "t")
-    return edits.add_rows(rows, new, SESSION).select("session", "row", "ident", "k", "f")

@@ -1,5 +1,7 @@
 """Training sets, grids and track edits against plain Python."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -48,9 +50,9 @@ def test_edge_matches_are_the_greedy_ones(spark):
 def test_replace_span_stitches_both_edges(spark):
     old = [(0, i, ident, k, 100.0 + 10 * ident, float(k)) for i, (ident, k) in enumerate((ident, k) for ident in (1, 2) for k in range(30))]
     new = [(0, i, ident, k, f, float(k)) for i, (ident, k, f) in enumerate([(7, k, 110.2) for k in range(10, 20)] + [(8, k, 150.0) for k in range(10, 15)] + [(9, k, 119.9) for k in range(15, 20)])]
-    out = edits.replace_span(spark.createDataFrame(old, TRACKS), spark.createDataFrame(new, TRACKS), 10, 19, 1.0, 3, ["session"]).collect()
+    out = edits.replace_span(spark.createDataFrame(old, TRACKS), spark.createDataFrame(new, TRACKS), 10, 20, 1.0, 3, ["session"]).collect()
     assert len(out) == 80 and len({r.row for r in out}) == 80
-    assert all(r.ident is None for r in out if r.row < 60 and 10 <= r.k <= 19)
+    assert all(r.ident is None for r in out if r.row < 60 and 10 <= r.k < 20)
     assert {(r.ident, r.f) for r in out if r.row >= 60} == {(1, 110.2), (3, 150.0), (2, 119.9)}  # the second edge names what the first did not
 
 
@@ -158,3 +160,44 @@ def test_gaussian_smoothing(spark):
         want = np.apply_along_axis(lambda v: np.convolve(v, weights, mode="valid"), axis, padded)
     got = {(r.col, r.bin): r.smooth for r in signals.gaussian_smooth(cells, 1.0).collect()}
     assert len(got) == 63 and all(abs(got[c, b] - want[c, b]) < 1e-9 for c in range(9) for b in range(7))
+
+
+def test_replace_span_case_by_case(spark):
+    def run(old, new, k0=10, k1=20, near=3):
+        rows = [(0, i, ident, k, f, float(k)) for i, (ident, k, f) in enumerate(old)]
+        snippet = [(0, i, ident, k, f, float(k)) for i, (ident, k, f) in enumerate(new)]
+        out = edits.replace_span(spark.createDataFrame(rows, TRACKS), spark.createDataFrame(snippet, TRACKS), k0, k1, 1.0, near, ["session"]).collect()
+        assert not any(n > 1 for n in Counter((r.ident, r.k) for r in out if r.ident is not None).values())
+        return {(r.ident, r.k) for r in out if r.row < len(old)}, {(r.ident, r.k) for r in out if r.row >= len(old)}
+
+    line = lambda ident, ks, f=100.0: [(ident, k, f) for k in ks]
+    # a track that begins near frames or more after the edge is not the one before it
+    assert run(line(1, range(10)), line(7, range(13, 20)))[1] == {(2, k) for k in range(13, 20)}
+    assert run(line(1, range(10)), line(7, range(12, 20)))[1] == {(1, k) for k in range(12, 20)}
+    # one id on the left and another on the right: the right one goes on under the left one's id, unless that has rows there itself
+    assert run(line(1, range(10)) + line(2, range(20, 30)), line(7, range(10, 20)))[0] == {(1, k) for k in [*range(10), *range(20, 30)]}
+    kept, added = run(line(1, [*range(10), 29], 100.2) + line(2, range(20, 30)), line(7, range(10, 20)))
+    assert (2, 25) in kept and (1, 29) in kept and {i for i, _ in added} == {1}
+    # two tracks, of which the right one may take the left one's id only where they share no frame
+    assert run(line(1, [*range(10), *range(20, 25)]), line(7, range(10, 14)) + line(8, range(15, 20)))[1] == {(1, k) for k in [*range(10, 14), *range(15, 20)]}
+    assert {i for i, _ in run(line(1, [*range(10), *range(20, 25)]), line(7, range(10, 16)) + line(8, range(15, 20), 100.5))[1]} == {1, 2}
+    # the detection that is farther from its track loses its id
+    old, new = line(1, range(10)), [*line(7, range(10, 20)), (7, 12, 104.0)]
+    assert run(old, new)[1] == {(1, k) for k in range(10, 20)} | {(None, 12)}
+    other = spark.createDataFrame([(5, 0, 3, 11, 50.0, 11.0)], TRACKS)
+    fresh = edits.replace_span(spark.createDataFrame([(0, 0, 1, 3, 100.0, 3.0)], TRACKS), other, 10, 20, 1.0, 3, ["session"])
+    assert sorted(tuple(r)[:4] for r in fresh.collect()) == [(0, 0, 1, 3), (5, 0, 0, 11)]
+    assert edits.replace_span(other.limit(0).drop("session"), other.drop("session"), 10, 20, 1.0).collect()[0].ident == 0
+    with pytest.raises(ValueError):
+        edits.replace_span(other, other, 10, 11, 1.0, 3, ["session"])
+
+
+def test_edits_keep_one_row_an_id_and_frame(spark):
+    rows = spark.createDataFrame([(0, i, 1, k, 100.0, float(k)) for i, k in enumerate(range(10))], TRACKS)
+    new = spark.createDataFrame([(0, 100, 1, 12, 103.0, 12.0), (0, 101, 1, 12, 100.5, 12.0), (0, 102, 1, 5, 100.0, 5.0), (0, 103, None, 5, 90.0, 5.0), (0, 104, None, 6, float("nan"), 6.0), (3, 105, None, 1, 80.0, 1.0)], TRACKS)
+    added = edits.add_rows(rows, new, ["session"]).where("row >= 100").collect()
+    assert sorted((r.row, r.ident) for r in added) == [(101, 1), (103, 2), (105, 0)]
+    variant = rows.selectExpr("session", "row", "4L as ident").unionByName(spark.createDataFrame([(0, 50, 4)], "session long, row long, ident long"))
+    twice = rows.unionByName(spark.createDataFrame([(0, 50, None, 3, 100.2, 3.0)], TRACKS))
+    told = {r.row: r.new for r in edits.apply_ident(twice, variant, ["session"]).collect()}
+    assert told == {i: 4 for i in range(10)}  # row 50 would be the second in its frame and stays without an id
