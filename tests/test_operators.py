@@ -187,3 +187,14 @@ def test_harmonics_of_long_overlaps_vary_alike(spark):
     common = [k for k in range(200) if (2, k) in f]
     high = [[h * f[i, k] - np.median([h * f[i, j] for j in common if abs(j - k) <= 60]) for k in common] for i, h in ((1, 2), (2, 1))]
     assert abs(got[1, 2, 2].corr - np.corrcoef(*high)[0, 1]) < 1e-9
+
+
+def test_the_floor_is_the_same_along_a_chunk():
+    rng = np.random.default_rng(5)
+    power = rng.exponential(1.0, 1003)
+    power[200:260] *= 1e4
+    floor = kernels.tonal_floor(power, 10, 7, 0.2)
+    medians = np.median(power[:1000].reshape(100, 10), axis=1)
+    padded = np.concatenate([[medians[0]] * 3, medians, [medians[-1]] * 3])
+    want = [sorted(padded[c : c + 7])[1] for c in range(100)]
+    assert len(floor) == 1003 and all((floor[10 * c : 10 * c + 10] == want[c]).all() for c in range(100)) and (floor[1000:] == want[99]).all()
