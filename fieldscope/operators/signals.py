@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldscope.functions import kernels
+from fieldscope.operators.scans import carried_states
 from fieldscope.sources.tables import written
 
 KEYS = ["recording_id", "channel"]
@@ -51,36 +52,40 @@ def _cascade(order: int, rate: float, high_pass: float | None, low_pass: float |
 def band_filter(blocks: DataFrame, rate: float, high_pass: float | None = None, low_pass: float | None = None, order: int = 2) -> DataFrame:
     """blocks filtered causally from frame 0 on by Butterworth sections; what one block leaves in the filter goes on in the next.
 
-    Two passes: every block is run from silence for the state it ends in; those states (a few numbers a block) are carried along each channel;
-    then every block is run from its true state. Samples are not shuffled but for the join with the states.
+    Every block is run once, from silence, and written with the state it ends in; those states (a few numbers a block) are carried along by a
+    tree (carried_states). What a block was entered with then adds its response into silence to what is written. No group holds a channel.
     """
     if not len(kernels.butterworth(order, rate, high_pass, low_pass)):
         return blocks
 
-    def ends(batches):
+    def run(batches):
         cascade = _cascade(order, rate, high_pass, low_pass)
         for pdf in batches:
-            yield pd.DataFrame({"recording_id": pdf["recording_id"], "channel": pdf["channel"], "block": pdf["block"], "n": pdf["samples"].map(len), "state": [list(cascade.run(np.asarray(x))[1]) for x in pdf["samples"]]})
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        cascade, pdf = _cascade(order, rate, high_pass, low_pass), pdf.sort_values("block")
-        state, out, known = np.zeros(cascade.size), [], {}
-        for n, end in zip(pdf["n"], pdf["state"], strict=True):
-            out.append(list(state))
-            if n not in known:
-                known[n] = cascade.transition(int(n))
-            state = state @ known[n] + np.asarray(end)
-        return pdf[["recording_id", "channel", "block"]].assign(state=out)
-
-    states = written(blocks.mapInPandas(ends, "recording_id string, channel int, block long, n long, state array<double>"), "filter-ends")
-    starts = written(states.groupBy(*KEYS).applyInPandas(carry, "recording_id string, channel int, block long, state array<double>"), "filter-starts")
-
-    def run(batches):
+            sizes, samples, states = pdf["samples"].map(len), [None] * len(pdf), [None] * len(pdf)
+            for n in sizes.unique():
+                at = np.flatnonzero(sizes.to_numpy() == n)
+                y, after = cascade.run_many(np.stack(pdf["samples"].to_numpy()[at]))
+                for i, k in enumerate(at):
+                    samples[k], states[k] = y[i], after[i]
+            yield pdf.assign(samples=samples, n=sizes.astype("int64"), state=states)
+
+    alone = written(blocks.select(*KEYS, "block", "start_frame", "samples").mapInPandas(run, f"{BLOCKS}, n long, state array<double>"), "filter-alone")
+    cascade = _cascade(order, rate, high_pass, low_pass)
+    entered = carried_states(alone.select(*KEYS, "block", "n", "state"), KEYS, cascade.transition, cascade.size)
+
+    def add(batches):
         cascade = _cascade(order, rate, high_pass, low_pass)
+        known: dict[int, np.ndarray] = {}
         for pdf in batches:
-            yield pdf.assign(samples=[cascade.run(np.asarray(x), np.asarray(z))[0] for x, z in zip(pdf["samples"], pdf["state"], strict=True)]).drop(columns="state")
+            out = []
+            for x, z in zip(pdf["samples"], pdf["entered"], strict=True):
+                if len(x) not in known:
+                    known[len(x)] = cascade.response(len(x))
+                out.append(np.asarray(x) + np.asarray(z) @ known[len(x)])
+            yield pdf[["recording_id", "channel", "block", "start_frame"]].assign(samples=out)
 
-    return blocks.join(starts, [*KEYS, "block"]).select(*KEYS, "block", "start_frame", "samples", "state").mapInPandas(run, BLOCKS)
+    met = alone.select(*KEYS, "block", "start_frame", "samples").join(entered.withColumnRenamed("state", "entered"), [*KEYS, "block"])
+    return met.mapInPandas(add, BLOCKS)
 
 
 def clean_clicks(blocks: DataFrame, rate: float) -> DataFrame:
@@ -170,13 +175,15 @@ def spectrogram(blocks: DataFrame, rate: float, nfft: int, hop: int, length: int
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for rec, ch, start, n, x in zip(pdf["recording_id"], pdf["channel"], pdf["start_frame"], pdf["n"], pdf["samples"], strict=True):
-                first = -(-start // hop)
-                last = min((start + n - 1) // hop, (start + len(x) - nfft) // hop)
-                power = kernels.power_columns(np.asarray(x, dtype=np.float64), first * hop - start, last - first + 1, nfft, hop, rate)
-                rows += [(rec, ch, first + i, (first + i) * hop / rate, p) for i, p in enumerate(power)]
-            yield pd.DataFrame(rows, columns=["recording_id", "channel", "col", "t", "power"])
+            first = -(-pdf["start_frame"] // hop)
+            size = pdf["samples"].map(len)
+            count = np.minimum((pdf["start_frame"] + pdf["n"] - 1) // hop, (pdf["start_frame"] + size - nfft) // hop) - first + 1
+            # blocks of one shape are transformed together
+            for (lead, windows, _), g in pdf.groupby([first * hop - pdf["start_frame"], count, size], sort=False):
+                if windows > 0:
+                    power = kernels.power_columns(np.stack(g["samples"].to_numpy()).astype(np.float64), lead, windows, nfft, hop, rate)
+                    col = (first[g.index].to_numpy()[:, None] + np.arange(windows)).ravel()
+                    yield pd.DataFrame({"recording_id": np.repeat(g["recording_id"].to_numpy(), windows), "channel": np.repeat(g["channel"].to_numpy(), windows), "col": col, "t": col * hop / rate, "power": list(power.reshape(len(col), -1))})
 
     return with_halo(blocks, 0, nfft - 1).select(*KEYS, "start_frame", "n", "samples").mapInPandas(run, "recording_id string, channel int, col long, t double, power array<double>")
 
@@ -264,15 +271,23 @@ def peak_in_band(cells: DataFrame, f_lo: float, f_hi: float) -> DataFrame:
     return best.select(*KEYS, "col", "m.bin", "m.freq", "m.power", (m("freq") + F.coalesce(shift * m("_df"), F.lit(0.0))).alias("peak"))
 
 
-def find_ridges(cells: DataFrame, strokes: DataFrame, **settings) -> DataFrame:
-    """stroke, col, f, db: the ridge through each of strokes(stroke, recording_id, channel, col, lo, hi; one row a frame). Strokes run in parallel."""
-    lines = cells.groupBy(*KEYS, "col").agg(F.array_sort(F.collect_list(F.struct("bin", "freq", "power"))).alias("_cells"))
-    rows = strokes.join(lines, [*KEYS, "col"]).select("stroke", "col", "t", "lo", "hi", F.transform("_cells", lambda c: c["freq"]).alias("freqs"), F.transform("_cells", lambda c: c["power"]).alias("power"))
+def find_ridges(spectra: DataFrame, strokes: DataFrame, rate: float, nfft: int, **settings) -> DataFrame:
+    """stroke, col, f, db: the ridge through each of strokes(stroke, recording_id, channel, col, t, lo, hi; one row a frame) in spectra (spectrogram).
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("col")
-        power, freqs = np.stack(pdf["power"].to_numpy()), np.asarray(pdf["freqs"].iloc[0])
-        f, db = kernels.ridge(power, freqs, *(pdf[c].to_numpy(dtype=np.float64) for c in ("lo", "hi", "t")), **settings)
-        return pd.DataFrame({"stroke": pdf["stroke"], "col": pdf["col"], "f": f, "db": db})
+    Spectra are joined as they are; a stroke is as long as a hand draws it, and many are followed in a call.
+    """
+    rows = strokes.join(spectra.select(*KEYS, "col", "power"), [*KEYS, "col"]).select("stroke", "col", "t", "lo", "hi", "power")
+    tasks = int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    return rows.groupBy("stroke").applyInPandas(follow, "stroke long, col long, f double, db double").select("stroke", "col", F.when(~F.isnan("f"), F.col("f")).alias("f"), F.when(~F.isnan("db"), F.col("db")).alias("db"))
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for stroke, g in pdf.sort_values(["stroke", "col"]).groupby("stroke", sort=False):
+            power = np.stack(g["power"].to_numpy())
+            f, db = kernels.ridge(power, np.arange(power.shape[1]) * (rate / nfft), *(g[c].to_numpy(dtype=np.float64) for c in ("lo", "hi", "t")), **settings)
+            out.append(pd.DataFrame({"stroke": stroke, "col": g["col"].to_numpy(), "f": f, "db": db}))
+        return pd.concat(out)
+
+    # a number of partitions is named, or few bytes would make few tasks of much work
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("stroke"), F.lit(8 * tasks))).repartition(tasks, "_deal")
+    found = dealt.groupBy("_deal").applyInPandas(follow, "stroke long, col long, f double, db double")
+    return found.select("stroke", "col", F.when(~F.isnan("f"), F.col("f")).alias("f"), F.when(~F.isnan("db"), F.col("db")).alias("db"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldscope.functions import scalars
+from fieldscope.functions import kernels, scalars
 from fieldscope.operators import signals
 from fieldscope.plans.registry import emb_samples, ev, query
+from fieldscope.sources.tables import written
 
 RATE, NFFT, HOP = 64.0, 16, 8
 
@@ -81,10 +82,23 @@ def peak_in_band(spark, sf_dir):
     return signals.peak_in_band(_cells(spark, sf_dir), 8.0, 24.0).select(_rec(), "col", F.col("bin").cast("long").alias("bin"), F.round("peak", 6).alias("peak"))
 
 
-@query(None)
+_SECTIONS = kernels.butterworth(2, RATE, 4.0, 20.0).tolist()
+
+
+def _filter_sql() -> str:
+    """One row a frame: samples through two sections in transposed direct form II."""
+    (b0, b1, b2, _, a1, a2), (c0, c1, c2, _, d1, d2) = _SECTIONS
+    y, z = f"({b0!r} * emb.value + u0)", f"({c0!r} * ({b0!r} * emb.value + u0) + w0)"
+    return f"""+fl AS (SELECT rec, -1::BIGINT AS frame, 0::DOUBLE AS u0, 0::DOUBLE AS u1, 0::DOUBLE AS w0, 0::DOUBLE AS w1, 0::DOUBLE AS y FROM emb WHERE frame = 0
+UNION ALL SELECT emb.rec, emb.frame, {b1!r} * emb.value - {a1!r} * {y} + u1, {b2!r} * emb.value - {a2!r} * {y}, {c1!r} * {y} - {d1!r} * {z} + w1, {c2!r} * {y} - {d2!r} * {z}, {z}
+FROM fl JOIN emb ON emb.rec = fl.rec AND emb.frame = fl.frame + 1)
+SELECT rec, frame, round(y, 9) + 0 AS value FROM fl WHERE frame >= 0"""
+
+
+@query(_filter_sql(), "emb", recursive=True)
 def band_filter(spark, sf_dir):
     out = signals.band_filter(_blocks(spark, sf_dir, 32), RATE, 4.0, 20.0)
-    return out.select(_rec(), "start_frame", F.posexplode("samples").alias("i", "value")).select("rec", (F.col("start_frame") + F.col("i")).alias("frame"), F.round("value", 9).alias("value"))
+    return out.select(_rec(), "start_frame", F.posexplode("samples").alias("i", "value")).select("rec", (F.col("start_frame") + F.col("i")).alias("frame"), (F.round("value", 9) + 0.0).alias("value"))
 
 
 @query(None)
@@ -95,9 +109,9 @@ def click_repair(spark, sf_dir):
 
 @query(None)
 def ridges(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    strokes = cells.where("bin = 0").select(_rec().alias("stroke"), "recording_id", "channel", "col", (F.col("col") * (HOP / RATE)).alias("t"), F.lit(6.0).alias("lo"), F.lit(26.0).alias("hi"))
-    return signals.find_ridges(cells, strokes, max_slope=200.0)
+    spectra = written(signals.spectrogram(_blocks(spark, sf_dir), RATE, NFFT, HOP, 16), "spectra")
+    strokes = spectra.select(_rec().alias("stroke"), "recording_id", "channel", "col", (F.col("col") * (HOP / RATE)).alias("t"), F.lit(6.0).alias("lo"), F.lit(26.0).alias("hi"))
+    return signals.find_ridges(spectra, strokes, RATE, NFFT, max_slope=200.0)
 
 
 @query("""SELECT event_id, round(CASE WHEN value / 300 - 0.2 <= 1e-20 THEN NULL ELSE 10 * log10(value / 300 - 0.2) END, 6) AS db, value / 300 - 0.2 <= 1e-20 AS silent FROM ev""", "ev")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldscope.functions import kernels, scalars
 from fieldscope.operators import boxes, joins, signals, tracks
+from fieldscope.operators.scans import carried_states
 
 
 def random_boxes(rng, n):
@@ -198,3 +199,19 @@ def test_the_floor_is_the_same_along_a_chunk():
     padded = np.concatenate([[medians[0]] * 3, medians, [medians[-1]] * 3])
     want = [sorted(padded[c : c + 7])[1] for c in range(100)]
     assert len(floor) == 1003 and all((floor[10 * c : 10 * c + 10] == want[c]).all() for c in range(100)) and (floor[1000:] == want[99]).all()
+
+
+@pytest.mark.parametrize("fan", [2, 3, 256])
+def test_states_are_carried_by_a_tree(spark, fan):
+    rng = np.random.default_rng(6)
+    turn = np.array([[0.9, 0.2], [-0.1, 0.8]])
+    transition = lambda n: np.linalg.matrix_power(turn, n)
+    rows = [(r, int(b), int(rng.integers(1, 5)), rng.normal(size=2).tolist()) for r in ("a", "b", None) for b in sorted(rng.choice(40, 23, replace=False))]
+    want, state, last = {}, None, "none"
+    for r, b, n, end in rows:
+        state = np.zeros(2) if r != last else state
+        want[r, b], last = state, r
+        state = state @ transition(n) + np.array(end)
+    got = carried_states(spark.createDataFrame(rows, "k string, block long, n long, state array<double>"), ["k"], transition, 2, fan).collect()
+    assert len(got) == len(want) and all(np.allclose(r.state, want[r.k, r.block], atol=1e-12) for r in got)
+    assert carried_states(spark.createDataFrame([], "k string, block long, n long, state array<double>"), ["k"], transition, 2, fan).collect() == []
