@@ -155,18 +155,27 @@ def match_events(found: DataFrame, truth: DataFrame, tolerance: float = 0.1) ->
     islands = time_islands(both, ["rec", "cls"], tolerance, "mid", "mid")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        have, want = pdf[~pdf["true"]].sort_values(["score", "uid"], ascending=[False, True]), pdf[pdf["true"]].sort_values(["mid", "uid"])
-        mids, lo, hi, ids, left, out = want["mid"].tolist(), want["f0"].tolist(), want["f1"].tolist(), want["uid"].tolist(), [True] * len(want), []
-        for rec, cls, uid, mid, f0, f1 in have[["rec", "cls", "uid", "mid", "f0", "f1"]].itertuples(index=False):
-            near = range(bisect_left(mids, mid - tolerance), bisect_right(mids, mid + tolerance))
-            best = min(((abs(mids[i] - mid), i) for i in near if left[i] and min(f1, hi[i]) > max(f0, lo[i])), default=None)
-            if best:
-                left[best[1]] = False
-            out.append((rec, cls, uid, int(ids[best[1]]) if best else None))
+        out = []
+        for (rec, cls), g in pdf.groupby(["rec", "cls"], sort=False, dropna=False):
+            have, want = g[~g["true"]].sort_values(["score", "uid"], ascending=[False, True]), g[g["true"]].sort_values(["mid", "uid"])
+            mids, lo, hi, ids, left = want["mid"].tolist(), want["f0"].tolist(), want["f1"].tolist(), want["uid"].tolist(), [True] * len(want)
+            for uid, mid, f0, f1 in zip(have["uid"].tolist(), have["mid"].tolist(), have["f0"].tolist(), have["f1"].tolist(), strict=True):
+                near = range(bisect_left(mids, mid - tolerance), bisect_right(mids, mid + tolerance))
+                best = min(((abs(mids[i] - mid), i) for i in near if left[i] and min(f1, hi[i]) > max(f0, lo[i])), default=None)
+                if best:
+                    left[best[1]] = False
+                out.append((rec, cls, uid, ids[best[1]] if best else None))
         return pd.DataFrame(out, columns=["rec", "cls", "uid", "truth_uid"]).astype({"truth_uid": "Int64"})
 
     kinds = {f.name: f.dataType.simpleString() for f in found.schema}
-    return islands.groupBy("rec", "cls", F.floor(F.col("island") / ISLANDS)).applyInPandas(greedy, f"rec {kinds['rec']}, cls {kinds['cls']}, uid {kinds['uid']}, truth_uid long")
+    return _dealt(islands).applyInPandas(greedy, f"rec {kinds['rec']}, cls {kinds['cls']}, uid {kinds['uid']}, truth_uid long")
+
+
+def _dealt(islands: DataFrame, keys: tuple[str, ...] = ("rec", "cls")):
+    """Groups of whole islands, of ISLANDS at most of a key: several groups a task, and a number of tasks that is named, or few bytes would make one."""
+    tasks = int(islands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.pmod(F.xxhash64(*keys, F.floor(F.col("island") / ISLANDS)), F.lit(8 * tasks))
+    return islands.withColumn("_deal", deal).repartition(tasks, "_deal").groupBy("_deal")
 
 
 def scores_of(matched: DataFrame, n_truth: int) -> DataFrame:
@@ -194,17 +203,18 @@ def cover_windows(candidates: DataFrame, length: float) -> DataFrame:
     islands = time_islands(candidates.select("rec", "uid", "t0", "t1"), ["rec"], length, "t0", "t0")
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, end = [], -math.inf
-        w0 = None
-        for rec, uid, t0, t1 in pdf.sort_values(["t0", "uid"])[["rec", "uid", "t0", "t1"]].itertuples(index=False):
-            if t1 > end:
-                w0 = t0 - 0.1 * length
-                end = w0 + length
-            out.append((rec, w0, uid))
+        out = []
+        for rec, g in pdf.groupby("rec", sort=False, dropna=False):
+            end, w0 = -math.inf, None
+            for uid, t0, t1 in g.sort_values(["t0", "uid"])[["uid", "t0", "t1"]].itertuples(index=False):
+                if t1 > end:
+                    w0 = t0 - 0.1 * length
+                    end = w0 + length
+                out.append((rec, w0, uid))
         return pd.DataFrame(out, columns=["rec", "w0", "uid"])
 
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return islands.groupBy("rec", F.floor(F.col("island") / ISLANDS)).applyInPandas(cover, f"rec {kinds['rec']}, w0 double, uid {kinds['uid']}")
+    return _dealt(islands, ("rec",)).applyInPandas(cover, f"rec {kinds['rec']}, w0 double, uid {kinds['uid']}")
 
 
 def rank_windows(members: DataFrame, candidates: DataFrame, cut: float) -> DataFrame:

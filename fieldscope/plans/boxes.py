@@ -19,7 +19,16 @@ def iou_join(spark, sf_dir):
     return boxes.iou_join(b, b, W).where("uid < uid_b").select("rec", "uid", "uid_b", F.round("iou", 6).alias("iou"))
 
 
-@query(None)
+_NMS = """+o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY score DESC, uid) AS n FROM boxes),
+pr AS (SELECT a.rec, a.n, list(b.uid) AS over FROM o a JOIN o b ON a.rec = b.rec AND b.n < a.n AND least(a.t1, b.t1) > greatest(a.t0, b.t0) AND least(a.f1, b.f1) > greatest(a.f0, b.f0)
+  WHERE (least(a.t1, b.t1) - greatest(a.t0, b.t0)) * (least(a.f1, b.f1) - greatest(a.f0, b.f0)) / ((a.t1 - a.t0) * (a.f1 - a.f0) + (b.t1 - b.t0) * (b.f1 - b.f0) - (least(a.t1, b.t1) - greatest(a.t0, b.t0)) * (least(a.f1, b.f1) - greatest(a.f0, b.f0))) > 0.3 GROUP BY a.rec, a.n),
+st AS (SELECT o.rec, o.n, o.uid, coalesce(over, []) AS over FROM o LEFT JOIN pr ON pr.rec = o.rec AND pr.n = o.n),
+k AS (SELECT rec, n, true AS stays, [uid] AS kept FROM st WHERE n = 1
+  UNION ALL SELECT st.rec, st.n, NOT list_has_any(kept, over), CASE WHEN list_has_any(kept, over) THEN kept ELSE list_append(kept, st.uid) END FROM k JOIN st ON st.rec = k.rec AND st.n = k.n + 1)
+SELECT o.rec, o.uid, o.score FROM o JOIN k ON k.rec = o.rec AND k.n = o.n WHERE stays"""
+
+
+@query(_NMS, "ev boxes", recursive=True)
 def nms(spark, sf_dir):
     """Greedy suppression; compared with a loop in the tests."""
     return boxes.nms(ev_boxes(spark, sf_dir).withColumn("cls", F.lit("any")), 0.3, W).select("rec", "uid", "score")
@@ -115,28 +124,40 @@ def _matched(spark, sf_dir):
     return found, truth, boxes.match_events(found, truth, 21600.0)
 
 
-@query(None)
+_MATCHED = """f AS (SELECT *, (t0 + t1) / 2 AS mid, row_number() OVER (PARTITION BY rec ORDER BY score DESC, uid) AS n FROM boxes WHERE cls = 'click'), tr AS (SELECT *, (t0 + t1) / 2 AS mid FROM boxes WHERE cls = 'view'),
+c AS (SELECT f.rec, f.n, list(tr.uid ORDER BY abs(tr.mid - f.mid), tr.mid, tr.uid) AS near FROM f JOIN tr ON tr.rec = f.rec AND tr.mid BETWEEN f.mid - 21600 AND f.mid + 21600 AND least(f.f1, tr.f1) > greatest(f.f0, tr.f0) GROUP BY f.rec, f.n),
+st AS (SELECT f.rec, f.n, f.uid, coalesce(near, []) AS near FROM f LEFT JOIN c ON c.rec = f.rec AND c.n = f.n),
+g AS (SELECT rec, n, uid, near[1] AS truth_uid, [near[1]] AS used FROM st WHERE n = 1
+  UNION ALL SELECT rec, n, uid, pick, list_append(used, pick) FROM (SELECT st.rec, st.n, st.uid, used, list_filter(near, lambda x: NOT list_contains(used, x))[1] AS pick FROM g JOIN st ON st.rec = g.rec AND st.n = g.n + 1)),
+matched AS (SELECT rec, 'x' AS cls, uid, truth_uid FROM g)"""
+
+
+@query("+" + _MATCHED + " SELECT * FROM matched", "ev boxes", recursive=True)
 def match_events(spark, sf_dir):
     """Greedy one-to-one matching over all recordings; compared with a loop in the tests."""
     return _matched(spark, sf_dir)[2]
 
 
-@query(None)
+@query("+" + _MATCHED + """, s AS (SELECT count(truth_uid) AS tp, count(*) - count(truth_uid) AS fp, (SELECT count(*) FROM tr) - count(truth_uid) AS fn FROM matched)
+SELECT tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM s""", "ev boxes", recursive=True)
 def detector_scores(spark, sf_dir):
     _, truth, matched = _matched(spark, sf_dir)
     return boxes.scores_of(matched, truth.count())
 
 
-@query(None)
+@query("+" + _MATCHED + """, cu AS (SELECT round_even(score, 3) AS cut, count(truth_uid) AS tp, count(*) AS n FROM matched JOIN f ON f.uid = matched.uid GROUP BY 1),
+su AS (SELECT cut, 2 * sum(tp) OVER (ORDER BY cut DESC) / (sum(n) OVER (ORDER BY cut DESC) + (SELECT count(*) FROM tr)) AS f1 FROM cu) SELECT cut, f1 FROM su ORDER BY f1 DESC, cut LIMIT 1""", "ev boxes", recursive=True)
 def best_threshold(spark, sf_dir):
     found, truth, matched = _matched(spark, sf_dir)
     return boxes.best_threshold(matched, found, truth.count())
 
 
-@query(None)
+@query("""+o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY t0, uid) AS n FROM boxes),
+w AS (SELECT rec, n, uid, t0 - 2000 AS w0 FROM o WHERE n = 1 UNION ALL SELECT o.rec, o.n, o.uid, CASE WHEN o.t1 > w0 + 20000 THEN o.t0 - 2000 ELSE w0 END FROM w JOIN o ON o.rec = w.rec AND o.n = w.n + 1)
+SELECT w.rec, round(w0, 3) AS w0, count(*) AS n, round(sum(greatest(0, 1 - abs(score - 0.25) / 0.75)), 6) AS priority FROM w JOIN boxes ON boxes.uid = w.uid GROUP BY w.rec, w0""", "ev boxes", recursive=True)
 def review_windows(spark, sf_dir):
     b = ev_boxes(spark, sf_dir)
-    return boxes.rank_windows(boxes.cover_windows(b, 20000.0), b, 0.25)
+    return boxes.rank_windows(boxes.cover_windows(b, 20000.0), b, 0.25).withColumns({"w0": F.round("w0", 3), "priority": F.round("priority", 6)})
 
 
 @query("""SELECT cls, count(*) AS events, count(DISTINCT rec) AS recordings, count(*) FILTER (score >= 0.5) AS strong, round(avg(greatest(0, 1 - abs(score - 0.25) / 0.75)), 6) AS uncertain FROM boxes GROUP BY cls""", "ev boxes")

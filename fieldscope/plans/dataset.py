@@ -131,7 +131,13 @@ def dataset_report(spark, sf_dir):
     return dataset.dataset_report(dataset.split_tiles(tiles, _grids(spark, sf_dir)), lines)
 
 
-@query()
+@query("""+o AS (SELECT *, row_number() OVER (PARTITION BY rec, cls ORDER BY t0, t1, uid) AS n FROM boxes),
+pr AS (SELECT a.rec, a.cls, a.n, list(b.uid) AS over FROM o a JOIN o b ON a.rec = b.rec AND a.cls = b.cls AND b.n < a.n AND least(a.t1, b.t1) > greatest(a.t0, b.t0) AND least(a.f1, b.f1) > greatest(a.f0, b.f0)
+  WHERE (least(a.t1, b.t1) - greatest(a.t0, b.t0)) * (least(a.f1, b.f1) - greatest(a.f0, b.f0)) / ((a.t1 - a.t0) * (a.f1 - a.f0) + (b.t1 - b.t0) * (b.f1 - b.f0) - (least(a.t1, b.t1) - greatest(a.t0, b.t0)) * (least(a.f1, b.f1) - greatest(a.f0, b.f0))) > 0.5 GROUP BY a.rec, a.cls, a.n),
+st AS (SELECT o.rec, o.cls, o.n, o.uid, coalesce(over, []) AS over FROM o LEFT JOIN pr ON pr.rec = o.rec AND pr.cls = o.cls AND pr.n = o.n),
+k AS (SELECT rec, cls, n, uid, true AS stays, [uid] AS kept FROM st WHERE n = 1
+  UNION ALL SELECT st.rec, st.cls, st.n, st.uid, NOT list_has_any(kept, over), CASE WHEN list_has_any(kept, over) THEN kept ELSE list_append(kept, st.uid) END FROM k JOIN st ON st.rec = k.rec AND st.cls = k.cls AND st.n = k.n + 1)
+SELECT rec, uid FROM k WHERE stays""", "ev boxes", recursive=True)
 def merge_lanes(spark, sf_dir):
     return dataset.merge_lanes(ev_boxes(spark, sf_dir), 0.5, 3600.0).select("rec", "uid")
 
