@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldscope.functions import scalars
+from fieldscope.functions import polygons, scalars
 from fieldscope.operators import boxes
 from fieldscope.plans.registry import ev, ev_boxes, files, query
 
@@ -178,3 +178,46 @@ def suggest_config(spark, sf_dir):
     return ev_boxes(spark, sf_dir).groupBy("cls").agg(
         F.median(d).alias("duration"), F.max(d).alias("longest"), F.min("f0").alias("f_low"), F.max("f1").alias("f_high"), F.round(3 * F.sqrt(F.median(d) / F.median(b)), 6).alias("window_s")
     )
+
+
+#: Outlines of the events: an octagon with two corners drawn in, some of them flat, some outside of all rectangles.
+_OUTLINES = "pg AS (SELECT event_id, list_transform([[0, 10], [4, 9], [2, 3], [9, 4], [10, 0], [7, -7], [0, -10], [-8, 1]], lambda p: {'t': t + p[1] * value * 60, 'f': CASE WHEN event_id % 5 = 0 THEN value ELSE value + p[2] * 4.0 END}) AS p FROM ev)"
+
+
+def _outlines(spark, sf_dir):
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 10), (4, 9), (2, 3), (9, 4), (10, 0), (7, -7), (0, -10), (-8, 1))))
+    flat = F.col("event_id") % 5 == 0
+    return ev(spark, sf_dir).select("event_id", F.transform(ring, lambda p: F.struct((F.col("t") + p["x"] * F.col("value") * 60).alias("t"), F.when(flat, F.col("value")).otherwise(F.col("value") + p["y"] * 4.0).alias("f"))).alias("p"))
+
+
+def _text(points):
+    return F.array_join(F.transform(points, lambda p: F.concat_ws(" ", F.format_string("%.6f", p["t"] + 0.0), F.format_string("%.6f", p["f"] + 0.0))), ";")
+
+
+@query("+" + _OUTLINES + " SELECT event_id, array_to_string(list_transform(p, lambda q: printf('%.6f', greatest(0, least(q.t, 1500000.0)) + 0) || ' ' || printf('%.6f', greatest(0, least(q.f, 100.0)) + 0)), ';') AS outline FROM pg", "ev")
+def clamp_polygons(spark, sf_dir):
+    return _outlines(spark, sf_dir).select("event_id", _text(polygons.clamp_polygon(F.col("p"), 1.5e6, 100.0)).alias("outline"))
+
+
+def _edge_sql(source: str, axis: str, bound: str, above: bool) -> str:
+    inside = lambda p: f"{p}.{axis} {'>=' if above else '<='} {bound}"
+    other = "f" if axis == "t" else "t"
+    at = f"p[i].{other} + ({bound} - p[i].{axis}) / (q.{axis} - p[i].{axis}) * (q.{other} - p[i].{other})"
+    crossing = f"{{'t': {bound if axis == 't' else at}, 'f': {bound if axis == 'f' else at}}}"
+    step = f"list_concat(CASE WHEN {inside('p[i]')} THEN [p[i]] ELSE [] END, CASE WHEN ({inside('p[i]')}) <> ({inside('q')}) THEN [{crossing}] ELSE [] END)".replace("q.", "p[i % len(p) + 1].")
+    return f"SELECT event_id, flatten(list_transform(range(1, len(p) + 1), lambda i: {step})) AS p FROM {source}"
+
+
+@query("+" + _OUTLINES + f", e1 AS ({_edge_sql('pg', 't', '500000.0::DOUBLE', True)}), e2 AS ({_edge_sql('e1', 't', '1500000.0::DOUBLE', False)}), e3 AS ({_edge_sql('e2', 'f', '20.0::DOUBLE', True)}), e4 AS ({_edge_sql('e3', 'f', '90.0::DOUBLE', False)})"
+       + " SELECT event_id, coalesce(array_to_string(list_transform(p, lambda q: printf('%.6f', q.t + 0) || ' ' || printf('%.6f', q.f + 0)), ';'), '') AS outline FROM e4", "ev")
+def clip_polygons(spark, sf_dir):
+    return _outlines(spark, sf_dir).select("event_id", _text(polygons.clip_polygon(F.col("p"), 5e5, 1.5e6, 20.0, 90.0)).alias("outline"))
+
+
+@query("""SELECT event_id, array_to_string(list_transform([[0, 0], [640, 320], [value, value / 2]], lambda p: printf('%.6f', round(t + p[1] / 640 * 600, 6)) || ' ' || printf('%.3f', round(200 - p[2] / 320 * 220, 3))), ';') AS outline FROM ev""", "ev")
+def outlines_from_pixels(spark, sf_dir):
+    pixel = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    points = F.array(pixel(0, 0), pixel(640, 320), pixel(F.col("value"), F.col("value") / 2))
+    tile = (F.col("t"), F.col("t") + 600, F.lit(-20.0), F.lit(200.0))
+    rows = ev(spark, sf_dir).select("event_id", polygons.outline_to_tf(points, tile, 640, 320).alias("p"))
+    return rows.select("event_id", F.array_join(F.transform("p", lambda p: F.format_string("%.6f %.3f", p["t"], p["f"])), ";").alias("outline"))

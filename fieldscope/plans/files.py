@@ -84,3 +84,27 @@ def label_files(spark, sf_dir):
     writers.write_labels(labels, folder, recordings_of, ["view"])
     back, _ = sessions.read_labels(spark, folder)
     return back.select(name.alias("recording_id"), "category", "kind", "channel", "t0", "t1", "f0", "f1", "note")
+
+
+_LEVELS = """em AS (SELECT vec_id // 100 AS r, vec_id % 100 AS channel, unnest(generate_series(0, len(embedding) - 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id IS NOT NULL),
+lv AS (SELECT r, channel, level, 4 * pow(2, level)::BIGINT AS step, i // (4 * pow(2, level)::BIGINT) AS bin, min(x) AS minimum, max(x) AS maximum FROM em, (SELECT unnest(range(4)) AS level) GROUP BY ALL)"""
+
+
+@query(f"WITH {_LEVELS} SELECT 'rec-' || r AS recording_id, channel, level, step, bin, minimum, maximum FROM lv WHERE level = 2")
+def stored_overviews(spark, sf_dir):
+    """Overviews of a hundred embeddings a recording: a store of half of them, then of all with one file changed; the coarsest level of four bins is served."""
+    from fieldscope.operators.activity import minmax_levels
+    from fieldscope.sources import overviews
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id is not null")
+    name = F.concat(F.lit("rec-"), F.floor(F.col("vec_id") / 100).cast("string"))
+    samples = e.select(name.alias("recording_id"), (F.col("vec_id") % 100).cast("int").alias("channel"), F.posexplode("embedding").alias("frame", "value")).withColumn("value", F.col("value").cast("double"))
+    channels = samples.groupBy("recording_id").agg(F.count_distinct("channel").alias("channels"))
+    files = channels.select("recording_id", F.concat("recording_id", F.lit(".wav")).alias("path"), F.lit(64).cast("long").alias("frames"))
+    store = told_path(f"{shared_folder(spark)}/overviews-{uuid.uuid4().hex}")
+    compute = lambda ids: minmax_levels(samples.join(ids, "recording_id", "left_semi"), ["recording_id", "channel"], 4, 4)
+    half = files.where(F.pmod(F.xxhash64("recording_id"), F.lit(2)) == 0)
+    overviews.refresh(spark, store, half, channels, 4, compute)
+    longer = files.withColumn("frames", F.when(F.col("recording_id") == "rec-1", F.lit(65).cast("long")).otherwise(F.col("frames")))
+    overviews.refresh(spark, store, longer, channels, 4, compute)
+    return overviews.serve(spark, store, longer, 4)
