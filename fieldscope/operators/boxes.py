@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.functions.scalars import iou, uncertainty
+from fieldscope.functions.scalars import iou
 from fieldscope.operators.joins import bucket, overlapping, time_islands
 from fieldscope.sources.tables import written
 
@@ -168,10 +167,10 @@ def match_events(found: DataFrame, truth: DataFrame, tolerance: float = 0.1) ->
         return pd.DataFrame(out, columns=["rec", "cls", "uid", "truth_uid"]).astype({"truth_uid": "Int64"})
 
     kinds = {f.name: f.dataType.simpleString() for f in found.schema}
-    return _dealt(islands).applyInPandas(greedy, f"rec {kinds['rec']}, cls {kinds['cls']}, uid {kinds['uid']}, truth_uid long")
+    return dealt_islands(islands).applyInPandas(greedy, f"rec {kinds['rec']}, cls {kinds['cls']}, uid {kinds['uid']}, truth_uid long")
 
 
-def _dealt(islands: DataFrame, keys: tuple[str, ...] = ("rec", "cls")):
+def dealt_islands(islands: DataFrame, keys: tuple[str, ...] = ("rec", "cls")):
     """Groups of whole islands, of ISLANDS at most of a key: several groups a task, and a number of tasks that is named, or few bytes would make one."""
     tasks = int(islands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = F.pmod(F.xxhash64(*keys, F.floor(F.col("island") / ISLANDS)), F.lit(8 * tasks))
@@ -196,27 +195,3 @@ def best_threshold(matched: DataFrame, found: DataFrame, n_truth: int) -> DataFr
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("cut").desc()).rowsBetween(Window.unboundedPreceding, 0)
     sums = cuts.select("cut", F.sum("tp").over(w).alias("tp"), F.sum("n").over(w).alias("n")).withColumn("f1", 2 * F.col("tp") / (F.col("n") + n_truth))
     return sums.agg(F.max_by(F.struct("cut", "f1"), F.struct("f1", -F.col("cut"))).alias("m")).select("m.cut", "m.f1")
-
-
-def cover_windows(candidates: DataFrame, length: float) -> DataFrame:
-    """rec, w0, uid: a greedy cover; a window of length opens a tenth of it before the first candidate that none holds whole."""
-    islands = time_islands(candidates.select("rec", "uid", "t0", "t1"), ["rec"], length, "t0", "t0")
-
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for rec, g in pdf.groupby("rec", sort=False, dropna=False):
-            end, w0 = -math.inf, None
-            for uid, t0, t1 in g.sort_values(["t0", "uid"])[["uid", "t0", "t1"]].itertuples(index=False):
-                if t1 > end:
-                    w0 = t0 - 0.1 * length
-                    end = w0 + length
-                out.append((rec, w0, uid))
-        return pd.DataFrame(out, columns=["rec", "w0", "uid"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return _dealt(islands, ("rec",)).applyInPandas(cover, f"rec {kinds['rec']}, w0 double, uid {kinds['uid']}")
-
-
-def rank_windows(members: DataFrame, candidates: DataFrame, cut: float) -> DataFrame:
-    """rec, w0, n, priority: windows by the summed uncertainty of their candidates."""
-    return members.join(candidates.select("uid", "score"), "uid").groupBy("rec", "w0").agg(F.count("*").alias("n"), F.sum(uncertainty(F.col("score"), cut)).alias("priority"))

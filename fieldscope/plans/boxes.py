@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldscope.functions import polygons, scalars
-from fieldscope.operators import boxes
+from fieldscope.operators import boxes, windows
 from fieldscope.plans.registry import ev, ev_boxes, files, query
 
 W = 7200.0
@@ -157,7 +157,75 @@ w AS (SELECT rec, n, uid, t0 - 2000 AS w0 FROM o WHERE n = 1 UNION ALL SELECT o.
 SELECT w.rec, round(w0, 3) AS w0, count(*) AS n, round(sum(greatest(0, 1 - abs(score - 0.25) / 0.75)), 6) AS priority FROM w JOIN boxes ON boxes.uid = w.uid GROUP BY w.rec, w0""", "ev boxes", recursive=True)
 def review_windows(spark, sf_dir):
     b = ev_boxes(spark, sf_dir)
-    return boxes.rank_windows(boxes.cover_windows(b, 20000.0), b, 0.25).withColumns({"w0": F.round("w0", 3), "priority": F.round("priority", 6)})
+    return windows.rank_windows(windows.cover_windows(b, 20000.0), b, 0.25).withColumns({"w0": F.round("w0", 3), "priority": F.round("priority", 6)})
+
+
+#: Candidates, spans and reviewed rects of the review; windows of 20000 s that stay in spans of 2400000 s. A draw goes to 2**31 - 2.
+_REVIEW = _RECTS + """, sp AS (SELECT DISTINCT rec, 30000.0::DOUBLE AS a, 2430000.0::DOUBLE AS z FROM boxes),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.rec ORDER BY t0, uid) AS n, least(greatest(t0 - 2000, 30000), 2410000) AS own FROM boxes b
+  WHERE NOT EXISTS (SELECT 1 FROM rects r WHERE r.rec = b.rec AND (b.t0 + b.t1) / 2 BETWEEN r.t0 AND r.t1 AND (r.f0 IS NULL OR (b.f0 + b.f1) / 2 >= r.f0) AND (r.f1 IS NULL OR (b.f0 + b.f1) / 2 <= r.f1))),
+w AS (SELECT rec, n, uid, own AS w0 FROM o WHERE n = 1 UNION ALL SELECT o.rec, o.n, o.uid, CASE WHEN o.t1 > w0 + 20000 THEN own ELSE w0 END FROM w JOIN o ON o.rec = w.rec AND o.n = w.n + 1),
+g AS (SELECT w.rec, w0, count(*) AS n, sum(greatest(0, 1 - abs(score - 0.25) / 0.75)) AS unc, min(w.uid) AS u FROM w JOIN boxes ON boxes.uid = w.uid GROUP BY w.rec, w0)"""
+
+
+def _draws(*keys: str) -> str:
+    out = "7::BIGINT"
+    for k in keys:
+        out = f"(({out} + {k} % 2147483647 + 1) * 48271 % 2147483647)"
+    return f"({out} * 48271 % 2147483647)"
+
+
+_BLIND = """, ms AS (SELECT rec, t0, t1, max(t1) OVER (PARTITION BY rec ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM rects),
+il AS (SELECT rec, t0, t1, sum(CASE WHEN far IS NULL OR t0 > far THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY t0, t1) AS i FROM ms),
+cl AS (SELECT rec, min(t0) AS t0, max(t1) AS t1 FROM il GROUP BY rec, i HAVING max(t1) >= 40000 AND min(t0) <= 2420000),
+gp AS (SELECT rec, greatest(coalesce(lag(t1) OVER (PARTITION BY rec ORDER BY t0), 40000), 40000) AS a, least(t0, 2420000) AS z FROM cl UNION ALL SELECT rec, max(t1), 2420000 FROM cl GROUP BY rec
+  UNION ALL SELECT rec, 40000, 2420000 FROM sp WHERE rec NOT IN (SELECT rec FROM cl)),
+fr AS (SELECT rec, a, z, sum(z - a) OVER (PARTITION BY rec ORDER BY a) - (z - a) AS before, sum(z - a) OVER (PARTITION BY rec) AS total FROM gp WHERE z > a),
+ct AS (SELECT rec, count(*) AS n FROM ord GROUP BY rec), tu AS (SELECT rec, n, unnest(range(greatest(n // 5, 1))) AS k FROM ct),
+pl AS (SELECT tu.rec, CASE WHEN n < 5 THEN n ELSE (k + 1) * 5 - 1 + k END AS place, DRAW / 2147483647.0::DOUBLE * (SELECT max(total) FROM fr WHERE fr.rec = tu.rec) AS pos FROM tu),
+bl AS (SELECT pl.rec, place, min(a + pos - before) - 10000 AS w0 FROM pl JOIN fr ON fr.rec = pl.rec AND pos >= before AND pos < before + z - a GROUP BY pl.rec, place),
+al AS (SELECT rec, i + (i + 1) // 5 AS place, w0, n, priority, false AS blind FROM ord UNION ALL SELECT rec, place, w0, (SELECT count(*) FROM boxes b WHERE b.rec = bl.rec AND b.t0 >= w0 AND b.t1 <= w0 + 20000), 0, true FROM bl)""".replace("DRAW", _draws("tu.rec", "k"))
+
+
+def _ranked(spark, sf_dir, strategy):
+    b = ev_boxes(spark, sf_dir)
+    spans = b.select("rec").distinct().select("rec", F.lit(30000.0).alias("first"), F.lit(2430000.0).alias("last"))
+    reviewed = _rects(spark, sf_dir)
+    members = windows.cover_windows(b, 20000.0, reviewed, spans)
+    ranked = windows.rank_windows(members, b, 0.25, strategy, 7)
+    return b, spans, reviewed, ranked.withColumn("priority", F.round("priority", 6))
+
+
+def _told(ranked):
+    return ranked.withColumn("w0", F.round("w0", 3))
+
+
+@query("+" + _REVIEW + ", ord AS (SELECT rec, w0, n, round(unc, 6) AS priority, row_number() OVER (PARTITION BY rec ORDER BY round(unc, 6) DESC, w0) - 1 AS i FROM g)" + _BLIND + " SELECT rec, place, round(w0, 3) AS w0, n, priority, blind FROM al", "ev boxes", recursive=True)
+def review_order(spark, sf_dir):
+    """The windows by uncertainty, with blind ones between."""
+    b, spans, reviewed, ranked = _ranked(spark, sf_dir, "uncertain")
+    return _told(windows.with_blind(ranked, b, spans, reviewed, 20000.0, 7))
+
+
+@query("+" + _REVIEW + " SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY round(-w0, 6) DESC, w0) - 1 AS place, round(w0, 3) AS w0, n, round(-w0, 6) AS priority, false AS blind FROM g", "ev boxes", recursive=True)
+def review_order_by_time(spark, sf_dir):
+    b, spans, reviewed, ranked = _ranked(spark, sf_dir, "time")
+    return _told(windows.with_blind(ranked, b, spans, reviewed, 20000.0, 7, every=0))
+
+
+@query("+" + _REVIEW + f", p AS (SELECT *, round({_draws('u')} / 2147483647.0::DOUBLE, 6) AS pr FROM g) SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY pr DESC, w0) - 1 AS place, round(w0, 3) AS w0, n, pr AS priority, false AS blind FROM p", "ev boxes", recursive=True)
+def review_order_at_random(spark, sf_dir):
+    b, spans, reviewed, ranked = _ranked(spark, sf_dir, "random")
+    return _told(windows.with_blind(ranked, b, spans, reviewed, 20000.0, 7, every=0))
+
+
+@query("+" + _REVIEW + ", ord AS (SELECT rec, w0, n, round(unc, 6) AS priority, row_number() OVER (PARTITION BY rec ORDER BY round(unc, 6) DESC, w0) - 1 AS i FROM g)" + _BLIND + """
+SELECT rec, arg_min(place, ((blind <> (rec % 5 = 4))::INT, place)) AS place, round(arg_min(w0, ((blind <> (rec % 5 = 4))::INT, place)), 3) AS w0, arg_min(blind, ((blind <> (rec % 5 = 4))::INT, place)) AS blind FROM al GROUP BY rec""", "ev boxes", recursive=True)
+def next_windows(spark, sf_dir):
+    """The window to look at next in each recording; as many are finished as its number says."""
+    b, spans, reviewed, ranked = _ranked(spark, sf_dir, "uncertain")
+    order = windows.with_blind(ranked, b, spans, reviewed, 20000.0, 7)
+    return _told(windows.pick_window(order, spans.select("rec", F.col("rec").alias("finished"))))
 
 
 @query("""SELECT cls, count(*) AS events, count(DISTINCT rec) AS recordings, count(*) FILTER (score >= 0.5) AS strong, round(avg(greatest(0, 1 - abs(score - 0.25) / 0.75)), 6) AS uncertain FROM boxes GROUP BY cls""", "ev boxes")

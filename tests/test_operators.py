@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldscope.functions import kernels, scalars
-from fieldscope.operators import boxes, joins, signals, tracks
+from fieldscope.operators import boxes, joins, signals, tracks, windows
 from fieldscope.operators.scans import carried_states
 
 
@@ -65,7 +65,7 @@ def test_cover_windows(spark):
                 w0 = b[4] - 3.0
                 end = w0 + 30.0
             want[b[1]] = w0
-    got = {r.uid: r.w0 for r in boxes.cover_windows(spark.createDataFrame(rows, SCHEMA), 30.0).collect()}
+    got = {r.uid: r.w0 for r in windows.cover_windows(spark.createDataFrame(rows, SCHEMA), 30.0).collect()}
     assert got == pytest.approx(want)
 
 
@@ -215,3 +215,33 @@ def test_states_are_carried_by_a_tree(spark, fan):
     got = carried_states(spark.createDataFrame(rows, "k string, block long, n long, state array<double>"), ["k"], transition, 2, fan).collect()
     assert len(got) == len(want) and all(np.allclose(r.state, want[r.k, r.block], atol=1e-12) for r in got)
     assert carried_states(spark.createDataFrame([], "k string, block long, n long, state array<double>"), ["k"], transition, 2, fan).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_dense_recording_is_covered_by_doubling(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(r[0], r[1], 0, 0.5, round(r[4] * (0.2 + 0.4 * seed), 1), round(r[4] * (0.2 + 0.4 * seed), 1) + r[5] - r[4], *r[6:]) for r in random_boxes(rng, 200)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    spans = spark.createDataFrame([(0, 3.0, 60.0), (1, 0.0, 1e4)], "rec int, first double, last double").selectExpr("cast(rec as " + frame.schema["rec"].dataType.simpleString() + ") as rec", "first", "last")
+    for more in ({"spans": spans} if seed else {},):
+        walked = {r.uid: r.w0 for r in windows.cover_windows(frame, 5.0, **more).collect()}
+        doubled = {r.uid: r.w0 for r in windows.cover_windows(frame, 5.0, **more, big=0).collect()}
+        assert len(walked) == len(rows) and doubled == walked and len(set(walked.values())) > 5
+
+
+def test_blind_windows_avoid_what_is_reviewed(spark):
+    candidates = spark.createDataFrame([(1, i, 0, 0.3, 10.0 * i, 10.0 * i + 2, 0.0, 1.0) for i in range(23)] + [(2, 100, 0, 0.3, 5.0, 6.0, 0.0, 1.0), (3, 101, 0, 0.3, 5.0, 6.0, 0.0, 1.0)], "rec long, uid long, cls int, score double, t0 double, t1 double, f0 double, f1 double")
+    spans = spark.createDataFrame([(1, 0.0, 240.0), (2, 0.0, 50.0), (3, 0.0, 2.0)], "rec long, first double, last double")
+    rects = spark.createDataFrame([(1, 20.0, 120.0), (1, 100.0, 200.0), (2, -5.0, 500.0)], "rec long, t0 double, t1 double")
+    ranked = windows.rank_windows(windows.cover_windows(candidates, 8.0, None, spans), candidates, 0.25)
+    for seed in range(2):
+        out = windows.with_blind(ranked, candidates, spans, rects, 8.0, seed).collect()
+        assert {r.rec: sum(x.blind for x in out if x.rec == r.rec) for r in out} == {1: 4, 2: 1, 3: 1}
+        assert sorted(r.place for r in out if r.rec == 1) == list(range(27)) and [r.place for r in sorted(out, key=lambda r: r.place) if r.rec == 1 and r.blind] == [4, 10, 16, 22]
+        for r in out:
+            if r.blind:
+                assert not (r.rec == 1 and 20 <= r.w0 + 4 <= 200) and 0 <= r.w0 <= max({1: 240, 2: 50, 3: 2}[r.rec] - 8, 0)
+                assert r.n == sum(r.w0 <= c.t0 and c.t1 <= r.w0 + 8 for c in candidates.where(f"rec = {r.rec}").collect())
+    kind = "rec long, finished long"
+    picks = {n: {r.rec: r.blind for r in windows.pick_window(windows.with_blind(ranked, candidates, spans, rects, 8.0), spark.createDataFrame([(1, n), (2, n)], kind)).collect()} for n in (4, 10)}
+    assert picks == {4: {1: True, 2: True}, 10: {1: False, 2: False}}
