@@ -1,4 +1,4 @@
-"""Named extension points: denoisers and traces as functions of DataFrames, analyzers and label assistants as functions of NumPy or pandas."""
+"""Named extension points: denoisers as functions of DataFrames, analyzers and label assistants as functions of NumPy or pandas. Traces are in operators/traces.py."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DENOISERS: dict[str, tuple[int, Callable]] = {}
-TRACES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 ANALYZERS: dict[str, Callable[[pd.DataFrame], float]] = {}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldscope.functions import kernels, scalars
-from fieldscope.operators import signals
+from fieldscope.operators import signals, traces
 from fieldscope.plans.registry import emb_samples, ev, query
 from fieldscope.sources.tables import written
 
@@ -145,3 +145,21 @@ def clock_texts(spark, sf_dir):
 @query("""SELECT event_id, arg_min(r, (abs(ln(r / (value + 1))), r)) AS rung FROM ev, (SELECT unnest([2.5, 5, 10, 20, 50, 100, 200])::DOUBLE AS r) GROUP BY event_id""", "ev")
 def snap_resolution(spark, sf_dir):
     return ev(spark, sf_dir).select("event_id", scalars.snap(F.col("value") + 1, [2.5, 5, 10, 20, 50, 100, 200]).alias("rung"))
+
+
+@query("""+sm AS (SELECT rec, frame, value, avg(value) OVER (PARTITION BY rec ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM emb),
+sl AS (SELECT rec, frame, value - s AS d, coalesce(s - lag(s) OVER (PARTITION BY rec ORDER BY frame), 0) * 64 AS g FROM sm)
+SELECT 'detail' AS trace, rec, frame, round(d, 9) + 0 AS value FROM sl UNION ALL SELECT 'slope', rec, frame, round(g, 9) + 0 FROM sl""", "emb")
+def derived_traces(spark, sf_dir):
+    """Two traces of one pass: one from the samples, one from what they are smoothed to."""
+    out = traces.derive(_blocks(spark, sf_dir), RATE, ["detail", "slope"])
+    return out.select("trace", _rec(), "start_frame", F.posexplode("samples").alias("i", "value")).select("trace", "rec", (F.col("start_frame") + F.col("i")).alias("frame"), (F.round("value", 9) + 0.0).alias("value"))
+
+
+@query("""SELECT rec, frame // 12 * 12 AS start_frame, round(avg(value), 9) + 0 AS mean, max(abs(value)) AS peak FROM emb GROUP BY rec, frame // 12 HAVING count(*) = 12""", "emb")
+def window_stats(spark, sf_dir):
+    """A table function over blocks, from SQL: windows of 12 samples across blocks of 16."""
+    traces.register_table_functions(spark)
+    blocks = _blocks(spark, sf_dir)
+    out = spark.sql("SELECT * FROM window_stats(TABLE({blocks}) PARTITION BY (recording_id, channel) ORDER BY (block), 12)", blocks=blocks)
+    return out.select(_rec(), "start_frame", (F.round("mean", 9) + 0.0).alias("mean"), "peak")
