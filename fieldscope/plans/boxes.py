@@ -94,12 +94,12 @@ def owned_spans(spark, sf_dir):
     return boxes.owned_spans(_tiles(spark, sf_dir), 4096, 50.0)
 
 
-@query("""+tl AS (SELECT rec, CAST(unnest(generate_series(0, 719)) AS BIGINT) AS s0 FROM (SELECT DISTINCT rec FROM boxes)),
+@query("""+tl AS (SELECT rec, CAST(unnest(generate_series(0, CAST(floor(m / 3600) AS BIGINT))) AS BIGINT) AS s0 FROM (SELECT rec, max(t1) AS m FROM boxes GROUP BY rec)),
 v AS (SELECT tl.rec, s0, uid, (least(t1, s0 * 3600 + 5400) - greatest(t0, s0 * 3600)) * greatest(least(f1, 500) - greatest(f0, 20), 0) / ((t1 - t0) * (f1 - f0)) AS visible FROM tl JOIN boxes b ON b.rec = tl.rec AND t0 < s0 * 3600 + 5400 AND s0 * 3600 < t1)
 SELECT rec, s0, uid, round(visible, 6) AS visible, visible >= 0.6 AS labelled FROM v WHERE visible > 0""", "ev boxes")
 def tile_membership(spark, sf_dir):
     b = ev_boxes(spark, sf_dir)
-    tiles = b.select("rec").distinct().select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("s0"))
+    tiles = b.groupBy("rec").agg(F.max("t1").alias("m")).select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / 3600))).alias("s0"))
     tiles = tiles.select("rec", "s0", (F.col("s0") * 3600.0).alias("t0"), (F.col("s0") * 3600.0 + 5400).alias("t1"), F.lit(20.0).alias("f0"), F.lit(500.0).alias("f1"))
     return boxes.tile_membership(b, tiles, 0.6, W).select("rec", "s0", "uid", F.round("visible", 6).alias("visible"), "labelled")
 

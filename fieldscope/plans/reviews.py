@@ -77,11 +77,11 @@ def worst_region(spark, sf_dir):
 
 
 @query("+" + _DFT + """, q AS (SELECT vec_id AS q, vec_id AS rec, CAST(floor((vec_id % 11 * 0.1 - 0.0625) / 0.125) AS BIGINT) AS col, CAST(floor(vec_id % 37 / 4.0 + 0.5) AS INTEGER) AS bin FROM embeddings)
-SELECT q, q.col, q.bin, round(power, 9) AS power FROM q LEFT JOIN (SELECT * FROM cells WHERE bin > 0) c ON c.rec = q.rec AND c.col = q.col AND c.bin = q.bin""", "emb")
+SELECT q, q.col, q.bin, round(power, 9) AS power FROM q LEFT JOIN cells c ON c.rec = q.rec AND c.col = q.col AND c.bin = q.bin""", "emb")
 def power_at(spark, sf_dir):
     v = F.col("vec_id")
     points = load(spark, sf_dir, "embeddings").select(v.alias("q"), F.floor(v / 8).cast("string").alias("recording_id"), (v % 8).cast("int").alias("channel"), (v % 11 * F.lit(0.1)).alias("t"), (v % 37).cast("double").alias("f"))
-    return reviews.power_at(_cells(spark, sf_dir).where("bin > 0"), points, 0.125, 4.0, 0.25).withColumn("power", F.round("power", 9))
+    return reviews.power_at(_cells(spark, sf_dir), points, 0.125, 4.0, 0.25).withColumn("power", F.round("power", 9))
 
 
 @query("+" + _DFT + " SELECT rec, col, bin, round(10 * log10(power), 6) AS db FROM cells WHERE col % 2 = 0 AND bin BETWEEN 2 AND 5", "emb")
@@ -111,13 +111,13 @@ def review_shift(spark, sf_dir):
     return reviews.review_shift(items, -100000.0, 0.0, 900000.0, renamed)
 
 
-@query("""+s AS (SELECT event_id AS stroke, t AS t_a, value AS f_a, t + 9000 AS t_b, value + 30 AS f_b FROM ev WHERE category = 'signup'), fr AS (SELECT i AS k, i * 1800.0::DOUBLE AS t FROM (SELECT unnest(generate_series(0, 1500)) AS i)),
+@query("""+s AS (SELECT event_id AS stroke, t AS t_a, value AS f_a, t + 9000 AS t_b, value + 30 AS f_b FROM ev WHERE category = 'signup'), fr AS (SELECT i AS k, i * 1800.0::DOUBLE AS t FROM (SELECT unnest(generate_series(0, CAST(ceil((max(t_b) + 3600) / 1800) AS BIGINT))) AS i FROM s)),
 x AS (SELECT stroke, k, t, greatest(t_a, least(t_b, t)) AS pt, t_a, f_a, t_b, f_b FROM s JOIN fr ON t >= t_a - 3600 AND t <= t_b + 3600), y AS (SELECT stroke, k, f_a + (pt - t_a) / (t_b - t_a) * (f_b - f_a) AS f, (t - pt) / 3600 AS o FROM x)
 SELECT stroke, k, round(min(f - 12 * sqrt(1 - o * o)), 6) AS lo, round(max(f + 12 * sqrt(1 - o * o)), 6) AS hi FROM y WHERE abs(o) <= 1 GROUP BY stroke, k""", "ev")
 def brush_bands(spark, sf_dir):
     e = ev(spark, sf_dir).where("category = 'signup'")
     strokes = e.select(F.col("event_id").alias("stroke"), F.col("t").alias("t_a"), F.col("value").alias("f_a"), (F.col("t") + 9000).alias("t_b"), (F.col("value") + 30).alias("f_b"))
-    frames = spark.range(1501).select(F.col("id").alias("k"), (F.col("id") * 1800.0).alias("t"))
+    frames = strokes.agg(F.ceil((F.max("t_b") + 3600) / 1800).alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("k")).withColumn("t", F.col("k") * 1800.0)
     return reviews.brush_bands(strokes, frames, 3600.0, 12.0, 7200.0).select("stroke", "k", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
@@ -128,9 +128,9 @@ def trial_layers(spark, sf_dir):
     return sessions.trial_layers(trials)[0]
 
 
-@query("""SELECT event_id, category || ' ' || printf('%.1f s', t) || CASE WHEN event_id % 6 <> 0 THEN printf(' (%.2f)', value) ELSE '' END AS said FROM ev WHERE value <> 0""", "ev")
+@query("""SELECT event_id, category || ' ' || printf('%.1f s', t) || CASE WHEN event_id % 6 <> 0 THEN printf(' (%.2f)', value) ELSE '' END AS said FROM ev""", "ev")
 def describe_marks(spark, sf_dir):
-    e = ev(spark, sf_dir).where("value <> 0")
+    e = ev(spark, sf_dir)
     return e.select("event_id", reviews.describe(F.col("category"), F.col("t"), F.when(F.col("event_id") % 6 != 0, F.col("value"))).alias("said"))
 
 

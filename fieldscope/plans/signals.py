@@ -33,19 +33,19 @@ def _rec():
     return (F.col("recording_id").cast("long") * 8 + F.col("channel")).alias("rec")
 
 
-@query("+" + _DFT + " SELECT rec, col, bin, round(power, 9) AS power FROM cells WHERE bin > 0", "emb")
+@query("+" + _DFT + " SELECT rec, col, bin, round(power, 9) AS power FROM cells", "emb")
 def spectrogram(spark, sf_dir):
-    return _cells(spark, sf_dir).where("bin > 0").select(_rec(), "col", F.col("bin").cast("long").alias("bin"), F.round("power", 9).alias("power"))
+    return _cells(spark, sf_dir).select(_rec(), "col", F.col("bin").cast("long").alias("bin"), F.round("power", 9).alias("power"))
 
 
-@query("+" + _DFT + " SELECT rec, bin, round(avg(power), 9) AS power FROM cells WHERE bin > 0 GROUP BY rec, bin", "emb")
+@query("+" + _DFT + " SELECT rec, bin, round(avg(power), 9) AS power FROM cells GROUP BY rec, bin", "emb")
 def mean_spectrum(spark, sf_dir):
-    return signals.mean_spectrum(_cells(spark, sf_dir).where("bin > 0")).select(_rec(), F.col("bin").cast("long").alias("bin"), F.round("power", 9).alias("power"))
+    return signals.mean_spectrum(_cells(spark, sf_dir)).select(_rec(), F.col("bin").cast("long").alias("bin"), F.round("power", 9).alias("power"))
 
 
-@query("+" + _DFT + " SELECT CAST(rec // 8 AS VARCHAR) AS recording_id, col, bin, round(avg(power), 9) AS power FROM cells WHERE bin > 0 GROUP BY rec // 8, col, bin", "emb")
+@query("+" + _DFT + " SELECT CAST(rec // 8 AS VARCHAR) AS recording_id, col, bin, round(avg(power), 9) AS power FROM cells GROUP BY rec // 8, col, bin", "emb")
 def channel_power(spark, sf_dir):
-    return signals.channel_power(_cells(spark, sf_dir).where("bin > 0")).select("recording_id", "col", F.col("bin").cast("long").alias("bin"), F.round("power", 9).alias("power"))
+    return signals.channel_power(_cells(spark, sf_dir)).select("recording_id", "col", F.col("bin").cast("long").alias("bin"), F.round("power", 9).alias("power"))
 
 
 @query("+" + _DFT + """, d AS (SELECT rec // 8 AS r, bin, 10 * log10(power) AS db FROM cells WHERE bin > 0), a AS (SELECT r, quantile_cont(db, 0.95) FILTER (bin >= 8) AS hi, quantile_cont(db, 0.5) AS mid, max(db) AS mx FROM d GROUP BY r)
@@ -55,11 +55,11 @@ def noise_levels(spark, sf_dir):
 
 
 @query("+" + _DFT + """, fl AS (SELECT rec, col, quantile_cont(power, 0.5) AS f FROM cells WHERE abs(freq - 16) > 4 AND abs(freq - 16) <= 12 GROUP BY rec, col)
-SELECT rec, col, bin, round(CASE WHEN abs(freq - 16) <= 4 THEN power - 0.75 * greatest(power - f, 0) ELSE power END, 9) AS power FROM cells JOIN fl USING (rec, col) WHERE bin > 0""", "emb")
+SELECT rec, col, bin, round(CASE WHEN abs(freq - 16) <= 4 THEN power - 0.75 * greatest(power - f, 0) ELSE power END, 9) AS power FROM cells JOIN fl USING (rec, col)""", "emb")
 def mains_comb(spark, sf_dir):
     """One harmonic at 16 Hz; its reference bins lie within 12 Hz of it."""
     out = signals.mains_comb(_cells(spark, sf_dir).withColumn("freq", F.col("freq") + 9.0), 4.0, 25.0, 1, 4.0, 0.75)
-    return out.where("bin > 0").select(_rec(), "col", F.col("bin").cast("long").alias("bin"), F.round("power", 9).alias("power"))
+    return out.select(_rec(), "col", F.col("bin").cast("long").alias("bin"), F.round("power", 9).alias("power"))
 
 
 @query("+" + _DFT + """, s AS (SELECT rec // 8 AS r, col, bin, max(power) AS top, min(power) AS low, count(*) AS live FROM cells WHERE bin > 0 GROUP BY rec // 8, col, bin)
@@ -120,12 +120,12 @@ def decibels(spark, sf_dir):
     return ev(spark, sf_dir).select("event_id", F.round(F.when(db > float("-inf"), db), 6).alias("db"), (db == float("-inf")).alias("silent"))
 
 
-@query("""+s AS (SELECT DISTINCT CAST(pow(2, a) * pow(3, b) * pow(5, c) AS BIGINT) AS s FROM (SELECT unnest(generate_series(1, 13)) AS a), (SELECT unnest(generate_series(0, 8)) AS b), (SELECT unnest(generate_series(0, 5)) AS c) WHERE pow(2, a) * pow(3, b) * pow(5, c) <= 4096),
+@query("""+s AS (SELECT DISTINCT CAST(pow(2, a) * pow(3, b) * pow(5, c) AS BIGINT) AS s FROM (SELECT unnest(generate_series(1, 21)) AS a), (SELECT unnest(generate_series(0, 13)) AS b), (SELECT unnest(generate_series(0, 9)) AS c) WHERE pow(2, a) * pow(3, b) * pow(5, c) <= 2097152),
 d AS (SELECT channel, count(*) AS x FROM ev GROUP BY channel)
 SELECT channel, x, (SELECT arg_min(s, (abs(s - x), s)) FROM s) AS size, greatest(1, least(CAST(round_even(0.75 * x, 0) AS BIGINT), x)) AS hop FROM d""", "ev")
 def fft_sizes(spark, sf_dir):
     d = ev(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("x"))
-    return d.select("channel", "x", scalars.fast_fft_size(F.col("x"), 4096).cast("long").alias("size"), scalars.hop_of(F.col("x"), F.lit(0.25)).alias("hop"))
+    return d.select("channel", "x", scalars.fast_fft_size(F.col("x")).cast("long").alias("size"), scalars.hop_of(F.col("x"), F.lit(0.25)).alias("hop"))
 
 
 @query("""SELECT event_id, CAST(greatest(0, ceil((t * 10 - 3 - 16.0) / 5)) AS BIGINT) AS k0, CAST(greatest(greatest(0, ceil((t * 10 - 3 - 16.0) / 5)), least(1000000, floor(((t + 60) * 10 - 3 - 16.0) / 5) + 1)) AS BIGINT) AS k1 FROM ev""", "ev")

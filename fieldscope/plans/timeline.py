@@ -132,10 +132,10 @@ def merge_spans(spark, sf_dir):
     return joins.merge_spans(ev_spans(spark, sf_dir), ["channel"], 600.0)
 
 
-@query("+" + _MERGED.format(tol=0) + "SELECT event_id, channel, t FROM ev WHERE category <> 'view' AND EXISTS (SELECT 1 FROM merged m WHERE m.channel = ev.channel AND m.t0 <= t AND t < m.t1 AND m.n > 1)", "ev spans")
+@query("+" + _MERGED.format(tol=0) + "SELECT event_id, channel, t FROM ev WHERE EXISTS (SELECT 1 FROM merged m WHERE m.channel = ev.channel AND m.t0 <= t AND t < m.t1)", "ev spans")
 def inside_any(spark, sf_dir):
-    union = joins.merge_spans(ev_spans(spark, sf_dir), ["channel"]).where("n > 1").select("channel", "t0", "t1")
-    points = ev(spark, sf_dir).where("category <> 'view'").select("event_id", "channel", "t")
+    union = joins.merge_spans(ev_spans(spark, sf_dir), ["channel"]).select("channel", "t0", "t1")
+    points = ev(spark, sf_dir).select("event_id", "channel", "t")
     return joins.points_in_spans(points, union, ["channel"], 6 * HOUR).select("event_id", "channel", "t")  # islands are disjoint: a point is in one
 
 
