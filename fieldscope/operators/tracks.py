@@ -212,8 +212,11 @@ def best_per_harmonic(judged: DataFrame, keys: Keys = ()) -> DataFrame:
     return judged.join(himself, [*keys, "lo"], "left").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_overtone")
 
 
-def find_harmonics(rows: DataFrame, tolerance: float, bin_hz: float, least: int = 5, share: float = 0.7, frame_s: float | None = None, ids: DataFrame | None = None, keys: Keys = ()) -> DataFrame:
-    """The best fundamental of each id, as best_per_harmonic; ids(ident): only pairs with one of them are looked at, in frames that they have."""
+def find_harmonics(rows: DataFrame, tolerance: float, bin_hz: float, least: int = 5, share: float = 0.7, frame_s: float | None = None, timescale: float = 30.0, ids: DataFrame | None = None, keys: Keys = ()) -> DataFrame:
+    """The best fundamental of each id, as best_per_harmonic; ids(ident): only pairs with one of them are looked at, in frames that they have.
+
+    frame_s and timescale are those of judge_harmonics.
+    """
     if ids is not None:
         rows = harmonic_subset(rows, ids, keys)
     rows = written(one_per_frame(rows, keys).select(*keys, "row", "ident", "k", "f"), "frames")
@@ -222,7 +225,7 @@ def find_harmonics(rows: DataFrame, tolerance: float, bin_hz: float, least: int
         asked = [ids.select(*keys, F.col("ident").alias(end), F.lit(True).alias(f"_{end}")).distinct() for end in ("lo", "hi")]
         found = found.join(asked[0], [*keys, "lo"], "left").join(asked[1], [*keys, "hi"], "left").where("_lo or _hi").drop("_lo", "_hi")
     found = written(found, "harmonic-candidates")
-    return best_per_harmonic(written(judge_harmonics(rows, found, bin_hz, least, share, frame_s=frame_s, keys=keys), "harmonics"), keys)
+    return best_per_harmonic(written(judge_harmonics(rows, found, bin_hz, least, share, frame_s=frame_s, timescale=timescale, keys=keys), "harmonics"), keys)
 
 
 def harmonic_subset(rows: DataFrame, ids: DataFrame, keys: Keys = ()) -> DataFrame:

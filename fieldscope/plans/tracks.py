@@ -99,11 +99,15 @@ _JUDGED = _HARM + """, j AS (SELECT c.session, c.lo, c.hi, c.h, count(*) AS n, q
 FROM c JOIN once a ON a.session = c.session AND a.ident = c.lo JOIN once b ON b.session = c.session AND b.ident = c.hi AND b.k = a.k GROUP BY c.session, c.lo, c.hi, c.h), g AS (SELECT * FROM j WHERE n >= 2 AND abs(off) <= 0.1 * 12 * sqrt(1 + h * h) AND match >= 0.7)"""
 
 
-@query("+" + _JUDGED + """, r AS (SELECT g.*, row_number() OVER (PARTITION BY session, hi ORDER BY CASE WHEN (session, lo) IN (SELECT (session, hi) FROM g) THEN 1 ELSE 0 END, -match * n, abs(off), lo, h) AS rn FROM g)
-SELECT session, lo, hi, h, n, round(off, 6) AS off, round(match, 6) AS match FROM r WHERE rn = 1""", "ev tracks")
+@query("+" + _JUDGED + """, mv AS (SELECT g.session, g.lo, g.hi, g.h, g.h * a.f - quantile_cont(g.h * a.f, 0.5) OVER w AS x, b.f - quantile_cont(b.f, 0.5) OVER w AS y
+  FROM g JOIN once a ON a.session = g.session AND a.ident = g.lo JOIN once b ON b.session = g.session AND b.ident = g.hi AND b.k = a.k WINDOW w AS (PARTITION BY g.session, g.lo, g.hi, g.h ORDER BY a.k RANGE BETWEEN 120 PRECEDING AND 120 FOLLOWING)),
+al AS (SELECT session, lo, hi, h, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS corr FROM mv GROUP BY ALL), q AS (SELECT g.*, corr FROM g JOIN al USING (session, lo, hi, h) WHERE corr >= 0.5),
+r AS (SELECT q.*, row_number() OVER (PARTITION BY session, hi ORDER BY CASE WHEN (session, lo) IN (SELECT (session, hi) FROM q) THEN 1 ELSE 0 END, -match * n, abs(off), lo, h) AS rn FROM q)
+SELECT session, lo, hi, h, n, round(off, 6) AS off, round(match, 6) AS match, round(corr, 6) AS corr FROM r WHERE rn = 1""", "ev tracks")
 def find_harmonics(spark, sf_dir):
-    rows = ev_tracks(spark, sf_dir)
-    return tracks.find_harmonics(rows, 4.0, 12.0, 2, 0.7, frame_s=None, keys=SESSION).select("session", "lo", "hi", "h", "n", F.round("offset", 6).alias("off"), F.round("match", 6).alias("match"))
+    """Frames of an hour; what varies alike is told over ten days."""
+    found = tracks.find_harmonics(ev_tracks(spark, sf_dir), 4.0, 12.0, 2, 0.7, frame_s=3600.0, timescale=864000.0, keys=SESSION)
+    return found.select("session", "lo", "hi", "h", "n", F.round("offset", 6).alias("off"), F.round("match", 6).alias("match"), F.round("corr", 6).alias("corr"))
 
 
 @query("+" + _ONCE + """, b AS (SELECT session, k, min(f) AS lo_hz, max(f) + 100 AS hi_hz FROM once GROUP BY session, k)
