@@ -91,36 +91,44 @@ def merge_spans(spans: DataFrame, keys: list[str], tolerance: float = 0.0, width
     ).drop("_island")
 
 
-def neighbour(rows: DataFrame, keys: list[str], columns: list[str], name: str, width: float, order: tuple[str, ...] = ("t", "row"), forward: bool = False) -> DataFrame:
-    """rows with name: the struct of columns of the row before (forward: after) it in order within keys, null where there is none.
-
-    order begins with a time or frame, which is cut in buckets of width; a bucket's first row takes the last one of the bucket before.
+def along(
+    rows: DataFrame, keys: list[str], width: float, order: tuple[str, ...] = ("t", "row"), *, sums: dict[str, str] | None = None, before: dict[str, list[str]] | None = None,
+    after: dict[str, list[str]] | None = None, reach: dict[str, str] | None = None,
+) -> DataFrame:
+    """rows with, for each name, what lies along a key in order: sums: of a column up to the row (rows of equal order share it); before and after: the
+    struct of columns of the row beside it, null where there is none; reach: the largest value of a column of all rows before it, null for the first.
+
+    order begins with a time or frame, which is cut in buckets of width. One table of a row a bucket carries all of them along the key; all windows
+    run in the same sorted buckets, so rows are shuffled once for any number of names, and read twice.
     """
-    cut = rows.withColumn("_b", bucket(F.col(order[0]), width))
-    mark = F.struct(*columns)
-    ends = cut.groupBy(*keys, "_b").agg((F.min_by if forward else F.max_by)(mark, F.struct(*order)).alias("_end"))
-    turn = (lambda c: F.col(c).desc()) if forward else F.col
-    ends = ends.select(*keys, "_b", F.lag("_end").over(Window.partitionBy(*keys).orderBy(turn("_b"))).alias("_far"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*map(turn, order))
-    return cut.withColumn("_near", F.lag(mark).over(inside)).join(ends, [*keys, "_b"]).withColumn(name, F.coalesce("_near", "_far")).drop("_b", "_near", "_far")
+    sums, before, after, reach = sums or {}, before or {}, after or {}, reach or {}
+    cut, at, by = rows.withColumn("_b", bucket(F.col(order[0]), width)), F.struct(*order), Window.partitionBy(*keys).orderBy("_b")
+    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
+    ends = [F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()] + [F.max_by(F.struct(*c), at).alias(f"_last_{n}") for n, c in before.items()]
+    ends += [F.min_by(F.struct(*c), at).alias(f"_first_{n}") for n, c in after.items()] + [F.max(c).alias(f"_far_{n}") for n, c in reach.items()]
+    carried = [F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums] + [F.lag(f"_last_{n}").over(by).alias(f"_c_{n}") for n in before]
+    carried += [F.lead(f"_first_{n}").over(by).alias(f"_c_{n}") for n in after] + [F.max(f"_far_{n}").over(earlier).alias(f"_c_{n}") for n in reach]
+    edges = cut.groupBy(*keys, "_b").agg(*ends).select(*keys, "_b", *carried)
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    own = {n: F.col(f"_c_{n}") + F.sum(c).over(inside) for n, c in sums.items()} | {n: F.coalesce(F.lag(F.struct(*c)).over(inside), F.col(f"_c_{n}")) for n, c in before.items()}
+    own |= {n: F.coalesce(F.lead(F.struct(*c)).over(inside), F.col(f"_c_{n}")) for n, c in after.items()}
+    own |= {n: F.greatest(F.max(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"_c_{n}")) for n, c in reach.items()}
+    return cut.join(edges, [*keys, "_b"]).withColumns(own).drop("_b", *(f"_c_{n}" for n in own))
+
+
+def neighbour(rows: DataFrame, keys: list[str], columns: list[str], name: str, width: float, order: tuple[str, ...] = ("t", "row"), forward: bool = False) -> DataFrame:
+    """rows with name: the struct of columns of the row before (forward: after) it in order within keys, null where there is none."""
+    return along(rows, keys, width, order, **{"after" if forward else "before": {name: columns}})
 
 
 def running_sum(rows: DataFrame, keys: list[str], value: str, name: str, width: float, order: tuple[str, ...] = ("t", "row")) -> DataFrame:
-    """rows with name: the sum of value up to each row in order within keys, in two levels as neighbour; rows of equal order share it."""
-    cut = rows.withColumn("_b", bucket(F.col(order[0]), width))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = cut.groupBy(*keys, "_b").agg(F.sum(value).alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
-    return cut.join(base, [*keys, "_b"]).withColumn(name, F.col("_base") + F.sum(value).over(inside)).drop("_b", "_base")
+    """rows with name: the sum of value up to each row in order within keys; rows of equal order share it."""
+    return along(rows, keys, width, order, sums={name: value})
 
 
 def reach_before(rows: DataFrame, keys: list[str], end: str, name: str, width: float, order: tuple[str, ...]) -> DataFrame:
     """rows with name: the largest end of all rows before it in order within keys, null for the first."""
-    cut = rows.withColumn("_b", bucket(F.col(order[0]), width))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    far = cut.groupBy(*keys, "_b").agg(F.max(end).alias("_m")).select(*keys, "_b", F.max("_m").over(before).alias("_far"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(far, [*keys, "_b"]).withColumn(name, F.greatest(F.max(end).over(inside), F.col("_far"))).drop("_b", "_far")
+    return along(rows, keys, width, order, reach={name: end})
 
 
 def time_islands(rows: DataFrame, keys: list[str], gap: float, t0: str = "t0", t1: str = "t1", name: str = "island", width: float = 86400.0) -> DataFrame:

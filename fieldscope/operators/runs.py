@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.operators.joins import neighbour, reach_before, running_sum
+from fieldscope.operators.joins import along, neighbour
 
 
 def window_spans(spans: DataFrame, t0: float, t1: float) -> DataFrame:
@@ -20,7 +20,7 @@ def window_spans(spans: DataFrame, t0: float, t1: float) -> DataFrame:
 def span_reach(spans: DataFrame, keys: list[str], width: float = 86400.0) -> DataFrame:
     """keys, row, max_end (furthest end so far), duration, free_after (the next span starts after every end so far)."""
     rows = spans.withColumn("_end", F.greatest("t0", "t1"))
-    out = neighbour(reach_before(rows, keys, "_end", "_reach", width, ("t0", "row")), keys, ["t0"], "_next", width, ("t0", "row"), forward=True)
+    out = along(rows, keys, width, ("t0", "row"), reach={"_reach": "_end"}, after={"_next": ["t0"]})
     out = out.withColumn("max_end", F.greatest("_end", "_reach"))
     return out.select(*keys, "row", "max_end", F.greatest(F.col("t1") - F.col("t0"), F.lit(0.0)).alias("duration"), F.coalesce(F.col("_next.t0") >= F.col("max_end"), F.lit(True)).alias("free_after"))
 
@@ -33,7 +33,7 @@ def pair_runs(rows: DataFrame, keys: list[str], width: float = 86400.0) -> DataF
     to the left. Rows without a finite time take no part.
     """
     rows = rows.where(F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < math.inf)).withColumn("_start", F.col("is_start").cast("int"))
-    x = neighbour(neighbour(running_sum(rows, keys, "_start", "owner", width), keys, ["t"], "_nxt", width, forward=True), keys, ["t"], "_prv", width)
+    x = along(rows, keys, width, sums={"owner": "_start"}, before={"_prv": ["t"]}, after={"_nxt": ["t"]})
     mark = F.struct("t", "row", F.col("_nxt.t").alias("nxt"), F.col("_prv.t").alias("prv"))
     runs = x.groupBy(*keys, "owner").agg(F.min(F.when(F.col("is_start"), mark)).alias("a"), F.min(F.when(~F.col("is_start"), mark)).alias("b"))
     runs = runs.join(rows.groupBy(*keys).agg(F.min("t").alias("t_first"), F.max("t").alias("t_last")), keys)
