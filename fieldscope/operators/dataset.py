@@ -46,27 +46,41 @@ def plan_tiles(rects: DataFrame, grids: DataFrame, copies: int = COPIES, sweep:
     return each.select("rec", F.least(F.greatest("_s", F.lit(0)), "_last").cast("long").alias("s0")).distinct()
 
 
-def tile_blocks(tiles: DataFrame, lengths: DataFrame) -> DataFrame:
+def tile_blocks(tiles: DataFrame, lengths: DataFrame, big: int = 100_000) -> DataFrame:
     """tiles(rec, s0, ...) with length and block: the start of the first tile of its block, which ends before BLOCK_TILES lengths from there.
 
-    Tiles over so many lengths apart begin a block in any case; only between such gaps a task goes along the starts.
+    Tiles over so many lengths apart begin a block in any case, so the starts between such gaps are walked along by themselves, many in a call; over
+    big of them go by successors and doubling (windows.successor_cover).
     """
+    from fieldscope.operators.boxes import dealt_islands
+    from fieldscope.operators.windows import successor_cover
+
     x = tiles.join(lengths.select("rec", "length"), "rec")
     apart = neighbour(x.select("rec", "s0", "length").distinct(), ["rec"], ["s0"], "_prev", float(1 << 24), ("s0",))
     apart = apart.withColumn("_new", F.coalesce((F.col("s0") - F.col("_prev.s0") >= BLOCK_TILES * F.col("length")).cast("int"), F.lit(0))).drop("_prev")
-    islands = running_sum(apart, ["rec"], "_new", "_island", float(1 << 24), ("s0",))
+    islands = written(running_sum(apart, ["rec"], "_new", "island", float(1 << 24), ("s0",)).drop("_new"), "tile-islands")
+    large = islands.groupBy("rec", "island").count().where(F.col("count") > big).select("rec", "island")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        s0 = np.sort(pdf["s0"].to_numpy())
-        reach, first, at = BLOCK_TILES * int(pdf["length"].iloc[0]), np.empty(len(s0), np.int64), 0
-        while at < len(s0):
-            end = int(np.searchsorted(s0, s0[at] + reach))
-            first[at:end] = s0[at]
-            at = end
-        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "s0": s0, "block": first})
-
-    kind = x.schema["rec"].dataType.simpleString()
-    blocks = islands.groupBy("rec", "_island").applyInPandas(walk, f"rec {kind}, s0 long, block long")
+        out = []
+        for rec, g in pdf.groupby("rec", sort=False, dropna=False):
+            s0 = np.sort(g["s0"].to_numpy())
+            reach, first, at = BLOCK_TILES * int(g["length"].iloc[0]), np.empty(len(s0), np.int64), 0
+            while at < len(s0):
+                end = int(np.searchsorted(s0, s0[at] + reach))
+                first[at:end] = s0[at]
+                at = end
+            out.append(pd.DataFrame({"rec": rec, "s0": s0, "block": first}))
+        return pd.concat(out)
+
+    made = f"rec {x.schema['rec'].dataType.simpleString()}, s0 long, block long"
+    if large.isEmpty():
+        blocks = dealt_islands(islands, ("rec",)).applyInPandas(walk, made)
+    else:
+        reach = BLOCK_TILES * F.col("length") - 1
+        dense = islands.join(large, ["rec", "island"], "left_semi").select("rec", "island", F.col("s0").alias("uid"), F.col("s0").alias("t0"), F.col("s0").alias("t1"), F.col("s0").alias("w0"), (F.col("s0") + reach).alias("end"), reach.alias("width"))
+        blocks = dealt_islands(islands.join(large, ["rec", "island"], "left_anti"), ("rec",)).applyInPandas(walk, made)
+        blocks = blocks.unionByName(successor_cover(dense).select("rec", F.col("uid").alias("s0"), F.col("w0").alias("block")))
     return x.join(blocks, ["rec", "s0"])
 
 

@@ -51,22 +51,23 @@ def cover_windows(candidates: DataFrame, length: float, reviewed: DataFrame | No
     if large.isEmpty():
         return dealt_islands(islands, ("rec",)).applyInPandas(walk, made)
     small = dealt_islands(islands.join(large, ["rec", "island"], "left_anti"), ("rec",)).applyInPandas(walk, made)
-    return small.unionByName(successor_cover(islands.join(large, ["rec", "island"], "left_semi"), length))
+    dense = islands.join(large, ["rec", "island"], "left_semi").withColumns({"end": F.col("w0") + length, "width": F.lit(float(length))})
+    return small.unionByName(successor_cover(dense))
 
 
-def successors(rows: DataFrame, length: float) -> DataFrame:
-    """rec, island, uid, then: the first candidate after each that a window opened by it would not hold whole; null where there is none.
+def successors(rows: DataFrame) -> DataFrame:
+    """rec, island, uid, then: of rows(rec, island, uid, t0, t1, end, width) the first after each whose t1 is past its end; null where there is none.
 
-    A window ends within a length of its candidate, so the next one is in its bucket of a length, in the one after, or is the first
-    of those beyond. Ends of windows never go back along the candidates, so two pointers find all of a bucket in one walk.
+    end is at most width, one for a recording, past t0, so the next one is in its bucket of that width, in the one after, or is the first
+    of those beyond. Ends never go back along t0, so two pointers find all of a bucket in one walk.
     """
     keys = ["rec", "island"]
-    cut = rows.withColumn("_b", F.floor(F.col("t0") / length))
+    cut = rows.select(*keys, "uid", "t0", "t1", "end", F.floor(F.col("t0") / F.col("width")).alias("_b"))
     both = cut.withColumn("_own", F.lit(True)).unionByName(cut.withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False)))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t0", "uid"])
-        t1, end, uid, own = pdf["t1"].to_numpy(), pdf["w0"].to_numpy() + length, pdf["uid"].to_numpy(), pdf["_own"].to_numpy()
+        t1, end, uid, own = pdf["t1"].to_numpy(), pdf["end"].to_numpy(), pdf["uid"].to_numpy(), pdf["_own"].to_numpy()
         out, p = [], 0
         for i in np.flatnonzero(own):
             p = max(p, i + 1)
@@ -84,14 +85,14 @@ def successors(rows: DataFrame, length: float) -> DataFrame:
     return found.join(far.select(*keys, "_b", "_far"), [*keys, "_b"]).select(*keys, "uid", F.coalesce("_then", "_far").alias("then"))
 
 
-def successor_cover(rows: DataFrame, length: float) -> DataFrame:
-    """rec, w0, uid of rows(rec, island, uid, t0, t1, w0): the cover as the candidates reached from each island's first by way of their successors.
+def successor_cover(rows: DataFrame) -> DataFrame:
+    """rec, w0, uid of rows(rec, island, uid, t0, t1, w0, end, width): the cover as the candidates reached from each island's first by way of their successors.
 
     Steps double: a round adds what lies as many openings ahead as were known before, so there are as many rounds as the number
     of an island's windows has binary digits, and none gathers an island.
     """
     keys = ["rec", "island"]
-    jump = written(successors(rows, length).where("then is not null"), "cover-jumps")
+    jump = written(successors(rows).where("then is not null"), "cover-jumps")
     reached = written(rows.groupBy(*keys).agg(F.min_by("uid", F.struct("t0", "uid")).alias("uid")), "cover-openers")
     while not jump.isEmpty():
         ahead = reached.join(jump, [*keys, "uid"]).select(*keys, F.col("then").alias("uid"))
@@ -99,7 +100,7 @@ def successor_cover(rows: DataFrame, length: float) -> DataFrame:
         twice = jump.select(*keys, "uid", F.col("then").alias("_mid")).join(jump.select(*keys, F.col("uid").alias("_mid"), "then"), [*keys, "_mid"])
         jump = written(twice.select(*keys, "uid", "then"), "cover-jumps")
     opened = rows.join(reached.withColumn("_opens", F.lit(True)), [*keys, "uid"], "left").withColumn("_mark", F.when(F.col("_opens"), F.struct("t0", "uid", "w0")))
-    held = reach_before(opened, keys, "_mark", "_before", length, ("t0", "uid"))
+    held = reach_before(opened, keys, "_mark", "_before", F.col("width"), ("t0", "uid"))
     return held.select("rec", F.coalesce("_mark", "_before")["w0"].alias("w0"), "uid")
 
 

@@ -201,3 +201,13 @@ def test_edits_keep_one_row_an_id_and_frame(spark):
     twice = rows.unionByName(spark.createDataFrame([(0, 50, None, 3, 100.2, 3.0)], TRACKS))
     told = {r.row: r.new for r in edits.apply_ident(twice, variant, ["session"]).collect()}
     assert told == {i: 4 for i in range(10)}  # row 50 would be the second in its frame and stays without an id
+
+
+def test_tile_blocks_of_a_dense_recording(spark):
+    rng = np.random.default_rng(3)
+    tiles = spark.createDataFrame([(r, int(s)) for r in (0, 1) for s in sorted(set(rng.integers(0, 3000 * (r + 1), 150)))], "rec int, s0 long")
+    lengths = spark.createDataFrame([(0, 11), (1, 7)], "rec int, length long")
+    walked, doubled = ({(r.rec, r.s0): r.block for r in dataset.tile_blocks(tiles, lengths, big).collect()} for big in (10**6, 0))
+    assert walked == doubled and len(walked) == tiles.count() and len(set(walked.values())) > 20
+    for (rec, s0), block in walked.items():
+        assert 0 <= s0 - block < dataset.BLOCK_TILES * (11, 7)[rec]
