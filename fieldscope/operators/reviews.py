@@ -31,6 +31,26 @@ def answer_view(candidates: DataFrame, t0: float, t1: float, cut: float) -> Data
     return candidates.withColumn("answer", F.when(mid.between(t0, t1), F.when(F.col("score") >= cut, "accepted").otherwise("rejected")))
 
 
+def finish_views(candidates: DataFrame, views: DataFrame, cut: float, names: list[str], width: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, labels, reviewed) of views(view, rec, t0, t1, f0, f1, accept) over candidates(rec, uid, cls, score, channel, t0, t1, f0, f1).
+
+    answers: uid, view, answer of each candidate whose centre lies in a view, edges included; of several views the first. Shown ones, from the cut
+    on, are accepted or rejected as the view says; others are gone. labels: one a accepted candidate, cls being a place in names.
+    reviewed: the views as rects, for the classes that are known now.
+    """
+    from fieldscope.operators.joins import bucket
+
+    t, f = (F.col("t0") + F.col("t1")) / 2, (F.col("f0") + F.col("f1")) / 2
+    v = views.select("rec", "view", "accept", *(F.col(c).alias(f"_{c}") for c in ("t0", "t1", "f0", "f1"))).withColumn("_b", F.explode(F.sequence(bucket(F.col("_t0"), width), bucket(F.col("_t1"), width))))
+    met = candidates.withColumn("_b", bucket(t, width)).join(v, ["rec", "_b"]).where(t.between(F.col("_t0"), F.col("_t1")) & f.between(F.col("_f0"), F.col("_f1")))
+    first = met.groupBy("rec", "uid").agg(F.min(F.struct("view", "accept")).alias("m"), F.first("score").alias("score"))
+    answers = first.select("rec", "uid", F.col("m.view").alias("view"), F.when(F.col("score") < cut, "gone").when(F.col("m.accept"), "accepted").otherwise("rejected").alias("answer"))
+    known = F.element_at(F.array(*map(F.lit, names)), (F.col("cls") + 1).cast("int"))
+    made = candidates.join(answers.where("answer = 'accepted'").select("rec", "uid"), ["rec", "uid"])
+    labels = made.select("rec", "uid", known.alias("category"), F.lit("span").alias("kind"), "channel", "t0", "t1", "f0", "f1", F.format_string("accepted score=%.4f", "score").alias("note"))
+    return answers, labels, views.select("rec", "view", "t0", "t1", "f0", "f1", F.array(*map(F.lit, range(len(names)))).alias("classes"))
+
+
 def sync_candidates(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """uid, state: a candidate without its label is rejected, with another category the reader's, moved edited, else kept; a label of its own is new."""
     c = candidates.select("uid", F.col("cls").alias("_c"), F.col("t0").alias("_t"), F.lit(True).alias("_has"))

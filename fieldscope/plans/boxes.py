@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldscope.functions import polygons, scalars
-from fieldscope.operators import boxes, windows
+from fieldscope.operators import boxes, configs, reviews, windows
 from fieldscope.plans.registry import ev, ev_boxes, files, query
 
 W = 7200.0
@@ -240,12 +240,53 @@ def clamp_boxes(spark, sf_dir):
     return ev_boxes(spark, sf_dir).select("uid", *(x.alias(n) for x, n in zip(c, boxes.CORNERS, strict=True)))
 
 
-@query("""SELECT cls, median(t1 - t0) AS duration, max(t1 - t0) AS longest, min(f0) AS f_low, max(f1) AS f_high, round(3 * sqrt(median(t1 - t0) / median(f1 - f0)), 6) AS window_s FROM boxes GROUP BY cls""", "ev boxes")
+@query("""+x AS (SELECT *, CASE WHEN uid % 4 = 0 THEN NULL ELSE f0 END AS lo, CASE WHEN uid % 4 = 0 THEN NULL ELSE f1 END AS hi, t0 + 60 + uid % 50 * 10 AS te FROM boxes),
+a AS (SELECT cls, rec % 3 AS g, median(te - t0) AS typical, max(te - t0) AS longest, median(hi - lo) AS width, min(lo) AS low, max(hi) AS high FROM x GROUP BY ALL), b AS (SELECT *, greatest(typical * 640 / 27, longest * 4) AS tile FROM a)
+SELECT cls, g, round(greatest(CASE WHEN high > low AND width > 0 THEN 3 * sqrt(typical / width) ELSE typical / 8 END, 8 / 500.0::DOUBLE), 6) AS window_s, round(greatest(tile / 640, 1 / 500.0::DOUBLE), 6) AS hop_s, round(tile, 6) AS tile_s,
+  round(least(greatest(longest * 2, tile * 0.1), tile * 0.5), 6) AS overlap_s, CASE WHEN high > low THEN round(greatest(low - 3 * width, 0), 6) ELSE 0 END AS fmin_hz, CASE WHEN high > low AND high + 3 * width < 250 THEN round(high + 3 * width, 6) END AS fmax_hz, CASE WHEN g > 0 THEN 'max' ELSE '0' END AS reduction FROM b""", "ev boxes")
 def suggest_config(spark, sf_dir):
-    d, b = F.col("t1") - F.col("t0"), F.col("f1") - F.col("f0")
-    return ev_boxes(spark, sf_dir).groupBy("cls").agg(
-        F.median(d).alias("duration"), F.max(d).alias("longest"), F.min("f0").alias("f_low"), F.max("f1").alias("f_high"), F.round(3 * F.sqrt(F.median(d) / F.median(b)), 6).alias("window_s")
-    )
+    uid = F.col("uid")
+    b = ev_boxes(spark, sf_dir).select("cls", (F.col("rec") % 3).alias("g"), "t0", (F.col("t0") + 60 + uid % 50 * 10).alias("t1"), *(F.when(uid % 4 != 0, F.col(c)).alias(c) for c in ("f0", "f1")))
+    recordings = b.select("cls", "g").distinct().select("cls", "g", F.lit(500.0).alias("rate"), (F.col("g") + 1).alias("channels"))
+    out = configs.suggest_config(b, recordings, ["cls", "g"])
+    return out.select("cls", "g", *(F.round(c, 6).alias(c) for c in ("window_s", "hop_s", "tile_s", "overlap_s", "fmin_hz", "fmax_hz")), "reduction")
+
+
+@query("""+x AS (SELECT uid, t0, f0, f1, CASE WHEN uid % 9 = 0 THEN t0 ELSE t0 + uid % 40 END AS te FROM boxes), y AS (SELECT *, greatest(te, t0 + 1 / 200.0::DOUBLE) - t0 AS dt FROM x), z AS (SELECT *, least(greatest(sqrt(dt / greatest(f1 - f0, 1e-6)), 16 / 200.0::DOUBLE), 1) AS w FROM y)
+SELECT uid, round(w, 6) AS window_s, round(least(greatest(dt / 256, 1 / 200.0::DOUBLE), w), 6) AS hop_s, round(dt, 6) AS tile_s, greatest(f0, 0) AS fmin_hz, CASE WHEN f1 < 100 THEN f1 END AS fmax_hz, CAST(round_even(t0 * 200, 0) AS BIGINT) AS s0 FROM z""", "ev boxes")
+def view_configs(spark, sf_dir):
+    uid = F.col("uid")
+    b = ev_boxes(spark, sf_dir).withColumn("te", F.when(uid % 9 == 0, F.col("t0")).otherwise(F.col("t0") + uid % 40))
+    c = configs.view_config(F.col("t0"), F.col("te"), F.col("f0"), F.col("f1"), F.lit(200.0), 256)
+    return b.select("uid", c.alias("c")).select("uid", *(F.round(f"c.{x}", 6).alias(x) for x in ("window_s", "hop_s", "tile_s")), "c.fmin_hz", "c.fmax_hz", "c.s0")
+
+
+@query("""SELECT rec, n AS tiles, b AS batch, CAST(least(greatest(ceil(400 / greatest(n::DOUBLE / greatest(b, 1), 1)), 30), 200) AS INT) AS epochs FROM (SELECT rec, count(*) AS n, rec % 17 AS b FROM boxes GROUP BY rec)""", "ev boxes")
+def training_lengths(spark, sf_dir):
+    n = ev_boxes(spark, sf_dir).groupBy("rec").agg(F.count("*").alias("tiles")).withColumn("batch", F.col("rec") % 17)
+    return n.withColumn("epochs", configs.epochs_for(F.col("tiles"), F.col("batch")))
+
+
+_VIEWS = """vw AS (SELECT event_id AS view, channel AS rec, t - 40000 AS t0, t + 40000 AS t1, value - 30 AS f0, value + 60 AS f1, event_id % 2 = 0 AS accept FROM ev WHERE category = 'signup'),
+cd AS (SELECT *, CASE cls WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS c FROM boxes), an AS (SELECT cd.rec, uid, min((view, accept)) AS m, any_value(score) AS score FROM cd JOIN vw ON vw.rec = cd.rec AND (cd.t0 + cd.t1) / 2 BETWEEN vw.t0 AND vw.t1 AND (cd.f0 + cd.f1) / 2 BETWEEN vw.f0 AND vw.f1 GROUP BY cd.rec, uid)"""
+
+
+def _finished(spark, sf_dir):
+    cls = F.when(F.col("cls") == "click", 0).when(F.col("cls") == "view", 1).otherwise(2)
+    b = ev_boxes(spark, sf_dir).withColumns({"cls": cls, "channel": (F.col("rec") % 4).cast("int")})
+    e = ev(spark, sf_dir).where("category = 'signup'")
+    views = e.select(F.col("event_id").alias("view"), F.col("channel").alias("rec"), (F.col("t") - 40000).alias("t0"), (F.col("t") + 40000).alias("t1"), (F.col("value") - 30).alias("f0"), (F.col("value") + 60).alias("f1"), (F.col("event_id") % 2 == 0).alias("accept"))
+    return reviews.finish_views(b, views, 0.4, ["click", "view", "other"], 20000.0)
+
+
+@query("+" + _VIEWS + " SELECT rec, uid, m[1] AS view, CASE WHEN score < 0.4 THEN 'gone' WHEN m[2] THEN 'accepted' ELSE 'rejected' END AS answer FROM an", "ev boxes")
+def finished_views(spark, sf_dir):
+    return _finished(spark, sf_dir)[0]
+
+
+@query("+" + _VIEWS + " SELECT cd.rec, cd.uid, ['click', 'view', 'other'][c + 1] AS category, 'span' AS kind, CAST(cd.rec % 4 AS INT) AS channel, t0, t1, f0, f1, printf('accepted score=%.4f', cd.score) AS note FROM cd JOIN an ON an.uid = cd.uid AND an.rec = cd.rec WHERE cd.score >= 0.4 AND m[2]", "ev boxes")
+def accepted_labels(spark, sf_dir):
+    return _finished(spark, sf_dir)[1]
 
 
 #: Outlines of the events: an octagon with two corners drawn in, some of them flat, some outside of all rectangles.

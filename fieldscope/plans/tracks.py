@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldscope.functions import scalars
-from fieldscope.operators import tracks
+from fieldscope.operators import configs, tracks
 from fieldscope.plans.registry import SESSION, ev, ev_tracks, query
 
 _ONCE = "once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, ident, k ORDER BY row) AS rn FROM trk WHERE ident IS NOT NULL) WHERE rn = 1)"
@@ -86,6 +86,13 @@ def concurrent_ids(spark, sf_dir):
     return tracks.concurrent_ids(ev_tracks(spark, sf_dir), SESSION)
 
 
+@query("""+f AS (SELECT session, count(DISTINCT ident) AS n FROM trk WHERE ident IS NOT NULL GROUP BY session, k), i AS (SELECT session, greatest(1, CAST(round_even(quantile_cont(n, 0.5), 0) AS BIGINT)) AS ids FROM f GROUP BY session),
+e AS (SELECT session, min(k) AS k0, max(k) + 1 AS k1, max(k * 3600.0::DOUBLE) - min(k * 3600.0::DOUBLE) AS span_s FROM trk GROUP BY session)
+SELECT e.*, coalesce(ids, 0) AS ids, least(600, span_s) / 60 AS stride_min, least(300, least(600, span_s) / 2) / 60 AS tolerance_min, CASE WHEN ids IS NULL THEN 'no detection has an id' WHEN floor(least(600, span_s) * 0.8) < 1 THEN 'the tracks are too short for a cleanup''s windows' END AS reason FROM e LEFT JOIN i USING (session)""", "ev tracks")
+def cleanup_setup(spark, sf_dir):
+    return configs.cleanup_setup(ev_tracks(spark, sf_dir).withColumn("t", F.col("k") * 3600.0), SESSION)
+
+
 _HARM = _ONCE + """, c AS (SELECT a.session, a.ident AS lo, b.ident AS hi, h, count(*) AS n, quantile_cont(b.f - h * a.f, 0.5) AS off FROM once a, once b, (SELECT unnest([2, 3, 4, 5]) AS h)
 WHERE a.session = b.session AND a.k = b.k AND a.ident <> b.ident AND abs(b.f - h * a.f) <= 4 * sqrt(1 + h * h) GROUP BY a.session, a.ident, b.ident, h)"""
 
