@@ -78,6 +78,23 @@ def control_ranges(controls: DataFrame, keys: list[str], names: list[str]) -> Da
     return each.where("c.value is not null").groupBy(*keys, "c.name").agg(F.min("c.value").alias("lo"), F.max("c.value").alias("hi")).withColumn("flat", F.col("lo") == F.col("hi"))
 
 
+def build_controls(controls: DataFrame, meta: DataFrame, names: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(steps, flat) of the settings controls(keys, row, recording_time_s, names...), each held until the next row; meta(keys, duration_s).
+
+    steps: keys, name, row, t, t_end, value of the settings that vary, nulls included; t_end is the duration, or the last row where none is told. flat:
+    keys, told: the settings that held one value throughout, which have no steps. A setting without a value, or that the table lacks, is in neither.
+    """
+    there = [n for n in names if n in controls.columns]
+    ranges = control_ranges(controls, keys, there)
+    placed = controls.where(finite(F.col("recording_time_s")))
+    ends = placed.groupBy(*keys).agg(F.max("recording_time_s").alias("_last")).join(meta.select(*keys, "duration_s"), keys, "left")
+    ends = ends.select(*keys, F.when(F.col("duration_s") > 0, F.col("duration_s")).otherwise(F.col("_last")).alias("t_end"))
+    each = placed.select(*keys, "row", F.col("recording_time_s").alias("t"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in there))).alias("c")).select(*keys, "c.name", "row", "t", "c.value")
+    steps = each.join(ranges.where("not flat").select(*keys, "name"), [*keys, "name"]).join(ends, keys).select(*keys, "name", "row", "t", "t_end", "value")
+    told = F.concat(F.col("name"), F.lit(" held "), F.regexp_replace(F.format_string("%.6f", F.col("lo")), r"\.?0+$", ""), F.lit(" throughout"))
+    return steps, ranges.where("flat").select(*keys, told.alias("told"))
+
+
 def residual_regions(pulses: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
     """keys, region, label, t0, t1, total, matched, q25_s, median_s, q75_s, far of pulses(recording_time_s, detected_time_s).
 

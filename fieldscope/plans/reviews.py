@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldscope.operators import reviews, tracks
-from fieldscope.plans.registry import SESSION, ev, ev_boxes, ev_tracks, files, load, query
+from fieldscope.operators import cursor, reviews, tracks
+from fieldscope.plans.registry import SESSION, emb_samples, ev, ev_boxes, ev_tracks, files, load, query
 from fieldscope.plans.signals import _DFT, _cells
 from fieldscope.sources import sessions
 
@@ -139,11 +139,44 @@ def project_sources(spark, sf_dir):
     return ev_boxes(spark, sf_dir).groupBy("rec").agg(F.count("*").alias("boxes"), F.count_if(F.col("score") < 0.1).alias("rejected"), F.array_join(F.array_sort(F.collect_set("cls")), ",").alias("classes"))
 
 
-@query("""SELECT channel, CAST(floor(t / 86400) AS BIGINT) AS cell, arg_min(event_id, (abs(value - 75), event_id)) AS near, arg_min(event_id, (value, event_id)) AS low, arg_max(event_id, (value, -event_id)) AS high FROM ev GROUP BY 1, 2""", "ev")
+_POINTERS = """pt AS (SELECT vec_id AS q, vec_id // 8 AS r, vec_id % 70 / 64.0::DOUBLE AS x, vec_id % 5 / 64.0::DOUBLE AS dx, (vec_id % 7 - 3) / 20.0::DOUBLE AS y FROM embeddings)"""
+
+
+def _pointed(spark, sf_dir):
+    from fieldscope.operators.signals import to_blocks
+
+    e = emb_samples(spark, sf_dir).select(F.floor(F.col("rec") / 8).cast("string").alias("recording_id"), (F.col("rec") % 8).cast("int").alias("channel"), "frame", "value")
+    v = F.col("vec_id")
+    pointers = load(spark, sf_dir, "embeddings").select(v.alias("q"), F.floor(v / 8).cast("string").alias("recording_id"), (v % 70 / F.lit(64.0)).alias("x"), (v % 5 / F.lit(64.0)).alias("dx"), ((v % 7 - 3) / F.lit(20.0)).alias("y"))
+    return to_blocks(e, 12), pointers
+
+
+_SNAPPED = """ce AS (SELECT *, CAST(round_even(x * 64, 0) AS BIGINT) AS a, least(greatest(CAST(round_even((x + dx) * 64, 0) AS BIGINT), CAST(round_even(x * 64, 0) AS BIGINT) + 1), 64) AS z FROM pt),
+cl AS (SELECT *, CASE WHEN z <= a THEN greatest(z - 1, 0) ELSE a END AS i0 FROM ce),
+ex AS (SELECT q, y, CAST(rec % 8 AS INT) AS channel, arg_min(frame, (value, frame)) AS k0, min(value) AS v0, arg_max(frame, (value, -frame)) AS k1, max(value) AS v1 FROM cl JOIN emb ON rec // 8 = r AND frame >= i0 AND frame < greatest(z, i0 + 1) GROUP BY q, y, rec),
+sn AS (SELECT q, channel, CASE WHEN y >= (v0 + v1) / 2 THEN k1 ELSE k0 END / 64.0::DOUBLE AS t, CASE WHEN y >= (v0 + v1) / 2 THEN v1 ELSE v0 END AS value, y FROM ex)"""
+
+
+@query("+" + _POINTERS + ", " + _SNAPPED + " SELECT q, channel, t, value, channel = arg_min(channel, (abs(value - y), channel)) OVER (PARTITION BY q) AS nearest FROM sn", "emb")
 def snap_markers(spark, sf_dir):
-    cell = F.floor(F.col("t") / 86400).cast("long").alias("cell")
-    i, v = F.col("event_id"), F.col("value")
-    return ev(spark, sf_dir).groupBy("channel", cell).agg(F.min_by(i, F.struct(F.abs(v - 75), i)).alias("near"), F.min_by(i, F.struct(v, i)).alias("low"), F.max_by(i, F.struct(v, -i)).alias("high"))
+    blocks, pointers = _pointed(spark, sf_dir)
+    return cursor.snap_markers(blocks, pointers, 64.0, 12)
+
+
+@query("+" + _POINTERS + ", " + _SNAPPED + ", bs AS (SELECT q, arg_min(t, (abs(value - y), channel)) AS t, arg_min(value, (abs(value - y), channel)) AS value FROM sn GROUP BY q) SELECT a.q, a.t, a.value, a.t - b.t AS dt, a.value - b.value AS dv FROM bs a LEFT JOIN bs b ON b.q = a.q - 1", "emb")
+def marker_deltas(spark, sf_dir):
+    """Every marker against the one before it."""
+    blocks, pointers = _pointed(spark, sf_dir)
+    at = cursor.snap_markers(blocks, pointers, 64.0, 12).where("nearest").select("q", "t", "value")
+    return cursor.marker_delta(at, at.withColumn("q", F.col("q") + 1), ["q"])
+
+
+@query("+" + _POINTERS + """, ce AS (SELECT *, CAST(floor(CAST(round_even(x * 64, 0) AS BIGINT) / 3) AS BIGINT) * 3 AS i0 FROM pt),
+d AS (SELECT q, CAST(rec % 8 AS INT) AS channel, least(abs(min(value) - y), abs(max(value) - y)) AS d FROM ce JOIN emb ON rec // 8 = r AND frame >= i0 AND frame < i0 + 3 WHERE i0 < 64 GROUP BY q, y, rec)
+SELECT q, arg_min(channel, (d, channel)) AS channel, min(d) AS distance FROM d GROUP BY q""", "emb")
+def nearest_traces(spark, sf_dir):
+    blocks, pointers = _pointed(spark, sf_dir)
+    return cursor.nearest_trace(blocks, pointers, 64.0, 3, 12)
 
 
 @query("""+r AS (SELECT rec, CAST(count(*) AS INTEGER) AS n FROM files GROUP BY rec), m AS (SELECT rec, n, CASE WHEN rec % 3 = 0 THEN [n - 1, 0, n + 4] END AS channels, CASE WHEN rec % 4 > 0 THEN [1, 2] END AS exclude FROM r)

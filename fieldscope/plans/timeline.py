@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldscope.operators import activity as act
-from fieldscope.operators import joins
-from fieldscope.operators import runs
+from fieldscope.operators import joins, layers, runs
 from fieldscope.plans.registry import emb_samples, ev, ev_spans, ev_steps, files, load, query
 
 HOUR, DAY = 3600.0, 86400.0
@@ -184,9 +183,26 @@ def step_envelope(spark, sf_dir):
     return runs.step_envelope(ev_steps(spark, sf_dir), ["channel", "name"], DAY)
 
 
-@query("""SELECT name, count(*) AS n, min(value) AS lo, max(value) AS hi, min(value) = max(value) AS flat FROM steps GROUP BY name""", "ev steps")
+@query("""+c AS (SELECT channel, event_id AS row, CASE WHEN event_id % 10 > 0 THEN t END AS t, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS amplitude, channel % 5 + 0.5 AS rate, CASE WHEN channel % 3 = 0 THEN event_id % 2 END AS gate FROM ev),
+l AS (SELECT channel, row, t, unnest(['amplitude', 'rate', 'gate']) AS name, unnest([amplitude, rate, gate]::DOUBLE[]) AS value FROM c),
+v AS (SELECT channel, name FROM l WHERE value IS NOT NULL GROUP BY ALL HAVING min(value) < max(value)), e AS (SELECT channel, CASE WHEN channel % 2 = 0 THEN 3e6 ELSE max(t) END AS t_end FROM c WHERE t IS NOT NULL GROUP BY channel)
+SELECT l.channel, l.name, row, t, t_end, value FROM l JOIN v ON v.channel = l.channel AND v.name = l.name JOIN e ON e.channel = l.channel WHERE t IS NOT NULL""", "ev")
 def control_channels(spark, sf_dir):
-    return ev_steps(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn("flat", F.col("lo") == F.col("hi"))
+    return _controls(spark, sf_dir)[0]
+
+
+@query(r"""SELECT channel, 'rate held ' || regexp_replace(printf('%.6f', channel % 5 + 0.5), '\.?0+$', '') || ' throughout' AS told FROM ev GROUP BY channel
+UNION ALL SELECT channel, 'gate held ' || regexp_replace(printf('%.6f', min(event_id % 2)::DOUBLE), '\.?0+$', '') || ' throughout' FROM ev WHERE channel % 3 = 0 GROUP BY channel HAVING min(event_id % 2) = max(event_id % 2)
+UNION ALL SELECT channel, 'amplitude held ' || regexp_replace(printf('%.6f', min(value)), '\.?0+$', '') || ' throughout' FROM ev WHERE event_id % 11 > 0 GROUP BY channel HAVING min(value) = max(value)""", "ev")
+def flat_controls(spark, sf_dir):
+    return _controls(spark, sf_dir)[1]
+
+
+def _controls(spark, sf_dir):
+    e, i, c = ev(spark, sf_dir), F.col("event_id"), F.col("channel")
+    controls = e.select("channel", i.alias("row"), F.when(i % 10 > 0, F.col("t")).alias("recording_time_s"), F.when(i % 11 != 0, F.col("value")).alias("amplitude"), (c % 5 + 0.5).alias("rate"), F.when(c % 3 == 0, i % 2).alias("gate"))
+    meta = e.select("channel").distinct().select("channel", F.when(c % 2 == 0, 3e6).alias("duration_s"))
+    return layers.build_controls(controls, meta, ["amplitude", "rate", "gate", "absent"], ["channel"])
 
 
 @query("""+w AS (SELECT rec, part, frames, stamp, sum(frames) OVER (PARTITION BY rec ORDER BY part) AS total, first_value(stamp) OVER (PARTITION BY rec ORDER BY part) AS first, lag(stamp) OVER (PARTITION BY rec ORDER BY part) AS prv FROM files)
