@@ -73,6 +73,19 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], tolerance
     return left.join(best, [*keys, "row"], "left").select(*left.columns, "m.match_row", "m.match_t", "m.delta")
 
 
+def nearest_mark(queries: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
+    """queries(keys, t, ...) with mark_t: the mark of series(keys, t, row) strictly before or after t that is nearer, the later of two as near; null where there is none."""
+    both = next_mark(next_mark(queries, series, keys, True).withColumnRenamed("found", "_after"), series, keys, False)
+    later = F.col("found").isNull() | (F.col("_after") - F.col("t") <= F.col("t") - F.col("found"))
+    return both.withColumn("mark_t", F.coalesce(F.when(later, F.col("_after")).otherwise(F.col("found")), "found")).drop("_after", "found")
+
+
+def spans_at(points: DataFrame, spans: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """id, keys, span_row, n_spans of points(id, keys, t): the innermost of spans(keys, row, t0, t1; t0 <= t < t1) that hold it, which began last, and how many do."""
+    pairs = points_in_spans(points, spans, keys, width)
+    return pairs.groupBy("id", *keys).agg(F.max_by("row", F.struct("t0", "row")).alias("span_row"), F.count("*").alias("n_spans"))
+
+
 def merge_spans(spans: DataFrame, keys: list[str], tolerance: float = 0.0, width: float = 86400.0) -> DataFrame:
     """keys, t0, t1, first_row, n of the islands of spans(keys, row, t0, t1): a span joins the one before if it starts within
     tolerance of the furthest end so far. An inverted span ends where it starts; an island reaches its last start plus tolerance at least."""

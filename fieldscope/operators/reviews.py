@@ -25,6 +25,40 @@ def trust(validated: Column, warnings: Column) -> Column:
     return F.when(F.coalesce(validated, F.lit(False)), F.when(warnings > 0, "warn").otherwise("ok")).otherwise("unvalidated")
 
 
+def integrity(records_lost: Column, drop_events: Column, sequence_breaks: Column, truncated: Column, interrupted: Column) -> Column:
+    """What a log says of its own holes, in words; an empty array where it is whole. Counts of 0 and nulls say nothing; interrupted is an array of file numbers."""
+    counted = lambda n, what: F.when(n != 0, F.concat(n.cast("string"), F.lit(what)))
+    files = F.when(F.size(interrupted) > 0, F.concat(F.lit("interrupted log files: "), F.array_join(interrupted.cast("array<string>"), ", ")))
+    return F.array_compact(F.array(counted(records_lost, " log records lost"), counted(drop_events, " drop events"), counted(sequence_breaks, " sequence breaks"), F.when(truncated, "the log was truncated by a power loss"), files))
+
+
+def join_times(files: DataFrame, rate: float, declared: DataFrame | None = None) -> DataFrame:
+    """rec, part, start_frame, start_s, gap_s of files(rec, part, frames; parts from 0 on): where each begins in the recording.
+
+    gap_s is what declared(rec, gaps: seconds of the joins in order) says of the join before it; null for the first part and where none is told. It
+    is told, never added.
+    """
+    start = F.sum("frames").over(Window.partitionBy("rec").orderBy("part")) - F.col("frames")  # a row a file
+    out = files.select("rec", "part", start.alias("start_frame"), (start / rate).alias("start_s"))
+    if declared is None:
+        return out.withColumn("gap_s", F.lit(None).cast("double"))
+    gap = F.when(F.col("part") > 0, F.get("gaps", (F.col("part") - 1).cast("int")))
+    return out.join(declared.select("rec", "gaps"), "rec", "left").withColumn("gap_s", gap).drop("gaps")
+
+
+def project_sources(boxes: DataFrame, rejected: DataFrame, reviewed: DataFrame, hidden: DataFrame) -> DataFrame:
+    """rec, boxes, rejected, reviewed, hidden, classes of the recordings that have a box or a rejection, from tables of one row a box or rect (rec, and cls of boxes).
+
+    Recordings that were only looked at teach nothing and have no row.
+    """
+    parts = [df.select("rec", F.lit(name).alias("_of"), (F.col("cls") if name == "boxes" else F.lit(None)).cast("string").alias("_cls")) for name, df in (("boxes", boxes), ("rejected", rejected), ("reviewed", reviewed), ("hidden", hidden))]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    counts = every.groupBy("rec").agg(*(F.count_if(F.col("_of") == n).alias(n) for n in ("boxes", "rejected", "reviewed", "hidden")), F.array_join(F.array_sort(F.collect_set("_cls")), ",").alias("classes"))
+    return counts.where("boxes > 0 or rejected > 0")
+
+
 def answer_view(candidates: DataFrame, t0: float, t1: float, cut: float) -> DataFrame:
     """candidates(uid, t0, t1, score) with answer: accepted or rejected where the centre lies in the view, null elsewhere."""
     mid = (F.col("t0") + F.col("t1")) / 2

@@ -134,9 +134,20 @@ def describe_marks(spark, sf_dir):
     return e.select("event_id", reviews.describe(F.col("category"), F.col("t"), F.when(F.col("event_id") % 6 != 0, F.col("value"))).alias("said"))
 
 
-@query("""SELECT rec, count(*) AS boxes, count(*) FILTER (score < 0.1) AS rejected, array_to_string(list_sort(list_distinct(list(cls))), ',') AS classes FROM boxes GROUP BY rec""", "ev boxes")
+@query("""SELECT rec, count(*) FILTER (uid % 9 > 1 AND rec % 6 <> 1) AS boxes, count(*) FILTER (score < 0.1 AND rec % 4 > 0) AS rejected, count(*) FILTER (uid % 7 = 0) AS reviewed, count(*) FILTER (uid % 11 = 0) AS hidden,
+array_to_string(list_sort(list_distinct(coalesce(list(cls) FILTER (uid % 9 > 1 AND rec % 6 <> 1), []))), ',') AS classes FROM boxes GROUP BY rec HAVING boxes > 0 OR rejected > 0""", "ev boxes")
 def project_sources(spark, sf_dir):
-    return ev_boxes(spark, sf_dir).groupBy("rec").agg(F.count("*").alias("boxes"), F.count_if(F.col("score") < 0.1).alias("rejected"), F.array_join(F.array_sort(F.collect_set("cls")), ",").alias("classes"))
+    b, uid, rec = ev_boxes(spark, sf_dir), F.col("uid"), F.col("rec")
+    return reviews.project_sources(b.where((uid % 9 > 1) & (rec % 6 != 1)), b.where((F.col("score") < 0.1) & (rec % 4 > 0)), b.where(uid % 7 == 0), b.where(uid % 11 == 0))
+
+
+@query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 4 > 0 THEN (event_id % 4) || ' log records lost' END, CASE WHEN event_id % 5 = 1 THEN '2 drop events' END, CASE WHEN event_id % 3 = 2 THEN (event_id % 6) || ' sequence breaks' END,
+CASE WHEN event_id % 7 = 0 THEN 'the log was truncated by a power loss' END, CASE WHEN event_id % 8 > 0 THEN 'interrupted log files: ' || array_to_string(range(event_id % 8), ', ') END], lambda x: x IS NOT NULL), '; ') AS reasons FROM ev""", "ev")
+def log_integrity(spark, sf_dir):
+    i = F.col("event_id")
+    files_of = F.when(i % 8 > 0, F.sequence(F.lit(0).cast("long"), i % 8 - 1))
+    why = reviews.integrity(i % 4, F.when(i % 5 == 1, 2), F.when(i % 3 == 2, i % 6), F.when(i % 2 == 0, i % 7 == 0).otherwise(F.when(i % 7 == 0, True)), files_of)
+    return ev(spark, sf_dir).select("event_id", F.array_join(why, "; ").alias("reasons"))
 
 
 _POINTERS = """pt AS (SELECT vec_id AS q, vec_id // 8 AS r, vec_id % 70 / 64.0::DOUBLE AS x, vec_id % 5 / 64.0::DOUBLE AS dx, (vec_id % 7 - 3) / 20.0::DOUBLE AS y FROM embeddings)"""

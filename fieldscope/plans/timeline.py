@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldscope.operators import activity as act
-from fieldscope.operators import joins, layers, runs
+from fieldscope.operators import joins, layers, reviews, runs
 from fieldscope.plans.registry import emb_samples, ev, ev_spans, ev_steps, files, load, query
 
 HOUR, DAY = 3600.0, 86400.0
@@ -102,15 +102,13 @@ def nearest_mark(spark, sf_dir):
     e = ev(spark, sf_dir)
     asked = e.where("category = 'error'").select("channel", "t", "event_id")
     marks = e.where("category in ('click', 'view')").select("channel", "t", F.col("event_id").alias("row"))
-    both = joins.next_mark(joins.next_mark(asked, marks, ["channel"], True).withColumnRenamed("found", "after"), marks, ["channel"], False)
-    pick = F.when(F.col("found").isNull() | (F.col("after") - F.col("t") <= F.col("t") - F.col("found")), F.col("after")).otherwise(F.col("found"))
-    return both.select("event_id", "channel", "t", F.coalesce(pick, "found").alias("mark_t")).where("mark_t is not null")
+    return joins.nearest_mark(asked, marks, ["channel"]).select("event_id", "channel", "t", "mark_t").where("mark_t is not null")
 
 
 @query("""SELECT e.event_id, e.channel, arg_max(s.row, (s.t0, s.row)) AS span_row, count(*) AS n_spans FROM ev e JOIN spans s ON s.channel = e.channel AND s.t0 <= e.t AND e.t < s.t1 GROUP BY e.event_id, e.channel""", "ev spans")
 def spans_at(spark, sf_dir):
-    pairs = joins.points_in_spans(ev(spark, sf_dir).select("event_id", "channel", "t"), ev_spans(spark, sf_dir), ["channel"], 6 * HOUR)
-    return pairs.groupBy("event_id", "channel").agg(F.max_by("row", F.struct("t0", "row")).alias("span_row"), F.count("*").alias("n_spans"))
+    points = ev(spark, sf_dir).select(F.col("event_id").alias("id"), "channel", "t")
+    return joins.spans_at(points, ev_spans(spark, sf_dir), ["channel"], 6 * HOUR).withColumnRenamed("id", "event_id")
 
 
 @query("""SELECT s.channel, s.row, e.category, count(*) AS n FROM spans s JOIN ev e ON s.channel = e.channel AND s.t0 <= e.t AND e.t < s.t1 GROUP BY ALL""", "ev spans")
@@ -212,11 +210,12 @@ def join_gaps(spark, sf_dir):
     return runs.join_gaps(files(spark, sf_dir), 50.0)
 
 
-@query("""SELECT rec, part, CAST(sum(frames) OVER (PARTITION BY rec ORDER BY part) - frames AS BIGINT) AS start_frame, (sum(frames) OVER (PARTITION BY rec ORDER BY part) - frames) / 50.0 AS start_s FROM files""", "files")
+@query("""+s AS (SELECT rec, part, CAST(sum(frames) OVER (PARTITION BY rec ORDER BY part) - frames AS BIGINT) AS start_frame FROM files) SELECT rec, part, start_frame, start_frame / 50.0 AS start_s, CASE WHEN part BETWEEN 1 AND 3 AND rec % 2 = 0 THEN (rec % 10) * 0.25 * part END AS gap_s FROM s""", "files")
 def join_times(spark, sf_dir):
-    w = Window.partitionBy("rec").orderBy("part")
-    start = F.sum("frames").over(w) - F.col("frames")
-    return files(spark, sf_dir).select("rec", "part", start.alias("start_frame"), (start / 50.0).alias("start_s"))
+    f = files(spark, sf_dir)
+    gap = (F.col("rec") % 10) * F.lit(0.25)
+    declared = f.select("rec").distinct().where("rec % 2 = 0").select("rec", F.array(gap, gap * 2, gap * 3).alias("gaps"))
+    return reviews.join_times(f, 50.0, declared)
 
 
 @query("""SELECT rec, frame, value FROM emb WHERE frame >= 10 AND frame < CAST(0.3 * 64 AS INT) + 1""", "emb")
