@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from fieldscope.sources.tables import written
 CORNERS = ("t0", "t1", "f0", "f1")
 #: Islands that one Python call takes together; they do not touch each other, so it only saves calls.
 ISLANDS = 500
+#: Boxes of an island up to which it is settled in one call.
+BIG = 5000
 
 
 def _other(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,26 +34,58 @@ def iou_join(a: DataFrame, b: DataFrame, width: float, least: float = 0.0, keys:
     return overlapping(a, _other(b, keys), keys, width).withColumn("iou", pair_iou()).where(F.col("iou") > least)
 
 
-def nms(boxes: DataFrame, cut: float = 0.5, width: float = 3600.0, class_aware: bool = True, earliest: bool = False) -> DataFrame:
+def nms(boxes: DataFrame, cut: float = 0.5, width: float = 3600.0, class_aware: bool = True, earliest: bool = False, big: int = BIG) -> DataFrame:
     """Greedy suppression: best score first (earliest: in order of t0, t1), a box goes if a kept one of its class overlaps it by more than cut.
 
-    In rounds over the pairs that overlap so much: a box with no better living neighbour stays, its neighbours go. Each round settles at
-    least the best box of every cluster; the result is that of the greedy loop, ties by uid. Dense clusters are not gathered.
+    Boxes that no chain of overlaps in time joins do not meet, so islands are settled by themselves, many in a call; those of over big
+    boxes in rounds (suppressed_in_rounds). The result is that of the greedy loop over all, ties by uid.
     """
     keys = ["rec", "cls"] if class_aware else ["rec"]
     order = [("t0", 1), ("t1", 1), ("uid", 1)] if earliest else [("score", -1), ("uid", 1)]
+    islands = written(time_islands(boxes.select(*{*keys, "rec"}, "uid", "score", *CORNERS), keys, 0.0), "nms-islands")
+    sizes = islands.groupBy(*keys, "island").agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > big).drop("_n")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        ranked = pdf.sort_values([c for c, _ in order], ascending=[sign > 0 for _, sign in order])
+        for _, g in ranked.groupby([*keys, "island"], sort=False, dropna=False):
+            if len(g) == 1:
+                continue
+            (t0, t1, f0, f1), uid = (g[c].to_numpy(np.float64) for c in CORNERS), g["uid"].tolist()
+            area, kept = (t1 - t0) * (f1 - f0), np.zeros(len(g), bool)
+            for i in range(len(g)):
+                k = np.flatnonzero(kept[:i])
+                both = np.maximum(np.minimum(t1[i], t1[k]) - np.maximum(t0[i], t0[k]), 0.0) * np.maximum(np.minimum(f1[i], f1[k]) - np.maximum(f0[i], f0[k]), 0.0)
+                union = area[i] + area[k] - both
+                kept[i] = not (both / np.where(union > 0, union, np.inf) > cut).any()
+            out += [u for u, stays in zip(uid, kept, strict=True) if not stays]
+        return pd.DataFrame({"uid": pd.Series(out, dtype=pdf["uid"].dtype)})
+
+    kind = boxes.schema["uid"].dataType.simpleString()
+    if large.isEmpty():
+        gone = dealt_islands(islands, tuple(keys)).applyInPandas(settle, f"uid {kind}")
+    else:
+        gone = dealt_islands(islands.join(large, [*keys, "island"], "left_anti"), tuple(keys)).applyInPandas(settle, f"uid {kind}")
+        gone = gone.unionByName(suppressed_in_rounds(islands.join(large, [*keys, "island"], "left_semi"), keys, order, cut, width))
+    return boxes.join(gone, "uid", "left_anti")
+
+
+def suppressed_in_rounds(boxes: DataFrame, keys: list[str], order: list[tuple[str, int]], cut: float, width: float) -> DataFrame:
+    """uid of the boxes that greedy suppression lets go, in rounds over the pairs that overlap by more than cut: a box with no better living
+    neighbour stays, its neighbours go. Each round settles the best box of every cluster at least, and dense clusters are not gathered."""
     ahead = F.struct(*(F.col(f"{c}_b") * sign for c, sign in order)) < F.struct(*(F.col(c) * sign for c, sign in order))
-    pairs = iou_join(boxes.select(*{*keys, "rec"}, "uid", "score", *CORNERS), boxes.select(*{*keys, "rec"}, "uid", "score", *CORNERS), width, cut, tuple(keys))
-    pairs = written(pairs.where(ahead).select("uid", "uid_b"), "nms-pairs")  # uid is behind uid_b
-    gone = None
+    own = boxes.select(*{*keys, "rec"}, "uid", "score", *CORNERS)
+    pairs = written(iou_join(own, own, width, cut, tuple(keys)).where(ahead).select("uid", "uid_b"), "nms-pairs")  # uid is behind uid_b
+    gone = pairs.select("uid").limit(0)
     while not pairs.isEmpty():
         behind = pairs.select("uid").distinct()
         heads = pairs.select(F.col("uid_b").alias("uid")).distinct().join(behind, "uid", "left_anti")
         drops = written(pairs.join(heads.withColumnRenamed("uid", "uid_b"), "uid_b", "left_semi").select("uid").distinct(), "nms-drops")
-        gone = drops if gone is None else gone.union(drops)
+        gone = gone.union(drops)
         left = pairs.join(drops, "uid", "left_anti").join(drops.withColumnRenamed("uid", "uid_b"), "uid_b", "left_anti")
         pairs = written(left.select("uid", "uid_b"), "nms-pairs")
-    return boxes if gone is None else boxes.join(gone, "uid", "left_anti")
+    return gone
 
 
 def unanswered(candidates: DataFrame, answers: DataFrame, reviewed: DataFrame, width: float, cut: float = 0.5) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldscope.operators import activity as act
 from fieldscope.operators import joins, layers, reviews, runs
-from fieldscope.plans.registry import emb_samples, ev, ev_spans, ev_steps, files, load, query
+from fieldscope.plans.registry import emb_samples, ev, ev_spans, ev_steps, files, query
 
 HOUR, DAY = 3600.0, 86400.0
 
