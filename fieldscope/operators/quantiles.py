@@ -74,12 +74,13 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: Column | str, p
     """keys, n, quantiles: the values at (n - 1) * percentage of each key, between two neighbours in proportion; nulls are not counted.
 
     The same as percentile, whose buffer holds all of a key's different values. A key without a value has no row. Not-a-number is the largest
-    value, and null keys are one key. rows is read twice, or once for its counts and once for its codes if some key has over small values.
+    value, and null keys are one key. rows is read twice, and twice more if some key has over small values.
     """
     values = rows.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("value")).where("value is not null")
-    counts = written(values.groupBy(*keys).agg(F.count("*").alias("n")), "quantile-counts")
+    counts = values.groupBy(*keys).agg(F.count("*").alias("n"))
     if (counts.agg(F.max("n")).first()[0] or 0) <= small:
         return values.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("value", list(percentages)).alias("quantiles"))
+    counts = written(counts, "quantile-counts")
     few, many = counts.where(F.col("n") <= small), counts.where(F.col("n") > small)
     gathered = _same(values, few, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.percentile("value", list(percentages)).alias("quantiles")).where("n is not null")
     at = [(F.col("n") - 1) * p for p in percentages]
