@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldscope.functions import kernels, scalars
-from fieldscope.operators import signals, traces
+from fieldscope.operators import flagged, signals, traces
 from fieldscope.plans.registry import emb_samples, ev, query
 from fieldscope.sources.tables import written
 
@@ -163,3 +163,27 @@ def window_stats(spark, sf_dir):
     blocks = _blocks(spark, sf_dir)
     out = spark.sql("SELECT * FROM window_stats(TABLE({blocks}) PARTITION BY (recording_id, channel) ORDER BY (block), 12)", blocks=blocks)
     return out.select(_rec(), "start_frame", (F.round("mean", 9) + 0.0).alias("mean"), "peak")
+
+
+_FLAGS = """fl AS (SELECT rec, frame, abs(value) > 0.1 AS body, abs(value) > 0.22 AS core FROM emb),
+bi AS (SELECT rec, frame, frame - row_number() OVER (PARTITION BY rec ORDER BY frame) AS i FROM fl WHERE body), br AS (SELECT rec, min(frame) AS a, max(frame) + 1 AS z FROM bi GROUP BY rec, i),
+ci AS (SELECT rec, frame, frame - row_number() OVER (PARTITION BY rec ORDER BY frame) AS i FROM fl WHERE core), cr AS (SELECT rec, min(frame) AS a, max(frame) + 1 AS z FROM ci GROUP BY rec, i HAVING count(*) < 3),
+ho AS (SELECT * FROM br WHERE z - a < 9 AND EXISTS (SELECT 1 FROM cr WHERE cr.rec = br.rec AND cr.a < br.z AND br.a < cr.z))"""
+
+
+@query("+" + _FLAGS + " SELECT rec, a, z FROM br WHERE z - a >= 4", "emb")
+def long_flag_runs(spark, sf_dir):
+    """Runs of four samples or more over a level, across blocks of five."""
+    runs = flagged.flag_runs(_blocks(spark, sf_dir, 5), lambda x: F.abs(x) > 0.1)
+    return flagged.long_runs(runs, 4).select(_rec(), "a", "z")
+
+
+@query("+" + _FLAGS + """, fr AS (SELECT DISTINCT rec, unnest(range(greatest(a - 2, 0), least(z + 2, 64))) AS frame FROM ho), fi AS (SELECT rec, frame, frame - row_number() OVER (PARTITION BY rec ORDER BY frame) AS i FROM fr)
+SELECT rec, min(frame) AS a, max(frame) + 1 AS z FROM fi GROUP BY rec, i""", "emb")
+def flag_hysteresis(spark, sf_dir):
+    """Short runs over the lower level that hold a short one over the higher, two samples more on either side."""
+    blocks = _blocks(spark, sf_dir, 5)
+    body, core = (flagged.flag_runs(blocks, lambda x, least=least: F.abs(x) > least) for least in (0.1, 0.22))
+    held = flagged.short_runs(flagged.runs_holding(body, flagged.short_runs(core, 3)), 9)
+    lengths = blocks.groupBy("recording_id").agg(F.max(F.col("start_frame") + F.size("samples")).alias("n"))
+    return flagged.dilated(held, 2, lengths).select(_rec(), "a", "z")
