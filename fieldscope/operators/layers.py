@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldscope.functions.scalars import fixed
 from fieldscope.operators.joins import nearest_within
 from fieldscope.operators.quantiles import exact_quantiles
 from fieldscope.operators.runs import pair_runs
@@ -91,7 +92,7 @@ def build_controls(controls: DataFrame, meta: DataFrame, names: list[str], keys:
     ends = ends.select(*keys, F.when(F.col("duration_s") > 0, F.col("duration_s")).otherwise(F.col("_last")).alias("t_end"))
     each = placed.select(*keys, "row", F.col("recording_time_s").alias("t"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in there))).alias("c")).select(*keys, "c.name", "row", "t", "c.value")
     steps = each.join(ranges.where("not flat").select(*keys, "name"), [*keys, "name"]).join(ends, keys).select(*keys, "name", "row", "t", "t_end", "value")
-    told = F.concat(F.col("name"), F.lit(" held "), F.regexp_replace(F.format_string("%.6f", F.col("lo")), r"\.?0+$", ""), F.lit(" throughout"))
+    told = F.concat(F.col("name"), F.lit(" held "), F.regexp_replace(fixed(F.col("lo"), 6), r"\.?0+$", ""), F.lit(" throughout"))
     return steps, ranges.where("flat").select(*keys, told.alias("told"))
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldscope.functions.scalars import fixed
+
 #: Columns of the session tables; fixed values, since inference from leading nulls mistypes them.
 SCHEMAS = {
     "pulses": "time_s double, recording_time_s double, pulse_type string, trial_number long, treatment string, amplitude double, polarity tinyint, stimulus_item long, "
@@ -60,10 +62,9 @@ def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def label_rows(labels: DataFrame, transient: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
     """The nine columns of a label file as text: seconds to six decimals, hertz to three, empty for absent; transient categories are left out; and the extra columns."""
-    fixed = lambda c, d: F.when(F.col(c).isNotNull(), F.format_string(f"%.{d}f", F.col(c)))
-    outline = F.array_join(F.transform("outline", lambda p: F.format_string("%.6f %.3f", p["t"], p["f"])), ";") if "outline" in labels.columns else F.lit(None).cast("string")
+    outline = F.array_join(F.transform("outline", lambda p: F.concat_ws(" ", fixed(p["t"], 6), fixed(p["f"], 3))), ";") if "outline" in labels.columns else F.lit(None).cast("string")
     note = F.col("note") if "note" in labels.columns else F.lit(None).cast("string")
-    return labels.where(~F.col("category").isin(transient)).select("category", "kind", F.col("channel").cast("string").alias("channel"), fixed("t0", 6).alias("t_start_s"), fixed("t1", 6).alias("t_end_s"), fixed("f0", 3).alias("f_low_hz"), fixed("f1", 3).alias("f_high_hz"), note.alias("note"), outline.alias("outline"), *extra)
+    return labels.where(~F.col("category").isin(transient)).select("category", "kind", F.col("channel").cast("string").alias("channel"), fixed(F.col("t0"), 6).alias("t_start_s"), fixed(F.col("t1"), 6).alias("t_end_s"), fixed(F.col("f0"), 3).alias("f_low_hz"), fixed(F.col("f1"), 3).alias("f_high_hz"), note.alias("note"), outline.alias("outline"), *extra)
 
 
 def read_review_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

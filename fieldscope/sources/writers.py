@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldscope.functions.scalars import fixed
 from fieldscope.sources.sessions import LABEL_COLUMNS, label_rows
 from fieldscope.sources.sinks import write_files, write_lines
 
@@ -46,7 +47,7 @@ def detection_labels(boxes: DataFrame, names: Sequence[str], cut: float, suffix:
     outline = F.col("outline") if "outline" in boxes.columns else F.lit(None).cast("array<struct<t:double,f:double>>")
     return boxes.where(F.col("score") >= cut).select(
         "recording_id", F.concat(known, F.lit(suffix)).alias("category"), F.lit("span").alias("kind"), F.col("channel").cast("int").alias("channel"), "t0", "t1", "f0", "f1",
-        F.format_string("score=%.4f", F.col("score")).alias("note"), outline.alias("outline"),
+        F.concat(F.lit("score="), F.coalesce(fixed(F.col("score"), 4), F.lit("null"))).alias("note"), outline.alias("outline"),
     )
 
 
