@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldscope.functions.scalars import rounded
+
 
 def clamp_polygon(points: Column, duration: Column | float, nyquist: Column | float) -> Column:
     """Every point held between 0 and duration, and 0 and nyquist; as many points as before, null stays null."""
@@ -12,11 +14,14 @@ def clamp_polygon(points: Column, duration: Column | float, nyquist: Column | fl
     return F.transform(points, lambda p: F.struct(held(p["t"], duration).alias("t"), held(p["f"], nyquist).alias("f")))
 
 
-def outline_to_tf(points: Column, tile: tuple[Column, Column, Column, Column], width: int, height: int) -> Column:
-    """Points (x, y) in pixels of a tile (t0, t1, f0, f1) as (t, f), to the six and three decimals that a label keeps; y runs against frequency."""
+def outline_to_tf(points: Column, tile: tuple[Column, Column, Column, Column], width: int, height: int, seconds: float | None = None) -> Column:
+    """Points (x, y) in pixels of a tile (t0, t1, f0, f1) as (t, f), to the six and three decimals that a label keeps; y runs against frequency.
+
+    seconds: how long the tile is, where t1 - t0 tells it less exactly (late in a recording).
+    """
     t0, t1, f0, f1 = tile
-    t, f = (lambda p: t0 + p["x"] / width * (t1 - t0)), (lambda p: f1 - p["y"] / height * (f1 - f0))
-    return F.transform(points, lambda p: F.struct(F.round(t(p), 6).alias("t"), F.round(f(p), 3).alias("f")))
+    t, f = (lambda p: t0 + p["x"] / width * (t1 - t0 if seconds is None else F.lit(float(seconds)))), (lambda p: f1 - p["y"] / height * (f1 - f0))
+    return F.transform(points, lambda p: F.struct(rounded(t(p), 6).alias("t"), rounded(f(p), 3).alias("f")))
 
 
 def _cut(points: Column, axis: str, bound: Column, above: Column) -> Column:
