@@ -232,12 +232,12 @@ def mains_comb(cells: DataFrame, df: float, f0: float = 50.0, harmonics: int = 8
     return out.withColumn("power", F.col("power") - F.coalesce(less, F.lit(0.0))).drop("_h", "_notch", "_floor")
 
 
-def spatial_coherence(cells: DataFrame, threshold_db: float = 6.0, softness_db: float = 2.0) -> DataFrame:
-    """cells gated by how much the channels differ: a logistic of their spread in dB. Channels under 1e-9 of the loudest are dead; under two live ones
-    nothing changes."""
+def spatial_coherence(cells: DataFrame, threshold_db: float = 6.0, softness_db: float = 2.0, dead: float = 1e-9) -> DataFrame:
+    """cells gated by how much the channels differ: a logistic of their spread in dB. Channels under dead of the loudest are dead (0: all count as live);
+    under two live ones nothing changes."""
     top = cells.groupBy("recording_id", "col", "bin").agg(F.max("power").alias("_top"))
     x = cells.join(top, ["recording_id", "col", "bin"])
-    live = x.where(F.col("power") >= 1e-9 * F.col("_top")).groupBy("recording_id", "col", "bin").agg(F.min("power").alias("_low"), F.count("*").alias("_live"))
+    live = x.where(F.col("power") >= dead * F.col("_top")).groupBy("recording_id", "col", "bin").agg(F.min("power").alias("_low"), F.count("*").alias("_live"))
     spread = 10 * F.log10(F.col("_top") / F.col("_low"))
     z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), (spread - threshold_db) / softness_db))
     gate = F.when((F.col("_live") >= 2) & (F.col("_low") > 0), 1 / (1 + F.exp(-z))).otherwise(1.0)

@@ -34,3 +34,12 @@ def test_outline_text_at_halves(spark):
     values = [0.0000005, 1.0000005, 3.0000015, 20.5 + 2.0**-21, 90.1234565, -0.0]
     rows = spark.createDataFrame([([(v, v) for v in values],)], "p array<struct<t:double,f:double>>")
     assert rows.select(boxes._text(F.col("p"))).first()[0] == ";".join(f"{v + 0.0:.6f} {v + 0.0:.6f}" for v in values)
+
+
+def test_spatial_coherence_counts_very_weak_channels(spark):
+    """As the query's SQL does, which knows no dead channels; by default those under 1e-9 of the loudest are dead."""
+    cells = spark.createDataFrame([("a", c, 0, 1, p) for c, p in enumerate((1.0, 0.5, 1e-11))], "recording_id string, channel int, col long, bin long, power double")
+    all_live = {r.channel: r.power for r in signals.spatial_coherence(cells, 12.0, 3.0, dead=0.0).collect()}
+    assert all_live[0] == pytest.approx(1.0)
+    dead = {r.channel: r.power for r in signals.spatial_coherence(cells, 12.0, 3.0).collect()}
+    assert dead[0] < 0.1
