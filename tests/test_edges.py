@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from fieldscope.functions import polygons
-from fieldscope.operators import edits, signals
+from fieldscope.operators import edits, joins, signals, tracks
 from fieldscope.plans import boxes
 
 duckdb = pytest.importorskip("duckdb")
@@ -62,3 +62,34 @@ def test_add_rows_where_new_numbers_are_in_use(spark, tmp_path):
     rows = [(i, 600.0 * i, i % 3, "click", float(i)) for i in range(1, 12)]
     rows += [(1_000_000 + i, 100.0 * (i // 3), 1, "click", float(i)) for i in range(1, 40)]
     assert differing(spark, tmp_path, "add_rows", rows) == []
+
+
+def crowd(n=400):
+    """Many events in few hours, a third of them thrice over at one place."""
+    rows = [(i, 40.0 * (i % 350) + i % 7 / 8, i % 23, "signup" if i % 3 == 0 else "click", (i * 37 % 500) / 4) for i in range(n)]
+    return rows + [(n + 3 * i + 3 * n * j, *rows[i][1:]) for i in range(0, n, 3) for j in (1, 2)]
+
+
+@pytest.mark.parametrize("name", ["nearest_row", "nearest_ends", "join_issues", "track_issues", "brush_rows", "line_crossings"])
+def test_crowded_tracks(spark, tmp_path, name, monkeypatch):
+    """In several steps, however few the rows are."""
+    monkeypatch.setattr(tracks, "_steps", lambda most, crowd, fewer: [most / 16, most / 4, most])
+    assert differing(spark, tmp_path, name, crowd()) == []
+
+
+def test_steps_follow_the_crowd():
+    assert tracks._steps(20.0, 3.0, 16) == [20.0] and tracks._steps(20.0, 5000.0, 16) == [20 / 4**3, 20 / 4**2, 20 / 4, 20.0]
+
+
+def test_brushed_rows_and_crossings_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(i, i % 2, i // 2, float(i), 100.0 * i) for i in range(20)], "row long, ident long, k long, f double, t double")
+    line = spark.createDataFrame([(1, 0.0, 0.0, 900.0, 20.0)], "line long, t_a double, f_a double, t_b double, f_b double")
+    for out in (tracks.line_crossings(rows, line), tracks.brush_rows(rows, line.withColumnRenamed("line", "stroke"), 0.01, 0.5, 5.0)):
+        assert not out._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Aggregate") and out.count() > 0
+
+
+def test_bucket_joins_do_not_broadcast_exploded_rows(spark):
+    spans = spark.range(3).select(F.lit(1).alias("rec"), F.col("id").alias("t0"), (F.col("id") + 5).alias("t1"))
+    other = spans.select("rec", F.col("t0").alias("t0_b"), F.col("t1").alias("t1_b"))
+    plan = joins.overlapping(spans, other, ["rec"], 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
