@@ -1,6 +1,7 @@
 """Greedy, recursive and spectral operators against plain loops."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -246,3 +247,39 @@ def test_blind_windows_avoid_what_is_reviewed(spark):
     kind = "rec long, finished long"
     picks = {n: {r.rec: r.blind for r in windows.pick_window(windows.with_blind(ranked, candidates, spans, rects, 8.0), spark.createDataFrame([(1, n), (2, n)], kind)).collect()} for n in (4, 10)}
     assert picks == {4: {1: True, 2: True}, 10: {1: False, 2: False}}
+
+
+def _alike(spark):
+    """Tracks 1, 3, 5, 8 with copies: 2 of 1, 4 of 3, and 6 and 7 of 5, which is so low that it meets its copies."""
+    rng = np.random.default_rng(3)
+    base = 300 + rng.normal(0, 0.2, 40)
+    made = {1: base, 3: 2 * base, 5: np.full(40, 1.5), 8: 3 * base + rng.normal(0, 2.0, 40)}
+    made |= {2: made[1], 4: made[3], 6: made[5], 7: made[5]}
+    rows = [(i * 1000 + k, i, k, float(v), k * 0.25) for i, f in made.items() for k, v in enumerate(f)]
+    return spark.createDataFrame(rows, "row long, ident long, k long, f double, t double"), made
+
+
+def test_ids_that_are_alike_meet_as_every_other(spark):
+    frame, made = _alike(spark)
+    want = {}
+    for lo, a in made.items():
+        for hi, b in made.items():
+            for h in (2, 3, 4, 5):
+                off = (b - h * a)[np.abs(b - h * a) <= 4 * math.sqrt(1 + h * h)]
+                if lo != hi and len(off):
+                    want[lo, hi, h] = (len(off), np.median(off))
+    got = {(r.lo, r.hi, r.h): (r.n, r.offset) for r in tracks.harmonic_candidates(frame, 4.0).collect()}
+    assert set(got) == set(want) and (5, 6, 2) in got and (6, 5, 2) in got and (2, 4, 2) in got
+    assert all(got[p][0] == n and abs(got[p][1] - off) < 1e-9 for p, (n, off) in want.items())
+    each = tracks.best_per_harmonic(tracks.judge_harmonics(frame, tracks.harmonic_candidates(frame, 4.0), 12.0, frame_s=None))
+    best = tracks.find_harmonics(frame, 4.0, 12.0)
+    assert sorted(best.select(*each.columns).collect(), key=str) == sorted(each.collect(), key=str)
+    assert {(r.hi, r.lo) for r in best.collect()} >= {(3, 1), (4, 1), (5, 6), (6, 5), (7, 5)}
+
+
+def test_pairs_of_ids_are_not_shuffled(spark):
+    frame, _ = _alike(spark)
+    plan = tracks.harmonic_candidates(frame, 4.0)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(" in plan and not re.search(r"hashpartitioning\([^)]*\bh#", plan)
+    classes = tracks.track_classes(tracks.one_per_frame(frame).select("ident", "k", "f"))
+    assert {r.ident: (r.like, r.many) for r in classes.collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 2), 4: (3, 2), 5: (5, 3), 6: (5, 3), 7: (5, 3), 8: (8, 1)}
