@@ -283,3 +283,23 @@ def test_pairs_of_ids_are_not_shuffled(spark):
     assert "hashpartitioning(" in plan and not re.search(r"hashpartitioning\([^)]*\bh#", plan)
     classes = tracks.track_classes(tracks.one_per_frame(frame).select("ident", "k", "f"))
     assert {r.ident: (r.like, r.many) for r in classes.collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 2), 4: (3, 2), 5: (5, 3), 6: (5, 3), 7: (5, 3), 8: (8, 1)}
+
+
+def test_ids_near_points_of_one_place_and_of_several(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 5, float(t), float(f)) for i, (t, f) in enumerate(zip(rng.integers(0, 60, 80), rng.integers(0, 20, 80), strict=True))]
+    points = [(1, 10.0, 5.0), (2, 10.0, 5.0), (2, 10.0, 5.0), (3, 30.0, 8.0), (3, 50.0, 8.0), (4, 200.0, 5.0), (5, None, 5.0)]
+    want = {}
+    for q in (1, 2, 3, 4, 5):
+        best = {}
+        for row, ident, t, f in rows:
+            for d2 in [(t - a) ** 2 + (f - b) ** 2 for p, a, b in points if p == q and a is not None]:
+                if d2 <= 36:
+                    best[ident] = min(best.get(ident, (d2, row)), (d2, row))
+        for place, (m, ident) in enumerate(sorted((m, i) for i, m in best.items()), 1):
+            want[q, place] = (ident, m[1], m[0])
+    found = tracks.nearest_of_id(spark.createDataFrame(rows, "row long, ident long, t double, f double"), spark.createDataFrame(points, "q long, t_q double, f_q double"), 1.0, 1.0, 6.0)
+    got = found.collect()
+    assert {(r.q, r.place): (r.ident, r.row, r.d2) for r in got} == want and len(got) == len(want)
+    alone = tracks.nearest_of_id(spark.createDataFrame(rows, "row long, ident long, t double, f double"), spark.createDataFrame(points[:1], "q long, t_q double, f_q double"), 1.0, 1.0, 6.0)
+    assert not re.search(r"hashpartitioning\([^)]*ident#", alone._jdf.queryExecution().executedPlan().toString())  # pairs are not shuffled
