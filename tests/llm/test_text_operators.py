@@ -383,3 +383,19 @@ def test_mixing_keeps_values_without_a_target(spark):
 
 def test_digest_of_items():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_topics_are_learned_from_every_document(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice([f"{'ab'[i % 2]}{j}" for j in range(20)], 8)), "en") for i in range(2300)]
+    frame = spark.createDataFrame([*rows, *rows[:30], (9001, None, "en"), (9002, " ", "en"), (9003, "other words", None)], "doc_id long, text string, lang string")
+    model = mixing.fit_topics(frame, topics=2)
+    assert model.sizes.sum() == 2301 and sorted(model.sizes) in ([1150, 1151], [1, 2300])  # every text with words, once
+    again = mixing.fit_topics(frame.repartition(7), topics=2)
+    assert (again.centres == model.centres).all() and (again.sizes == model.sizes).all()
+    x = np.concatenate([mixing.word_rows(mixing.pa.array([t for _, t, _ in rows]))[1]])
+    y = x - x.mean(axis=0)
+    own = (y @ model.centres.T).argmax(axis=1)
+    for k in range(2):
+        c = (y[own == k] / np.linalg.norm(y[own == k], axis=1)[:, None]).sum(axis=0)
+        assert c @ model.centres[k] / np.linalg.norm(c) > 0.999  # a centre is the mean of all its texts
