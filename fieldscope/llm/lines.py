@@ -6,9 +6,10 @@ counted in 2**bits hash buckets, which stay small whatever the vocabulary. Two c
 token among the first n - ceil(num n / den) + 1 of each, so those prefixes are joined on tokens. Inside that join a pair is cut
 
 - by length and position: what follows the first shared token on either side must hold the overlap needed,
-- by its prefixes: 128 bits of each prefix bound how many tokens the two can share in them, and so the whole overlap;
+- by 256 bits of each class, one for each token: every bit that differs is a token that is not shared;
 
-neither ever cuts a similar pair. What is left is verified on the words. A line goes if an equal or similar line stands earlier.
+neither ever cuts a similar pair. What is left, mostly similar pairs, is verified on the words. A line goes if an equal or similar line
+stands earlier.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ CROWD = 256
 STEPS, MOST_RANK = 4, 127
 #: Tokens are joined in so many rounds, which divides the disk that the shuffle of all prefixes takes.
 ROUNDS = 4
+#: Words of 64 bits that tell the tokens of a class (a power of 2), and their columns.
+WORDS = 4
+MARKS = [f"bits{i}" for i in range(WORDS)]
 _ODD_SPACE = ("  ", "\t", "\r", "\x0b", "\f", "\n")
 
 
@@ -50,6 +54,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"key1": F.xxhash64("norm"), "key2": F.xxhash64(F.lit(1), "norm")})
 
 
+def _is_blank() -> Column:
+    """Of rows with key1, key2: whether norm is empty, told without reading it."""
+    return (F.col("key1") == F.xxhash64(F.lit(""))) & (F.col("key2") == F.xxhash64(F.lit(1), F.lit("")))
+
+
 def word_ranks(lines: DataFrame, bits: int) -> list[int]:
     """For each of 2**bits hash buckets of words: 1 to MOST_RANK, rising with the number of words of all lines(norm) in it."""
     words = lines.where("norm <> ''").select(F.explode(F.split("norm", " ")).alias("word"))
@@ -62,44 +71,44 @@ def word_ranks(lines: DataFrame, bits: int) -> list[int]:
 
 def _tokens(words: Column, ranks: list[int], bits: int) -> Column:
     """One number a distinct word, sorted from rare to frequent: the rank of the word's bucket, then 56 bits of its hash."""
-    first = F.from_json(F.lit(json.dumps([r << 56 for r in ranks])), "array<bigint>")
-    rank = lambda h: F.coalesce(F.get(first, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), F.lit(0))
+    first = F.from_json(F.lit(json.dumps(ranks)), "array<tinyint>")  # small numbers: the driver keeps the text of each plan
+    rank = lambda h: F.shiftleft(F.get(first, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long"), 56)
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
-def _marks(prefix: Column, half: int) -> Column:
-    """One half of a prefix's 128 bits: a bit for each token that falls there."""
-    bit = lambda t: F.when(t.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(prefix, F.lit(0).cast("long"), lambda seen, t: seen.bitwiseOR(bit(t)))
+def _marks(tokens: Column, word: int) -> Column:
+    """One of the words of 64 bits of a class: a bit for each token that falls there."""
+    bit = lambda t: F.when(F.shiftright(t, 6).bitwiseAND(F.lit(WORDS - 1)) == word, F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda seen, t: seen.bitwiseOR(bit(t)))
 
 
 def line_classes(keyed: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
-    """id, doc, line (the first place), key1, key2, n, rest, prefix, bits0, bits1 of each class of lines that aren't blank; written.
+    """id, doc, line (the first place), key1, key2, n, prefix and MARKS of each class of lines that aren't blank; written.
 
-    keyed: doc_id, line_no, norm, key1, key2. id rises with the first place; prefix holds all tokens but the last rest.
+    keyed: doc_id, line_no, norm, key1, key2. id rises with the first place; prefix holds the tokens by which a similar class is met.
     """
-    lines = keyed.where("norm <> ''").select("doc_id", "line_no", "key1", "key2", _tokens(F.split("norm", " "), word_ranks(keyed, bits), bits).alias("tokens"))
-    lines = lines.withColumn("n", F.size("tokens")).withColumn("rest", (F.ceil(F.col("n") * num / F.lit(den)) - 1).cast("int"))
-    lines = lines.select("doc_id", "line_no", "key1", "key2", "n", "rest", F.slice("tokens", F.lit(1), F.col("n") - F.col("rest")).alias("prefix"))
-    classes = lines.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "line_no", "n", "rest", "prefix")).alias("first"))
-    classes = classes.select(F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"), "key1", "key2", "first.n", "first.rest", "first.prefix")
-    classes = classes.sort("doc", "line", "key1", "key2").select(F.monotonically_increasing_id().alias("id"), "*")
-    return materialize(classes.withColumns({f"bits{half}": _marks(F.col("prefix"), half) for half in (0, 1)}), "line-classes")
+    lines = keyed.where(~_is_blank())
+    firsts = lines.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select(F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"), "key1", "key2")
+    firsts = materialize(firsts.sort("doc", "line", "key1", "key2").select(F.monotonically_increasing_id().alias("id"), "*"), "line-firsts")
+    lines = lines.select("doc_id", "line_no", "key1", "key2", _tokens(F.split("norm", " "), word_ranks(keyed, bits), bits).alias("tokens")).withColumn("n", F.size("tokens"))
+    short = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1)
+    whole = lines.select("key1", "key2", F.struct("doc_id", "line_no", "n", short.alias("prefix"), *(_marks(F.col("tokens"), i).alias(m) for i, m in enumerate(MARKS))).alias("row"))
+    whole = whole.groupBy("key1", "key2").agg(F.min("row").alias("row"))
+    classes = whole.join(firsts, ["key1", "key2"]).select("id", "doc", "line", "key1", "key2", "row.n", "row.prefix", *(f"row.{m}" for m in MARKS))
+    return materialize(classes, "line-classes")
 
 
 def _may_be_similar(num: int, den: int) -> Column:
-    """Whether classes a and b that share the tokens at place_a and place_b can have Jaccard num / den, as far as places and prefixes tell.
+    """Whether classes a and b that share the tokens at place_a and place_b can have Jaccard num / den, as far as places and bits tell.
 
-    If that token is the first they share, all others they share follow it. Of the two prefixes one ends first: what they share up to there is in
-    both, and what they share after it is in the rest of that one.
+    If that token is the first they share, all others they share follow it. A bit that only one has is a token that the other has not.
     """
-    a, b = ({c: F.col(f"{c}_{x}") for c in ("n", "place", "rest", "bits0", "bits1")} for x in "ab")
+    a, b = ({c: F.col(f"{c}_{x}") for c in ("n", "place", *MARKS)} for x in "ab")
     needed = num * (a["n"] + b["n"])
     follow = (num + den) * F.least(a["n"] - a["place"], b["n"] - b["place"]) >= needed
-    differ = sum(F.bit_count(a[c].bitwiseXOR(b[c])) for c in ("bits0", "bits1"))
-    prefixes = a["n"] - a["rest"] + b["n"] - b["rest"] - differ + 2 * F.greatest(a["rest"], b["rest"])
-    return follow & ((num + den) * prefixes >= 2 * needed)
+    differ = sum(F.bit_count(a[m].bitwiseXOR(b[m])) for m in MARKS)
+    return follow & ((num + den) * (a["n"] + b["n"] - differ) >= 2 * needed)
 
 
 def _side(rows: DataFrame, mark: str) -> DataFrame:
@@ -121,31 +130,35 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, num: int,
 
 def similar_earlier(classes: DataFrame, keyed: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """id of the classes (as line_classes gives them) that have a similar class earlier."""
-    postings = classes.select("id", "n", "rest", "bits0", "bits1", F.posexplode("prefix").alias("place", "token"))
+    def postings(of: DataFrame) -> DataFrame:
+        return of.select("id", "n", *MARKS, F.posexplode("prefix").alias("place", "token"))
 
     def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        both = _side(later, "a").join(_side(earlier, "b"), "token").where((F.col("id_b") < F.col("id_a")) & _may_be_similar(num, den))
+        both = _side(later, "a").join(earlier, "token").where((F.col("id_b") < F.col("id_a")) & _may_be_similar(num, den))
         return materialize(both.select("id_a", "id_b").distinct(), "line-pairs")
 
     # where many classes have one token, most copies of a crowd end at its earliest class; what this leaves out is met again below
-    maybe = postings.where(F.shiftrightunsigned("token", 56) >= 1 + STEPS * (CROWD.bit_length() - 1))  # no rarer token has as many classes
+    maybe = postings(classes).where(F.shiftrightunsigned("token", 56) >= 1 + STEPS * (CROWD.bit_length() - 1))  # no rarer token has as many classes
     crowds = materialize(maybe.groupBy("token").agg(F.count("*").alias("seen"), F.min("id").alias("id")).where(F.col("seen") > CROWD).drop("seen"), "line-crowds")
-    heads = materialize(maybe.join(crowds, ["token", "id"], "left_semi"), "line-heads")
-    found = _verified(met(maybe, heads), classes, keyed, num, den)
-
-    open_ = postings.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "id", "left_anti")
+    found = None
+    if n_crowds := crowds.count():
+        few = F.broadcast if n_crowds <= BROADCAST_ROWS // 8 else lambda df: df
+        heads = materialize(maybe.join(few(crowds), ["token", "id"], "left_semi"), "line-heads")
+        found = _verified(met(maybe, few(_side(heads, "b"))), classes, keyed, num, den)
+    open_ = classes.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "id", "left_anti") if found is not None else classes
     pairs = None
     for turn in range(ROUNDS):
         mine = F.pmod("token", F.lit(ROUNDS)) == turn
-        more = met(open_.where(mine), postings.where(mine))
+        more = met(postings(open_).where(mine), _side(postings(classes).where(mine), "b"))
         pairs = more if pairs is None else pairs.union(more)
     pairs = materialize(pairs.distinct(), "line-pairs")
 
     # most are settled by their earliest candidate, so few pairs need their words a second time
     first = materialize(pairs.groupBy("id_a").agg(F.min("id_b").alias("id_b")), "line-first-pairs")
-    settled = _verified(first, classes, keyed, num, den)
-    rest = pairs.join(settled.select(F.col("id").alias("id_a")), "id_a", "left_anti").join(first, ["id_a", "id_b"], "left_anti")
-    return found.union(settled).union(_verified(materialize(rest, "line-pairs"), classes, keyed, num, den))
+    late = _verified(first, classes, keyed, num, den)
+    rest = pairs.join(late.select(F.col("id").alias("id_a")), "id_a", "left_anti").join(first, ["id_a", "id_b"], "left_anti")
+    late = late.union(_verified(materialize(rest, "line-pairs"), classes, keyed, num, den))
+    return found.union(late) if found is not None else late
 
 
 def line_verdicts(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -153,8 +166,7 @@ def line_verdicts(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     keyed = materialize(_keyed(docs).drop("line"), "line-norms")
     classes = line_classes(keyed, num, den)
     stay = classes.join(similar_earlier(classes, keyed, num, den), "id", "left_anti").select("doc", "line", "key1", "key2")
-    blank = (F.col("norm") == "").alias("blank")
-    lines = keyed.select("doc_id", "line_no", "key1", "key2", blank).alias("lines")
+    lines = keyed.select("doc_id", "line_no", "key1", "key2", _is_blank().alias("blank")).alias("lines")
     same = F.expr("lines.doc_id <=> stay.doc and lines.line_no = stay.line and lines.key1 = stay.key1 and lines.key2 = stay.key2")
     return lines.join(stay.alias("stay"), same, "left").select("lines.doc_id", "lines.line_no", "lines.key1", "lines.key2", "blank", (F.col("blank") | F.col("stay.line").isNotNull()).alias("kept"))
 

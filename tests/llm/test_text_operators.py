@@ -162,6 +162,24 @@ def test_lines(spark, empty):
     assert lines.judged_lines(empty).collect() == []
 
 
+def test_lines_that_share_only_rare_words_are_cut_before_their_words_are_read(spark, monkeypatch):
+    rare, often = [f"r{i}" for i in range(10)], [f"c{i}" for i in range(80)]
+    rows = [(1, " ".join(rare + often[:40])), (2, " ".join(rare + often[40:])), (3, " ".join([*rare, *often[:39], "new"])), *((i, " ".join(often)) for i in range(4, 34))]
+    seen, plain = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *a: (seen.extend(pairs.collect()), plain(pairs, *a))[1])
+    kept = {r.doc_id for r in lines.judged_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kept}
+    assert kept == {1, 2, 4} and len({(r.id_a, r.id_b) for r in seen}) == 1
+
+
+def test_lines_of_a_crowd_meet_its_earliest_first(spark, monkeypatch):
+    words = [f"q{i}" for i in range(12)]
+    rows = [(i, " ".join([*words, f"v{i}"] if i % 3 else [*words[:8], f"u{i}", f"y{i}", f"x{i}"])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {tuple(r) for r in lines.judged_lines(frame).collect()}
+    monkeypatch.setattr(lines, "CROWD", 8)
+    assert {tuple(r) for r in lines.judged_lines(frame).collect()} == plain
+
+
 def test_url_rules_and_model(spark):
     pages = [("http://A.Spam-Farm.example.com/en/7?x", "a.spam-farm.example.com", "/en/7"), ("https://q.net/a#b", "q.net", "/a"), ("https://w.example.net/en/1", "w.example.net", "/en/1"), ("https://w.example.net/en", "w.example.net", "/en"),
              ("http://x.example.com/de/9.html", "x.example.com", "/de/9.html"), ("http://citylibrary.example.org/fr/", "citylibrary.example.org", "/fr/"), ("ftp://xnet/", "xnet", "/"), ("no scheme", "", ""), (None, "", ""), ("a://", "", ""), ("http://net?x/", "net", ""), ("x://y.org/fr/://z.net/", "y.org", "/fr/://z.net/"), ("http://" + "long" * 5000 + ".com/" + "p/" * 5000, "long" * 5000 + ".com", "/" + "p/" * 5000)]
