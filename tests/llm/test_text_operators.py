@@ -417,3 +417,10 @@ def test_topics_are_learned_from_every_document(spark):
     for k in range(2):
         c = (y[own == k] / np.linalg.norm(y[own == k], axis=1)[:, None]).sum(axis=0)
         assert c @ model.centres[k] / np.linalg.norm(c) > 0.999  # a centre is the mean of all its texts
+
+
+def test_topics_do_not_depend_on_how_texts_are_packed(spark, docs, monkeypatch):
+    plain = mixing.fit_topics(docs)
+    monkeypatch.setattr(mixing, "PACK", 7)  # fewer than a text has: a row each
+    one = mixing.fit_topics(docs)
+    assert (one.centres == plain.centres).all() and (one.sizes == plain.sizes).all() and one.sizes.sum() > 1
