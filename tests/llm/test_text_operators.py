@@ -424,3 +424,11 @@ def test_topics_do_not_depend_on_how_texts_are_packed(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "PACK", 7)  # fewer than a text has: a row each
     one = mixing.fit_topics(docs)
     assert (one.centres == plain.centres).all() and (one.sizes == plain.sizes).all() and one.sizes.sum() > 1
+
+
+def test_written_tables_go_once_they_are_used(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr("fieldscope.llm.common.shared_root", lambda spark: f"file://{tmp_path}")
+    rows = jaccard.jaccard_components(docs).count()
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert rows == docs.count() and "jaccard-keys" in left
+    assert not left & {"jaccard-sets-digest", "jaccard-prefixes", "jaccard-matrix", "jaccard-known", "jaccard-sets", "jaccard-wanted"}
