@@ -77,6 +77,12 @@ def test_crowded_tracks(spark, tmp_path, name, monkeypatch):
     assert differing(spark, tmp_path, name, crowd()) == []
 
 
+def test_nearest_ends_of_few_tracks(spark, tmp_path):
+    """Ends as near as each other, a point without an end in reach, and distances that are rounded."""
+    rows = [(3 * i, 3600.0 * i + 0.1234567, 1 + i % 2, "click", 10.0 + i / 7) for i in range(6)] + [(60, 5000.2, 9, "signup", 9.3), (63, 5000.2, 9, "signup", 9.3), (66, 900_000.0, 9, "signup", 90.0)]
+    assert differing(spark, tmp_path, "nearest_ends", rows) == []
+
+
 def test_steps_follow_the_crowd():
     assert tracks._steps(20.0, 3.0, 16) == [20.0] and tracks._steps(20.0, 5000.0, 16) == [20 / 4**3, 20 / 4**2, 20 / 4, 20.0]
 
