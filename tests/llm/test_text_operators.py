@@ -382,6 +382,24 @@ def test_topics_are_found_across_languages(spark):
     assert x[0].tolist() == [3, 0, 0, 1] and np.allclose(np.sort(x[1][0])[-2:], [np.sqrt(1 / 3), np.sqrt(2 / 3)])
 
 
+def test_packed_texts_come_in_small_batches(spark, monkeypatch):
+    """A row of packed texts is large, so few go to Python at once; counts of any size come back as they are."""
+    key, asked, summed = "spark.sql.execution.arrow.maxRecordsPerBatch", [], mixing._summed
+
+    def seen(counts, *args):
+        asked.append(int(spark.conf.get(key)))
+        return summed(counts, *args)
+
+    monkeypatch.setattr(mixing, "_summed", seen)
+    often = (1, 255, 256, 70_000)
+    frame = spark.createDataFrame([(i, "w " * n + f"word{i}", "en", "src0") for i, n in enumerate(often)], "doc_id long, text string, lang string, source string").coalesce(1)
+    mixing.fit_topics(frame, topics=2)
+    assert len(asked) > 1 and all(0 < n <= 16 for n in asked[1:]) and int(spark.conf.get(key)) > 16
+    packed = mixing._packed(mixing.word_counts(frame, ["en"]), np.zeros((2, mixing.DIM))).toArrow().to_batches()
+    value = [v for batch in packed for *_, v in mixing._texts(batch)]
+    assert sorted(np.concatenate(value)) == sorted(np.sqrt(x) / np.sqrt(n + 1) for n in often for x in (1.0, n))
+
+
 def test_mixing_keeps_values_without_a_target(spark):
     columns = ["id as doc_id", "if(id % 10 = 3, if(id % 20 = 3, null, 'elsewhere'), 'src' || (id % 20)) as source"]
     columns += ["case pmod(hash(id), 7) when 0 then null when 1 then 'it' when 2 then 'de' when 3 then 'fr' when 4 then 'es' else 'en' end as lang"]
