@@ -79,6 +79,19 @@ def test_jaccard_empty_and_clashing_columns(spark, docs, empty):
     assert kept.where("doc_id = 5").count() <= 1
 
 
+def test_jaccard_of_many_ids_shuffles_no_texts(spark, docs, monkeypatch):
+    """Beyond what a broadcast holds, texts are picked by bits of ids where they lie."""
+    single = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    parts, kept = (rows(f(frame)) for f, frame in ((jaccard.jaccard_components, single), (jaccard.keep_first, docs)))
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    assert rows(jaccard.jaccard_components(single)) == parts and rows(jaccard.keep_first(docs)) == kept
+    ids = jaccard.IdBits(single.where("doc_id % 3 = 0").select("doc_id"), "bits")
+    some = jaccard._texts_of(single, ids)
+    assert {r.doc_id for r in some.collect()} >= {r.doc_id for r in single.collect() if r.doc_id % 3 == 0} and ids.some(single, "doc_id", inside=False).count() + some.count() == single.count()
+    assert "hashpartitioning(text" not in (plan := jaccard._texts_of(docs, ids)._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+
+
 def test_jaccard_repeated_rows_and_ids(spark):
     a, b, c = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " + x for x in ("one", "two three four five six seven", "eight nine"))
     rows = [(1, a), (1, a), (2, b), (2, c + " x y z"), (3, b), (4, c + " x y z"), (None, a), (None, a)]
